@@ -16,17 +16,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     by: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles of ``value`` per ``by`` group.
@@ -73,14 +66,21 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     wanted = targets.select(*keys, "q_index", "q_prob", "_frac",
                             F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_rank"))
 
-    seg_b = F.broadcast(seg.select("_pid", *keys, "_offset", "_first"))
-    ranked = ordered.join(seg_b, _null_safe_on(ordered, seg_b, ["_pid", *keys]), "inner") \
-        .select(*[ordered[k].alias(k) for k in keys], ordered["_v"],
-                (seg_b["_offset"] + ordered["_row"] - seg_b["_first"]).alias("_rank"))
-    want_b = F.broadcast(wanted)
-    hit = ranked.join(want_b, _null_safe_on(ranked, want_b, [*keys, "_rank"]), "inner") \
-        .select(*[ranked[k].alias(k) for k in keys], ranked["_v"], ranked["_rank"],
-                want_b["q_index"], want_b["q_prob"], want_b["_frac"])
+    # Join on renamed copies of the keys: both sides derive from ``ordered``.
+    seg_r = seg.select(F.col("_pid").alias("_s_pid"), *[F.col(k).alias(f"_sk_{k}") for k in keys],
+                       "_offset", "_first")
+    on = F.col("_pid") == F.col("_s_pid")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_sk_{k}"))
+    ranked = ordered.join(F.broadcast(seg_r), on, "inner").select(
+        *keys, "_v", (F.col("_offset") + F.col("_row") - F.col("_first")).alias("_rank"))
+    want_r = wanted.select(*[F.col(k).alias(f"_wk_{k}") for k in keys],
+                           F.col("_rank").alias("_wpos"), "q_index", "q_prob", "_frac")
+    on = F.col("_rank") == F.col("_wpos")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_wk_{k}"))
+    hit = ranked.join(F.broadcast(want_r), on, "inner").select(
+        *keys, "_v", "_rank", "q_index", "q_prob", "_frac")
     out = hit.groupBy(*keys, "q_index", "q_prob").agg(
         F.min("_v").alias("_lo_v"), F.max("_v").alias("_hi_v"), F.first("_frac").alias("_frac"))
     return out.select(

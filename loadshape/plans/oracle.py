@@ -298,3 +298,151 @@ FROM ({daily_peaks_sql(priced_sql(ROWS_E, 'week'))}) d"""
 ORACLE["top3_days"] = f"""SELECT aID, period AS TIDPUNKT, price, tariff_active, day,
        {R('peak_consumption')} AS peak_consumption, peak_time, CAST(rank AS INTEGER) AS rank
 FROM ({top3_days_sql(priced_sql(ROWS_E, 'week'))}) d"""
+
+
+# ---------------------------------------------------------------- adoption / curves
+TARIFF_N_L = f"""SELECT "GS1-nr." AS aID, CAST("Startdatum" AS DATE) AS tariff_start,
+       "Produktnamn" AS tariff_plan FROM ({TARIFF_RAW_L}) t"""
+_MONTH = "CAST(date_trunc('month', tariff_start) AS DATE)"
+
+ORACLE["monthly_adoption"] = f"""SELECT strftime({_MONTH}, '%Y-%m') AS month, count(DISTINCT aID) AS households
+FROM ({TARIFF_N_L}) t WHERE tariff_start IS NOT NULL GROUP BY 1"""
+ORACLE["adoption_share"] = f"""WITH c AS (SELECT {_MONTH} AS month, count(DISTINCT aID) AS households
+           FROM ({TARIFF_N_L}) t WHERE tariff_start IS NOT NULL GROUP BY 1),
+     ax AS (SELECT CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS DATE) AS month FROM c),
+     tot AS (SELECT count(DISTINCT aID) AS total FROM ({METER_L}) m),
+     d AS (SELECT ax.month, CAST(coalesce(c.households, 0) AS BIGINT) AS households
+           FROM ax LEFT JOIN c ON ax.month = c.month)
+SELECT month, households, CAST(sum(households) OVER (ORDER BY month) AS BIGINT) AS cumulative,
+       {R('CAST(sum(households) OVER (ORDER BY month) AS DOUBLE) / CAST(total AS DOUBLE)')} AS share
+FROM d CROSS JOIN tot"""
+ORACLE["plan_counts"] = f"""SELECT tariff_plan AS tariff_group, count(*) AS households
+FROM ({TARIFF_N_L}) t WHERE tariff_plan IS NOT NULL GROUP BY 1"""
+ORACLE["plan_cumulative"] = f"""WITH t AS (SELECT aID, {_MONTH} AS month,
+                  nullif(regexp_extract(tariff_plan, '{PLAN_RX}', 1), '') AS tariff_plan FROM ({TARIFF_N_L}) x),
+     c AS (SELECT month, tariff_plan, count(DISTINCT aID) AS households FROM t
+           WHERE tariff_plan IS NOT NULL AND month IS NOT NULL GROUP BY 1, 2),
+     ax AS (SELECT CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS DATE) AS month FROM c),
+     g AS (SELECT ax.month, p.tariff_plan FROM ax, (SELECT DISTINCT tariff_plan FROM c) p),
+     d AS (SELECT g.month, g.tariff_plan, CAST(coalesce(c.households, 0) AS BIGINT) AS households
+           FROM g LEFT JOIN c ON g.month = c.month AND g.tariff_plan = c.tariff_plan)
+SELECT month, tariff_plan, households,
+       CAST(sum(households) OVER (PARTITION BY tariff_plan ORDER BY month) AS BIGINT) AS cumulative FROM d"""
+ORACLE["rows_by_active"] = f"""SELECT tariff_active, count(*) AS n_rows
+FROM ({run_sql(METER_E, TARIFF_E, 'hour', ['mean'], True, (0.25, 0.75))}) h GROUP BY 1"""
+ORACLE["distinct_adopters"] = f"""SELECT DISTINCT aID AS id, CAST(tariff_start AS DATE) AS adoption_month
+FROM ({MONTHLY_L}) m WHERE price = 'all' AND tariff_start IS NOT NULL"""
+_MONTHLY_COLS = ["top3_mean", "variance", "mean"]
+ORACLE["filter_price"] = _run_q(f"SELECT * FROM ({MONTHLY_E}) m WHERE price = 'high'",
+                                ["top3_mean", "mean"], True, True)
+ORACLE["adopters_only"] = _run_q(f"SELECT * FROM ({MONTHLY_L}) m WHERE tariff_start IS NOT NULL",
+                                 _MONTHLY_COLS, True, True)
+ORACLE["consumption_curve"] = f"""SELECT TIDPUNKT, {R('avg(top3_mean_consumption)')} AS top3_mean_consumption
+FROM ({MONTHLY_L}) m WHERE price = 'all' GROUP BY TIDPUNKT"""
+
+
+def _wide_avg(keys: list[str], expr_key: str, value: str = "top3_mean_consumption") -> str:
+    return ", ".join(f"{R(f'avg({value}) FILTER (WHERE {expr_key} = {chr(39)}{k}{chr(39)})')} AS {k}"
+                     for k in keys)
+
+
+_PT = "price || '_' || CAST(tariff_active AS VARCHAR)"
+ORACLE["consumption_by_price_tariff"] = f"""SELECT TIDPUNKT, {_wide_avg(['high_0', 'high_1', 'low_0', 'low_1'], _PT)}
+FROM ({MONTHLY_L}) m WHERE price <> 'all' GROUP BY TIDPUNKT"""
+_UT = "usage_group || '_' || CAST(tariff_active AS VARCHAR)"
+ORACLE["consumption_by_usage_tariff"] = f"""SELECT TIDPUNKT,
+       {_wide_avg(['low_0', 'low_1', 'medium_0', 'medium_1', 'high_0', 'high_1'], _UT)}
+FROM ({MONTHLY_L}) m WHERE price = 'all' GROUP BY TIDPUNKT"""
+ORACLE["adoption_by_usage"] = f"""SELECT g.usage_group, {R('s.share')} AS share
+FROM (VALUES ('low'), ('medium'), ('high')) g(usage_group)
+LEFT JOIN (SELECT usage_group, avg(CAST(tariff_active AS DOUBLE)) AS share
+           FROM ({MONTHLY_L}) m GROUP BY usage_group) s ON g.usage_group = s.usage_group"""
+_EVT = ("CAST((year(TIDPUNKT) - year(tariff_start)) * 12 + (month(TIDPUNKT) - month(tariff_start))"
+        " AS INTEGER)")
+_EV_BASE = f"""SELECT *, {_EVT} AS event_time FROM ({MONTHLY_L}) m WHERE tariff_start IS NOT NULL"""
+ORACLE["event_study"] = f"""SELECT event_time, {_wide_avg(['low', 'medium', 'high'], 'usage_group')}
+FROM ({_EV_BASE}) e WHERE event_time BETWEEN -12 AND 12 GROUP BY event_time"""
+ORACLE["event_study_by_plan"] = f"""SELECT event_time, tariff_plan, {R('avg(top3_mean_consumption)')} AS mean_value
+FROM ({_EV_BASE}) e WHERE event_time BETWEEN -12 AND 12 AND tariff_plan IS NOT NULL GROUP BY 1, 2"""
+
+
+# ---------------------------------------------------------------- peaks
+HIGH_E = f"SELECT * FROM ({MONTHLY_E}) m WHERE price = 'high'"
+LONG_E = " UNION ALL ".join(
+    f"""SELECT aID, TIDPUNKT, price, tariff_active, {i} AS rank, peak{i}_time AS peak_time,
+       peak{i}_consumption AS peak_consumption FROM ({HIGH_E}) h{i}
+       WHERE peak{i}_time IS NOT NULL AND peak{i}_consumption IS NOT NULL""" for i in (1, 2, 3))
+_LM = f"SELECT *, CAST(month(peak_time) AS INTEGER) AS month, CAST(hour(peak_time) AS INTEGER) AS hour FROM ({LONG_E}) l"
+
+ORACLE["peaks_long"] = f"""SELECT aID, TIDPUNKT, price, tariff_active, CAST(rank AS INTEGER) AS rank, peak_time,
+       {R('peak_consumption')} AS peak_consumption FROM ({LONG_E}) l"""
+ORACLE["peak_hour_count"] = f"SELECT hour, count(*) AS n_peaks FROM ({_LM}) l GROUP BY hour"
+ORACLE["peak_hour_consumption"] = f"""SELECT hour, {R('sum(peak_consumption)')} AS peak_consumption
+FROM ({_LM}) l GROUP BY hour"""
+
+
+def _heat_sql(mode: str) -> str:
+    agg = "count(*)" if mode == "count" else "sum(peak_consumption)"
+    zero = "0" if mode == "count" else "CAST(0 AS DOUBLE)"
+    val = f"coalesce(c.value, {zero})"
+    return f"""WITH c AS (SELECT month, hour, {agg} AS value FROM ({_LM}) l GROUP BY month, hour),
+     g AS (SELECT m.month, CAST(r.range AS INTEGER) AS hour
+           FROM (SELECT DISTINCT month FROM ({_LM}) l) m, range(24) r)
+SELECT g.month, g.hour, {val if mode == 'count' else R(val)} AS value
+FROM g LEFT JOIN c ON g.month = c.month AND g.hour = c.hour"""
+
+
+def _tariff_heat_sql(mode: str) -> str:
+    agg = "count(*)" if mode == "count" else "sum(peak_consumption)"
+    zero = "0" if mode == "count" else "CAST(0 AS DOUBLE)"
+    b = f"coalesce(b.value, {zero})"
+    a = f"coalesce(a.value, {zero})"
+    cols = (f"{b} AS before, {a} AS after, {a} - {b} AS diff" if mode == "count" else
+            f"{R(b)} AS before, {R(a)} AS after, {R(f'{a} - {b}')} AS diff")
+    return f"""WITH c AS (SELECT tariff_active, month, hour, {agg} AS value FROM ({_LM}) l GROUP BY ALL),
+     g AS (SELECT m.month, CAST(r.range AS INTEGER) AS hour
+           FROM (SELECT DISTINCT month FROM ({_LM}) l) m, range(24) r)
+SELECT g.month, g.hour, {cols}
+FROM g LEFT JOIN c b ON b.tariff_active = 0 AND g.month = b.month AND g.hour = b.hour
+       LEFT JOIN c a ON a.tariff_active = 1 AND g.month = a.month AND g.hour = a.hour"""
+
+
+ORACLE["peak_heatmap_count"] = _heat_sql("count")
+ORACLE["peak_heatmap_consumption"] = _heat_sql("consumption")
+ORACLE["tariff_peak_heatmap_count"] = _tariff_heat_sql("count")
+ORACLE["tariff_peak_heatmap_consumption"] = _tariff_heat_sql("consumption")
+ORACLE["tariff_peak_max"] = f"SELECT max(greatest(before, after)) AS vmax FROM ({_tariff_heat_sql('count')}) t"
+
+_VALS = " UNION ALL ".join(
+    f"SELECT peak{i}_consumption AS v FROM ({HIGH_E}) h WHERE peak{i}_consumption IS NOT NULL" for i in (1, 2, 3))
+_B = "CAST(30 AS DOUBLE)"
+
+
+def _edge(i: str) -> str:
+    return f"(CASE WHEN {i} >= 30 THEN hi ELSE CAST({i} AS DOUBLE) * step + lo END)"
+
+
+ORACLE["peak_histogram"] = f"""WITH v AS ({_VALS}),
+     b AS (SELECT CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END AS lo,
+                  CASE WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END AS hi FROM v),
+     s AS (SELECT lo, hi, (hi - lo) / {_B} AS step FROM b),
+     i0 AS (SELECT v.v, s.*, floor((v.v - lo) * ({_B} / (hi - lo))) AS i FROM v, s),
+     i1 AS (SELECT v, lo, hi, step, CASE WHEN i >= 30 THEN 29 ELSE i END AS i FROM i0),
+     i2 AS (SELECT v, lo, hi, step, CASE WHEN v < {_edge('i')} THEN i - 1 ELSE i END AS i FROM i1),
+     i3 AS (SELECT CASE WHEN v >= {_edge('(i + 1)')} AND i <> 29 THEN i + 1 ELSE i END AS i FROM i2),
+     c AS (SELECT CAST(i AS INTEGER) AS bin, count(*) AS n FROM i3 GROUP BY 1),
+     ax AS (SELECT CAST(r.range AS INTEGER) AS bin, s.* FROM range(30) r, s)
+SELECT ax.bin, {R(_edge('ax.bin'))} AS bin_start, {R(_edge('(ax.bin + 1)'))} AS bin_end,
+       coalesce(c.n, 0) AS n
+FROM ax LEFT JOIN c ON ax.bin = c.bin"""
+
+ORACLE["peak_rank_box"] = f"""WITH p AS (SELECT rank, peak_consumption AS v FROM ({LONG_E}) l),
+     q AS (SELECT rank, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median,
+                  quantile_cont(v, 0.75) AS q3 FROM p GROUP BY rank),
+     f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lf, q3 + 1.5 * (q3 - q1) AS uf FROM q)
+SELECT CAST(f.rank AS INTEGER) AS rank, count(*) AS n, {R('f.q1')} AS q1, {R('f.median')} AS median,
+       {R('f.q3')} AS q3, {R('f.iqr')} AS iqr,
+       {R('min(p.v) FILTER (WHERE p.v >= f.lf AND p.v <= f.uf)')} AS whisker_low,
+       {R('max(p.v) FILTER (WHERE p.v >= f.lf AND p.v <= f.uf)')} AS whisker_high,
+       count(*) FILTER (WHERE NOT (p.v >= f.lf AND p.v <= f.uf)) AS n_outliers
+FROM p JOIN f ON p.rank = f.rank GROUP BY f.rank, f.q1, f.median, f.q3, f.iqr"""

@@ -224,3 +224,145 @@ def q_top3_days(spark, sf):
     rows = join_tariff(meter_e(spark, sf), tariff_e(spark, sf))
     d = A.top3_days(A.daily_peaks(rows, "week", True))
     return rounded(d.withColumnRenamed(S.PERIOD, S.TS))
+
+
+# ------------------------------------------------------------ adoption
+from loadshape.operators import adoption as AD  # noqa: E402
+from loadshape.operators import curves as CV  # noqa: E402
+
+
+@register("monthly_adoption")
+def q_monthly_adoption(spark, sf):
+    return AD.monthly_adoption(tariff_l(spark, sf))
+
+
+@register("adoption_share")
+def q_adoption_share(spark, sf):
+    households = meter_l(spark, sf).agg(F.countDistinct(S.ID).alias("total_households"))
+    return rounded(AD.adoption_share(tariff_l(spark, sf), households))
+
+
+@register("plan_counts")
+def q_plan_counts(spark, sf):
+    return AD.plan_counts(tariff_l(spark, sf))
+
+
+@register("plan_cumulative")
+def q_plan_cumulative(spark, sf):
+    return AD.plan_cumulative(tariff_l(spark, sf))
+
+
+@register("rows_by_active")
+def q_rows_by_active(spark, sf):
+    hour_result = run(meter_e(spark, sf), tariff_e(spark, sf), "hour", ["mean"], True, [0.25, 0.75])
+    return AD.rows_by_active(hour_result)
+
+
+@register("distinct_adopters")
+def q_distinct_adopters(spark, sf):
+    return AD.distinct_adopters(monthly_l(spark, sf).where(F.col(S.PRICE) == "all"))
+
+
+@register("filter_price")
+def q_filter_price(spark, sf):
+    return rounded(monthly_e(spark, sf).where(F.col(S.PRICE) == "high"))
+
+
+@register("adopters_only")
+def q_adopters_only(spark, sf):
+    return rounded(monthly_l(spark, sf).where(F.col(S.START).isNotNull()))
+
+
+# ------------------------------------------------------------ curves
+@register("consumption_curve")
+def q_consumption_curve(spark, sf):
+    return rounded(CV.consumption_curve(monthly_l(spark, sf), "top3_mean_consumption", price="all"))
+
+
+@register("consumption_by_price_tariff")
+def q_consumption_by_price_tariff(spark, sf):
+    return rounded(CV.consumption_curve(
+        monthly_l(spark, sf), "top3_mean_consumption", splits=[S.PRICE, S.ACTIVE],
+        split_values=[["high", "low"], [0, 1]]))
+
+
+@register("consumption_by_usage_tariff")
+def q_consumption_by_usage_tariff(spark, sf):
+    return rounded(CV.consumption_curve(
+        monthly_l(spark, sf), "top3_mean_consumption", splits=["usage_group", S.ACTIVE],
+        split_values=[["low", "medium", "high"], [0, 1]], price="all"))
+
+
+@register("adoption_by_usage")
+def q_adoption_by_usage(spark, sf):
+    return rounded(CV.adoption_by_usage(monthly_l(spark, sf)))
+
+
+@register("event_study")
+def q_event_study(spark, sf):
+    return rounded(CV.event_study(monthly_l(spark, sf), "top3_mean_consumption", "usage_group", 12,
+                                  line_values=["low", "medium", "high"]))
+
+
+@register("event_study_by_plan")
+def q_event_study_by_plan(spark, sf):
+    return rounded(CV.event_study(monthly_l(spark, sf), "top3_mean_consumption", "tariff_plan", 12))
+
+
+# ------------------------------------------------------------ peaks
+from loadshape.operators import peaks as PK  # noqa: E402
+
+
+def high_peaks(spark, sf):
+    """Monthly top-3 of the hourly stand-in, high-price rows (the study's call)."""
+    return monthly_e(spark, sf).where(F.col(S.PRICE) == "high")
+
+
+@register("peaks_long")
+def q_peaks_long(spark, sf):
+    return rounded(PK.peaks_long(high_peaks(spark, sf)))
+
+
+@register("peak_hour_count")
+def q_peak_hour_count(spark, sf):
+    return PK.peak_hour_distribution(high_peaks(spark, sf), "count")
+
+
+@register("peak_hour_consumption")
+def q_peak_hour_consumption(spark, sf):
+    return rounded(PK.peak_hour_distribution(high_peaks(spark, sf), "consumption"))
+
+
+@register("peak_heatmap_count")
+def q_peak_heatmap_count(spark, sf):
+    return PK.peak_heatmap(high_peaks(spark, sf), "count")
+
+
+@register("peak_heatmap_consumption")
+def q_peak_heatmap_consumption(spark, sf):
+    return rounded(PK.peak_heatmap(high_peaks(spark, sf), "consumption"))
+
+
+@register("peak_histogram")
+def q_peak_histogram(spark, sf):
+    return rounded(PK.peak_histogram(high_peaks(spark, sf)))
+
+
+@register("peak_rank_box")
+def q_peak_rank_box(spark, sf):
+    return rounded(PK.peak_rank_box(high_peaks(spark, sf)))
+
+
+@register("tariff_peak_heatmap_count")
+def q_tariff_peak_heatmap_count(spark, sf):
+    return PK.tariff_peak_heatmap(high_peaks(spark, sf), "count")
+
+
+@register("tariff_peak_heatmap_consumption")
+def q_tariff_peak_heatmap_consumption(spark, sf):
+    return rounded(PK.tariff_peak_heatmap(high_peaks(spark, sf), "consumption"))
+
+
+@register("tariff_peak_max")
+def q_tariff_peak_max(spark, sf):
+    return PK.tariff_peak_max(PK.tariff_peak_heatmap(high_peaks(spark, sf), "count"))
