@@ -446,3 +446,108 @@ SELECT CAST(f.rank AS INTEGER) AS rank, count(*) AS n, {R('f.q1')} AS q1, {R('f.
        {R('max(p.v) FILTER (WHERE p.v >= f.lf AND p.v <= f.uf)')} AS whisker_high,
        count(*) FILTER (WHERE NOT (p.v >= f.lf AND p.v <= f.uf)) AS n_outliers
 FROM p JOIN f ON p.rank = f.rank GROUP BY f.rank, f.q1, f.median, f.q3, f.iqr"""
+
+
+# ---------------------------------------------------------------- matching
+_L = 12
+_K = 5
+MROWS = f"""SELECT CAST(aID AS VARCHAR) AS id, CAST(TIDPUNKT AS DATE) AS month,
+       CAST(tariff_start AS DATE) AS adoption_month, CAST(top3_mean_consumption AS DOUBLE) AS v,
+       CAST(tariff_active AS INTEGER) AS ord
+FROM ({MONTHLY_L}) m WHERE price = 'all'"""
+TIS = f"SELECT DISTINCT adoption_month AS Ti FROM ({MROWS}) r WHERE adoption_month IS NOT NULL"
+WIN = f"""SELECT t.Ti, r.id, r.month, r.ord, r.v FROM ({MROWS}) r JOIN ({TIS}) t
+  ON r.month >= CAST(t.Ti - INTERVAL {_L} MONTH AS DATE) AND r.month < t.Ti"""
+TS_FEATS = [f"peak_{i}" for i in range(1, _L + 1)]
+SUM_FEATS = ["peak_mean", "peak_sd", "peak_volatility"]
+
+
+def prof_sql(mode: str) -> str:
+    if mode == "time_series":
+        cols = ", ".join(f"max(v) FILTER (WHERE pos = {i}) AS peak_{i}" for i in range(1, _L + 1))
+        return f"""SELECT Ti, id, {cols} FROM (
+  SELECT *, row_number() OVER (PARTITION BY Ti, id ORDER BY month, ord) AS pos,
+         count(*) OVER (PARTITION BY Ti, id) AS n FROM ({WIN}) w) x
+WHERE n >= {_L} GROUP BY Ti, id"""
+    return f"""SELECT Ti, id, avg(v) AS peak_mean, stddev_samp(v) AS peak_sd, avg(step) AS peak_volatility FROM (
+  SELECT *, abs(v - lag(v) OVER (PARTITION BY Ti, id ORDER BY month, ord)) AS step FROM ({WIN}) w) x
+GROUP BY Ti, id HAVING count(*) >= {_L}"""
+
+
+ADOPTERS = f"SELECT DISTINCT id, adoption_month FROM ({MROWS}) r WHERE adoption_month IS NOT NULL"
+INFO = f"""SELECT id, max(CAST(adoption_month IS NULL AS INTEGER)) AS never, max(adoption_month) AS latest
+FROM ({MROWS}) r GROUP BY id"""
+
+
+def build_profiles_sql(mode: str) -> str:
+    feats = TS_FEATS if mode == "time_series" else SUM_FEATS
+    return f"""SELECT p.id, {', '.join('p.' + f for f in feats)}, p.Ti AS adoption_month
+FROM ({prof_sql(mode)}) p JOIN ({ADOPTERS}) a ON p.id = a.id AND p.Ti = a.adoption_month"""
+
+
+def matches_sql(mode: str, with_rank: bool = False) -> str:
+    feats = TS_FEATS if mode == "time_series" else SUM_FEATS
+    stats = ", ".join(f"avg({f}) AS mu_{f}, stddev_samp({f}) AS sd_{f}" for f in feats)
+
+    def z(f: str) -> str:
+        return (f"coalesce(CASE WHEN sd_{f} IS NOT NULL AND sd_{f} > 0 AND NOT isnan(sd_{f}) "
+                f"THEN ({f} - mu_{f}) / sd_{f} END, CAST(0 AS DOUBLE))")
+    cz = ", ".join(f"{z(f)} AS c_{f}" for f in feats)
+    tz = ", ".join(f"{z(f)} AS t_{f}" for f in feats)
+    dist = " + ".join(f"(c_{f} - t_{f}) * (c_{f} - t_{f})" for f in feats)
+    return f"""WITH prof AS ({prof_sql(mode)}),
+     controls AS (SELECT p.* FROM prof p JOIN ({INFO}) i ON p.id = i.id WHERE i.never = 1 OR i.latest > p.Ti),
+     treated AS (SELECT p.* FROM prof p JOIN ({ADOPTERS}) a ON p.id = a.id AND p.Ti = a.adoption_month),
+     st AS (SELECT Ti, {stats} FROM controls GROUP BY Ti),
+     cz AS (SELECT c.Ti, c.id AS control_id, {cz} FROM controls c JOIN st ON c.Ti = st.Ti),
+     tz AS (SELECT t.Ti, t.id AS treated_id, {tz} FROM treated t JOIN st ON t.Ti = st.Ti),
+     pairs AS (SELECT tz.Ti, tz.treated_id, cz.control_id, sqrt({dist}) AS distance
+               FROM tz JOIN cz ON tz.Ti = cz.Ti AND cz.control_id <> tz.treated_id),
+     nn AS (SELECT *, row_number() OVER (PARTITION BY Ti, treated_id ORDER BY distance, control_id) AS neighbor
+            FROM pairs)
+SELECT c.id, {', '.join('c.' + f for f in feats)}, nn.control_id, nn.treated_id, nn.Ti AS adoption_month,
+       nn.distance{', CAST(nn.neighbor AS INTEGER) AS neighbor' if with_rank else ''}
+FROM nn JOIN controls c ON c.Ti = nn.Ti AND c.id = nn.control_id WHERE nn.neighbor <= {_K}"""
+
+
+def balance_sql(mode: str) -> str:
+    feats = TS_FEATS if mode == "time_series" else SUM_FEATS
+    prof = build_profiles_sql(mode)
+    m = matches_sql(mode)
+    union = " UNION ALL ".join(
+        f"SELECT g, '{f}' AS covariate, CAST({f} AS DOUBLE) AS value FROM both_rows" for f in feats)
+    return f"""WITH prof AS ({prof}), m AS ({m}),
+     both_rows AS (SELECT 1 AS g, p.* FROM prof p WHERE p.id IN (SELECT treated_id FROM m)
+                   UNION ALL
+                   SELECT 0 AS g, p.* FROM (SELECT control_id FROM m) mm LEFT JOIN prof p ON mm.control_id = p.id),
+     l AS ({union}),
+     s AS (SELECT covariate, avg(value) FILTER (WHERE g = 1) AS tm, avg(value) FILTER (WHERE g = 0) AS cm,
+                  var_samp(value) FILTER (WHERE g = 1) AS vt, var_samp(value) FILTER (WHERE g = 0) AS vc
+           FROM l GROUP BY covariate)
+SELECT covariate, tm AS treated_mean, cm AS control_mean,
+       CASE WHEN (vt + vc) / 2 > 0 THEN (tm - cm) / sqrt((vt + vc) / 2) END AS SMD FROM s"""
+
+
+def _r_all(sql: str, doubles: list[str], others: list[str]) -> str:
+    cols = others + [f"{R(c)} AS {c}" for c in doubles]
+    return f"SELECT {', '.join(cols)} FROM ({sql}) q"
+
+
+ORACLE["lookback_window"] = f"""SELECT Ti AS adoption_month, id, count(*) AS n_rows, min(month) AS first_month,
+       max(month) AS last_month FROM ({WIN}) w GROUP BY Ti, id"""
+ORACLE["risk_set"] = f"""SELECT t.Ti AS adoption_month, i.id AS control_id FROM ({INFO}) i JOIN ({TIS}) t
+  ON i.never = 1 OR i.latest > t.Ti"""
+ORACLE["profile_timeseries"] = _r_all(build_profiles_sql("time_series"), TS_FEATS, ["id", "adoption_month"])
+ORACLE["profile_summary"] = _r_all(build_profiles_sql("summary"), SUM_FEATS, ["id", "adoption_month"])
+ORACLE["match_timeseries"] = _r_all(matches_sql("time_series"), TS_FEATS + ["distance"],
+                                    ["id", "control_id", "treated_id", "adoption_month"])
+ORACLE["match_summary"] = _r_all(matches_sql("summary"), SUM_FEATS + ["distance"],
+                                 ["id", "control_id", "treated_id", "adoption_month"])
+ORACLE["knn_match"] = _r_all(f"SELECT * FROM ({matches_sql('time_series', True)}) x", ["distance"],
+                             ["treated_id", "adoption_month", "control_id", "neighbor"])
+ORACLE["balance_timeseries"] = _r_all(balance_sql("time_series"), ["treated_mean", "control_mean", "SMD"],
+                                      ["covariate"])
+ORACLE["balance_summary"] = _r_all(balance_sql("summary"), ["treated_mean", "control_mean", "SMD"],
+                                   ["covariate"])
+ORACLE["love_table"] = f"""SELECT covariate, {R('abs(SMD)')} AS abs_smd, abs(SMD) > 0.1 AS imbalanced
+FROM ({balance_sql('time_series')}) b"""

@@ -366,3 +366,75 @@ def q_tariff_peak_heatmap_consumption(spark, sf):
 @register("tariff_peak_max")
 def q_tariff_peak_max(spark, sf):
     return PK.tariff_peak_max(PK.tariff_peak_heatmap(high_peaks(spark, sf), "count"))
+
+
+# ------------------------------------------------------------ matching
+from loadshape.operators import balance as BL  # noqa: E402
+from loadshape.operators import matching as MT  # noqa: E402
+from loadshape.operators import profiles as PR  # noqa: E402
+
+LOOKBACK = 12
+K = 5
+
+
+@register("lookback_window")
+def q_lookback_window(spark, sf):
+    rows = PR.clean(monthly_l(spark, sf))
+    win = PR.window_rows(rows, PR.adoption_months(rows), LOOKBACK)
+    return win.groupBy(F.col("Ti").alias("adoption_month"), "id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("month").alias("first_month"),
+        F.max("month").alias("last_month"))
+
+
+@register("risk_set")
+def q_risk_set(spark, sf):
+    return MT.risk_set(PR.clean(monthly_l(spark, sf)))
+
+
+@register("profile_timeseries")
+def q_profile_timeseries(spark, sf):
+    return rounded(PR.build_profiles(monthly_l(spark, sf), feature_mode="time_series"))
+
+
+@register("profile_summary")
+def q_profile_summary(spark, sf):
+    return rounded(PR.build_profiles(monthly_l(spark, sf), feature_mode="summary"))
+
+
+@register("knn_match")
+def q_knn_match(spark, sf):
+    return rounded(MT.knn_match(monthly_l(spark, sf).checkpoint(), LOOKBACK, K, "time_series"))
+
+
+@register("match_timeseries")
+def q_match_timeseries(spark, sf):
+    return rounded(MT.risk_set_matching(monthly_l(spark, sf).checkpoint(), lookback_months=LOOKBACK,
+                                        k_neighbors=K, feature_mode="time_series"))
+
+
+@register("match_summary")
+def q_match_summary(spark, sf):
+    return rounded(MT.risk_set_matching(monthly_l(spark, sf).checkpoint(), lookback_months=LOOKBACK,
+                                        k_neighbors=K, feature_mode="summary"))
+
+
+def _balance(spark, sf, mode):
+    agg = monthly_l(spark, sf).checkpoint()
+    matches = MT.risk_set_matching(agg, lookback_months=LOOKBACK, k_neighbors=K, feature_mode=mode)
+    profiles = PR.build_profiles(agg, feature_mode=mode)
+    return BL.balance_table(profiles, matches)
+
+
+@register("balance_timeseries")
+def q_balance_timeseries(spark, sf):
+    return rounded(_balance(spark, sf, "time_series"))
+
+
+@register("balance_summary")
+def q_balance_summary(spark, sf):
+    return rounded(_balance(spark, sf, "summary"))
+
+
+@register("love_table")
+def q_love_table(spark, sf):
+    return rounded(BL.love_table(_balance(spark, sf, "time_series")))
