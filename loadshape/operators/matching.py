@@ -9,8 +9,9 @@ controls' mean and sample sd per feature, and each treated unit gets its
 Profiles depend only on ``Ti``, so they are built once per (Ti, household)
 instead of once per treated unit. The exact k-NN search never forms all
 treated x control pairs of a month: controls are bucketed on a 2-D grid of
-two unit-vector projections of the standardised features (cell width set
-per ``Ti`` from the number of controls), and each unresolved treated unit
+their projections on the two leading principal directions (unit vectors) of
+that month's standardised controls (cell width set per ``Ti`` from the
+number of controls), and each unresolved treated unit
 scans rings of cells of doubling radius R. A projection onto a unit vector
 never exceeds the full distance, so a control outside the scanned square is
 farther than ``R * w``; once the k-th best distance is within that bound (or
@@ -22,7 +23,7 @@ and a missing feature value is taken at the control mean.
 
 from __future__ import annotations
 
-import math
+import logging
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,6 +34,7 @@ from loadshape.operators.profiles import (adopters, adoption_months, check_mode,
                                           feature_names, profiles_at, window_rows)
 from loadshape.session import ensure_checkpoint_dir
 
+log = logging.getLogger(__name__)
 BOUND_SLACK = 1e-9  # guards the ring bound against floating error in cell indices
 
 
@@ -67,13 +69,54 @@ def _scaled(df: DataFrame, feats: Sequence[str], prefix: str) -> list[Column]:
     return out
 
 
-def _projections(feats: Sequence[str], prefix: str) -> tuple[Column, Column]:
+def month_stats(controls: DataFrame, feats: Sequence[str]) -> DataFrame:
+    """Per adoption month: control count, mean and sample sd of every
+    feature (the scaling of the study), and two unit vectors along the
+    leading principal directions of the standardised controls (the grid
+    axes). One aggregate; the table has one row per adoption month (bounded
+    by the months spanned) and is the only thing collected to the driver,
+    where the d x d eigen-decompositions run; it goes back as a DataFrame.
+
+    The axes only need to be unit vectors for the search to stay exact, so
+    the covariance is taken from raw sums (any rounding there only changes
+    how well the grid prunes)."""
+    import numpy as np
+
     d = len(feats)
-    p1 = sum((F.col(f"{prefix}{f}") for f in feats), F.lit(0.0)) / F.lit(math.sqrt(d))
-    if d >= 2:
-        p2 = (F.col(f"{prefix}{feats[0]}") - F.col(f"{prefix}{feats[-1]}")) / F.lit(math.sqrt(2.0))
-    else:
-        p2 = F.lit(0.0)
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    agg = controls.groupBy("Ti").agg(
+        F.count(F.lit(1)).alias("_nc"),
+        *[F.avg(f).alias(f"_mu_{f}") for f in feats],
+        *[F.stddev_samp(f).alias(f"_sd_{f}") for f in feats],
+        *[F.avg(F.coalesce(F.col(feats[i]), F.lit(0.0)) * F.coalesce(F.col(feats[j]), F.lit(0.0)))
+          .alias(f"_m_{i}_{j}") for i, j in pairs])
+    out = []
+    for row in agg.collect():
+        mu = np.array([row[f"_mu_{f}"] or 0.0 for f in feats])
+        sd = np.array([row[f"_sd_{f}"] or 0.0 for f in feats])
+        raw = np.zeros((d, d))
+        for i, j in pairs:
+            raw[i, j] = raw[j, i] = row[f"_m_{i}_{j}"] or 0.0
+        cov = raw - np.outer(mu, mu)
+        scale = np.where(np.isfinite(sd) & (sd > 0), sd, np.inf)
+        cor = cov / np.outer(scale, scale)
+        vals, vecs = np.linalg.eigh(np.nan_to_num(cor))
+        order = np.argsort(vals)[::-1]
+        u1 = vecs[:, order[0]]
+        u2 = vecs[:, order[1]] if d > 1 else np.zeros(1)
+        out.append((row["Ti"], row["_nc"], *[row[f"_mu_{f}"] for f in feats],
+                    *[row[f"_sd_{f}"] for f in feats],
+                    *[float(x) for x in u1], *[float(x) for x in u2]))
+    schema = ", ".join(
+        ["Ti date", "_nc bigint"] + [f"_mu_{f} double" for f in feats]
+        + [f"_sd_{f} double" for f in feats]
+        + [f"_u1_{f} double" for f in feats] + [f"_u2_{f} double" for f in feats])
+    return controls.sparkSession.createDataFrame(out, schema=schema)
+
+
+def _projections(feats: Sequence[str], prefix: str) -> tuple[Column, Column]:
+    p1 = sum((F.col(f"_u1_{f}") * F.col(f"{prefix}{f}") for f in feats), F.lit(0.0))
+    p2 = sum((F.col(f"_u2_{f}") * F.col(f"{prefix}{f}") for f in feats), F.lit(0.0))
     return p1, p2
 
 
@@ -99,13 +142,11 @@ def knn_edges(treated: DataFrame, controls: DataFrame, feats: Sequence[str], k:
     spark = treated.sparkSession
     ensure_checkpoint_dir(spark)
     per_cell = per_cell or 2 * k
-    stats = controls.groupBy("Ti").agg(
-        F.count(F.lit(1)).alias("_nc"),
-        *[F.avg(f).alias(f"_mu_{f}") for f in feats],
-        *[F.stddev_samp(f).alias(f"_sd_{f}") for f in feats])
-    # One row per adoption month: bounded by the calendar span of the data.
-    stats_b = F.broadcast(stats)
-    cz = controls.join(stats_b, "Ti").select("Ti", "control_id", *_scaled(controls, feats, "c_"))
+    # One row per adoption month (bounded by the calendar span): broadcast.
+    stats_b = F.broadcast(month_stats(controls, feats))
+    cz = controls.join(stats_b, "Ti").select(
+        "Ti", "control_id", *_scaled(controls, feats, "c_"),
+        *[f"_u{a}_{f}" for a in (1, 2) for f in feats])
     cp1, cp2 = _projections(feats, "c_")
     cz = cz.withColumn("_p1", cp1).withColumn("_p2", cp2)
     grid = cz.groupBy("Ti").agg(
@@ -119,8 +160,7 @@ def knn_edges(treated: DataFrame, controls: DataFrame, feats: Sequence[str], k:
                .withColumn("_g2", F.floor((F.col("_hi2") - F.col("_lo2")) / F.col("_w"))) \
                .withColumn("_k", F.least(F.lit(k), F.col("_n")).cast("int")) \
                .select("Ti", "_lo1", "_lo2", "_w", "_g1", "_g2", "_k")
-    grid = grid.checkpoint(eager=True)
-    grid_b = F.broadcast(grid)
+    grid_b = F.broadcast(grid)  # one row per adoption month
 
     def cells(df: DataFrame) -> DataFrame:
         return df.join(grid_b, "Ti") \
@@ -129,7 +169,9 @@ def knn_edges(treated: DataFrame, controls: DataFrame, feats: Sequence[str], k:
 
     cells_c = cells(cz).select("Ti", F.col("_x").alias("_cx"), F.col("_y").alias("_cy"),
                                "control_id", *[f"c_{f}" for f in feats]).checkpoint(eager=True)
-    tz = treated.join(stats_b, "Ti").select("Ti", "treated_id", *_scaled(treated, feats, "t_"))
+    tz = treated.join(stats_b, "Ti").select(
+        "Ti", "treated_id", *_scaled(treated, feats, "t_"),
+        *[f"_u{a}_{f}" for a in (1, 2) for f in feats])
     tp1, tp2 = _projections(feats, "t_")
     tz = tz.withColumn("_p1", tp1).withColumn("_p2", tp2)
     state = cells(tz).select("Ti", "treated_id", "_x", "_y", "_w", "_g1", "_g2", "_k",
@@ -140,13 +182,14 @@ def knn_edges(treated: DataFrame, controls: DataFrame, feats: Sequence[str], k:
     done = []
     r_prev, r = -1, 1
     order = Window.partitionBy("Ti", "treated_id").orderBy("distance", "control_id")
-    for _ in range(max_rounds):
+    per_unit = Window.partitionBy("Ti", "treated_id")
+    for round_no in range(max_rounds):
         x, y = F.col("_x"), F.col("_y")
         ring = state.select(
             "Ti", "treated_id", "_x", "_y", *[f"t_{f}" for f in feats],
             F.explode(F.sequence(F.greatest(x - r, F.lit(0)).cast("long"),
                                  F.least(x + r, F.col("_g1")).cast("long"))).alias("_rx"),
-            F.col("_g2"), F.col("_k"))
+            F.col("_g2"))
         ring = ring.select("*", F.explode(F.sequence(
             F.greatest(y - r, F.lit(0)).cast("long"),
             F.least(y + r, F.col("_g2")).cast("long"))).alias("_ry"))
@@ -157,26 +200,27 @@ def knn_edges(treated: DataFrame, controls: DataFrame, feats: Sequence[str], k:
             .select(ring["Ti"].alias("Ti"), "treated_id", "control_id",
                     distance_expr(feats).alias("distance"))
         pool = cand if best is None else best.unionByName(cand)
-        top = pool.withColumn("neighbor", F.row_number().over(order)) \
-            .join(state.select("Ti", "treated_id", "_k"), ["Ti", "treated_id"]) \
+        # Every unresolved unit keeps one row (a NULL candidate when nothing
+        # was found yet) so the round's state is a single checkpoint.
+        covered = ((F.col("_x") - r <= 0) & (F.col("_x") + r >= F.col("_g1"))
+                   & (F.col("_y") - r <= 0) & (F.col("_y") + r >= F.col("_g2")))
+        units = state.select("Ti", "treated_id", "_k", "_w", covered.alias("_covered"))
+        top = units.join(pool, ["Ti", "treated_id"], "left") \
+            .withColumn("neighbor", F.row_number().over(order)) \
             .where(F.col("neighbor") <= F.col("_k"))
-        status = top.groupBy("Ti", "treated_id").agg(
-            F.count(F.lit(1)).alias("_found"), F.max("distance").alias("_kth"))
-        st = state.join(status, ["Ti", "treated_id"], "left").withColumn(
-            "_covered", (F.col("_x") - r <= 0) & (F.col("_x") + r >= F.col("_g1"))
-            & (F.col("_y") - r <= 0) & (F.col("_y") + r >= F.col("_g2")))
-        ok = F.col("_covered") | (
-            (F.coalesce(F.col("_found"), F.lit(0)) >= F.col("_k"))
-            & (F.col("_kth") <= F.lit(float(r)) * F.col("_w") * (1.0 - BOUND_SLACK)))
-        st = st.withColumn("_ok", ok).checkpoint(eager=True)
-        top = top.checkpoint(eager=True)
-        resolved = st.where(F.col("_ok")).select("Ti", "treated_id")
-        done.append(top.join(resolved, ["Ti", "treated_id"], "left_semi")
+        found = F.count("control_id").over(per_unit)
+        kth = F.max("distance").over(per_unit)
+        ok = F.col("_covered") | ((found >= F.col("_k"))
+                                  & (kth <= F.lit(float(r)) * F.col("_w") * (1.0 - BOUND_SLACK)))
+        top = top.withColumn("_ok", ok).checkpoint(eager=True)
+        done.append(top.where(F.col("_ok") & F.col("control_id").isNotNull())
                     .select("treated_id", "Ti", "control_id", "distance", "neighbor"))
-        state = st.where(~F.col("_ok")).select(*state.columns).checkpoint(eager=True)
-        if state.isEmpty():
+        open_units = top.where(~F.col("_ok")).select("Ti", "treated_id").distinct()
+        if open_units.isEmpty():
+            log.debug("k-NN resolved after %d rounds (radius %d)", round_no + 1, r)
             break
-        best = top.join(state.select("Ti", "treated_id"), ["Ti", "treated_id"], "left_semi") \
+        state = state.join(open_units, ["Ti", "treated_id"], "left_semi")
+        best = top.where(~F.col("_ok") & F.col("control_id").isNotNull()) \
             .select("Ti", "treated_id", "control_id", "distance")
         r_prev, r = r, 2 * r + 1
     else:
@@ -200,7 +244,10 @@ def risk_set_matching(data: DataFrame, id_col: str = S.ID, month_col: str = S.TS
     rows = clean(data, id_col, month_col, adoption_col, value_col, price_filter)
     tis = adoption_months(rows)
     prof = profiles_at(window_rows(rows, tis, lookback_months), feature_mode, lookback_months)
-    prof = prof.join(adoption_info(rows), "id")
+    # Profiles feed the scaling stats, both grids and the final feature join:
+    # materialise them once (reliable checkpoint in the shared folder).
+    ensure_checkpoint_dir(data.sparkSession)
+    prof = prof.join(adoption_info(rows), "id").checkpoint(eager=True)
     own = adopters(rows).select("id", F.col("adoption_month").alias("Ti"))
     treated = prof.join(own, ["id", "Ti"], "left_semi").select(
         "Ti", F.col("id").alias("treated_id"), *feats)
