@@ -9,14 +9,20 @@ Group key ``G = (aID, period, price, tariff_active)``. Methods:
   the three largest days (earlier date on ties), their times and values, and
   the mean of the peaks present.
 
-Plan shape of the top-3 path: readings are first reduced to one record per
-(household, period, active, day) carrying the day's peak overall and per
-price part (partial aggregation before the first shuffle, 24 hourly rows ->
-1 row); the three price rows are then ranked with ``row_number() <= 3``,
-which Catalyst turns into a map-side ``WindowGroupLimit`` so at most three
-rows per group and task cross the second shuffle. Exact ``median`` / ``qNN``
-keep one group's values in one task; a group is one household in one period,
-so its size is bounded by that meter's readings in the period.
+Plan shape. One scan reduces the readings to a household-day table
+(partial aggregation before the first shuffle, 24 hourly rows -> 1 row per
+price part): count, sum, max, M2 (sum of squared deviations) and the day's
+peak record, for 'all' and for each price part. Everything mergeable is
+derived from it after a second shuffle on ``G``: ``sum``, ``mean``, ``max``,
+``variance`` (day partials merged exactly with Chan's formula around the
+group mean), the top-3 days and the household totals for the usage groups.
+Only exact ``median`` / ``qNN`` need raw readings (a second scan, and only
+when asked for); they keep one group's values in one task, and a group is
+one household in one period, so its size is bounded by that meter's
+readings in the period. When top-3 is the only daily method, ranking uses
+``row_number() <= 3``, which Catalyst turns into a map-side
+``WindowGroupLimit`` so at most three rows per group and task cross the
+second shuffle.
 """
 
 from __future__ import annotations
@@ -194,25 +200,115 @@ def aggregate_top3(rows: DataFrame, freq: str, use_price: bool,
     )
 
 
+MERGEABLE = ("sum", "mean", "max", "variance")
+TOTAL = "_total"
+_STATS = ("rows", "n", "s", "mx", "m2", "pk")
+
+
+def daily_table(rows: DataFrame, freq: str, use_price: bool,
+                holidays: DataFrame | None = None) -> DataFrame:
+    """Household-day partials: ``aID, period, tariff_active, day, price,
+    rows, n, s, mx, m2, pk`` -- one row per day and price part that has
+    readings ('all' always; 'high' / 'low' when ``use_price``)."""
+    keyed = with_period(_ensure_active(rows), freq).withColumn("day", F.to_date(S.TS))
+    v, rec = F.col(S.VALUE), _peak_record()
+    parts = [(ALL, None)]
+    if use_price:
+        keyed = with_price_part(keyed, holidays)
+        parts += [(HIGH, F.col("_hl") == HIGH), (LOW, F.col("_hl") == LOW)]
+    aggs = []
+    for name, cond in parts:
+        def only(e, cond=cond):
+            return e if cond is None else F.when(cond, e)
+        aggs += [
+            F.count(only(F.lit(1))).alias(f"{name}__rows"),
+            F.count(only(v)).alias(f"{name}__n"),
+            F.sum(only(v)).alias(f"{name}__s"),
+            F.max(only(v)).alias(f"{name}__mx"),
+            (F.var_pop(only(v)) * F.count(only(v))).alias(f"{name}__m2"),
+            F.min(only(rec)).alias(f"{name}__pk"),
+        ]
+    keys = (S.ID, S.PERIOD, S.ACTIVE, "day")
+    daily = keyed.groupBy(*keys).agg(*aggs)
+    structs = [F.struct(F.lit(name).alias(S.PRICE),
+                        *[F.col(f"{name}__{c}").alias(c) for c in _STATS]) for name, _ in parts]
+    return daily.select(*keys, F.inline(F.array(*structs))).where(F.col("rows") > 0)
+
+
+def aggregate_from_daily(daily: DataFrame, methods: Sequence[str], top3: bool,
+                         keep_total: bool = False) -> DataFrame:
+    """G-level result from household-day partials (one shuffle on ``G``)."""
+    g = Window.partitionBy(*GROUP_COLS)
+    n, s = F.col("n"), F.col("s")
+    d = daily
+    if "variance" in methods:
+        group_mean = F.try_divide(F.sum("s").over(g), F.sum("n").over(g).cast("double"))
+        day_mean = F.try_divide(s, n.cast("double"))
+        dev = F.col("m2") + n * (day_mean - group_mean) * (day_mean - group_mean)
+        d = d.withColumn("_dev", F.when(n > 0, dev))
+    if top3:
+        pk = F.col("pk")
+        d = d.withColumn("_pv", F.when(pk.isNotNull() & ~pk["nv"], -pk["negv"])) \
+             .withColumn("_pt", F.when(F.col("_pv").isNotNull(), pk["t"]))
+        ranked = g.orderBy(F.col("_pv").desc_nulls_last(), F.col("day"))
+        d = d.withColumn("_rank", F.when(F.col("_pv").isNotNull(), F.row_number().over(ranked)))
+    cols = []
+    for m in methods:
+        if m == "sum":
+            cols.append(F.coalesce(F.sum("s"), F.lit(0.0)).alias("sum_consumption"))
+        elif m == "mean":
+            cols.append(F.try_divide(F.sum("s"), F.sum("n").cast("double")).alias("mean_consumption"))
+        elif m == "max":
+            cols.append(F.max("mx").alias("max_consumption"))
+        elif m == "variance":
+            nn = F.sum("n")
+            cols.append(F.when(nn > 1, F.sum("_dev") / (nn - 1).cast("double")).alias("variance_consumption"))
+    if top3:
+        r, pv, pt = F.col("_rank"), F.col("_pv"), F.col("_pt")
+        cols += [F.max(F.when(r == i, pv)).alias(f"peak{i}_consumption") for i in (1, 2, 3)]
+        cols += [F.max(F.when(r == i, pt)).alias(f"peak{i}_time") for i in (1, 2, 3)]
+        cols.append(F.avg(F.when(r <= 3, pv)).alias("top3_mean_consumption"))
+    if keep_total:
+        cols.append(F.sum("s").alias(TOTAL))
+    return d.groupBy(*GROUP_COLS).agg(*cols)
+
+
 def aggregate(rows: DataFrame, freq: str = "month", agg_method: str | Sequence[str] = TOP3,
               use_price: bool = True, holidays: DataFrame | None = None,
-              strategy: str = "explode") -> DataFrame:
+              strategy: str = "auto", keep_total: bool = False) -> DataFrame:
     """Wide household-period result for every method, in method order.
 
     ``rows`` needs ``aID, TIDPUNKT, FORBRUKNING_KWH`` and optionally
     ``tariff_active`` (0 when absent). The period column is called ``period``.
+    ``strategy``: ``auto`` (household-day partials for mergeable methods and
+    top-3, raw readings for median / quantiles), or ``explode`` /
+    ``grouping_sets`` (every basic method from raw readings, with that price
+    expansion). ``keep_total`` adds ``_total`` (sum of the group's readings).
     """
     methods = normalize_methods(agg_method)
+    if strategy not in ("auto", "explode", "grouping_sets"):
+        raise ValueError(f"unknown strategy: {strategy}")
     basic = [m for m in methods if m != TOP3]
+    want_top3 = TOP3 in methods
+    if strategy == "auto":
+        merged = [m for m in basic if m in MERGEABLE]
+        raw = [m for m in basic if m not in MERGEABLE]
+    else:
+        merged, raw = [], basic
     parts = []
-    if basic:
-        parts.append(aggregate_basic(rows, freq, basic, use_price, holidays, strategy))
-    if TOP3 in methods:
+    if merged or keep_total:
+        parts.append(aggregate_from_daily(daily_table(rows, freq, use_price, holidays),
+                                          merged, want_top3, keep_total))
+    elif want_top3:
         parts.append(aggregate_top3(rows, freq, use_price, holidays))
+    if raw:
+        raw_part = aggregate_basic(rows, freq, raw, use_price, holidays,
+                                   "explode" if strategy == "auto" else strategy)
+        parts.insert(0, raw_part)
     out = parts[0]
     for p in parts[1:]:
         out = out.join(p, list(GROUP_COLS), "left")
     ordered = []
     for m in methods:
         ordered += list(PEAK_COLS) if m == TOP3 else [f"{m}_consumption"]
-    return out.select(*GROUP_COLS, *ordered)
+    return out.select(*GROUP_COLS, *ordered, *([TOTAL] if keep_total else []))

@@ -32,18 +32,26 @@ def dedup_tariff(tariff: DataFrame) -> DataFrame:
         S.ID, F.col(f"_t.{S.START}").alias(S.START), F.col(f"_t.{S.PLAN}").alias(S.PLAN))
 
 
-def join_tariff(meter: DataFrame, tariff: DataFrame | None) -> DataFrame:
+def tariff_side(tariff: DataFrame) -> DataFrame:
+    """Deduplicated tariff, broadcast-hinted only after a row-count check
+    (one small job); reuse the result for every join of one plan."""
+    return broadcast_if_small(dedup_tariff(tariff))
+
+
+def join_tariff(meter: DataFrame, tariff: DataFrame | None,
+                side: DataFrame | None = None) -> DataFrame:
     """Meter LEFT JOIN (deduplicated) tariff on ``aID`` plus the two flags.
 
     ``has_tariff`` = a start date exists; ``tariff_active`` = has tariff and
     the reading time is at or after the start. No tariff table -> both 0.
-    The tariff side is broadcast only after a row-count check.
+    The tariff side is broadcast only after a row-count check; pass a
+    prepared ``side`` (:func:`tariff_side`) to skip repeating it.
     """
-    if tariff is None:
+    if tariff is None and side is None:
         return meter.withColumn(S.START, F.lit(None).cast("date")) \
             .withColumn(S.PLAN, F.lit(None).cast("string")) \
             .withColumn(S.HAS, F.lit(0)).withColumn(S.ACTIVE, F.lit(0))
-    t = broadcast_if_small(dedup_tariff(tariff))
+    t = side if side is not None else tariff_side(tariff)
     joined = meter.join(t, S.ID, "left")
     has = F.col(S.START).isNotNull()
     active = has & (F.col(S.TS) >= F.col(S.START).cast("timestamp_ntz"))
@@ -58,8 +66,10 @@ def tariff_info(tariff: DataFrame, pattern: str = PLAN_PATTERN) -> DataFrame:
 
 
 def attach_tariff(result: DataFrame, tariff: DataFrame | None,
-                  pattern: str = PLAN_PATTERN) -> DataFrame:
+                  pattern: str = PLAN_PATTERN, side: DataFrame | None = None) -> DataFrame:
     """Aggregate LEFT JOIN tariff info (start date, extracted plan token)."""
-    if tariff is None:
+    if tariff is None and side is None:
         return result
-    return result.join(broadcast_if_small(tariff_info(tariff, pattern)), S.ID, "left")
+    t = side if side is not None else tariff_side(tariff)
+    info = t.select(S.ID, S.START, plan_token(S.PLAN, pattern).alias(S.PLAN))
+    return result.join(info, S.ID, "left")

@@ -42,7 +42,11 @@ def usage_label(total: F.Column, q1: F.Column, q2: F.Column) -> F.Column:
 
 def usage_groups(rows: DataFrame, probs: Sequence[float] = (0.25, 0.75)) -> DataFrame:
     """``aID, total_consumption, usage_group`` for every household in ``rows``."""
-    totals = household_totals(rows)
+    return usage_from_totals(household_totals(rows), probs)
+
+
+def usage_from_totals(totals: DataFrame, probs: Sequence[float] = (0.25, 0.75)) -> DataFrame:
+    """Usage groups from a ``aID, total_consumption`` table."""
     th = usage_thresholds(totals, probs)
     # The threshold table has exactly one row: broadcasting it is always safe.
     return totals.crossJoin(F.broadcast(th)).select(

@@ -8,11 +8,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loadshape import schemas as S
-from loadshape.operators.aggregate import GROUP_COLS, aggregate
-from loadshape.operators.tariff import attach_tariff, join_tariff, normalize_tariff
-from loadshape.operators.usage import attach_usage_group, usage_groups
+from loadshape.functions.calendar import ALL
+from loadshape.operators.aggregate import GROUP_COLS, TOTAL, aggregate
+from loadshape.operators.tariff import attach_tariff, join_tariff, normalize_tariff, tariff_side
+from loadshape.operators.usage import TOTAL as USAGE_TOTAL
+from loadshape.operators.usage import attach_usage_group, usage_from_totals, usage_groups
+from loadshape.session import ensure_checkpoint_dir
 from loadshape.sources.files import write_aggregate
 
 
@@ -41,14 +45,29 @@ def run(meter: DataFrame, tariff: DataFrame | None = None, freq: str = "month",
     Output columns: ``aID, TIDPUNKT, price, tariff_active, <method columns>``
     then ``tariff_start, tariff_plan`` (if a tariff is given) and
     ``total_consumption, usage_group`` (if quantiles are given).
+
+    The meter table is scanned once for everything except exact medians /
+    quantiles. With usage groups the household-period table is checkpointed
+    (to ``spark.checkpoint.dir``) so the totals, their quantiles and the
+    final join read it instead of rescanning the readings.
     """
     t = _canonical_tariff(tariff)
-    rows = join_tariff(meter, t)
-    result = aggregate(rows, freq, agg_method, use_price, holidays, strategy)
+    side = tariff_side(t) if t is not None else None
+    rows = join_tariff(meter, t, side)
+    want_usage = add_user_group_col is not None
+    result = aggregate(rows, freq, agg_method, use_price, holidays, strategy, keep_total=want_usage)
     result = result.withColumnRenamed(S.PERIOD, S.TS)
-    result = attach_tariff(result, t)
-    if add_user_group_col is not None:
-        result = attach_usage_group(result, usage_groups(meter, add_user_group_col))
+    if want_usage:
+        ensure_checkpoint_dir(meter.sparkSession)
+        result = result.checkpoint(eager=True)
+        # 'all' rows partition every reading by (period, tariff status).
+        totals = result.where(F.col(S.PRICE) == ALL).groupBy(S.ID).agg(
+            F.coalesce(F.sum(TOTAL), F.lit(0.0)).alias(USAGE_TOTAL))
+        usage = usage_from_totals(totals, add_user_group_col)
+        result = result.drop(TOTAL)
+    result = attach_tariff(result, t, side=side)
+    if want_usage:
+        result = attach_usage_group(result, usage)
     if output_path is not None:
         write_aggregate(result, output_path)
     return result

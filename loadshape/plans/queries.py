@@ -88,7 +88,7 @@ def monthly_e(spark: SparkSession, sf: str) -> DataFrame:
                ["top3_mean", "mean"], True, [0.25, 0.75])
 
 
-def _agg(spark, sf, src, freq, methods, use_price=True, holidays=False, strategy="explode"):
+def _agg(spark, sf, src, freq, methods, use_price=True, holidays=False, strategy="auto"):
     meter, tariff = (meter_l, tariff_l) if src == "l" else (meter_e, tariff_e)
     rows = join_tariff(meter(spark, sf), tariff(spark, sf))
     hol = dv.holidays(spark) if holidays else None
