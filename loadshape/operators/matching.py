@@ -120,6 +120,14 @@ def _projections(feats: Sequence[str], prefix: str) -> tuple[Column, Column]:
     return p1, p2
 
 
+def _cell_range(lo: Column, hi: Column, top: Column) -> Column:
+    """Cell indices ``lo..hi`` clipped to the grid ``0..top``; empty when the
+    clipped range is empty (``sequence`` would otherwise count downwards)."""
+    a = F.greatest(lo, F.lit(0)).cast("long")
+    b = F.least(hi, top).cast("long")
+    return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+
+
 def distance_expr(feats: Sequence[str], left: str = "t_", right: str = "c_") -> Column:
     """Euclidean distance of the standardised features, summed in feature order."""
     sq = None
@@ -187,12 +195,8 @@ def knn_edges(treated: DataFrame, controls: DataFrame, feats: Sequence[str], k:
         x, y = F.col("_x"), F.col("_y")
         ring = state.select(
             "Ti", "treated_id", "_x", "_y", *[f"t_{f}" for f in feats],
-            F.explode(F.sequence(F.greatest(x - r, F.lit(0)).cast("long"),
-                                 F.least(x + r, F.col("_g1")).cast("long"))).alias("_rx"),
-            F.col("_g2"))
-        ring = ring.select("*", F.explode(F.sequence(
-            F.greatest(y - r, F.lit(0)).cast("long"),
-            F.least(y + r, F.col("_g2")).cast("long"))).alias("_ry"))
+            F.explode(_cell_range(x - r, x + r, F.col("_g1"))).alias("_rx"), F.col("_g2"))
+        ring = ring.select("*", F.explode(_cell_range(y - r, y + r, F.col("_g2"))).alias("_ry"))
         ring = ring.where(F.greatest(F.abs(F.col("_rx") - x), F.abs(F.col("_ry") - y)) > r_prev)
         cand = ring.join(cells_c, (ring["Ti"] == cells_c["Ti"]) & (F.col("_rx") == F.col("_cx"))
                          & (F.col("_ry") == F.col("_cy")), "inner") \
