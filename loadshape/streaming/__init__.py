@@ -1,0 +1,3 @@
+"""Incremental ingestion: keep the household-day partials of the batch
+pipeline up to date from a stream of meter files (the study itself has no
+streaming; this only avoids re-aggregating a growing history)."""
