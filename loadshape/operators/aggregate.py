@@ -205,33 +205,63 @@ TOTAL = "_total"
 _STATS = ("rows", "n", "s", "mx", "m2", "pk")
 
 
+def _part_aggs(name: str, cond: Column | None) -> list[Column]:
+    v, rec = F.col(S.VALUE), _peak_record()
+
+    def only(e):
+        return e if cond is None else F.when(cond, e)
+    return [
+        F.count(only(F.lit(1))).alias(f"{name}__rows"),
+        F.count(only(v)).alias(f"{name}__n"),
+        F.sum(only(v)).alias(f"{name}__s"),
+        F.max(only(v)).alias(f"{name}__mx"),
+        (F.var_pop(only(v)) * F.count(only(v))).alias(f"{name}__m2"),
+        F.min(only(rec)).alias(f"{name}__pk"),
+    ]
+
+
+def _merged_all() -> list[Column]:
+    """'all' day partials merged from the high and low parts (exact merges;
+    M2 by Chan's pairwise formula), so the sort-based aggregate computes
+    only the two parts."""
+    def c(part, stat):
+        return F.col(f"{part}__{stat}")
+    nh, nl = c(HIGH, "n"), c(LOW, "n")
+    n = nh + nl
+    mh = F.try_divide(c(HIGH, "s"), nh.cast("double"))
+    ml = F.try_divide(c(LOW, "s"), nl.cast("double"))
+    cross = F.when((nh > 0) & (nl > 0),
+                   (nh * nl).cast("double") / n.cast("double") * (mh - ml) * (mh - ml)).otherwise(F.lit(0.0))
+    m2 = F.when(n > 0, F.coalesce(c(HIGH, "m2"), F.lit(0.0)) + F.coalesce(c(LOW, "m2"), F.lit(0.0)) + cross)
+    s = F.when(n > 0, F.coalesce(c(HIGH, "s"), F.lit(0.0)) + F.coalesce(c(LOW, "s"), F.lit(0.0)))
+    return [
+        (c(HIGH, "rows") + c(LOW, "rows")).alias(f"{ALL}__rows"),
+        n.alias(f"{ALL}__n"),
+        s.alias(f"{ALL}__s"),
+        F.greatest(c(HIGH, "mx"), c(LOW, "mx")).alias(f"{ALL}__mx"),
+        m2.alias(f"{ALL}__m2"),
+        F.least(c(HIGH, "pk"), c(LOW, "pk")).alias(f"{ALL}__pk"),
+    ]
+
+
 def daily_table(rows: DataFrame, freq: str, use_price: bool,
                 holidays: DataFrame | None = None) -> DataFrame:
     """Household-day partials: ``aID, period, tariff_active, day, price,
     rows, n, s, mx, m2, pk`` -- one row per day and price part that has
     readings ('all' always; 'high' / 'low' when ``use_price``)."""
     keyed = with_period(_ensure_active(rows), freq).withColumn("day", F.to_date(S.TS))
-    v, rec = F.col(S.VALUE), _peak_record()
-    parts = [(ALL, None)]
+    keys = (S.ID, S.PERIOD, S.ACTIVE, "day")
     if use_price:
         keyed = with_price_part(keyed, holidays)
-        parts += [(HIGH, F.col("_hl") == HIGH), (LOW, F.col("_hl") == LOW)]
-    aggs = []
-    for name, cond in parts:
-        def only(e, cond=cond):
-            return e if cond is None else F.when(cond, e)
-        aggs += [
-            F.count(only(F.lit(1))).alias(f"{name}__rows"),
-            F.count(only(v)).alias(f"{name}__n"),
-            F.sum(only(v)).alias(f"{name}__s"),
-            F.max(only(v)).alias(f"{name}__mx"),
-            (F.var_pop(only(v)) * F.count(only(v))).alias(f"{name}__m2"),
-            F.min(only(rec)).alias(f"{name}__pk"),
-        ]
-    keys = (S.ID, S.PERIOD, S.ACTIVE, "day")
-    daily = keyed.groupBy(*keys).agg(*aggs)
+        daily = keyed.groupBy(*keys).agg(*_part_aggs(HIGH, F.col("_hl") == HIGH),
+                                         *_part_aggs(LOW, F.col("_hl") == LOW))
+        daily = daily.select("*", *_merged_all())
+        names = (ALL, HIGH, LOW)
+    else:
+        daily = keyed.groupBy(*keys).agg(*_part_aggs(ALL, None))
+        names = (ALL,)
     structs = [F.struct(F.lit(name).alias(S.PRICE),
-                        *[F.col(f"{name}__{c}").alias(c) for c in _STATS]) for name, _ in parts]
+                        *[F.col(f"{name}__{c}").alias(c) for c in _STATS]) for name in names]
     return daily.select(*keys, F.inline(F.array(*structs))).where(F.col("rows") > 0)
 
 
