@@ -20,14 +20,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Largest group that may be finalised by one task with ``F.percentile``
+# (a value -> count map of at most this many entries, a few tens of MB).
+SINGLE_TASK_MAX = 1_000_000
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    by: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+                    by: Sequence[str] = (), partitions: int | None = None,
+                    single_task_max: int | None = SINGLE_TASK_MAX) -> DataFrame:
     """Exact linear-interpolated quantiles of ``value`` per ``by`` group.
 
     Returns one row per group and probability: ``by..., q_index (int),
     q_prob (double), quantile (double)``. NULL / NaN values are ignored.
     Intended for a small number of large groups (the per-partition count
     table is broadcast and has at most ``partitions x groups`` rows).
+
+    Size check first (one counting job): when the largest group holds at
+    most ``single_task_max`` values, one exact ``percentile`` aggregate is
+    cheaper and is used; otherwise the distributed ranking below runs.
+    ``single_task_max=None`` always ranks.
     """
     for p in probs:
         if not 0.0 <= float(p) <= 1.0:
@@ -38,6 +49,16 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
 
     vals = df.select(*keys, F.col(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
+    if single_task_max is not None:
+        largest = vals.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        if largest <= single_task_max:
+            q = vals.groupBy(*keys).agg(
+                F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("_q"))
+            prob_arr = F.array(*[F.lit(float(p)) for p in probs])
+            return q.select(*keys, F.posexplode(F.arrays_zip(prob_arr.alias("p"), F.col("_q").alias("q")))
+                            .alias("q_index", "_pq")).select(
+                *keys, F.col("q_index").cast("int").alias("q_index"),
+                F.col("_pq.p").alias("q_prob"), F.col("_pq.q").alias("quantile"))
     ordered = (
         vals.repartitionByRange(parts, *keys, "_v")
         .sortWithinPartitions(*keys, "_v")

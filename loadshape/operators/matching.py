@@ -245,12 +245,14 @@ def risk_set_matching(data: DataFrame, id_col: str = S.ID, month_col: str = S.TS
     a complete profile and at least one control."""
     check_mode(feature_mode)
     feats = feature_names(feature_mode, lookback_months)
-    rows = clean(data, id_col, month_col, adoption_col, value_col, price_filter)
+    ensure_checkpoint_dir(data.sparkSession)
+    # The cleaned one-price rows feed the adoption months, the adopters, the
+    # risk-set info and the windows: materialise them once.
+    rows = clean(data, id_col, month_col, adoption_col, value_col, price_filter).checkpoint(eager=True)
     tis = adoption_months(rows)
     prof = profiles_at(window_rows(rows, tis, lookback_months), feature_mode, lookback_months)
     # Profiles feed the scaling stats, both grids and the final feature join:
     # materialise them once (reliable checkpoint in the shared folder).
-    ensure_checkpoint_dir(data.sparkSession)
     prof = prof.join(adoption_info(rows), "id").checkpoint(eager=True)
     own = adopters(rows).select("id", F.col("adoption_month").alias("Ti"))
     treated = prof.join(own, ["id", "Ti"], "left_semi").select(

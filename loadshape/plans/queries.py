@@ -82,6 +82,13 @@ def monthly_l(spark: SparkSession, sf: str) -> DataFrame:
                ["top3_mean", "variance", "mean"], True, [0.25, 0.75])
 
 
+def monthly_peaks_l(spark: SparkSession, sf: str) -> DataFrame:
+    """The part of the monthly aggregate that profiles and matching read
+    (top-3 mean per household-month, price part and tariff status); lazy,
+    so Catalyst prunes everything else."""
+    return run(meter_l(spark, sf), tariff_l(spark, sf), "month", ["top3_mean"], True)
+
+
 def monthly_e(spark: SparkSession, sf: str) -> DataFrame:
     """Monthly top-3 aggregate on the hourly stand-in (peak-hour tables)."""
     return run(meter_e(spark, sf), tariff_e(spark, sf), "month",
@@ -379,7 +386,7 @@ K = 5
 
 @register("lookback_window")
 def q_lookback_window(spark, sf):
-    rows = PR.clean(monthly_l(spark, sf))
+    rows = PR.clean(monthly_peaks_l(spark, sf))
     win = PR.window_rows(rows, PR.adoption_months(rows), LOOKBACK)
     return win.groupBy(F.col("Ti").alias("adoption_month"), "id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min("month").alias("first_month"),
@@ -388,38 +395,38 @@ def q_lookback_window(spark, sf):
 
 @register("risk_set")
 def q_risk_set(spark, sf):
-    return MT.risk_set(PR.clean(monthly_l(spark, sf)))
+    return MT.risk_set(PR.clean(monthly_peaks_l(spark, sf)))
 
 
 @register("profile_timeseries")
 def q_profile_timeseries(spark, sf):
-    return rounded(PR.build_profiles(monthly_l(spark, sf), feature_mode="time_series"))
+    return rounded(PR.build_profiles(monthly_peaks_l(spark, sf), feature_mode="time_series"))
 
 
 @register("profile_summary")
 def q_profile_summary(spark, sf):
-    return rounded(PR.build_profiles(monthly_l(spark, sf), feature_mode="summary"))
+    return rounded(PR.build_profiles(monthly_peaks_l(spark, sf), feature_mode="summary"))
 
 
 @register("knn_match")
 def q_knn_match(spark, sf):
-    return rounded(MT.knn_match(monthly_l(spark, sf).checkpoint(), LOOKBACK, K, "time_series"))
+    return rounded(MT.knn_match(monthly_peaks_l(spark, sf), LOOKBACK, K, "time_series"))
 
 
 @register("match_timeseries")
 def q_match_timeseries(spark, sf):
-    return rounded(MT.risk_set_matching(monthly_l(spark, sf).checkpoint(), lookback_months=LOOKBACK,
+    return rounded(MT.risk_set_matching(monthly_peaks_l(spark, sf), lookback_months=LOOKBACK,
                                         k_neighbors=K, feature_mode="time_series"))
 
 
 @register("match_summary")
 def q_match_summary(spark, sf):
-    return rounded(MT.risk_set_matching(monthly_l(spark, sf).checkpoint(), lookback_months=LOOKBACK,
+    return rounded(MT.risk_set_matching(monthly_peaks_l(spark, sf), lookback_months=LOOKBACK,
                                         k_neighbors=K, feature_mode="summary"))
 
 
 def _balance(spark, sf, mode):
-    agg = monthly_l(spark, sf).checkpoint()
+    agg = monthly_peaks_l(spark, sf).checkpoint()
     matches = MT.risk_set_matching(agg, lookback_months=LOOKBACK, k_neighbors=K, feature_mode=mode)
     profiles = PR.build_profiles(agg, feature_mode=mode)
     return BL.balance_table(profiles, matches)

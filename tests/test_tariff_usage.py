@@ -68,19 +68,21 @@ def test_usage_equal_totals_two_groups(spark):
     assert groups == {"h0": "low", "h1": "low", "h2": "low", "h3": "low", "h4": "high"}
 
 
-@pytest.mark.parametrize("parts", [1, 3, 7])
-def test_exact_quantiles_match_pandas(spark, parts):
+@pytest.mark.parametrize("parts,single", [(1, None), (3, None), (7, None), (3, 1_000_000)])
+def test_exact_quantiles_match_pandas(spark, parts, single):
     import random
     rnd = random.Random(parts)
     rows = [(g, rnd.choice([None, round(rnd.gauss(10, 4), 3)]) if rnd.random() < 0.05 else round(rnd.gauss(10, 4), 3))
             for g in ("a", "b", "c") for _ in range(rnd.randint(1, 300))]
     df = spark.createDataFrame(rows, "g string, v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    got = {(r.g, r.q_index): r.quantile for r in exact_quantiles(df, "v", probs, by=["g"], partitions=parts).collect()}
+    got = {(r.g, r.q_index): r.quantile for r in exact_quantiles(df, "v", probs, by=["g"], partitions=parts,
+                                                                    single_task_max=single).collect()}
     pdf = pd.DataFrame(rows, columns=["g", "v"]).dropna()
     for g, grp in pdf.groupby("g"):
         for i, p in enumerate(probs):
             assert got[(g, i)] == pytest.approx(grp["v"].quantile(p), rel=1e-12, abs=1e-12)
-    glob = {r.q_index: r.quantile for r in exact_quantiles(df, "v", probs, partitions=parts).collect()}
+    glob = {r.q_index: r.quantile for r in exact_quantiles(df, "v", probs, partitions=parts,
+                                                                single_task_max=single).collect()}
     for i, p in enumerate(probs):
         assert glob[i] == pytest.approx(pdf["v"].quantile(p), rel=1e-12, abs=1e-12)
