@@ -49,7 +49,8 @@ def normalize_methods(agg_method: str | Sequence[str]) -> list[str]:
     if not methods:
         raise ValueError("at least one aggregation method is required")
     for m in methods:
-        method_column(m, S.VALUE) if m != TOP3 else None
+        if m != TOP3:
+            method_column(m)  # raises ValueError for unknown / malformed methods
     return methods
 
 

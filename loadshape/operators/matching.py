@@ -60,7 +60,7 @@ def risk_set(rows: DataFrame) -> DataFrame:
         F.col("Ti").alias("adoption_month"), F.col("id").alias("control_id"))
 
 
-def _scaled(df: DataFrame, feats: Sequence[str], prefix: str) -> list[Column]:
+def _scaled(feats: Sequence[str], prefix: str) -> list[Column]:
     out = []
     for f in feats:
         mu, sd = F.col(f"_mu_{f}"), F.col(f"_sd_{f}")
@@ -73,7 +73,7 @@ def month_stats(controls: DataFrame, feats: Sequence[str]) -> DataFrame:
     """Per adoption month: control count, mean and sample sd of every
     feature (the scaling of the study), and two unit vectors along the
     leading principal directions of the standardised controls (the grid
-    axes). One aggregate; the table has one row per adoption month (bounded
+    axes), and the variance left outside those two axes. One aggregate; the table has one row per adoption month (bounded
     by the months spanned) and is the only thing collected to the driver,
     where the d x d eigen-decompositions run; it goes back as a DataFrame.
 
@@ -104,11 +104,12 @@ def month_stats(controls: DataFrame, feats: Sequence[str]) -> DataFrame:
         order = np.argsort(vals)[::-1]
         u1 = vecs[:, order[0]]
         u2 = vecs[:, order[1]] if d > 1 else np.zeros(1)
-        out.append((row["Ti"], row["_nc"], *[row[f"_mu_{f}"] for f in feats],
+        resid = float(max(vals[order[2:]].sum(), 0.0)) if d > 2 else 0.0
+        out.append((row["Ti"], row["_nc"], resid, *[row[f"_mu_{f}"] for f in feats],
                     *[row[f"_sd_{f}"] for f in feats],
                     *[float(x) for x in u1], *[float(x) for x in u2]))
     schema = ", ".join(
-        ["Ti date", "_nc bigint"] + [f"_mu_{f} double" for f in feats]
+        ["Ti date", "_nc bigint", "_resid double"] + [f"_mu_{f} double" for f in feats]
         + [f"_sd_{f} double" for f in feats]
         + [f"_u1_{f} double" for f in feats] + [f"_u2_{f} double" for f in feats])
     return controls.sparkSession.createDataFrame(out, schema=schema)
@@ -153,7 +154,7 @@ def knn_edges(treated: DataFrame, controls: DataFrame, feats: Sequence[str], k:
     # One row per adoption month (bounded by the calendar span): broadcast.
     stats_b = F.broadcast(month_stats(controls, feats))
     cz = controls.join(stats_b, "Ti").select(
-        "Ti", "control_id", *_scaled(controls, feats, "c_"),
+        "Ti", "control_id", *_scaled(feats, "c_"),
         *[f"_u{a}_{f}" for a in (1, 2) for f in feats])
     cp1, cp2 = _projections(feats, "c_")
     cz = cz.withColumn("_p1", cp1).withColumn("_p2", cp2)
@@ -166,8 +167,15 @@ def knn_edges(treated: DataFrame, controls: DataFrame, feats: Sequence[str], k:
     grid = grid.withColumn("_w", F.when(span > 0, span / g).otherwise(F.lit(1.0)))
     grid = grid.withColumn("_g1", F.floor((F.col("_hi1") - F.col("_lo1")) / F.col("_w"))) \
                .withColumn("_g2", F.floor((F.col("_hi2") - F.col("_lo2")) / F.col("_w"))) \
-               .withColumn("_k", F.least(F.lit(k), F.col("_n")).cast("int")) \
-               .select("Ti", "_lo1", "_lo2", "_w", "_g1", "_g2", "_k")
+               .withColumn("_k", F.least(F.lit(k), F.col("_n")).cast("int"))
+    # Starting ring radius: distances between controls are at least of the
+    # order of the spread left outside the two grid axes, so rings much
+    # narrower than that cannot resolve a unit. Only speed depends on it.
+    resid = stats_b.select("Ti", "_resid")
+    grid = grid.join(resid, "Ti").withColumn(
+        "_r0", F.greatest(F.lit(1), F.floor(F.lit(0.75) * F.sqrt(2.0 * F.col("_resid")) / F.col("_w"))
+                          .cast("long"))) \
+        .select("Ti", "_lo1", "_lo2", "_w", "_g1", "_g2", "_k", "_r0")
     grid_b = F.broadcast(grid)  # one row per adoption month
 
     def cells(df: DataFrame) -> DataFrame:
@@ -178,26 +186,26 @@ def knn_edges(treated: DataFrame, controls: DataFrame, feats: Sequence[str], k:
     cells_c = cells(cz).select("Ti", F.col("_x").alias("_cx"), F.col("_y").alias("_cy"),
                                "control_id", *[f"c_{f}" for f in feats]).checkpoint(eager=True)
     tz = treated.join(stats_b, "Ti").select(
-        "Ti", "treated_id", *_scaled(treated, feats, "t_"),
+        "Ti", "treated_id", *_scaled(feats, "t_"),
         *[f"_u{a}_{f}" for a in (1, 2) for f in feats])
     tp1, tp2 = _projections(feats, "t_")
     tz = tz.withColumn("_p1", tp1).withColumn("_p2", tp2)
     state = cells(tz).select("Ti", "treated_id", "_x", "_y", "_w", "_g1", "_g2", "_k",
+                             F.col("_r0").alias("_r"), F.lit(-1).cast("long").alias("_rp"),
                              *[f"t_{f}" for f in feats]).where(F.col("_k") > 0)
     state = state.checkpoint(eager=True)
 
     best = None  # (Ti, treated_id, control_id, distance) of unresolved units
     done = []
-    r_prev, r = -1, 1
     order = Window.partitionBy("Ti", "treated_id").orderBy("distance", "control_id")
     per_unit = Window.partitionBy("Ti", "treated_id")
     for round_no in range(max_rounds):
-        x, y = F.col("_x"), F.col("_y")
+        x, y, r, rp = F.col("_x"), F.col("_y"), F.col("_r"), F.col("_rp")
         ring = state.select(
-            "Ti", "treated_id", "_x", "_y", *[f"t_{f}" for f in feats],
+            "Ti", "treated_id", "_x", "_y", "_r", "_rp", *[f"t_{f}" for f in feats],
             F.explode(_cell_range(x - r, x + r, F.col("_g1"))).alias("_rx"), F.col("_g2"))
         ring = ring.select("*", F.explode(_cell_range(y - r, y + r, F.col("_g2"))).alias("_ry"))
-        ring = ring.where(F.greatest(F.abs(F.col("_rx") - x), F.abs(F.col("_ry") - y)) > r_prev)
+        ring = ring.where(F.greatest(F.abs(F.col("_rx") - x), F.abs(F.col("_ry") - y)) > rp)
         cand = ring.join(cells_c, (ring["Ti"] == cells_c["Ti"]) & (F.col("_rx") == F.col("_cx"))
                          & (F.col("_ry") == F.col("_cy")), "inner") \
             .where(F.col("control_id") != F.col("treated_id")) \
@@ -206,27 +214,26 @@ def knn_edges(treated: DataFrame, controls: DataFrame, feats: Sequence[str], k:
         pool = cand if best is None else best.unionByName(cand)
         # Every unresolved unit keeps one row (a NULL candidate when nothing
         # was found yet) so the round's state is a single checkpoint.
-        covered = ((F.col("_x") - r <= 0) & (F.col("_x") + r >= F.col("_g1"))
-                   & (F.col("_y") - r <= 0) & (F.col("_y") + r >= F.col("_g2")))
-        units = state.select("Ti", "treated_id", "_k", "_w", covered.alias("_covered"))
+        covered = ((x - r <= 0) & (x + r >= F.col("_g1")) & (y - r <= 0) & (y + r >= F.col("_g2")))
+        units = state.select("Ti", "treated_id", "_k", "_w", "_r", covered.alias("_covered"))
         top = units.join(pool, ["Ti", "treated_id"], "left") \
             .withColumn("neighbor", F.row_number().over(order)) \
             .where(F.col("neighbor") <= F.col("_k"))
         found = F.count("control_id").over(per_unit)
         kth = F.max("distance").over(per_unit)
         ok = F.col("_covered") | ((found >= F.col("_k"))
-                                  & (kth <= F.lit(float(r)) * F.col("_w") * (1.0 - BOUND_SLACK)))
+                                  & (kth <= F.col("_r").cast("double") * F.col("_w") * (1.0 - BOUND_SLACK)))
         top = top.withColumn("_ok", ok).checkpoint(eager=True)
         done.append(top.where(F.col("_ok") & F.col("control_id").isNotNull())
                     .select("treated_id", "Ti", "control_id", "distance", "neighbor"))
         open_units = top.where(~F.col("_ok")).select("Ti", "treated_id").distinct()
         if open_units.isEmpty():
-            log.debug("k-NN resolved after %d rounds (radius %d)", round_no + 1, r)
+            log.debug("k-NN resolved after %d rounds", round_no + 1)
             break
-        state = state.join(open_units, ["Ti", "treated_id"], "left_semi")
+        state = state.join(open_units, ["Ti", "treated_id"], "left_semi") \
+            .withColumn("_rp", F.col("_r")).withColumn("_r", 2 * F.col("_r") + 1)
         best = top.where(~F.col("_ok") & F.col("control_id").isNotNull()) \
             .select("Ti", "treated_id", "control_id", "distance")
-        r_prev, r = r, 2 * r + 1
     else:
         raise RuntimeError("k-NN search did not converge")
     out = done[0]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loadshape import schemas as S
 from loadshape.functions.calendar import ALL
-from loadshape.operators.aggregate import GROUP_COLS, TOTAL, aggregate
+from loadshape.operators.aggregate import TOTAL, aggregate
 from loadshape.operators.tariff import attach_tariff, join_tariff, normalize_tariff, tariff_side
 from loadshape.operators.usage import TOTAL as USAGE_TOTAL
 from loadshape.operators.usage import attach_usage_group, usage_from_totals, usage_groups
@@ -73,4 +73,4 @@ def run(meter: DataFrame, tariff: DataFrame | None = None, freq: str = "month",
     return result
 
 
-__all__ = ["run", "enrich", "GROUP_COLS"]
+__all__ = ["run", "enrich"]
