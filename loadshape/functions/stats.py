@@ -107,3 +107,40 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     return out.select(
         *keys, "q_index", "q_prob",
         (F.col("_lo_v") + F.col("_frac") * (F.col("_hi_v") - F.col("_lo_v"))).alias("quantile"))
+
+
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
+                      single_task_max: int = SINGLE_TASK_MAX) -> DataFrame:
+    """Exact quantiles for many groups, wide: ``keys..., _q0, _q1, ...``.
+
+    Ordinary groups are finalised by ``F.percentile`` in one task each. A
+    counting pass (partial-aggregated) first looks for groups above
+    ``single_task_max`` values; such hot groups, if any, are split off and
+    ranked with the distributed :func:`exact_quantiles`, so no oversized
+    group is ever held by one task. There are at most ``rows /
+    single_task_max`` hot groups, so their key table is small.
+    """
+    from loadshape.plans.hints import broadcast_if_small
+
+    keys = list(keys)
+    arr = F.array(*[F.lit(float(p)) for p in probs])
+    vals = df.select(*keys, F.col(value).cast("double").alias("_v"))
+
+    def cold_part(frame: DataFrame) -> DataFrame:
+        q = frame.groupBy(*keys).agg(F.percentile("_v", arr).alias("_qa"))
+        return q.select(*keys, *[F.col("_qa")[i].alias(f"_q{i}") for i in range(len(probs))])
+
+    counts = vals.groupBy(*keys).agg(F.count("_v").alias("_n"))
+    hot = counts.where(F.col("_n") > single_task_max).select(*keys)
+    if hot.isEmpty():
+        return cold_part(vals)
+    hot_b = broadcast_if_small(hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys]))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_h_{k}"))
+    cold = cold_part(vals.join(hot_b, on, "left_anti"))
+    hot_vals = vals.join(hot_b, on, "left_semi")
+    ranked = exact_quantiles(hot_vals, "_v", probs, by=keys, single_task_max=None)
+    hot_wide = ranked.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("q_index") == i, F.col("quantile"))).alias(f"_q{i}") for i in range(len(probs))])
+    return cold.unionByName(hot_wide)

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from loadshape import schemas as S
 from loadshape.functions.calendar import ALL, HIGH, LOW, period_key, price_label
+from loadshape.functions.stats import grouped_quantiles
 
 BASIC_METHODS = ("sum", "mean", "variance", "median", "max")
 TOP3 = "top3_mean"
@@ -124,10 +125,14 @@ def _ensure_active(rows: DataFrame) -> DataFrame:
 def aggregate_basic(rows: DataFrame, freq: str, methods: Sequence[str], use_price: bool,
                     holidays: DataFrame | None = None,
                     strategy: str = "explode") -> DataFrame:
-    """Basic / quantile methods in one ``groupBy(G)``.
-
-    ``strategy='grouping_sets'`` computes the 'all' rows as a second grouping
-    set over the high/low rows instead of duplicating readings up front.
+    """Basic / quantile methods from raw readings, one ``groupBy(G)``.
+
+    ``strategy='explode'``: every reading once as 'all' and once as its
+    price part; exact median / qNN go through :func:`grouped_quantiles`,
+    which splits off oversized (hot) groups. ``strategy='grouping_sets'``
+    computes the 'all' rows as a second grouping set over the high/low rows
+    instead of duplicating readings up front (one aggregate, no hot-group
+    split).
     """
     cols = [method_column(m) for m in methods]
     keyed = with_period(_ensure_active(rows), freq)
@@ -140,7 +145,21 @@ def aggregate_basic(rows: DataFrame, freq: str, methods: Sequence[str], use_pric
                         S.ACTIVE, *[f"{m}_consumption" for m in methods])
     if strategy not in ("explode", "grouping_sets"):
         raise ValueError(f"unknown strategy: {strategy}")
-    return price_mode(keyed, use_price, holidays).groupBy(*GROUP_COLS).agg(*cols)
+    priced = price_mode(keyed, use_price, holidays)
+    pct = [(m, 0.5 if m == "median" else quantile_of(m)) for m in methods
+           if m == "median" or m.startswith("q")]
+    plain = [m for m in methods if m not in dict(pct)]
+    parts = []
+    if plain:
+        parts.append(priced.groupBy(*GROUP_COLS).agg(*[method_column(m) for m in plain]))
+    if pct:
+        q = grouped_quantiles(priced, GROUP_COLS, S.VALUE, [p for _, p in pct])
+        parts.append(q.select(*GROUP_COLS, *[F.col(f"_q{i}").alias(f"{m}_consumption")
+                                             for i, (m, _) in enumerate(pct)]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, list(GROUP_COLS), "inner")
+    return out.select(*GROUP_COLS, *[f"{m}_consumption" for m in methods])
 
 
 def _peak_record(value: str = S.VALUE) -> Column:

@@ -86,3 +86,18 @@ def test_exact_quantiles_match_pandas(spark, parts, single):
                                                                 single_task_max=single).collect()}
     for i, p in enumerate(probs):
         assert glob[i] == pytest.approx(pdf["v"].quantile(p), rel=1e-12, abs=1e-12)
+
+
+def test_grouped_quantiles_split_hot_groups(spark):
+    import random
+    from loadshape.functions.stats import grouped_quantiles
+    rnd = random.Random(4)
+    rows = [("hot", round(rnd.gauss(0, 1), 4)) for _ in range(400)] + \
+           [(f"g{i % 9}", round(rnd.gauss(5, 2), 4)) for i in range(200)] + [(None, 1.0), (None, 3.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.5, 0.9]
+    split = {r.g: (r._q0, r._q1) for r in grouped_quantiles(df, ["g"], "v", probs, single_task_max=50).collect()}
+    plain = {r.g: (r._q0, r._q1) for r in grouped_quantiles(df, ["g"], "v", probs).collect()}
+    assert split.keys() == plain.keys() and len(split) == 11
+    for k in split:
+        assert split[k] == pytest.approx(plain[k], rel=1e-12)
