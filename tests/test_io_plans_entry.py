@@ -58,3 +58,14 @@ def test_entry_contract(spark):
     assert set(E.queries()) == set(E.oracle_sql())
     assert df.columns[:4] == ["aID", "TIDPUNKT", "price", "tariff_active"]
     assert df.columns[-4:] == ["tariff_start", "tariff_plan", "total_consumption", "usage_group"]
+
+
+def test_survey_scan_and_preview(spark, meter_df, tmp_path):
+    p = tmp_path / "survey.csv"
+    p.write_text("Respondent,Respondent_ID,Answer_created,Answer_completed,Vilket_kön,Id\n"
+                 "anon,17,2025-02-01 10:00:00,2025-02-01 10:05:00,Kvinna,735999166200001042\n")
+    r = files.scan_survey_csv(spark, str(p)).first()
+    assert r.Respondent_ID == 17 and r.Id == "735999166200001042"
+    m = meter_df([("b", "2025-01-08 08:00", 1.0), ("a", "2025-01-08 12:00", 3.0), ("a", "2025-01-08 09:00", 2.0)])
+    head = files.preview(m, 2, "aID", "TIDPUNKT").collect()
+    assert [(x.aID, x.FORBRUKNING_KWH) for x in head] == [("a", 2.0), ("a", 3.0)]
