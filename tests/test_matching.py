@@ -132,3 +132,22 @@ def test_balance_control_profile_modes(spark):
     assert [r.abs_smd for r in love][:len(smds)] == smds          # NULLs sort last
     with pytest.raises(ValueError, match="empty"):
         BL.balance_table(prof, matches.where(F.lit(False)))
+
+
+def test_identical_controls_are_reduced_exactly(spark):
+    feats = ["f0", "f1", "f2"]
+    ti = d("2025-01-01")
+    controls = [(ti, f"z{i:03d}", 0.0, 0.0, 0.0) for i in range(200)]          # 200 identical profiles
+    controls += [(ti, f"c{i}", float(i % 7), float(i % 5), float(i % 3)) for i in range(40)]
+    treated = [(ti, "t0", 0.1, 0.0, 0.0), (ti, "t1", 6.0, 4.0, 2.0)]
+    cdf = spark.createDataFrame(controls, "Ti date, control_id string, f0 double, f1 double, f2 double")
+    tdf = spark.createDataFrame(treated, "Ti date, treated_id string, f0 double, f1 double, f2 double")
+    got = {}
+    for r in MT.knn_edges(tdf, cdf, feats, 3).collect():
+        got.setdefault(r.treated_id, []).append((r.neighbor, r.control_id, r.distance))
+    want = _brute([(ti, (t[1], list(t[2:]))) for t in treated],
+                  [(ti, (c[1], list(c[2:]))) for c in controls], 3)
+    for tid, edges in got.items():
+        edges.sort()
+        assert [c for _, c, _ in edges] == [c for _, c in want[(ti, tid)]]
+    assert [c for _, c, _ in sorted(got["t0"])] == ["c0", "z000", "z001"]   # c0 is all-zero too
