@@ -49,14 +49,11 @@ def adoption_share(tariff: DataFrame, total_households) -> DataFrame:
     # The axis has one row per month spanned: a window without partitioning is bounded.
     w = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     dense = dense.withColumn("cumulative", F.sum("households").over(w))
-    if isinstance(total_households, DataFrame):
-        total = total_households.select(F.col(total_households.columns[0]).alias("_total"))
-        dense = dense.crossJoin(F.broadcast(total))  # one row
-    else:
-        dense = dense.withColumn("_total", F.lit(float(total_households)))
+    if isinstance(total_households, DataFrame):  # one-row count: bring back the number
+        total_households = total_households.first()[0]
+    total = F.lit(None if total_households is None else float(total_households)).cast("double")
     return dense.select("month", "households", "cumulative",
-                        F.try_divide(F.col("cumulative").cast("double"),
-                                     F.col("_total").cast("double")).alias("share"))
+                        F.try_divide(F.col("cumulative").cast("double"), total).alias("share"))
 
 
 def plan_counts(tariff: DataFrame, plan_col: str = S.PLAN) -> DataFrame:
@@ -77,10 +74,13 @@ def plan_cumulative(tariff: DataFrame, pattern: str = PLAN_PATTERN) -> DataFrame
     t = (tariff.select(S.ID, _month().alias("month"), plan_token(S.PLAN, pattern).alias(S.PLAN))
          .where(F.col(S.PLAN).isNotNull() & F.col("month").isNotNull()))
     counts = t.groupBy("month", S.PLAN).agg(F.countDistinct(S.ID).alias("households"))
-    bounds = counts.agg(F.min("month").alias("_lo"), F.max("month").alias("_hi"))
+    lo, hi = counts.agg(F.min("month"), F.max("month")).first()
+    if lo is None:
+        return tariff.sparkSession.createDataFrame(
+            [], "month date, tariff_plan string, households bigint, cumulative bigint")
     plans = counts.select(S.PLAN).distinct()
-    grid = plans.crossJoin(F.broadcast(bounds)).select(  # one-row bounds
-        S.PLAN, F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 MONTH"))).alias("month"))
+    grid = plans.select(S.PLAN, F.explode(F.sequence(F.lit(lo), F.lit(hi),
+                                                     F.expr("INTERVAL 1 MONTH"))).alias("month"))
     dense = grid.join(counts, ["month", S.PLAN], "left").select(
         "month", S.PLAN, F.coalesce("households", F.lit(0)).cast("bigint").alias("households"))
     w = Window.partitionBy(S.PLAN).orderBy("month").rowsBetween(Window.unboundedPreceding, 0)

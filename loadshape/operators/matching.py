@@ -52,12 +52,17 @@ def in_risk_set(ti: Column) -> Column:
 def risk_set(rows: DataFrame) -> DataFrame:
     """(Ti, control id) for every adoption month and household at risk.
 
-    The adoption-month list is bounded by the calendar span and broadcast;
-    the output has one row per household and month at risk."""
-    tis = adoption_months(rows)
-    info = adoption_info(rows)
-    return info.join(F.broadcast(tis), in_risk_set(F.col("Ti")), "inner").select(
-        F.col("Ti").alias("adoption_month"), F.col("id").alias("control_id"))
+    The distinct adoption months (bounded by the calendar span) come back as
+    a short list; each household keeps the months it is at risk for with
+    ``filter`` over that literal array -- a generator, no join. The output
+    has one row per household and month at risk."""
+    tis = sorted(r[0] for r in adoption_months(rows).collect())
+    if not tis:
+        return rows.sparkSession.createDataFrame([], "adoption_month date, control_id string")
+    months = F.array(*[F.lit(t) for t in tis])
+    at_risk = F.filter(months, lambda t: (F.col("_never") == 1) | (F.col("_latest") > t))
+    return adoption_info(rows).select(F.explode(at_risk).alias("adoption_month"),
+                                      F.col("id").alias("control_id"))
 
 
 def _scaled(feats: Sequence[str], prefix: str) -> list[Column]:

@@ -94,26 +94,26 @@ def peak_histogram(df: DataFrame, bins: int = 30) -> DataFrame:
     [min, max] (the last bin is closed; min == max widens the range by 0.5
     each side), bin assignment checked against the computed edges so values
     on an edge fall in the upper bin. ``bin, bin_start, bin_end, n`` for all
-    ``bins`` bins."""
+    ``bins`` bins. The range is one aggregate brought back as two numbers."""
     vals = df.select(F.explode(F.array(*[F.col(f"peak{i}_consumption") for i in (1, 2, 3)])).alias("v")) \
         .where(F.col("v").isNotNull())
-    lo_raw, hi_raw = F.min("v"), F.max("v")
-    bounds = vals.agg(lo_raw.alias("_mn"), hi_raw.alias("_mx")).select(
-        F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("_lo"),
-        F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi"))
-    step = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
+    mn, mx = vals.agg(F.min("v"), F.max("v")).first()
+    spark = df.sparkSession
+    if mn is None:
+        return spark.createDataFrame([], "bin int, bin_start double, bin_end double, n bigint")
+    lo, hi = (mn - 0.5, mx + 0.5) if mn == mx else (mn, mx)
+    step = (hi - lo) / float(bins)
 
     def edge(i):
-        return F.when(i >= bins, F.col("_hi")).otherwise(i.cast("double") * step + F.col("_lo"))
+        return F.when(i >= bins, F.lit(hi)).otherwise(i.cast("double") * F.lit(step) + F.lit(lo))
 
-    b = vals.crossJoin(F.broadcast(bounds))  # one-row bounds
-    idx0 = F.floor((F.col("v") - F.col("_lo")) * (F.lit(float(bins)) / (F.col("_hi") - F.col("_lo"))))
-    b = b.withColumn("_i", F.when(idx0 >= bins, F.lit(bins - 1)).otherwise(idx0))
+    idx0 = F.floor((F.col("v") - F.lit(lo)) * F.lit(float(bins) / (hi - lo)))
+    b = vals.withColumn("_i", F.when(idx0 >= bins, F.lit(bins - 1)).otherwise(idx0))
     b = b.withColumn("_i", F.when(F.col("v") < edge(F.col("_i")), F.col("_i") - 1).otherwise(F.col("_i")))
     b = b.withColumn("_i", F.when((F.col("v") >= edge(F.col("_i") + 1)) & (F.col("_i") != bins - 1),
                                   F.col("_i") + 1).otherwise(F.col("_i")))
     counts = b.groupBy(F.col("_i").cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    axis = bounds.select("_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    axis = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     return axis.join(counts, "bin", "left").select(
         "bin", edge(F.col("bin")).alias("bin_start"), edge(F.col("bin") + 1).alias("bin_end"),
         F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))

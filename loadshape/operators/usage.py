@@ -46,11 +46,15 @@ def usage_groups(rows: DataFrame, probs: Sequence[float] = (0.25, 0.75)) -> Data
 
 
 def usage_from_totals(totals: DataFrame, probs: Sequence[float] = (0.25, 0.75)) -> DataFrame:
-    """Usage groups from a ``aID, total_consumption`` table."""
-    th = usage_thresholds(totals, probs)
-    # The threshold table has exactly one row: broadcasting it is always safe.
-    return totals.crossJoin(F.broadcast(th)).select(
-        S.ID, TOTAL, usage_label(F.col(TOTAL), F.col("q1"), F.col("q2")).alias(GROUP))
+    """Usage groups from a ``aID, total_consumption`` table.
+
+    The two thresholds are computed (exactly, distributed) and brought back
+    as two numbers, then applied as literals."""
+    th = usage_thresholds(totals, probs).first()
+    q1, q2 = (th["q1"], th["q2"]) if th is not None else (None, None)
+    return totals.select(
+        S.ID, TOTAL,
+        usage_label(F.col(TOTAL), F.lit(q1).cast("double"), F.lit(q2).cast("double")).alias(GROUP))
 
 
 def attach_usage_group(result: DataFrame, usage: DataFrame | None) -> DataFrame:

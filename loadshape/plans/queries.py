@@ -386,7 +386,7 @@ K = 5
 
 @register("lookback_window")
 def q_lookback_window(spark, sf):
-    rows = PR.clean(monthly_peaks_l(spark, sf))
+    rows = PR.clean(monthly_peaks_l(spark, sf)).checkpoint()
     win = PR.window_rows(rows, PR.adoption_months(rows), LOOKBACK)
     return win.groupBy(F.col("Ti").alias("adoption_month"), "id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min("month").alias("first_month"),
@@ -395,7 +395,7 @@ def q_lookback_window(spark, sf):
 
 @register("risk_set")
 def q_risk_set(spark, sf):
-    return MT.risk_set(PR.clean(monthly_peaks_l(spark, sf)))
+    return MT.risk_set(PR.clean(monthly_peaks_l(spark, sf)).checkpoint())
 
 
 @register("profile_timeseries")
