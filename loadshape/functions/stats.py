@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loadshape.plans.hints import broadcast_if_small
+
 
 # Largest group that may be finalised by one task with ``F.percentile``
 # (a value -> count map of at most this many entries, a few tens of MB).
@@ -32,8 +34,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
 
     Returns one row per group and probability: ``by..., q_index (int),
     q_prob (double), quantile (double)``. NULL / NaN values are ignored.
-    Intended for a small number of large groups (the per-partition count
-    table is broadcast and has at most ``partitions x groups`` rows).
+    The per-partition count table (at most ``partitions x groups`` rows) and
+    the wanted-rank table are broadcast after a row-count check, else joined
+    by shuffle.
 
     Size check first (one counting job): when the largest group holds at
     most ``single_task_max`` values, one exact ``percentile`` aggregate is
@@ -93,14 +96,14 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     on = F.col("_pid") == F.col("_s_pid")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_sk_{k}"))
-    ranked = ordered.join(F.broadcast(seg_r), on, "inner").select(
+    ranked = ordered.join(broadcast_if_small(seg_r), on, "inner").select(
         *keys, "_v", (F.col("_offset") + F.col("_row") - F.col("_first")).alias("_rank"))
     want_r = wanted.select(*[F.col(k).alias(f"_wk_{k}") for k in keys],
                            F.col("_rank").alias("_wpos"), "q_index", "q_prob", "_frac")
     on = F.col("_rank") == F.col("_wpos")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_wk_{k}"))
-    hit = ranked.join(F.broadcast(want_r), on, "inner").select(
+    hit = ranked.join(broadcast_if_small(want_r), on, "inner").select(
         *keys, "_v", "_rank", "q_index", "q_prob", "_frac")
     out = hit.groupBy(*keys, "q_index", "q_prob").agg(
         F.min("_v").alias("_lo_v"), F.max("_v").alias("_hi_v"), F.first("_frac").alias("_frac"))
@@ -120,8 +123,6 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
     group is ever held by one task. There are at most ``rows /
     single_task_max`` hot groups, so their key table is small.
     """
-    from loadshape.plans.hints import broadcast_if_small
-
     keys = list(keys)
     arr = F.array(*[F.lit(float(p)) for p in probs])
     vals = df.select(*keys, F.col(value).cast("double").alias("_v"))
