@@ -1,28 +1,29 @@
 """Household-period aggregation: the study's central table.
 
-Group key ``G = (aID, period, price, tariff_active)``. Methods:
-
-* ``sum`` (all-missing -> 0), ``mean``, ``variance`` (n-1), ``median``,
-  ``max`` and ``qNN`` (exact, linear interpolation) -- one ``groupBy(G)``
-  with every requested column, partial aggregation map-side;
-* ``top3_mean`` -- per group the daily maximum reading (earliest on ties),
-  the three largest days (earlier date on ties), their times and values, and
-  the mean of the peaks present.
+Group key ``G = (aID, period, price, tariff_active)``. Methods: ``sum``
+(all-missing -> 0), ``mean``, ``variance`` (n-1), ``max``, ``median`` and
+``qNN`` (exact, linear interpolation), and ``top3_mean`` -- per group the
+daily maximum reading (earliest on ties), the three largest days (earlier
+date on ties), their times and values, and the mean of the peaks present.
 
 Plan shape. One scan reduces the readings to a household-day table
 (partial aggregation before the first shuffle, 24 hourly rows -> 1 row per
 price part): count, sum, max, M2 (sum of squared deviations) and the day's
-peak record, for 'all' and for each price part. Everything mergeable is
-derived from it after a second shuffle on ``G``: ``sum``, ``mean``, ``max``,
-``variance`` (day partials merged exactly with Chan's formula around the
-group mean), the top-3 days and the household totals for the usage groups.
-Only exact ``median`` / ``qNN`` need raw readings (a second scan, and only
-when asked for); they keep one group's values in one task, and a group is
-one household in one period, so its size is bounded by that meter's
-readings in the period. When top-3 is the only daily method, ranking uses
-``row_number() <= 3``, which Catalyst turns into a map-side
-``WindowGroupLimit`` so at most three rows per group and task cross the
-second shuffle.
+peak record per price part, 'all' merged from the parts. Sum, mean, max,
+variance (day partials merged exactly with Chan's formula around the group
+mean), the top-3 days and the household totals for the usage groups are all
+derived from it after a second shuffle on ``G``. Exact ``median`` / ``qNN``
+need raw readings (a second scan, only when asked for); ordinary groups
+are finalised by ``percentile`` in one task (a group is one meter in one
+period), oversized groups are split off and ranked distributed
+(:func:`loadshape.functions.stats.grouped_quantiles`). When top-3 is the
+only daily method, ranking uses ``row_number() <= 3``, which Catalyst turns
+into a map-side ``WindowGroupLimit`` so at most three rows per group and
+task cross the second shuffle.
+
+The day's peak is a ``min`` over a (missing, -value, time) struct, which
+Spark aggregates sort-based (``SortAggregate``); a deterministic "earliest
+maximum" has no hash-aggregatable form among the built-in functions.
 """
 
 from __future__ import annotations
@@ -119,6 +120,9 @@ def price_mode(rows: DataFrame, use_price: bool, holidays: DataFrame | None = No
 
 
 def _ensure_active(rows: DataFrame) -> DataFrame:
+    """Readings with an id and a time (grouping drops missing keys, as the
+    study's grouping does), with ``tariff_active`` = 0 when absent."""
+    rows = rows.where(F.col(S.ID).isNotNull() & F.col(S.TS).isNotNull())
     return rows if S.ACTIVE in rows.columns else rows.withColumn(S.ACTIVE, F.lit(0))
 
 

@@ -130,3 +130,12 @@ def test_matches_pandas_reference_semantics(meter_df):
 def test_bad_methods(method):
     with pytest.raises(ValueError):
         A.normalize_methods([method])
+
+
+def test_missing_keys_are_dropped(spark):
+    from loadshape import schemas as S
+    m = spark.createDataFrame([("a", ts("2025-04-01 08:00"), None, 1.0), ("a", None, None, 5.0),
+                               (None, ts("2025-04-01 09:00"), None, 7.0)], S.METER_SCHEMA)
+    for strategy in ("auto", "explode"):
+        out = A.aggregate(m, "hour", ["sum", "median", "top3_mean"], False, strategy=strategy).collect()
+        assert [(r.aID, r.period, r.sum_consumption, r.median_consumption) for r in out] == [("a", 8, 1.0, 1.0)]
