@@ -107,7 +107,7 @@ def test_peaks_are_ordered(meter_df):
         assert vals == sorted(vals, reverse=True)
 
 
-def test_matches_pandas_reference_semantics(meter_df):
+def test_matches_direct_pandas_computation(meter_df):
     """Month / top-3 and median against a direct pandas computation."""
     m = _random_meter(meter_df, seed=5)
     pdf = m.toPandas().dropna(subset=["FORBRUKNING_KWH"])
