@@ -10,11 +10,18 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
-                  app: str = "loadshape") -> SparkSession:
+                  app: str = "loadshape", driver_memory: str | None = None) -> SparkSession:
+    """Session for local runs and tests. In local mode every task runs in the
+    driver JVM, so its heap is the memory of all task threads: size it with
+    ``driver_memory`` (or ``LOADSHAPE_DRIVER_MEMORY``); it only applies when
+    this call starts the JVM. On a cluster the submit settings rule."""
     master = master or os.environ.get("SPARK_MASTER", "local[*]")
+    builder = SparkSession.builder.master(master).appName(app)
+    memory = driver_memory or os.environ.get("LOADSHAPE_DRIVER_MEMORY")
+    if memory:
+        builder = builder.config("spark.driver.memory", memory)
     spark = (
-        SparkSession.builder.master(master)
-        .appName(app)
+        builder
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
