@@ -24,8 +24,10 @@ def _utc_wall_clock(col: F.Column, dtype: T.DataType, session_tz: str) -> F.Colu
     return F.convert_timezone(F.lit(session_tz), F.lit("UTC"), col.cast("timestamp_ntz"))
 
 
-def scan_meter(spark: SparkSession, path: str) -> DataFrame:
-    """Meter readings with the 4 columns of the study, times as UTC wall clock.
+def scan_meter(spark: SparkSession, path: str, local_tz: str | None = None) -> DataFrame:
+    """Meter readings with the 4 columns of the study, times as UTC wall clock
+    (the study's behaviour), or as the wall clock of ``local_tz`` (e.g.
+    ``'Europe/Stockholm'``) so hour-based price periods follow local time.
 
     Parquet written by pandas stores nanosecond timestamps, which Spark
     rejects; such files are re-read with nanoseconds as long and converted.
@@ -42,7 +44,9 @@ def scan_meter(spark: SparkSession, path: str) -> DataFrame:
     tz = spark.conf.get("spark.sql.session.timeZone")
     fields = {f.name: f.dataType for f in raw.schema.fields}
     ts = _utc_wall_clock(F.col(S.TS), fields[S.TS], tz)
-    day = F.col(S.DAY).cast("date") if S.DAY in fields else F.to_date(ts)
+    if local_tz is not None:
+        ts = F.convert_timezone(F.lit("UTC"), F.lit(local_tz), ts)
+    day = F.col(S.DAY).cast("date") if S.DAY in fields and local_tz is None else F.to_date(ts)
     v = F.col(S.VALUE).cast("double")
     return raw.select(
         F.col(S.ID).cast("string").alias(S.ID),

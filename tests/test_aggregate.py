@@ -139,3 +139,17 @@ def test_missing_keys_are_dropped(spark):
     for strategy in ("auto", "explode"):
         out = A.aggregate(m, "hour", ["sum", "median", "top3_mean"], False, strategy=strategy).collect()
         assert [(r.aID, r.period, r.sum_consumption, r.median_consumption) for r in out] == [("a", 8, 1.0, 1.0)]
+
+
+def test_local_time_option(spark, tmp_path):
+    from loadshape.sources.files import scan_meter
+    pdf = pd.DataFrame({"aID": ["a", "a"],
+                        "TIDPUNKT": pd.to_datetime(["2025-01-15 06:00", "2025-07-15 06:00"], utc=True),
+                        "TIDPUNKT_DAG": [pd.Timestamp("2025-01-15").date(), pd.Timestamp("2025-07-15").date()],
+                        "FORBRUKNING_KWH": [1.0, 2.0]})
+    path = str(tmp_path / "m.parquet")
+    pdf.to_parquet(path)
+    utc = sorted(r.TIDPUNKT for r in scan_meter(spark, path).collect())
+    local = sorted(r.TIDPUNKT for r in scan_meter(spark, path, "Europe/Stockholm").collect())
+    assert [t.hour for t in utc] == [6, 6]
+    assert [t.hour for t in local] == [7, 8]           # CET in winter, CEST in summer
