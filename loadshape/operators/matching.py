@@ -227,9 +227,11 @@ def knn_edges(treated: DataFrame, controls: DataFrame, feats: Sequence[str], k:
         # was found yet) so the round's state is a single checkpoint.
         covered = ((x - r <= 0) & (x + r >= F.col("_g1")) & (y - r <= 0) & (y + r >= F.col("_g2")))
         units = state.select("Ti", "treated_id", "_k", "_w", "_r", covered.alias("_covered"))
+        # the literal bound lets Catalyst cut candidates map-side
+        # (WindowGroupLimit); the per-month bound _k <= k then applies
         top = units.join(pool, ["Ti", "treated_id"], "left") \
             .withColumn("neighbor", F.row_number().over(order)) \
-            .where(F.col("neighbor") <= F.col("_k"))
+            .where((F.col("neighbor") <= k) & (F.col("neighbor") <= F.col("_k")))
         found = F.count("control_id").over(per_unit)
         kth = F.max("distance").over(per_unit)
         ok = F.col("_covered") | ((found >= F.col("_k"))
