@@ -61,3 +61,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="loadshape-ckpt-")
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
+
+
+MB = 1 << 20
+
+
+def scale_settings(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 * MB,
+                   first_reduction: int = 8) -> dict[str, str]:
+    """Partition sizing for a run over ``input_bytes`` of meter Parquet.
+
+    * scan splits of ``target_partition_bytes`` (one task per split);
+    * initial shuffle partitions sized on the first shuffle, which carries the
+      household-day partials (about ``input / first_reduction``: 24 hourly
+      readings become one row per price part, wider rows), so each reducer
+      gets about one target partition -- at least 2 waves of the cluster's
+      cores, at most 100k; AQE then coalesces small ones and splits skewed
+      ones using the same advisory size.
+    """
+    shuffle_bytes = max(input_bytes // max(first_reduction, 1), 1)
+    partitions = max(2 * total_cores, min(100_000, -(-shuffle_bytes // target_partition_bytes)))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+    }
+
+
+def apply_scale_settings(spark: SparkSession, input_bytes: int, total_cores: int, **kw) -> dict[str, str]:
+    """Set :func:`scale_settings` on a running session (all are SQL confs)."""
+    conf = scale_settings(input_bytes, total_cores, **kw)
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf

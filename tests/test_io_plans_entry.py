@@ -69,3 +69,12 @@ def test_survey_scan_and_preview(spark, meter_df, tmp_path):
     m = meter_df([("b", "2025-01-08 08:00", 1.0), ("a", "2025-01-08 12:00", 3.0), ("a", "2025-01-08 09:00", 2.0)])
     head = files.preview(m, 2, "aID", "TIDPUNKT").collect()
     assert [(x.aID, x.FORBRUKNING_KWH) for x in head] == [("a", 2.0), ("a", 3.0)]
+
+
+def test_scale_settings_sizes_partitions():
+    from loadshape.session import scale_settings
+    big = scale_settings(100 * 2**40, total_cores=8000)           # 100 TB on 1000 x 8 cores
+    assert int(big["spark.sql.shuffle.partitions"]) == 51200      # 12.5 TiB of partials / 256 MiB
+    small = scale_settings(50 * 2**20, total_cores=8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16       # floor: two waves of cores
+    assert big["spark.sql.files.maxPartitionBytes"] == str(256 * 2**20)
