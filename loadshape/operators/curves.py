@@ -58,10 +58,13 @@ def consumption_curve(df: DataFrame, value_col: str, agg: str = "mean",
         *[fn(F.when(key == n, F.col(value_col))).alias(n) for n in names])
 
 
-def adoption_by_usage(df: DataFrame) -> DataFrame:
+def adoption_by_usage(df: DataFrame, per_household: bool = False) -> DataFrame:
     """Mean of ``tariff_active`` per usage group, always the three groups in
-    order low, medium, high (absent group -> NULL share). Averages rows of
-    the given table, as the study does."""
+    order low, medium, high (absent group -> NULL share). By default this
+    averages rows of the given table, as the study does; ``per_household``
+    first reduces to one row per household (active in any row)."""
+    if per_household:
+        df = df.groupBy(S.ID, GROUP).agg(F.max(S.ACTIVE).alias(S.ACTIVE))
     one = df.agg(*[F.avg(F.when(F.col(GROUP) == g, F.col(S.ACTIVE).cast("double"))).alias(g)
                    for g in GROUP_ORDER])
     pairs = ", ".join(f"'{g}', `{g}`" for g in GROUP_ORDER)

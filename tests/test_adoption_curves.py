@@ -25,9 +25,12 @@ def test_adoption_gap_filled_running_share(tariff_df):
 
 
 def test_adoption_by_usage_keeps_all_groups(spark):
-    df = spark.createDataFrame([("low", 1), ("low", 0), ("high", 1)], "usage_group string, tariff_active int")
+    df = spark.createDataFrame([("a", "low", 1), ("a", "low", 0), ("b", "low", 0), ("c", "high", 1)],
+                               "aID string, usage_group string, tariff_active int")
     got = {r.usage_group: r.share for r in CV.adoption_by_usage(df).collect()}
-    assert got == {"low": 0.5, "medium": None, "high": 1.0}
+    assert got == {"low": pytest.approx(1 / 3), "medium": None, "high": 1.0}
+    per_hh = {r.usage_group: r.share for r in CV.adoption_by_usage(df, per_household=True).collect()}
+    assert per_hh == {"low": 0.5, "medium": None, "high": 1.0}
 
 
 def test_curve_split_drops_all_price(spark):
