@@ -259,16 +259,19 @@ def risk_set_matching(data: DataFrame, id_col: str = S.ID, month_col: str = S.TS
                       adoption_col: str = S.START, lookback_months: int = 12,
                       k_neighbors: int = 5, price_filter: str | None = "all",
                       feature_mode: str = "time_series",
-                      value_col: str = "top3_mean_consumption") -> DataFrame:
+                      value_col: str = "top3_mean_consumption",
+                      collapse_months: bool = False) -> DataFrame:
     """Matches: ``id, <features of the control, unscaled>, control_id,
     treated_id, adoption_month, distance`` -- k rows per treated unit that has
-    a complete profile and at least one control."""
+    a complete profile and at least one control. ``collapse_months`` merges
+    months split by a mid-month adoption first (see ``profiles.clean``)."""
     check_mode(feature_mode)
     feats = feature_names(feature_mode, lookback_months)
     ensure_checkpoint_dir(data.sparkSession)
     # The cleaned one-price rows feed the adoption months, the adopters, the
     # risk-set info and the windows: materialise them once.
-    rows = clean(data, id_col, month_col, adoption_col, value_col, price_filter).checkpoint(eager=True)
+    rows = clean(data, id_col, month_col, adoption_col, value_col, price_filter,
+                 collapse_months).checkpoint(eager=True)
     tis = adoption_months(rows)
     prof = profiles_at(window_rows(rows, tis, lookback_months), feature_mode, lookback_months)
     # Profiles feed the scaling stats, both grids and the final feature join:

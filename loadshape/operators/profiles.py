@@ -36,17 +36,37 @@ def feature_names(feature_mode: str, lookback_months: int) -> list[str]:
 
 def clean(data: DataFrame, id_col: str = S.ID, month_col: str = S.TS,
           adoption_col: str = S.START, value_col: str = "top3_mean_consumption",
-          price_filter: str | None = "all") -> DataFrame:
-    """``id, month, adoption_month, v, ord`` rows of one price part."""
+          price_filter: str | None = "all", collapse_months: bool = False) -> DataFrame:
+    """``id, month, adoption_month, v, ord`` rows of one price part.
+
+    A mid-month adoption splits that month into two rows (before / after),
+    which the study counts as two look-back rows. ``collapse_months=True``
+    merges them first: the halves cover disjoint days, so the month's top-3
+    mean is the mean of the three largest of the halves' peak values (exact;
+    needs the ``peak1..3_consumption`` columns).
+    """
     df = data.where(F.col(S.PRICE) == price_filter) if price_filter is not None else data
     order = F.col(S.ACTIVE) if S.ACTIVE in data.columns else F.lit(0)
-    return df.select(
+    rows = df.select(
         F.col(id_col).cast("string").alias("id"),
         F.to_date(F.col(month_col)).alias("month"),
         F.to_date(F.col(adoption_col)).alias("adoption_month"),
         F.col(value_col).cast("double").alias("v"),
         order.cast("int").alias("ord"),
+        *([F.array(*[F.col(f"peak{i}_consumption") for i in (1, 2, 3)]).alias("_pk")]
+          if collapse_months else []),
     )
+    if not collapse_months:
+        return rows
+    if value_col != "top3_mean_consumption":
+        raise ValueError("collapse_months re-aggregates the top-3 mean only")
+    # at most two rows per household-month: the collected arrays are bounded
+    peaks = F.flatten(F.collect_list("_pk"))
+    top = F.slice(F.sort_array(F.filter(peaks, lambda x: x.isNotNull()), asc=False), 1, 3)
+    merged = rows.groupBy("id", "month", "adoption_month").agg(top.alias("_top"), F.min("ord").alias("ord"))
+    mean = F.when(F.size("_top") > 0,
+                  F.aggregate("_top", F.lit(0.0), lambda acc, x: acc + x) / F.size("_top"))
+    return merged.select("id", "month", "adoption_month", mean.alias("v"), "ord")
 
 
 def adopters(rows: DataFrame) -> DataFrame:
@@ -99,13 +119,14 @@ def profiles_at(win: DataFrame, feature_mode: str, lookback_months: int) -> Data
 def build_profiles(data: DataFrame, id_col: str = S.ID, month_col: str = S.TS,
                    adoption_col: str = S.START, lookback_months: int = 12,
                    price_filter: str | None = "all", feature_mode: str = "time_series",
-                   value_col: str = "top3_mean_consumption") -> DataFrame:
+                   value_col: str = "top3_mean_consumption", collapse_months: bool = False) -> DataFrame:
     """Profiles of the adopters at their own adoption month:
     ``id, <features>, adoption_month``."""
     check_mode(feature_mode)
     ensure_checkpoint_dir(data.sparkSession)
     # read by the adopter list, the month list and the windows: materialise once
-    rows = clean(data, id_col, month_col, adoption_col, value_col, price_filter).checkpoint(eager=True)
+    rows = clean(data, id_col, month_col, adoption_col, value_col, price_filter,
+                 collapse_months).checkpoint(eager=True)
     own = adopters(rows)
     win = window_rows(rows.join(own.select("id"), "id", "left_semi"),
                       adoption_months(rows), lookback_months)

@@ -151,3 +151,18 @@ def test_identical_controls_are_reduced_exactly(spark):
         edges.sort()
         assert [c for _, c, _ in edges] == [c for _, c in want[(ti, tid)]]
     assert [c for _, c, _ in sorted(got["t0"])] == ["c0", "z000", "z001"]   # c0 is all-zero too
+
+
+def test_collapse_split_month(spark, meter_df, tariff_df):
+    from loadshape.plans.pipeline import run
+    rows = []
+    for day, v in ((3, 5.0), (9, 1.0), (14, 7.0), (16, 2.0), (20, 6.0), (25, 4.0)):
+        rows.append(("a", f"2025-03-{day:02d} 12:00", v))
+    m = meter_df(rows)
+    agg = run(m, tariff_df([("a", "2025-03-15", "GENAB Tidsindelad 6 kW Villa")]), "month", ["top3_mean"])
+    split = PR.clean(agg).collect()
+    assert sorted((r.ord, r.v) for r in split) == [(0, pytest.approx(13 / 3)), (1, pytest.approx(4.0))]
+    merged = PR.clean(agg, collapse_months=True).collect()
+    assert len(merged) == 1 and merged[0].v == pytest.approx((7.0 + 6.0 + 5.0) / 3)
+    direct = run(m, None, "month", ["top3_mean"], use_price=False).first().top3_mean_consumption
+    assert merged[0].v == pytest.approx(direct)
