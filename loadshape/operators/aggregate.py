@@ -292,19 +292,22 @@ def daily_table(rows: DataFrame, freq: str, use_price: bool,
 def aggregate_from_daily(daily: DataFrame, methods: Sequence[str], top3: bool,
                          keep_total: bool = False) -> DataFrame:
     """G-level result from household-day partials (one shuffle on ``G``)."""
-    g = Window.partitionBy(*GROUP_COLS)
+    # One window spec (partition + order) for every window expression, so a
+    # single sort serves the group sums and the day ranking; whole-group
+    # sums use an unbounded frame.
+    ranked = Window.partitionBy(*GROUP_COLS).orderBy(F.col("_pv").desc_nulls_last(), F.col("day"))
+    g = ranked.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     n, s = F.col("n"), F.col("s")
-    d = daily
+    pk = F.col("pk")
+    d = daily.withColumn("_pv", F.when(pk.isNotNull() & ~pk["nv"], -pk["negv"])) if top3 else \
+        daily.withColumn("_pv", F.lit(None).cast("double"))
     if "variance" in methods:
         group_mean = F.try_divide(F.sum("s").over(g), F.sum("n").over(g).cast("double"))
         day_mean = F.try_divide(s, n.cast("double"))
         dev = F.col("m2") + n * (day_mean - group_mean) * (day_mean - group_mean)
         d = d.withColumn("_dev", F.when(n > 0, dev))
     if top3:
-        pk = F.col("pk")
-        d = d.withColumn("_pv", F.when(pk.isNotNull() & ~pk["nv"], -pk["negv"])) \
-             .withColumn("_pt", F.when(F.col("_pv").isNotNull(), pk["t"]))
-        ranked = g.orderBy(F.col("_pv").desc_nulls_last(), F.col("day"))
+        d = d.withColumn("_pt", F.when(F.col("_pv").isNotNull(), pk["t"]))
         d = d.withColumn("_rank", F.when(F.col("_pv").isNotNull(), F.row_number().over(ranked)))
     cols = []
     for m in methods:
