@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from loadshape import schemas as S
 from loadshape.operators.profiles import (adopters, adoption_months, check_mode, clean,
                                           feature_names, profiles_at, window_rows)
-from loadshape.session import ensure_checkpoint_dir
+from loadshape.session import materialize
 
 log = logging.getLogger(__name__)
 BOUND_SLACK = 1e-9  # guards the ring bound against floating error in cell indices
@@ -153,8 +153,6 @@ def knn_edges(treated: DataFrame, controls: DataFrame, feats: Sequence[str], k:
     neighbor`` (1 = nearest)."""
     if k < 1:
         raise ValueError("k_neighbors must be >= 1")
-    spark = treated.sparkSession
-    ensure_checkpoint_dir(spark)
     per_cell = per_cell or 2 * k
     # One row per adoption month (bounded by the calendar span): broadcast.
     stats_b = F.broadcast(month_stats(controls, feats))
@@ -194,8 +192,8 @@ def knn_edges(treated: DataFrame, controls: DataFrame, feats: Sequence[str], k:
             .withColumn("_x", F.floor((F.col("_p1") - F.col("_lo1")) / F.col("_w"))) \
             .withColumn("_y", F.floor((F.col("_p2") - F.col("_lo2")) / F.col("_w")))
 
-    cells_c = cells(cz).select("Ti", F.col("_x").alias("_cx"), F.col("_y").alias("_cy"),
-                               "control_id", *[f"c_{f}" for f in feats]).checkpoint(eager=True)
+    cells_c = materialize(cells(cz).select("Ti", F.col("_x").alias("_cx"), F.col("_y").alias("_cy"),
+                                           "control_id", *[f"c_{f}" for f in feats]))
     tz = treated.join(stats_b, "Ti").select(
         "Ti", "treated_id", *_scaled(feats, "t_"),
         *[f"_u{a}_{f}" for a in (1, 2) for f in feats])
@@ -204,7 +202,7 @@ def knn_edges(treated: DataFrame, controls: DataFrame, feats: Sequence[str], k:
     state = cells(tz).select("Ti", "treated_id", "_x", "_y", "_w", "_g1", "_g2", "_k",
                              F.col("_r0").alias("_r"), F.lit(-1).cast("long").alias("_rp"),
                              *[f"t_{f}" for f in feats]).where(F.col("_k") > 0)
-    state = state.checkpoint(eager=True)
+    state = materialize(state)
 
     best = None  # (Ti, treated_id, control_id, distance) of unresolved units
     done = []
@@ -236,7 +234,7 @@ def knn_edges(treated: DataFrame, controls: DataFrame, feats: Sequence[str], k:
         kth = F.max("distance").over(per_unit)
         ok = F.col("_covered") | ((found >= F.col("_k"))
                                   & (kth <= F.col("_r").cast("double") * F.col("_w") * (1.0 - BOUND_SLACK)))
-        top = top.withColumn("_ok", ok).checkpoint(eager=True)
+        top = materialize(top.withColumn("_ok", ok))
         done.append(top.where(F.col("_ok") & F.col("control_id").isNotNull())
                     .select("treated_id", "Ti", "control_id", "distance", "neighbor"))
         open_units = top.where(~F.col("_ok")).select("Ti", "treated_id").distinct()
@@ -267,16 +265,15 @@ def risk_set_matching(data: DataFrame, id_col: str = S.ID, month_col: str = S.TS
     months split by a mid-month adoption first (see ``profiles.clean``)."""
     check_mode(feature_mode)
     feats = feature_names(feature_mode, lookback_months)
-    ensure_checkpoint_dir(data.sparkSession)
     # The cleaned one-price rows feed the adoption months, the adopters, the
     # risk-set info and the windows: materialise them once.
-    rows = clean(data, id_col, month_col, adoption_col, value_col, price_filter,
-                 collapse_months).checkpoint(eager=True)
+    rows = materialize(clean(data, id_col, month_col, adoption_col, value_col, price_filter,
+                             collapse_months))
     tis = adoption_months(rows)
     prof = profiles_at(window_rows(rows, tis, lookback_months), feature_mode, lookback_months)
     # Profiles feed the scaling stats, both grids and the final feature join:
     # materialise them once (reliable checkpoint in the shared folder).
-    prof = prof.join(adoption_info(rows), "id").checkpoint(eager=True)
+    prof = materialize(prof.join(adoption_info(rows), "id"))
     own = adopters(rows).select("id", F.col("adoption_month").alias("Ti"))
     treated = prof.join(own, ["id", "Ti"], "left_semi").select(
         "Ti", F.col("id").alias("treated_id"), *feats)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loadshape import schemas as S
 from loadshape.functions.stats import exact_quantiles
-from loadshape.session import ensure_checkpoint_dir
+from loadshape.session import materialize
 
 HOURS = 24
 MODES = ("count", "consumption")
@@ -126,8 +126,7 @@ def peak_rank_box(df: DataFrame) -> DataFrame:
     Quartiles over all households use the distributed exact quantile (the
     three rank groups grow with the table)."""
     # Read three times (size check, quantiles, fences): materialise once.
-    ensure_checkpoint_dir(df.sparkSession)
-    p = peaks_long(df).select("rank", F.col("peak_consumption").alias("v")).checkpoint(eager=True)
+    p = materialize(peaks_long(df).select("rank", F.col("peak_consumption").alias("v")))
     q = exact_quantiles(p, "v", [0.25, 0.5, 0.75], by=["rank"])
     qw = q.groupBy("rank").agg(
         *[F.max(F.when(F.col("q_index") == i, F.col("quantile"))).alias(n)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadshape import schemas as S
-from loadshape.session import ensure_checkpoint_dir
+from loadshape.session import materialize
 
 FEATURE_MODES = ("time_series", "summary")
 SUMMARY_FEATURES = ("peak_mean", "peak_sd", "peak_volatility")
@@ -123,10 +123,9 @@ def build_profiles(data: DataFrame, id_col: str = S.ID, month_col: str = S.TS,
     """Profiles of the adopters at their own adoption month:
     ``id, <features>, adoption_month``."""
     check_mode(feature_mode)
-    ensure_checkpoint_dir(data.sparkSession)
     # read by the adopter list, the month list and the windows: materialise once
-    rows = clean(data, id_col, month_col, adoption_col, value_col, price_filter,
-                 collapse_months).checkpoint(eager=True)
+    rows = materialize(clean(data, id_col, month_col, adoption_col, value_col, price_filter,
+                             collapse_months))
     own = adopters(rows)
     win = window_rows(rows.join(own.select("id"), "id", "left_semi"),
                       adoption_months(rows), lookback_months)

@@ -16,7 +16,7 @@ from loadshape.operators.aggregate import TOTAL, aggregate
 from loadshape.operators.tariff import attach_tariff, join_tariff, normalize_tariff, tariff_side
 from loadshape.operators.usage import TOTAL as USAGE_TOTAL
 from loadshape.operators.usage import attach_usage_group, usage_from_totals, usage_groups
-from loadshape.session import ensure_checkpoint_dir
+from loadshape.session import materialize
 from loadshape.sources.files import write_aggregate
 
 
@@ -58,8 +58,7 @@ def run(meter: DataFrame, tariff: DataFrame | None = None, freq: str = "month",
     result = aggregate(rows, freq, agg_method, use_price, holidays, strategy, keep_total=want_usage)
     result = result.withColumnRenamed(S.PERIOD, S.TS)
     if want_usage:
-        ensure_checkpoint_dir(meter.sparkSession)
-        result = result.checkpoint(eager=True)
+        result = materialize(result)
         # 'all' rows partition every reading by (period, tariff status).
         totals = result.where(F.col(S.PRICE) == ALL).groupBy(S.ID).agg(
             F.coalesce(F.sum(TOTAL), F.lit(0.0)).alias(USAGE_TOTAL))

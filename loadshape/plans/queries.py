@@ -24,6 +24,7 @@ from loadshape.operators.tariff import join_tariff, normalize_tariff, tariff_inf
 from loadshape.operators.usage import usage_groups
 from loadshape.plans.pipeline import enrich, run
 from loadshape.sources import driver_views as dv
+from loadshape.session import materialize
 from loadshape.sources.files import dataset_profile
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -386,7 +387,7 @@ K = 5
 
 @register("lookback_window")
 def q_lookback_window(spark, sf):
-    rows = PR.clean(monthly_peaks_l(spark, sf)).checkpoint()
+    rows = materialize(PR.clean(monthly_peaks_l(spark, sf)))
     win = PR.window_rows(rows, PR.adoption_months(rows), LOOKBACK)
     return win.groupBy(F.col("Ti").alias("adoption_month"), "id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min("month").alias("first_month"),
@@ -395,7 +396,7 @@ def q_lookback_window(spark, sf):
 
 @register("risk_set")
 def q_risk_set(spark, sf):
-    return MT.risk_set(PR.clean(monthly_peaks_l(spark, sf)).checkpoint())
+    return MT.risk_set(materialize(PR.clean(monthly_peaks_l(spark, sf))))
 
 
 @register("profile_timeseries")
@@ -426,7 +427,7 @@ def q_match_summary(spark, sf):
 
 
 def _balance(spark, sf, mode):
-    agg = monthly_peaks_l(spark, sf).checkpoint()
+    agg = materialize(monthly_peaks_l(spark, sf))
     matches = MT.risk_set_matching(agg, lookback_months=LOOKBACK, k_neighbors=K, feature_mode=mode)
     profiles = PR.build_profiles(agg, feature_mode=mode)
     return BL.balance_table(profiles, matches)

@@ -96,3 +96,11 @@ def apply_scale_settings(spark: SparkSession, input_bytes: int, total_cores: int
     for k, v in conf.items():
         spark.conf.set(k, v)
     return conf
+
+
+def materialize(df):
+    """Write ``df`` once to the session's checkpoint dir and read it back
+    (reliable checkpoint: survives executor loss and cuts lineage; never a
+    local checkpoint). Used for intermediates that several later steps read."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
