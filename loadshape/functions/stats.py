@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadshape.plans.hints import broadcast_if_small
+from loadshape.session import materialize
 
 
 # Largest group that may be finalised by one task with ``F.percentile``
@@ -62,7 +63,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                             .alias("q_index", "_pq")).select(
                 *keys, F.col("q_index").cast("int").alias("q_index"),
                 F.col("_pq.p").alias("q_prob"), F.col("_pq.q").alias("quantile"))
-    ordered = (
+    # Positions come from the partition id and the in-partition row order,
+    # which both readers below must see identically (and which a retried
+    # task must not change): write the ranked rows once and read them back.
+    ordered = materialize(
         vals.repartitionByRange(parts, *keys, "_v")
         .sortWithinPartitions(*keys, "_v")
         .withColumn("_pid", F.spark_partition_id())

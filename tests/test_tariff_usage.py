@@ -101,3 +101,18 @@ def test_grouped_quantiles_split_hot_groups(spark):
     assert split.keys() == plain.keys() and len(split) == 11
     for k in split:
         assert split[k] == pytest.approx(plain[k], rel=1e-12)
+
+
+def test_exact_quantiles_many_partitions_vs_numpy(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+    df = spark.range(200_000).select((F.col("id") % 3).cast("string").alias("g"),
+                                     (F.rand(7) * 1000).alias("v"))
+    probs = [0.01, 0.25, 0.5, 0.75, 0.99]
+    got = {(r.g, r.q_index): r.quantile for r in
+           exact_quantiles(df, "v", probs, by=["g"], partitions=64, single_task_max=None).collect()}
+    pdf = df.toPandas()
+    for g, grp in pdf.groupby("g"):
+        want = np.quantile(grp["v"].to_numpy(), probs)
+        for i, w in enumerate(want):
+            assert got[(g, i)] == pytest.approx(w, rel=1e-12)
