@@ -27,11 +27,6 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def to_wall_clock(ts) -> Column:
-    """Normalise a timestamp column to a zone-free wall clock (``timestamp_ntz``)."""
-    return _col(ts).cast("timestamp_ntz")
-
-
 def period_key(ts, freq: str) -> Column:
     """Period key of a reading for ``freq``.
 

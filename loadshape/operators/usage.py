@@ -63,9 +63,3 @@ def attach_usage_group(result: DataFrame, usage: DataFrame | None) -> DataFrame:
     if usage is None:
         return result
     return result.join(usage, S.ID, "left")
-
-
-def usage_order(col: str = GROUP) -> F.Column:
-    """Sort key for the ordered categories low < medium < high."""
-    c = F.col(col)
-    return (F.when(c == "low", 0).when(c == "medium", 1).when(c == "high", 2))
