@@ -288,7 +288,7 @@ for _m in ("sum", "mean", "variance", "median", "max", "q90"):
     ORACLE[f"agg_{_m}"] = _agg_q(ROWS_E, "week", [_m])
 ORACLE["agg_top3_mean"] = _agg_q(ROWS_L, "month", ["top3_mean"])
 ORACLE["agg_multi"] = _agg_q(ROWS_L, "month", ["top3_mean", "variance", "mean"])
-ORACLE["monthly_pipeline"] = _run_q(MONTHLY_L, ["top3_mean", "variance", "mean"], True, True)
+ORACLE["monthly_aggregate"] = _run_q(MONTHLY_L, ["top3_mean", "variance", "mean"], True, True)
 ORACLE["daily_peak"] = f"""SELECT aID, period AS TIDPUNKT, price, tariff_active, day,
        {R('peak_consumption')} AS peak_consumption, peak_time
 FROM ({daily_peaks_sql(priced_sql(ROWS_E, 'week'))}) d"""

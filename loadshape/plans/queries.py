@@ -221,8 +221,8 @@ def q_agg_multi(spark, sf):
     return _agg(spark, sf, "l", "month", ["top3_mean", "variance", "mean"])
 
 
-@register("monthly_pipeline")
-def q_monthly_pipeline(spark, sf):
+@register("monthly_aggregate")
+def q_monthly_aggregate(spark, sf):
     return rounded(monthly_l(spark, sf))
 
 

@@ -33,7 +33,7 @@ def test_sinks_round_trip(spark, meter_df):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 def test_plans_have_no_python_udf_and_prune_columns(spark):
-    for name in ("monthly_pipeline", "match_timeseries", "peak_rank_box", "event_study"):
+    for name in ("monthly_aggregate", "match_timeseries", "peak_rank_box", "event_study"):
         plan = _plan(QUERIES[name](spark, SF))
         assert "PythonUDF" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     plan = _plan(meter_l(spark, SF).select("aID"))

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 SAMPLE = ["agg_multi", "agg_median", "agg_price_grouping_sets", "period_week", "period_weekday",
-          "price_period_holidays", "monthly_pipeline", "usage_group", "plan_cumulative", "adoption_share",
+          "price_period_holidays", "monthly_aggregate", "usage_group", "plan_cumulative", "adoption_share",
           "event_study", "peak_histogram", "peak_rank_box", "tariff_peak_heatmap_consumption",
           "profile_summary", "match_summary", "balance_summary"]
 
