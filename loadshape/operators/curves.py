@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,8 @@ from loadshape import schemas as S
 from loadshape.functions.calendar import ALL, event_time
 from loadshape.operators.usage import GROUP, GROUP_ORDER
 
+MAX_SPLIT_COLUMNS = 1000
+
 _AGGS = {
     "mean": F.avg, "sum": F.sum, "median": F.median, "max": F.max, "min": F.min,
     "std": F.stddev_samp, "var": F.var_samp, "count": F.count,
@@ -36,7 +39,9 @@ def consumption_curve(df: DataFrame, value_col: str, agg: str = "mean",
 
     Without splits: ``period, <value_col>``. With splits the split keys are
     unstacked into one column per combination named ``v1_v2`` (values from
-    ``split_values``, one list per split column, so the schema is static).
+    ``split_values``, one list per split column, so the schema is static;
+    when omitted they are the distinct values of the split columns, at most
+    1000 combinations).
     When ``price`` is a split, its 'all' rows are dropped first. ``price``
     filters the input to one price part (None keeps them mixed).
     """
@@ -45,10 +50,19 @@ def consumption_curve(df: DataFrame, value_col: str, agg: str = "mean",
         df = df.where(F.col(S.PRICE) == price)
     if not splits:
         return df.groupBy(period_col).agg(fn(value_col).alias(value_col))
-    if split_values is None or len(split_values) != len(splits):
-        raise ValueError("split_values must list the values of every split column")
     if S.PRICE in splits:
         df = df.where(F.col(S.PRICE) != ALL)
+    if split_values is None:
+        # categorical split columns: their distinct values form a short list
+        split_values = []
+        for c in splits:
+            vals = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct()
+                    .orderBy(c).limit(MAX_SPLIT_COLUMNS + 1).collect()]
+            split_values.append(vals)
+        if math.prod(len(v) for v in split_values) > MAX_SPLIT_COLUMNS:
+            raise ValueError("too many split combinations; pass split_values")
+    if len(split_values) != len(splits):
+        raise ValueError("split_values must list the values of every split column")
     combos = [[]]
     for vals in split_values:
         combos = [c + [v] for c in combos for v in vals]

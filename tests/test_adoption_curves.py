@@ -50,3 +50,12 @@ def test_event_study_window(spark):
         "TIDPUNKT date, tariff_start date, usage_group string, v double")
     got = {(r.event_time, r.usage_group): r.mean_value for r in CV.event_study(df, "v", window=12).collect()}
     assert got == {(-12, "low"): 1.0, (1, "low"): 3.0}
+
+
+def test_curve_split_values_derived(spark):
+    df = spark.createDataFrame([(1, "all", 0, 9.0), (1, "high", 0, 2.0), (1, "low", 1, 4.0), (2, "low", 0, 6.0)],
+                               "TIDPUNKT int, price string, tariff_active int, v double")
+    out = CV.consumption_curve(df, "v", splits=["price", "tariff_active"])
+    assert sorted(out.columns) == ["TIDPUNKT", "high_0", "high_1", "low_0", "low_1"]
+    rows = {r.TIDPUNKT: r for r in out.collect()}
+    assert (rows[1].high_0, rows[1].low_1, rows[2].low_0) == (2.0, 4.0, 6.0)
