@@ -87,13 +87,14 @@ def adoption_by_usage(df: DataFrame, per_household: bool = False) -> DataFrame:
 
 def event_study(df: DataFrame, value_col: str = "mean_consumption",
                 line_cols: str | Sequence[str] = GROUP, window: int = 6,
-                line_values: Sequence[str] | None = None,
+                line_values: Sequence[str] | None = None, wide: bool = False,
                 period_col: str = S.TS, adoption_col: str = S.START) -> DataFrame:
     """Mean ``value_col`` by months relative to adoption, adopters only,
     ``-window <= event_time <= window``.
 
     Long form ``event_time, <line>, mean_value`` by default; with
-    ``line_values`` one column per line value (static schema). Several line
+    ``line_values`` (or ``wide=True``, which takes the distinct line values
+    of the data, at most 1000) one column per line value. Several line
     columns are joined into one key ``v1_v2``.
     """
     cols = [line_cols] if isinstance(line_cols, str) else list(line_cols)
@@ -102,6 +103,11 @@ def event_study(df: DataFrame, value_col: str = "mean_consumption",
     data = data.where(F.col("event_time").between(-window, window))
     key = F.col(cols[0]) if len(cols) == 1 else _split_key(cols)
     line = "_".join(cols)
+    if line_values is None and wide:
+        line_values = [r[0] for r in data.select(key.alias("_k")).where(F.col("_k").isNotNull())
+                       .distinct().orderBy("_k").limit(MAX_SPLIT_COLUMNS + 1).collect()]
+        if len(line_values) > MAX_SPLIT_COLUMNS:
+            raise ValueError("too many line values; pass line_values")
     if line_values is None:
         return data.where(key.isNotNull()).groupBy("event_time", key.alias(line)).agg(
             F.avg(value_col).alias("mean_value"))

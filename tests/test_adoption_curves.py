@@ -59,3 +59,11 @@ def test_curve_split_values_derived(spark):
     assert sorted(out.columns) == ["TIDPUNKT", "high_0", "high_1", "low_0", "low_1"]
     rows = {r.TIDPUNKT: r for r in out.collect()}
     assert (rows[1].high_0, rows[1].low_1, rows[2].low_0) == (2.0, 4.0, 6.0)
+
+
+def test_event_study_wide_derived(spark):
+    df = spark.createDataFrame(
+        [(d("2025-02-01"), d("2025-01-10"), "6 kW Villa", 3.0), (d("2025-02-01"), d("2025-01-10"), "14 kW Villa", 5.0)],
+        "TIDPUNKT date, tariff_start date, tariff_plan string, v double")
+    r = CV.event_study(df, "v", "tariff_plan", 12, wide=True).first()
+    assert (r.event_time, r["6 kW Villa"], r["14 kW Villa"]) == (1, 3.0, 5.0)
