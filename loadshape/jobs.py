@@ -1,7 +1,8 @@
 """Batch jobs for spark-submit: the study's two end-to-end steps.
 
-    spark-submit -m loadshape.jobs aggregate --meter M --tariff T --out OUT
-    spark-submit -m loadshape.jobs match --agg OUT --out RESULTS
+    zip -r loadshape.zip loadshape
+    spark-submit --py-files loadshape.zip loadshape/jobs.py aggregate --meter M --tariff T --out OUT
+    spark-submit --py-files loadshape.zip loadshape/jobs.py match --agg OUT --out RESULTS
 
 ``aggregate`` writes the monthly household aggregate (partitioned by price);
 ``match`` reads it back and writes both match sets (Parquet) and both
