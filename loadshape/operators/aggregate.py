@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from loadshape import schemas as S
 from loadshape.functions.calendar import ALL, HIGH, LOW, period_key, price_label
-from loadshape.functions.stats import grouped_quantiles
+from loadshape.functions.stats import SINGLE_TASK_MAX, grouped_quantiles
 
 BASIC_METHODS = ("sum", "mean", "variance", "median", "max")
 TOP3 = "top3_mean"
@@ -128,7 +128,8 @@ def _ensure_active(rows: DataFrame) -> DataFrame:
 
 def aggregate_basic(rows: DataFrame, freq: str, methods: Sequence[str], use_price: bool,
                     holidays: DataFrame | None = None,
-                    strategy: str = "explode") -> DataFrame:
+                    strategy: str = "explode",
+                    single_task_max: int = SINGLE_TASK_MAX) -> DataFrame:
     """Basic / quantile methods from raw readings, one ``groupBy(G)``.
 
     ``strategy='explode'``: every reading once as 'all' and once as its
@@ -157,7 +158,7 @@ def aggregate_basic(rows: DataFrame, freq: str, methods: Sequence[str], use_pric
     if plain:
         parts.append(priced.groupBy(*GROUP_COLS).agg(*[method_column(m) for m in plain]))
     if pct:
-        q = grouped_quantiles(priced, GROUP_COLS, S.VALUE, [p for _, p in pct])
+        q = grouped_quantiles(priced, GROUP_COLS, S.VALUE, [p for _, p in pct], single_task_max)
         parts.append(q.select(*GROUP_COLS, *[F.col(f"_q{i}").alias(f"{m}_consumption")
                                              for i, (m, _) in enumerate(pct)]))
     out = parts[0]
@@ -332,7 +333,8 @@ def aggregate_from_daily(daily: DataFrame, methods: Sequence[str], top3: bool,
 
 def aggregate(rows: DataFrame, freq: str = "month", agg_method: str | Sequence[str] = TOP3,
               use_price: bool = True, holidays: DataFrame | None = None,
-              strategy: str = "auto", keep_total: bool = False) -> DataFrame:
+              strategy: str = "auto", keep_total: bool = False,
+              single_task_max: int = SINGLE_TASK_MAX) -> DataFrame:
     """Wide household-period result for every method, in method order.
 
     ``rows`` needs ``aID, TIDPUNKT, FORBRUKNING_KWH`` and optionally
@@ -341,6 +343,8 @@ def aggregate(rows: DataFrame, freq: str = "month", agg_method: str | Sequence[s
     top-3, raw readings for median / quantiles), or ``explode`` /
     ``grouping_sets`` (every basic method from raw readings, with that price
     expansion). ``keep_total`` adds ``_total`` (sum of the group's readings).
+    ``single_task_max``: groups with more values are ranked distributed for
+    exact median / quantiles.
     """
     methods = normalize_methods(agg_method)
     if strategy not in ("auto", "explode", "grouping_sets"):
@@ -360,7 +364,7 @@ def aggregate(rows: DataFrame, freq: str = "month", agg_method: str | Sequence[s
         parts.append(aggregate_top3(rows, freq, use_price, holidays))
     if raw:
         raw_part = aggregate_basic(rows, freq, raw, use_price, holidays,
-                                   "explode" if strategy == "auto" else strategy)
+                                   "explode" if strategy == "auto" else strategy, single_task_max)
         parts.insert(0, raw_part)
     out = parts[0]
     for p in parts[1:]:

@@ -153,3 +153,14 @@ def test_local_time_option(spark, tmp_path):
     local = sorted(r.TIDPUNKT for r in scan_meter(spark, path, "Europe/Stockholm").collect())
     assert [t.hour for t in utc] == [6, 6]
     assert [t.hour for t in local] == [7, 8]           # CET in winter, CEST in summer
+
+
+def test_hot_groups_take_the_distributed_path(meter_df):
+    m = _random_meter(meter_df, seed=13, households=3, days=30)
+    normal = {(r.aID, r.period, r.price): (r.median_consumption, r.q90_consumption, r.sum_consumption)
+              for r in A.aggregate(m, "week", ["median", "q90", "sum"], True).collect()}
+    hot = {(r.aID, r.period, r.price): (r.median_consumption, r.q90_consumption, r.sum_consumption)
+           for r in A.aggregate(m, "week", ["median", "q90", "sum"], True, single_task_max=20).collect()}
+    assert normal.keys() == hot.keys()
+    for k, v in normal.items():
+        assert hot[k] == pytest.approx(v, rel=1e-12)
