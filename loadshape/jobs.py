@@ -22,7 +22,7 @@ from loadshape.operators.balance import balance_table
 from loadshape.operators.matching import risk_set_matching
 from loadshape.operators.profiles import build_profiles
 from loadshape.plans.pipeline import run
-from loadshape.session import ensure_checkpoint_dir
+from loadshape.session import apply_scale_settings, ensure_checkpoint_dir
 from loadshape.sources.files import (scan_aggregate, scan_meter, scan_tariff_csv, write_parquet,
                                      write_small_csv)
 
@@ -60,6 +60,8 @@ def main(argv: Sequence[str] | None = None) -> None:
     a.add_argument("--methods", default="top3_mean,variance,mean")
     a.add_argument("--usage", default="0.25,0.75", help="two quantiles, or 'none'")
     a.add_argument("--local-tz")
+    a.add_argument("--input-bytes", type=int, help="size of the meter input; sizes partitions")
+    a.add_argument("--cores", type=int, help="total executor cores of the cluster")
     m = sub.add_parser("match")
     m.add_argument("--agg", required=True)
     m.add_argument("--out", required=True)
@@ -69,6 +71,8 @@ def main(argv: Sequence[str] | None = None) -> None:
     args = p.parse_args(argv)
     spark = SparkSession.builder.appName(f"loadshape-{args.cmd}").getOrCreate()
     if args.cmd == "aggregate":
+        if args.input_bytes and args.cores:
+            apply_scale_settings(spark, args.input_bytes, args.cores)
         usage = None if args.usage == "none" else [float(x) for x in args.usage.split(",")]
         aggregate_job(spark, args.meter, args.tariff, args.out, args.freq, args.methods.split(","), usage,
                       args.local_tz)
