@@ -272,7 +272,7 @@ def q_rows_by_active(spark, sf):
 
 @register("distinct_adopters")
 def q_distinct_adopters(spark, sf):
-    return AD.distinct_adopters(monthly_l(spark, sf).where(F.col(S.PRICE) == "all"))
+    return AD.distinct_adopters(monthly_peaks_l(spark, sf).where(F.col(S.PRICE) == "all"))
 
 
 @register("filter_price")
@@ -288,13 +288,13 @@ def q_adopters_only(spark, sf):
 # ------------------------------------------------------------ curves
 @register("consumption_curve")
 def q_consumption_curve(spark, sf):
-    return rounded(CV.consumption_curve(monthly_l(spark, sf), "top3_mean_consumption", price="all"))
+    return rounded(CV.consumption_curve(monthly_peaks_l(spark, sf), "top3_mean_consumption", price="all"))
 
 
 @register("consumption_by_price_tariff")
 def q_consumption_by_price_tariff(spark, sf):
     return rounded(CV.consumption_curve(
-        monthly_l(spark, sf), "top3_mean_consumption", splits=[S.PRICE, S.ACTIVE],
+        monthly_peaks_l(spark, sf), "top3_mean_consumption", splits=[S.PRICE, S.ACTIVE],
         split_values=[["high", "low"], [0, 1]]))
 
 
@@ -318,7 +318,7 @@ def q_event_study(spark, sf):
 
 @register("event_study_by_plan")
 def q_event_study_by_plan(spark, sf):
-    return rounded(CV.event_study(monthly_l(spark, sf), "top3_mean_consumption", "tariff_plan", 12))
+    return rounded(CV.event_study(monthly_peaks_l(spark, sf), "top3_mean_consumption", "tariff_plan", 12))
 
 
 # ------------------------------------------------------------ peaks
