@@ -67,6 +67,12 @@ def scan_survey_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.SURVEY_SCHEMA).option("header", True).csv(path)
 
 
+def scan_holidays_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Holiday calendar CSV with header ``date,name`` (dates ``yyyy-MM-dd``)."""
+    return (spark.read.schema(S.HOLIDAY_SCHEMA).option("header", True)
+            .option("dateFormat", "yyyy-MM-dd").csv(path))
+
+
 def scan_aggregate(spark: SparkSession, path: str) -> DataFrame:
     """Household-period aggregate written by :func:`write_aggregate`."""
     return spark.read.parquet(path)

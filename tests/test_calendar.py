@@ -61,3 +61,11 @@ def test_holiday_switch(spark, meter_df):
 def test_event_time(spark):
     df = spark.createDataFrame([(ts("2024-03-01 00:00"), d("2025-01-15"))], "t timestamp_ntz, s date")
     assert df.select(event_time("t", "s")).first()[0] == -10
+
+
+def test_holiday_csv_source(spark, tmp_path):
+    from loadshape.sources.files import scan_holidays_csv
+    p = tmp_path / "holidays.csv"
+    p.write_text("date,name\n2024-01-01,Nyarsdagen\n2024-12-25,Juldagen\n")
+    got = sorted(r.date for r in scan_holidays_csv(spark, str(p)).collect())
+    assert got == [d("2024-01-01"), d("2024-12-25")]
