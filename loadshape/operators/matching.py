@@ -258,11 +258,12 @@ def risk_set_matching(data: DataFrame, id_col: str = S.ID, month_col: str = S.TS
                       k_neighbors: int = 5, price_filter: str | None = "all",
                       feature_mode: str = "time_series",
                       value_col: str = "top3_mean_consumption",
-                      collapse_months: bool = False) -> DataFrame:
+                      collapse_months: bool = False, with_neighbor: bool = False) -> DataFrame:
     """Matches: ``id, <features of the control, unscaled>, control_id,
     treated_id, adoption_month, distance`` -- k rows per treated unit that has
     a complete profile and at least one control. ``collapse_months`` merges
-    months split by a mid-month adoption first (see ``profiles.clean``)."""
+    months split by a mid-month adoption first (see ``profiles.clean``);
+    ``with_neighbor`` keeps the neighbour rank (1 = nearest)."""
     check_mode(feature_mode)
     feats = feature_names(feature_mode, lookback_months)
     # The cleaned one-price rows feed the adoption months, the adopters, the
@@ -281,14 +282,12 @@ def risk_set_matching(data: DataFrame, id_col: str = S.ID, month_col: str = S.TS
     edges = knn_edges(treated, controls, feats, k_neighbors)
     return edges.join(controls, ["Ti", "control_id"]).select(
         F.col("control_id").alias("id"), *feats, "control_id", "treated_id",
-        F.col("Ti").alias("adoption_month"), "distance")
+        F.col("Ti").alias("adoption_month"), "distance", *(["neighbor"] if with_neighbor else []))
 
 
 def knn_match(data: DataFrame, lookback_months: int = 12, k_neighbors: int = 5,
               feature_mode: str = "time_series", **kw) -> DataFrame:
     """Edges only: ``treated_id, adoption_month, control_id, distance, neighbor``."""
     m = risk_set_matching(data, lookback_months=lookback_months, k_neighbors=k_neighbors,
-                          feature_mode=feature_mode, **kw)
-    w = Window.partitionBy("treated_id", "adoption_month").orderBy("distance", "control_id")
-    return m.select("treated_id", "adoption_month", "control_id", "distance",
-                    F.row_number().over(w).alias("neighbor"))
+                          feature_mode=feature_mode, with_neighbor=True, **kw)
+    return m.select("treated_id", "adoption_month", "control_id", "distance", "neighbor")
