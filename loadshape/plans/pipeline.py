@@ -72,4 +72,26 @@ def run(meter: DataFrame, tariff: DataFrame | None = None, freq: str = "month",
     return result
 
 
-__all__ = ["run", "enrich"]
+__all__ = ["run", "enrich", "MeterAggregator"]
+
+
+class MeterAggregator:
+    """Object form of :func:`run` / :func:`enrich` for code written against a
+    stateful aggregator: it holds the meter, tariff and holiday tables, and
+    every call honours its own options (nothing is cached between calls)."""
+
+    def __init__(self, meter: DataFrame, tariff: DataFrame | None = None,
+                 holidays: DataFrame | None = None) -> None:
+        self.meter = meter
+        self.tariff = tariff
+        self.holidays = holidays
+
+    def run(self, freq: str = "month", agg_method: str | Sequence[str] = "top3_mean",
+            use_price: bool = True, add_user_group_col: Sequence[float] | None = None,
+            output_path: str | None = None) -> DataFrame:
+        return run(self.meter, self.tariff, freq, agg_method, use_price, add_user_group_col,
+                   output_path, self.holidays)
+
+    def get_data(self, add_user_group_col: Sequence[float] | None = None) -> DataFrame:
+        """Reading-level table with tariff columns, flags (and usage group)."""
+        return enrich(self.meter, self.tariff, add_user_group_col)

@@ -116,3 +116,15 @@ def test_exact_quantiles_many_partitions_vs_numpy(spark):
         want = np.quantile(grp["v"].to_numpy(), probs)
         for i, w in enumerate(want):
             assert got[(g, i)] == pytest.approx(w, rel=1e-12)
+
+
+def test_object_api_matches_functions(meter_df, tariff_df):
+    from loadshape.plans.pipeline import MeterAggregator
+    m = meter_df([("a", "2025-01-08 08:00", 1.0), ("a", "2025-01-09 12:00", 3.0), ("b", "2025-01-08 09:00", 2.0)])
+    t = tariff_df([("a", "2025-01-09", "GENAB Tidsindelad 6 kW Villa")])
+    agg = MeterAggregator(m, t)
+    a = sorted(tuple(r) for r in agg.run("month", ["sum", "top3_mean"], True, [0.25, 0.75]).collect())
+    b = sorted(tuple(r) for r in run(m, t, "month", ["sum", "top3_mean"], True, [0.25, 0.75]).collect())
+    assert a == b
+    rows = agg.get_data().collect()
+    assert {(r.aID, r.tariff_active) for r in rows} == {("a", 0), ("a", 1), ("b", 0)}
