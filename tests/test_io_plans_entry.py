@@ -78,3 +78,17 @@ def test_scale_settings_sizes_partitions():
     small = scale_settings(50 * 2**20, total_cores=8)
     assert int(small["spark.sql.shuffle.partitions"]) == 16       # floor: two waves of cores
     assert big["spark.sql.files.maxPartitionBytes"] == str(256 * 2**20)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
+def test_no_query_plans_nested_loop_cartesian_or_python(spark):
+    # the queries with joins or one-row results (scripts/plan_audit.py checks all 67)
+    names = ["tariff_join", "attach_tariff", "attach_usage_group", "usage_group", "adoption_share",
+             "plan_cumulative", "peak_histogram", "risk_set", "lookback_window", "match_summary",
+             "balance_summary", "monthly_aggregate", "event_study"]
+    bad = []
+    for name in names:
+        plan = _plan(QUERIES[name](spark, SF))
+        if re.search(r"BroadcastNestedLoopJoin|CartesianProduct|BatchEvalPython|ArrowEvalPython", plan):
+            bad.append(name)
+    assert bad == []
