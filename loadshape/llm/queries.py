@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_rules
+from . import exact_dedup, packing, quality_rules, token_file
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_token_file": token_file.op5_token_file,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLE = {
