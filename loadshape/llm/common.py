@@ -41,10 +41,11 @@ def broadcast_up_to(df: DataFrame, max_rows: int) -> DataFrame:
 
 def running_total(df: DataFrame, order: list[str], amount: str, total: str, what: str) -> DataFrame:
     """Add ``total``: the sum of ``amount`` over all rows before this one in
-    ``order``. Range partitions are stored with their number; only one subtotal
-    per partition reaches the driver, and each window holds one partition."""
+    ``order``. The rows are stored before the range partitions are sampled, and
+    again with the number of their partition; only one subtotal per partition
+    reaches the driver, and each window holds one partition."""
     spark = df.sparkSession
-    placed = stash(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), what)
+    placed = stash(stash(df, what).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), what)
     sums = sorted((r[0], r[1]) for r in placed.groupBy("_part").agg(F.sum(amount)).collect())
     before, rows = 0, []
     for part, subtotal in sums:

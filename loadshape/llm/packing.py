@@ -15,13 +15,12 @@ besides id and text are not read.
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import running_total, table, two_columns
-from .tokens import encoder, text_slices, vocabulary_path
+from .tokens import encoder, text_slices, vocabulary_path, with_end
 
 SEQUENCE = 2048
 END_ID = 1
@@ -38,18 +37,16 @@ def pieces(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     """One row per piece, with its ids as little-endian uint32 bytes."""
     if longest < 1 or longest & (longest - 1):
         raise ValueError("the sequence length must be a power of two")
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def cut(batches):
         enc = encoder(vocabulary)
         for ids, texts in text_slices(batches):
-            rows = []
-            for doc, raw in zip(ids, enc.encode(texts)):
-                raw += end
-                n, at = len(raw) // 4, 0
+            flat, counts = with_end(*enc.encode_flat(texts), end_id)
+            raw, rows, place = flat.tobytes(), [], 0
+            for doc, n in zip(ids, counts.tolist()):
+                at = 0
                 for length in binary_lengths(n, longest):
-                    rows.append((doc, at, length, n, raw[4 * at:4 * (at + length)]))
-                    at += length
+                    rows.append((doc, at, length, n, raw[4 * place:4 * (place + length)]))
+                    at, place = at + length, place + length
             columns = list(zip(*rows))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.binary()])],

@@ -26,7 +26,7 @@ from loadshape.session import ensure_checkpoint_dir
 
 from . import wavelet
 from .common import broadcast_up_to, running_total, table, two_columns
-from .tokens import encoder, text_slices, vocabulary_path
+from .tokens import encoder, text_slices, vocabulary_path, with_end
 
 END_ID = 0
 SHARD_TOKENS = 1 << 20
@@ -37,30 +37,20 @@ DOCS = "part int, shard int, doc_id long, local_start long, n_tokens long, ids b
 
 def write(df: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
           end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> None:
-    end = np.array([end_id], "<u4").tobytes()
-
     def shards(batches):
         enc, part, shard = encoder(vocabulary), TaskContext.get().partitionId(), 0
-        docs, raws, size = [], [], 0
-
-        def close():
-            ids = np.frombuffer(b"".join(raws), "<u4")
-            blob = wavelet.encode(ids, np.array(docs, np.int64), np.array([len(r) // 4 for r in raws]))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(docs)], pa.int64()),
-                 pa.array([len(ids)], pa.int64()), pa.array([blob], pa.binary())],
-                ["part", "shard", "n_docs", "n_tokens", "file"])
-
         for doc_ids, texts in text_slices(batches):
-            for doc, raw in zip(doc_ids, enc.encode(texts)):
-                docs.append(NULL_ID if doc is None else doc)
-                raws.append(raw + end)
-                size += len(raw) // 4 + 1
-                if size >= shard_tokens:
-                    yield close()
-                    docs, raws, size, shard = [], [], 0, shard + 1
-        if docs:
-            yield close()
+            flat, counts = with_end(*enc.encode_flat(texts), end_id)
+            docs = np.array([NULL_ID if d is None else d for d in doc_ids], np.int64)
+            ends = np.cumsum(counts)
+            cuts = [0, *(np.flatnonzero(np.diff((ends - 1) // shard_tokens)) + 1).tolist(), len(docs)]
+            for a, b in zip(cuts, cuts[1:]):
+                ids = flat[ends[a] - counts[a]:ends[b - 1]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([b - a], pa.int64()),
+                     pa.array([len(ids)], pa.int64()), pa.array([wavelet.encode(ids, docs[a:b], counts[a:b])], pa.binary())],
+                    ["part", "shard", "n_docs", "n_tokens", "file"])
+                shard += 1
 
     ordered = two_columns(df, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(shards, FILES).write.parquet(folder)

@@ -3,9 +3,9 @@
 The byte-level merges never cross the pieces that the public splitting pattern
 cuts, and without runs of white space every blank and line feed starts a new
 piece. So the ids of a blank and the word behind it never depend on the rest
-of the text: ``Encoder`` keeps them per Python worker, up to ``MEMO`` words,
-and hands only new words to the library. Texts with other white space go to
-the library whole.
+of the text. ``Encoder`` cuts many texts into such words at once, keeps the ids
+of up to ``MEMO`` words per Python worker and hands only new words to the
+library. Texts with other white space go to the library whole.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
 MEMO = 700_000            # words kept per worker, some 150 MB
-SLICE_CHARS = 4_000_000   # characters encoded at a time
+SLICE_CHARS = 8_000_000   # characters encoded at a time
 _BLANK = re.compile(r"[\s\x85]")
 
 
@@ -26,24 +28,8 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-class _Memo(dict):
-    """Ids by word. A word that is looked up for the first time gets an empty
-    place, to be filled by ``Encoder._learn`` before the places are read."""
-
-    def __init__(self, *args):
-        super().__init__(*args)
-        self.new: dict[str, bytearray] = {}
-
-    def __missing__(self, word):
-        place = self.new.get(word)
-        if place is None:
-            place = self.new[word] = bytearray()
-        return place
-
-
 class Encoder:
-    """Ids (little-endian uint32 bytes) of texts; strings that name special
-    tokens are ordinary text."""
+    """Ids of texts; strings that name special tokens are ordinary text."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,8 +38,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.line_feed = self._whole("\n")
-        self.words = _Memo()                # behind a blank
-        self.heads = _Memo({"": b""})       # at the start of a line
+        self.memo: dict[str, bytes] = {}        # ids of a word behind a blank, or of a line feed and a word
         names = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(names.values()) + 1, bool)    # ids that begin with a blank
         self.opens[[i for name, i in names.items() if name[0] == "\u0120"]] = True
@@ -61,51 +46,75 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, memo: _Memo, lead: str) -> bool:
-        """Fill the new places. Many words are encoded as one text, each behind
+    def _learn(self, new: list[str], lead: str):
+        """(word, ids) of new words. Many are encoded as one text, each behind
         a blank (so its first id begins with one) or a line feed (an id of its
-        own). Whether all were plain words; others are kept as None."""
-        new, memo.new = memo.new, {}
-        odd = [w for w in new if not w or _BLANK.search(w)]
-        for w in odd:
-            del new[w]
-        some, room = list(new), len(memo) < MEMO
-        for i in range(0, len(some), 4096):
-            part = some[i:i + 4096]
-            e = self.tokenizer.encode_batch_fast([lead + lead.join(part)], add_special_tokens=False)[0]
-            ids = np.array(e.ids, dtype="<u4")
-            if lead == " ":
-                first = np.flatnonzero(self.opens[ids])
-                last = np.append(first[1:], len(ids))
-            else:
-                marks = np.flatnonzero(ids == np.frombuffer(self.line_feed, "<u4")[0])
-                first, last = marks + 1, np.append(marks[1:], len(ids))
-            raw = ids.tobytes()
-            for w, a, b in zip(part, (4 * first).tolist(), (4 * last).tolist(), strict=True):
-                new[w] += raw[a:b]
+        own)."""
+        for i in range(0, len(new), 512):
+            part = new[i:i + 512]
+            text = " " + " ".join(part) if lead else "".join(part)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            first = np.flatnonzero(self.opens[ids] if lead else ids == np.frombuffer(self.line_feed, "<u4")[0])
+            raw, cuts = ids.tobytes(), [*(4 * first).tolist(), 4 * len(ids)]
+            yield from zip(part, [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:])], strict=True)
+
+    def _ids_of(self, words: list[str]) -> tuple[list[bytes], list[int]]:
+        """Ids of distinct words; the places of those that are no plain word."""
+        memo = self.memo
+        found = list(map(memo.get, words))
+        new = [i for i, x in enumerate(found) if x is None]
+        odd = [i for i in new if not words[i] or _BLANK.search(words[i], words[i][0] == "\n")]
+        for i in odd:
+            found[i] = b""
+        plain = [i for i in new if found[i] is None]
+        room = len(memo) < MEMO
+        for lead in (" ", ""):
+            some = [i for i in plain if (words[i][0] != "\n") == bool(lead)]
+            for i, (word, ids) in zip(some, self._learn([words[i] for i in some], lead)):
+                found[i] = ids
                 if room:
-                    memo[w] = raw[a:b]
-        memo.update(dict.fromkeys(odd))
-        return not odd
+                    memo[word] = ids
+        return found, odd
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and how many each text has."""
+        # every line starts a word with its line feed, the first line with one that is taken away again
+        cut = pc.split_pattern(pa.array(["\n" + t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
+        ends = cut.offsets.to_numpy()
+        coded = cut.flatten().dictionary_encode()
+        code = coded.indices.to_numpy()
+        found, odd = self._ids_of(coded.dictionary.to_pylist())
+        size = np.array([len(x) for x in found], np.int64) // 4
+        table, table_at = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+        counts = size[code]
+        at = np.concatenate([[0], np.cumsum(counts)])
+        ids = table[np.repeat(table_at[code] - at[:-1], counts) + np.arange(at[-1])]
+        starts, stops = at[ends[:-1]] + 1, at[ends[1:]]
+        whole = {i for i, t in enumerate(texts) if "\n " in t or "\n\n\n" in t or t.endswith("\n\n")}
+        if odd:
+            is_odd = np.zeros(len(size), bool)
+            is_odd[odd] = True
+            words = np.concatenate([[0], np.cumsum(is_odd[code])])
+            whole |= set(np.flatnonzero(words[ends[1:]] > words[ends[:-1]]).tolist())
+        parts = [np.frombuffer(self._whole(t), "<u4") if i in whole else ids[a:b]
+                 for i, (t, a, b) in enumerate(zip(texts, starts.tolist(), stops.tolist()))]
+        return np.concatenate(parts) if parts else ids, np.array([len(p) for p in parts], np.int64)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        head, word = self.heads.__getitem__, self.words.__getitem__
-        cut = []
-        for t in texts:
-            if "\n " in t or "\n\n\n" in t or t.endswith("\n\n"):
-                cut.append(None)
-                continue
-            lines = [line.split(" ") for line in t.split("\n")]
-            cut.append([[head(line[0]), *map(word, line[1:])] for line in lines])
-        if not (self._learn(self.heads, "\n") & self._learn(self.words, " ")):
-            return self.encode(texts)       # what is no plain word is known now, and fails the join below
-        out = []
-        for t, lines in zip(texts, cut):
-            try:
-                out.append(self.line_feed.join(map(b"".join, lines)))
-            except TypeError:
-                out.append(self._whole(t))
-        return out
+        """Ids of each text as little-endian uint32 bytes."""
+        ids, counts = self.encode_flat(texts)
+        raw, ends = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with one end id behind each text."""
+    counts = counts + 1
+    out = np.full(int(counts.sum()), end_id, "<u4")
+    own = np.ones(len(out), bool)
+    own[np.cumsum(counts) - 1] = False
+    out[own] = ids
+    return out, counts
 
 
 _ENCODERS: dict[str, Encoder] = {}
