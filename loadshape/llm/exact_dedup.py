@@ -54,7 +54,8 @@ def directory(records: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX
     steps = steps.withColumn("prefix", F.expr(f"shiftrightunsigned(slot, {max_depth} - depth)"))
     fits = (steps.groupBy("depth", "prefix").agg(F.sum("n").alias("size"))
             .where((F.col("size") <= capacity) | (F.col("depth") == max_depth)))
-    return (steps.drop("n").join(fits, ["depth", "prefix"])
+    # at most 2 ** (max_depth + 1) rows
+    return (steps.drop("n").join(F.broadcast(fits), ["depth", "prefix"])
             .groupBy("slot").agg(F.min(F.struct("depth", "prefix")).alias("b"))
             .select("slot", F.col("b.depth").alias("local_depth"), F.col("b.prefix").alias("bucket")))
 
