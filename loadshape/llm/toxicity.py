@@ -150,6 +150,22 @@ class Model:
                 values[slot[at]] = rows[c].to_numpy()[at]
                 self.tables[k].append(values)
 
+    # travels as the filled slots only
+    def __getstate__(self):
+        return {k: [(at := np.flatnonzero(v).astype(np.int32), v[at]) for v in t] for k, t in self.tables.items()}
+
+    def __setstate__(self, state):
+        self.tables = {k: [np.zeros(SLOTS, np.float32) for _ in t] for k, t in state.items()}
+        for k, t in state.items():
+            for values, (at, own) in zip(self.tables[k], t):
+                values[at] = own
+
+    def shared(self, spark):
+        """The model's broadcast, made once."""
+        if not hasattr(self, "_shared"):
+            self._shared = spark.sparkContext.broadcast(self)
+        return self._shared
+
     @staticmethod
     def _step(n, total, kinds, below, prior=0.0):
         """One interpolated Kneser-Ney level; ``prior``: further observations
@@ -232,7 +248,7 @@ EVIDENCE = ["evidence", *(f"above_{c:g}" for c in CLEAR)]
 
 def evidence(documents: DataFrame, model: Model, keep: str) -> DataFrame:
     """The ``keep`` column of each row and the evidence of its text."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = model.shared(documents.sparkSession)
 
     def judge(batches):
         for keys, texts in text_slices(batches, SLICE_CHARS):
