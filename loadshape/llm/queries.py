@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, quality_rules, token_file, toxicity
+from . import exact_dedup, mixing, packing, quality_rules, token_file, toxicity
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_token_file": token_file.op5_token_file,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_mixing": mixing.op7_mixing,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLE = {

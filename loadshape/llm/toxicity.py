@@ -10,7 +10,7 @@ have above a few levels (so that many faint words do not drown a clear one); a
 logistic curve turns it into a score.
 
 Training counts all labelled rows that are not held out, less every fourth:
-those, at most ``CALIBRATION_ROWS`` of them in hash order, fit the few numbers
+those, some ``CALIBRATION_ROWS`` of them by the hash of their id, fit the few numbers
 of the logistic curve (a documented bound; the counts have none). The model is
 broadcast as tables of ``SLOTS`` hashed slots, so its size is fixed.
 
@@ -238,7 +238,8 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     if not (rows["a"].to_numpy()[rows["kind"].to_numpy() == ORDER].sum() and rows["b"].to_numpy()[rows["kind"].to_numpy() == ORDER].sum()):
         return None
     model = Model(rows)
-    few = known.where(for_curve).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
+    share = CALIBRATION_ROWS / max(1, marks.where(for_curve).count())
+    few = known.where(for_curve & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1, share) * (1 << 30))))
     seen = evidence(few, model, "toxic").toArrow()
     return model, fit_curve(np.stack([seen[c].to_numpy() for c in EVIDENCE]), seen["toxic"].to_numpy().astype(float))
 
