@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality_rules, token_file, toxicity
+from . import exact_dedup, jaccard_join, mixing, packing, quality_rules, token_file, toxicity
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
@@ -10,9 +10,11 @@ QUERIES = {
     "op5_token_file": token_file.op5_token_file,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_mixing": mixing.op7_mixing,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLE = {
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op8_jaccard_join": jaccard_join.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
 }
