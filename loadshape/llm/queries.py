@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, mixing, packing, quality_rules, token_file, toxicity
+from . import exact_dedup, jaccard_join, mixing, packing, quality_rules, substring_dedup, token_file, toxicity
 
 QUERIES = {
+    "op1_suffix_array_dedup": substring_dedup.op1_suffix_array_dedup,
     "op2_packing": packing.op2_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_token_file": token_file.op5_token_file,
@@ -14,6 +15,7 @@ QUERIES = {
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLE = {
+    "op1_suffix_array_dedup": substring_dedup.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op8_jaccard_join": jaccard_join.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
