@@ -56,3 +56,14 @@ def running_total(df: DataFrame, order: list[str], amount: str, total: str, what
     return (placed.join(F.broadcast(offsets), "_part")
             .withColumn(total, F.col("_before") + F.coalesce(F.sum(amount).over(window), F.lit(0)))
             .drop("_part", "_before"))
+
+
+def drop_rows(df: DataFrame, losers: DataFrame, keys: list, max_rows: int = 1_000_000) -> DataFrame:
+    """``df`` without the rows whose key expressions equal a row of ``losers``
+    (narrow, one column per key, null equal to null)."""
+    losers = stash(losers.distinct().toDF(*(f"_lost_{i}" for i in range(len(keys)))), "losers")
+    match = None
+    for expression, column in zip(keys, losers.columns):
+        one = expression.eqNullSafe(losers[column])
+        match = one if match is None else match & one
+    return df.join(broadcast_up_to(losers, max_rows), match, "left_anti")
