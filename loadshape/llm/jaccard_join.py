@@ -41,7 +41,7 @@ from .tokens import text_slices
 
 WORDS = 3
 SIMILARITY = (90, 100)          # intersection to union, as a fraction
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_500_000
 GROUP_CHARS = 8_000_000
 MEMBERS_BROADCAST = 1_000_000
 SKIP = 0.0085                   # DivideSkip's weight of a list's logarithm

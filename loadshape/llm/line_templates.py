@@ -13,8 +13,8 @@ that follow one, the first (smallest id, then first in the text) stays and the
 others are dropped. Lines of fewer than ``MIN_TOKENS`` tokens carry too little
 to be templates and stay, as do lines without a token.
 
-Distinct lines are counted before anything is shuffled, and only leaves met in
-``MIN_DOCS`` documents look into their tokens.
+Only the lines of leaves that several documents meet are looked into token by
+token; equal lines are combined before that.
 
 Defined cases: a null text equals the empty one and keeps its one empty line;
 null ids are documents of their own text, ordered first; rows that repeat an id
@@ -27,17 +27,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SPLIT, stash, table, two_columns
+from .common import WORD_SPLIT, broadcast_up_to, stash, table, two_columns
 
 DEPTH = 3
 AGREE = 50
 SIMILAR = 60
 MIN_DOCS = 3
 MIN_TOKENS = 4
+LEAVES_BROADCAST = 2_000_000
 
 
 def _tokens(line):
-    return F.filter(F.split(line, WORD_SPLIT), lambda x: x != "")
+    plain = F.split(line, " ")          # a split at one character needs no pattern matching
+    return F.filter(F.when(line.rlike("[\t\x0b-\r]"), F.split(line, WORD_SPLIT)).otherwise(plain), lambda x: x != "")
 
 
 def lines_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -47,43 +49,50 @@ def lines_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select("doc_id", "doc", F.posexplode(F.split("text", "\n")).alias("at", "line"))
 
 
-def leaf_of(line):
-    """The leaf of a line: token count and the leading tokens, variable fields
-    masked; null for lines that are too short."""
-    tokens = _tokens(line)
+def leaf_of(tokens):
+    """The leaf of a line's tokens: their number and the leading ones, variable
+    fields masked; null for lines that are too short."""
     lead = F.transform(F.slice(tokens, 1, DEPTH), lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))
     return F.when(F.size(tokens) >= MIN_TOKENS, F.xxhash64(F.size(tokens), lead))
 
 
+def _masked(t):
+    return F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t)
+
+
 def templates(lines: DataFrame) -> DataFrame:
-    """(leaf, line_hash, n_docs of the template, template) of the distinct
-    lines that follow a recurring template."""
-    distinct = lines.where("leaf is not null").groupBy("leaf", "line").agg(
-        F.min("doc").alias("low"), F.max("doc").alias("high"))
-    distinct = stash(distinct, "line-counts")
-    # a leaf of one line met in one document only is the common case: no tokens needed
-    busy = distinct.groupBy("leaf").agg(F.count("*").alias("n_lines"), F.min("low").alias("a"), F.max("high").alias("b")).where("a <> b")
-    some = distinct.join(busy.select("leaf", "n_lines"), "leaf").select("leaf", "line", "n_lines", _tokens(F.col("line")).alias("tokens"))
+    """(leaf, line_hash, template) of the distinct lines that follow their
+    leaf's template, in leaves met by more than one document."""
+    busy = stash(lines.groupBy("leaf").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("leaf"), "leaves")
+    some = lines.join(broadcast_up_to(busy, LEAVES_BROADCAST), "leaf", "left_semi").select("leaf", "line_hash", "line").distinct()
     some = stash(some, "leaf-lines")
-    votes = (some.select("leaf", "n_lines", F.posexplode("tokens").alias("place", "token"))
+    sizes = some.groupBy("leaf").agg(F.count("*").alias("n_lines"))
+    some = stash(some.join(sizes, "leaf").withColumn("tokens", _tokens(F.col("line"))).drop("line"), "leaf-tokens")
+    # most leaves hold one line, met again and again: it is the template
+    alone = some.where("n_lines = 1").select("leaf", "line_hash", F.array_join(F.transform("tokens", _masked), " ").alias("template"))
+    several = some.where("n_lines > 1")
+    votes = (several.select("leaf", "n_lines", F.posexplode("tokens").alias("place", "token")).where(~F.col("token").rlike("[0-9]"))
              .groupBy("leaf", "n_lines", "place", "token").agg(F.count("*").alias("n"))
-             .where((100 * F.col("n") >= AGREE * F.col("n_lines")) & ~F.col("token").rlike("[0-9]"))
-             .groupBy("leaf", "place").agg(F.max(F.struct("n", "token"))["token"].alias("token"))
-             .groupBy("leaf").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("place", "token")))).alias("fixed")))
-    fixed = some.join(votes, "leaf")
+             .where(100 * F.col("n") >= AGREE * F.col("n_lines"))
+             .groupBy("leaf", "place").agg(F.max(F.struct("n", "token")).alias("best"))
+             .groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("place", F.col("best.token")))).alias("fixed")))
+    fixed = several.join(votes, "leaf")
     hits = F.size(F.filter("tokens", lambda t, k: t.eqNullSafe(F.col("fixed")[k]) | (t.rlike("[0-9]") & F.col("fixed")[k].isNull())))
     follows = fixed.where(100 * hits >= SIMILAR * F.size("tokens")).select(
-        "leaf", "line", F.array_join(F.transform("tokens", lambda t, k: F.coalesce(F.col("fixed")[k], F.lit("<*>"))), " ").alias("template"))
-    return stash(follows, "templates")
+        "leaf", "line_hash", F.array_join(F.transform("tokens", lambda t, k: F.coalesce(F.col("fixed")[k], F.lit("<*>"))), " ").alias("template"))
+    return stash(alone.unionByName(follows), "templates")
 
 
 def drop_templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input document: doc_id, n_lines, n_dropped, the kept text
     and the dropped lines' numbers."""
-    lines = lines_of(df, id_col, text_col).withColumn("leaf", leaf_of(F.col("line")))
-    follows = templates(lines).withColumnRenamed("leaf", "_leaf").withColumnRenamed("line", "_line")
-    met = lines.join(follows, (F.col("leaf") == F.col("_leaf")) & (F.col("line") == F.col("_line"))).select("doc_id", "doc", "at", "leaf", "template")
-    met = stash(met, "template-lines")
+    # every line is cut into tokens once; its text is read back for busy leaves only
+    lines = lines_of(df, id_col, text_col).withColumn("tokens", _tokens(F.col("line")))
+    lines = stash(lines.withColumn("leaf", leaf_of(F.col("tokens"))).where("leaf is not null")
+                  .select("doc_id", "doc", "at", "leaf", F.xxhash64("line").alias("line_hash"), "line"), "lines")
+    follows = templates(lines).toDF("_leaf", "_line", "template")
+    met = lines.join(broadcast_up_to(follows, LEAVES_BROADCAST), (F.col("leaf") == F.col("_leaf")) & (F.col("line_hash") == F.col("_line")))
+    met = stash(met.select("doc_id", "doc", "at", "leaf"), "template-lines")
     place = F.struct(F.col("doc_id"), "doc", "at")
     recurring = (met.groupBy("leaf", "doc").agg(F.min(place).alias("first"))
                  .groupBy("leaf").agg(F.count("*").alias("n_docs"), F.min("first").alias("first")).where(F.col("n_docs") >= MIN_DOCS))

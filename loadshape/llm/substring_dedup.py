@@ -40,8 +40,8 @@ from .suffix_array import repeated_windows
 
 WIDTH = 100
 GRAM = 32
-SHARD_BYTES = 4_000_000
-SLICE_BYTES = 4_000_000
+SHARD_BYTES = 3_000_000
+SLICE_BYTES = 1_000_000
 HOT_BYTES = 2_000_000
 SPAN = 1 << 16          # strings per anchor, at most the width
 KEY = ["doc_id", "content"]
@@ -100,7 +100,7 @@ def _slices(batches, limit: int):
     """Lists of rows of Arrow batches with ``limit`` text bytes or so; the
     third column is the text."""
     rows, size = [], 0
-    for batch in batches:
+    for batch in (b.slice(i, 128) for b in batches for i in range(0, b.num_rows, 128)):
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             rows.append([*row[:2], row[2].encode("utf-8", "surrogatepass"), *row[3:]])
             size += len(rows[-1][2])
@@ -191,7 +191,7 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows, size = [], 0
         for part in _slices(batches, SLICE_BYTES // 8):
             rows += part
-            size += sum(x["at"] % SPAN + 1 for r in part for x in r[3] or ()) + sum(len(r[2]) for r in part) // 16
+            size += sum(x["at"] % SPAN + 1 for r in part for x in r[3] or ()) + sum(len(r[2]) for r in part) // 4
             if size >= shard_bytes:
                 yield close(rows)
                 rows, size = [], 0
@@ -246,7 +246,7 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined = whole.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content")), "left")
 
     def cut(batches):
-        for batch in batches:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             out = []
             for doc, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
                 kept, merged, end = [], [], 0

@@ -11,21 +11,27 @@ import numpy as np
 
 
 def _by_doubling(s: np.ndarray) -> np.ndarray:
-    """Base case of the recursion (almost every symbol differs): sort by the
-    first symbol, then by twice as many until all ranks differ."""
+    """Base case of the recursion (few suffixes a symbol): sort by the first
+    symbol, then groups that still agree by twice as many, until none do. A
+    suffix's rank is the first place of its group."""
     n = len(s)
     sa = np.argsort(s, kind="stable")
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.concatenate([[0], np.cumsum(np.diff(s[sa].astype(np.int64)) != 0)])
-    step = 1
-    while rank[sa[-1]] < n - 1:
-        key = rank * (n + 1)
-        key[:n - step] += rank[step:] + 1
-        sa = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[sa] = np.concatenate([[0], np.cumsum(np.diff(key[sa]) != 0)])
+    rank, step, places, key = np.empty(n, np.int64), 1, np.arange(n), s[sa].astype(np.int64)
+    while True:
+        new = np.ones(len(places), bool)
+        new[1:] = key[1:] != key[:-1]
+        group = np.flatnonzero(new)
+        size = np.diff(np.append(group, len(places)))
+        rank[sa[places]] = np.repeat(places[group], size)
+        places = places[np.repeat(size > 1, size)]
+        if not len(places):
+            return sa
+        some = sa[places]
+        after = some + step
+        key = rank[some] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        order = np.argsort(key, kind="stable")
+        sa[places], key = some[order], key[order]
         step *= 2
-    return sa
 
 
 def _runs(ch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +82,7 @@ def _induce(s, smaller, lms, start, n_large, end):
 def _sort(s: np.ndarray, symbols: int) -> np.ndarray:
     """Suffix array of symbols that end with a single 0."""
     n = len(s)
-    if n < 64 or symbols > n // 16:
+    if n < 64 or symbols > n // 256:
         return _by_doubling(s)
     # a suffix is smaller than its successor as decided at the next change
     change = np.where(s[:-1] != s[1:], np.arange(n - 1), n)

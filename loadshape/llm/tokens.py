@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
 MEMO = 700_000            # words kept per worker, some 150 MB
-SLICE_CHARS = 8_000_000   # characters encoded at a time
+SLICE_CHARS = 5_000_000   # characters encoded at a time
 _BLANK = re.compile(r"[\s\x85]")
 
 
@@ -127,16 +127,20 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def text_slices(batches, limit: int = SLICE_CHARS):
-    """(doc_id list, text list) slices of Arrow batches, some ``limit``
-    characters each; a longer text makes a slice of its own."""
+def text_slices(batches, limit: int = SLICE_CHARS, rows: int = 1024):
+    """(first column, texts) slices of Arrow batches, some ``limit`` characters
+    each; a longer text makes a slice of its own. Few rows of a batch become
+    Python objects at a time."""
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        start = size = 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > limit:
-                yield ids[start:i], texts[start:i]
-                start, size = i, 0
-            size += len(t)
-        if start < len(ids):
-            yield ids[start:], texts[start:]
+        keys, texts, size = [], [], 0
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                if size and size + len(text) > limit:
+                    yield keys, texts
+                    keys, texts, size = [], [], 0
+                keys.append(key)
+                texts.append(text)
+                size += len(text)
+        if keys:
+            yield keys, texts
