@@ -66,14 +66,14 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     # Positions come from the partition id and the in-partition row order,
     # which both readers below must see identically (and which a retried
     # task must not change): write the ranked rows once and read them back.
+    # Equal values are one row with a count: a range partition cannot split
+    # them, and meters that read 0 are the normal case.
     ordered = materialize(
-        vals.repartitionByRange(parts, *keys, "_v")
-        .sortWithinPartitions(*keys, "_v")
+        vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+        .repartitionByRange(parts, *keys, "_v")
         .withColumn("_pid", F.spark_partition_id())
-        .withColumn("_row", F.monotonically_increasing_id())
     )
-    seg = ordered.groupBy("_pid", *keys).agg(
-        F.count(F.lit(1)).alias("_cnt"), F.min("_row").alias("_first"))
+    seg = ordered.groupBy("_pid", *keys).agg(F.sum("_c").alias("_cnt"))
     w_all = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     w_run = w_all.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     seg = seg.withColumn("_offset", F.coalesce(F.sum("_cnt").over(w_run), F.lit(0))) \
@@ -90,30 +90,36 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
         .withColumn("_lo", F.floor("_h"))
         .withColumn("_hi", F.ceil("_h"))
         .withColumn("_frac", F.col("_h") - F.col("_lo"))
+        .withColumn("_rest", F.col("_hi") - F.col("_h"))
     )
-    wanted = targets.select(*keys, "q_index", "q_prob", "_frac",
-                            F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_rank"))
+    wanted = targets.groupBy(*keys).agg(F.collect_list(F.struct(
+        "q_index", "q_prob", "_frac", "_rest", "_lo", "_hi")).alias("_want"))
 
     # Join on renamed copies of the keys: both sides derive from ``ordered``.
-    seg_r = seg.select(F.col("_pid").alias("_s_pid"), *[F.col(k).alias(f"_sk_{k}") for k in keys],
-                       "_offset", "_first")
+    seg_r = seg.select(F.col("_pid").alias("_s_pid"), *[F.col(k).alias(f"_sk_{k}") for k in keys], "_offset")
     on = F.col("_pid") == F.col("_s_pid")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_sk_{k}"))
-    ranked = ordered.join(broadcast_if_small(seg_r), on, "inner").select(
-        *keys, "_v", (F.col("_offset") + F.col("_row") - F.col("_first")).alias("_rank"))
-    want_r = wanted.select(*[F.col(k).alias(f"_wk_{k}") for k in keys],
-                           F.col("_rank").alias("_wpos"), "q_index", "q_prob", "_frac")
-    on = F.col("_rank") == F.col("_wpos")
+    inside = Window.partitionBy("_pid", *keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ordered.withColumn("_before", F.coalesce(F.sum("_c").over(inside), F.lit(0))) \
+        .join(broadcast_if_small(seg_r), on, "inner").select(
+        *keys, "_v", (F.col("_offset") + F.col("_before")).alias("_from"),
+        (F.col("_offset") + F.col("_before") + F.col("_c")).alias("_to"))
+    # each group's few wanted ranks (two per probability) meet its values
+    want_r = wanted.select(F.lit(0).alias("_wk"), *[F.col(k).alias(f"_wk_{k}") for k in keys], "_want")
+    on = F.col("_rk") == F.col("_wk")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_wk_{k}"))
-    hit = ranked.join(broadcast_if_small(want_r), on, "inner").select(
-        *keys, "_v", "_rank", "q_index", "q_prob", "_frac")
-    out = hit.groupBy(*keys, "q_index", "q_prob").agg(
-        F.min("_v").alias("_lo_v"), F.max("_v").alias("_hi_v"), F.first("_frac").alias("_frac"))
-    return out.select(
-        *keys, "q_index", "q_prob",
-        (F.col("_lo_v") + F.col("_frac") * (F.col("_hi_v") - F.col("_lo_v"))).alias("quantile"))
+    has = lambda w, r: (w[r] >= F.col("_from")) & (w[r] < F.col("_to"))
+    hit = ranked.withColumn("_rk", F.lit(0)).join(broadcast_if_small(want_r), on, "inner").select(
+        *keys, "_v", "_from", "_to", F.explode(F.filter("_want", lambda w: has(w, "_lo") | has(w, "_hi"))).alias("w"))
+    out = hit.groupBy(*keys, F.col("w.q_index").alias("q_index"), F.col("w.q_prob").alias("q_prob")).agg(
+        F.min("_v").alias("_lo_v"), F.max("_v").alias("_hi_v"),
+        F.first("w._frac").alias("_frac"), F.first("w._rest").alias("_rest"))
+    # the built-in percentile's own interpolation, so both paths agree to the bit
+    value_at = F.when(F.col("_lo_v") == F.col("_hi_v"), F.col("_lo_v")).otherwise(
+        F.col("_rest") * F.col("_lo_v") + F.col("_frac") * F.col("_hi_v"))
+    return out.select(*keys, "q_index", "q_prob", value_at.alias("quantile"))
 
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
@@ -129,7 +135,9 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
     """
     keys = list(keys)
     arr = F.array(*[F.lit(float(p)) for p in probs])
-    vals = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    # NaN is missing, on every path
+    v = F.col(value).cast("double")
+    vals = df.select(*keys, F.when(~F.isnan(v), v).alias("_v"))
 
     def cold_part(frame: DataFrame) -> DataFrame:
         q = frame.groupBy(*keys).agg(F.percentile("_v", arr).alias("_qa"))

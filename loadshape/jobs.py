@@ -73,7 +73,9 @@ def main(argv: Sequence[str] | None = None) -> None:
     m.add_argument("--k", type=int, default=5)
     m.add_argument("--price", default="all")
     args = p.parse_args(argv)
-    spark = SparkSession.builder.appName(f"loadshape-{args.cmd}").getOrCreate()
+    spark = (SparkSession.builder.appName(f"loadshape-{args.cmd}")
+             .config("spark.sql.session.timeZone", "UTC").getOrCreate())
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     if args.cmd == "aggregate":
         if args.input_bytes and args.cores:
             apply_scale_settings(spark, args.input_bytes, args.cores)

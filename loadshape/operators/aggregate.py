@@ -28,6 +28,7 @@ maximum" has no hash-aggregatable form among the built-in functions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -57,19 +58,17 @@ def normalize_methods(agg_method: str | Sequence[str]) -> list[str]:
 
 
 def quantile_of(method: str) -> float:
-    try:
-        q = float(method[1:]) / 100.0
-    except ValueError:
-        raise ValueError(f"Invalid quantile method: {method}") from None
-    if not 0.0 <= q <= 1.0:
-        raise ValueError(f"Invalid quantile method: {method}")
-    return q
+    m = re.fullmatch(r"q(\d+(?:\.\d+)?)", method)
+    percent = float(m[1]) if m else -1.0
+    if not 0.0 <= percent <= 100.0:
+        raise ValueError(f"{method!r} is no quantile: expected q0 to q100")
+    return percent / 100.0
 
 
-def method_column(method: str, value: str = S.VALUE) -> Column:
+def method_column(method: str, value: str | Column = S.VALUE) -> Column:
     """Aggregate expression for one basic / quantile method, aliased
     ``<method>_consumption``."""
-    v = F.col(value)
+    v = F.col(value) if isinstance(value, str) else value
     if method == "sum":
         c = F.coalesce(F.sum(v), F.lit(0.0))
     elif method == "mean":
@@ -83,7 +82,7 @@ def method_column(method: str, value: str = S.VALUE) -> Column:
     elif method.startswith("q"):
         c = F.percentile(v, F.lit(quantile_of(method)))
     else:
-        raise ValueError(f"Unknown aggregation method: {method}")
+        raise ValueError(f"no such method: {method!r}")
     return c.alias(f"{method}_consumption")
 
 
@@ -177,11 +176,12 @@ def _peak_record(value: str = S.VALUE) -> Column:
 
 
 def daily_peaks(rows: DataFrame, freq: str, use_price: bool,
-                holidays: DataFrame | None = None) -> DataFrame:
+                holidays: DataFrame | None = None, keep_empty: bool = False) -> DataFrame:
     """One row per (G, day): the day's maximum reading and its time.
 
     Columns: ``aID, period, price, tariff_active, day, peak_consumption, peak_time``.
-    Days whose readings are all missing have no peak.
+    Days whose readings are all missing have no peak; with ``keep_empty`` they
+    are rows with a NULL peak.
     """
     keyed = with_period(_ensure_active(rows), freq).withColumn("day", F.to_date(S.TS))
     rec = _peak_record()
@@ -201,22 +201,22 @@ def daily_peaks(rows: DataFrame, freq: str, use_price: bool,
         long = daily.select(*keys, F.inline(parts))
     else:
         long = keyed.groupBy(*keys).agg(F.min(rec).alias("r")).withColumn(S.PRICE, F.lit(ALL))
-    return long.where(F.col("r").isNotNull() & ~F.col("r.nv")).select(
+    return long.where(F.col("r").isNotNull() & (F.lit(keep_empty) | ~F.col("r.nv"))).select(
         S.ID, S.PERIOD, S.PRICE, S.ACTIVE, "day",
-        (-F.col("r.negv")).alias("peak_consumption"), F.col("r.t").alias("peak_time"))
+        (-F.col("r.negv")).alias("peak_consumption"), F.when(~F.col("r.nv"), F.col("r.t")).alias("peak_time"))
 
 
 def top3_days(daily: DataFrame, k: int = 3) -> DataFrame:
     """The ``k`` largest daily peaks per group with their rank (1 = largest,
     earlier day first on equal values)."""
-    w = Window.partitionBy(*GROUP_COLS).orderBy(F.col("peak_consumption").desc(), F.col("day"))
+    w = Window.partitionBy(*GROUP_COLS).orderBy(F.col("peak_consumption").desc_nulls_last(), F.col("day"))
     return daily.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def aggregate_top3(rows: DataFrame, freq: str, use_price: bool,
                    holidays: DataFrame | None = None) -> DataFrame:
     """G + ``peak1..3_consumption, peak1..3_time, top3_mean_consumption``."""
-    top = top3_days(daily_peaks(rows, freq, use_price, holidays))
+    top = top3_days(daily_peaks(rows, freq, use_price, holidays, keep_empty=True))
     r, v, t = F.col("rank"), F.col("peak_consumption"), F.col("peak_time")
     return top.groupBy(*GROUP_COLS).agg(
         *[F.max(F.when(r == i, v)).alias(f"peak{i}_consumption") for i in (1, 2, 3)],
@@ -331,6 +331,30 @@ def aggregate_from_daily(daily: DataFrame, methods: Sequence[str], top3: bool,
     return d.groupBy(*GROUP_COLS).agg(*cols)
 
 
+def aggregate_direct(rows: DataFrame, freq: str, methods: Sequence[str], use_price: bool,
+                     holidays: DataFrame | None = None, keep_total: bool = False) -> DataFrame:
+    """Mergeable methods without top-3: one hash aggregate over the readings
+    with conditional columns per price part; the result, not the readings, is
+    unpivoted."""
+    keyed = with_period(_ensure_active(rows), freq)
+    conds = {ALL: None}
+    if use_price:
+        keyed = with_price_part(keyed, holidays)
+        conds.update({HIGH: F.col("_hl") == HIGH, LOW: F.col("_hl") == LOW})
+    cols, structs = [], []
+    for part, cond in conds.items():
+        value = F.col(S.VALUE) if cond is None else F.when(cond, F.col(S.VALUE))
+        found = F.count(F.lit(1) if cond is None else F.when(cond, F.lit(1)))
+        named = {"_rows": found, **{f"{m}_consumption": method_column(m, value) for m in methods}}
+        if keep_total:
+            named[TOTAL] = F.sum(value)
+        cols += [c.alias(f"{part}__{n}") for n, c in named.items()]
+        structs.append(F.struct(F.lit(part).alias(S.PRICE), *[F.col(f"{part}__{n}").alias(n) for n in named]))
+    keys = (S.ID, S.PERIOD, S.ACTIVE)
+    wide = keyed.groupBy(*keys).agg(*cols)
+    return wide.select(*keys, F.inline(F.array(*structs))).where(F.col("_rows") > 0).drop("_rows")
+
+
 def aggregate(rows: DataFrame, freq: str = "month", agg_method: str | Sequence[str] = TOP3,
               use_price: bool = True, holidays: DataFrame | None = None,
               strategy: str = "auto", keep_total: bool = False,
@@ -339,8 +363,8 @@ def aggregate(rows: DataFrame, freq: str = "month", agg_method: str | Sequence[s
 
     ``rows`` needs ``aID, TIDPUNKT, FORBRUKNING_KWH`` and optionally
     ``tariff_active`` (0 when absent). The period column is called ``period``.
-    ``strategy``: ``auto`` (household-day partials for mergeable methods and
-    top-3, raw readings for median / quantiles), or ``explode`` /
+    ``strategy``: ``auto`` (household-day partials for top-3 and what is asked
+    with it, one direct aggregate for mergeable methods alone, raw readings for median / quantiles), or ``explode`` /
     ``grouping_sets`` (every basic method from raw readings, with that price
     expansion). ``keep_total`` adds ``_total`` (sum of the group's readings).
     ``single_task_max``: groups with more values are ranked distributed for
@@ -357,7 +381,9 @@ def aggregate(rows: DataFrame, freq: str = "month", agg_method: str | Sequence[s
     else:
         merged, raw = [], basic
     parts = []
-    if merged or keep_total:
+    if (merged or keep_total) and not want_top3:
+        parts.append(aggregate_direct(rows, freq, merged, use_price, holidays, keep_total))
+    elif merged or keep_total:
         parts.append(aggregate_from_daily(daily_table(rows, freq, use_price, holidays),
                                           merged, want_top3, keep_total))
     elif want_top3:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -12,8 +11,6 @@ from loadshape import schemas as S
 from loadshape.functions.calendar import ALL, event_time
 from loadshape.operators.usage import GROUP, GROUP_ORDER
 
-MAX_SPLIT_COLUMNS = 1000
-
 _AGGS = {
     "mean": F.avg, "sum": F.sum, "median": F.median, "max": F.max, "min": F.min,
     "std": F.stddev_samp, "var": F.var_samp, "count": F.count,
@@ -27,8 +24,13 @@ def _fn(agg: str):
         raise ValueError(f"unsupported agg: {agg}") from None
 
 
-def _split_key(cols: Sequence[str]) -> Column:
-    return F.concat_ws("_", *[F.col(c).cast("string") for c in cols])
+def _is(cols: Sequence[str], values: Sequence) -> Column:
+    """The row has these values in these columns (compared one by one, so
+    values that hold the label's separator never meet)."""
+    out = F.lit(True)
+    for c, v in zip(cols, values):
+        out = out & (F.col(c).cast("string") == F.lit(str(v)))
+    return out
 
 
 def consumption_curve(df: DataFrame, value_col: str, agg: str = "mean",
@@ -38,10 +40,10 @@ def consumption_curve(df: DataFrame, value_col: str, agg: str = "mean",
     """Aggregate ``value_col`` by period (and ``splits``).
 
     Without splits: ``period, <value_col>``. With splits the split keys are
-    unstacked into one column per combination named ``v1_v2`` (values from
-    ``split_values``, one list per split column, so the schema is static;
-    when omitted they are the distinct values of the split columns, at most
-    1000 combinations).
+    unstacked into one column per combination named ``v1_v2`` when
+    ``split_values`` lists the values of every split column; without it the
+    result is long: ``period, <splits>, <value_col>``, rows with a missing
+    split value left out.
     When ``price`` is a split, its 'all' rows are dropped first. ``price``
     filters the input to one price part (None keeps them mixed).
     """
@@ -53,23 +55,14 @@ def consumption_curve(df: DataFrame, value_col: str, agg: str = "mean",
     if S.PRICE in splits:
         df = df.where(F.col(S.PRICE) != ALL)
     if split_values is None:
-        # categorical split columns: their distinct values form a short list
-        split_values = []
-        for c in splits:
-            vals = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct()
-                    .orderBy(c).limit(MAX_SPLIT_COLUMNS + 1).collect()]
-            split_values.append(vals)
-        if math.prod(len(v) for v in split_values) > MAX_SPLIT_COLUMNS:
-            raise ValueError("too many split combinations; pass split_values")
+        return df.dropna(subset=list(splits)).groupBy(period_col, *splits).agg(fn(value_col).alias(value_col))
     if len(split_values) != len(splits):
         raise ValueError("split_values must list the values of every split column")
     combos = [[]]
     for vals in split_values:
         combos = [c + [v] for c in combos for v in vals]
-    key = _split_key(splits)
-    names = ["_".join(str(v) for v in c) for c in combos]
     return df.groupBy(period_col).agg(
-        *[fn(F.when(key == n, F.col(value_col))).alias(n) for n in names])
+        *[fn(F.when(_is(splits, c), F.col(value_col))).alias("_".join(str(v) for v in c)) for c in combos])
 
 
 def adoption_by_usage(df: DataFrame, per_household: bool = False) -> DataFrame:
@@ -87,29 +80,21 @@ def adoption_by_usage(df: DataFrame, per_household: bool = False) -> DataFrame:
 
 def event_study(df: DataFrame, value_col: str = "mean_consumption",
                 line_cols: str | Sequence[str] = GROUP, window: int = 6,
-                line_values: Sequence[str] | None = None, wide: bool = False,
+                line_values: Sequence | None = None,
                 period_col: str = S.TS, adoption_col: str = S.START) -> DataFrame:
     """Mean ``value_col`` by months relative to adoption, adopters only,
     ``-window <= event_time <= window``.
 
-    Long form ``event_time, <line>, mean_value`` by default; with
-    ``line_values`` (or ``wide=True``, which takes the distinct line values
-    of the data, at most 1000) one column per line value. Several line
-    columns are joined into one key ``v1_v2``.
+    Long form ``event_time, <line columns>, mean_value`` by default, rows with
+    a missing line value left out. With ``line_values`` (values, or tuples of
+    one value per line column) one column per line, named ``v1_v2``.
     """
     cols = [line_cols] if isinstance(line_cols, str) else list(line_cols)
     data = df.where(F.col(adoption_col).isNotNull()).withColumn(
         "event_time", event_time(F.col(period_col), F.col(adoption_col)))
-    data = data.where(F.col("event_time").between(-window, window))
-    key = F.col(cols[0]) if len(cols) == 1 else _split_key(cols)
-    line = "_".join(cols)
-    if line_values is None and wide:
-        line_values = [r[0] for r in data.select(key.alias("_k")).where(F.col("_k").isNotNull())
-                       .distinct().orderBy("_k").limit(MAX_SPLIT_COLUMNS + 1).collect()]
-        if len(line_values) > MAX_SPLIT_COLUMNS:
-            raise ValueError("too many line values; pass line_values")
+    data = data.where(F.col("event_time").between(-window, window)).dropna(subset=cols)
     if line_values is None:
-        return data.where(key.isNotNull()).groupBy("event_time", key.alias(line)).agg(
-            F.avg(value_col).alias("mean_value"))
+        return data.groupBy("event_time", *cols).agg(F.avg(value_col).alias("mean_value"))
+    lines = [v if isinstance(v, (list, tuple)) else (v,) for v in line_values]
     return data.groupBy("event_time").agg(
-        *[F.avg(F.when(key == v, F.col(value_col))).alias(str(v)) for v in line_values])
+        *[F.avg(F.when(_is(cols, v), F.col(value_col))).alias("_".join(str(x) for x in v)) for v in lines])

@@ -161,10 +161,11 @@ def knn_edges(treated: DataFrame, controls: DataFrame, feats: Sequence[str], k:
         *[f"_u{a}_{f}" for a in (1, 2) for f in feats])
     # Controls with identical standardised features are equally far from
     # every treated unit, so only the k smallest ids of such a group can be
-    # chosen: keep those (map-side WindowGroupLimit), which bounds the load
-    # of a cell full of identical profiles (e.g. empty homes reading 0).
+    # chosen, and one more because a unit that adopts again later can be among
+    # its own twins: keep those (map-side WindowGroupLimit), which bounds the
+    # load of a cell full of identical profiles (e.g. empty homes reading 0).
     twins = Window.partitionBy("Ti", *[f"c_{f}" for f in feats]).orderBy("control_id")
-    cz = cz.withColumn("_twin", F.row_number().over(twins)).where(F.col("_twin") <= k).drop("_twin")
+    cz = cz.withColumn("_twin", F.row_number().over(twins)).where(F.col("_twin") <= k + 1).drop("_twin")
     cp1, cp2 = _projections(feats, "c_")
     cz = cz.withColumn("_p1", cp1).withColumn("_p2", cp2)
     grid = cz.groupBy("Ti").agg(

@@ -13,8 +13,7 @@ DEFAULT_BROADCAST_ROWS = 2_000_000
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
 
-    The check reads at most ``max_rows + 1`` rows of the (small) side, so it
-    stays cheap; a larger side is returned unchanged and joined by shuffle.
+    The check is a plain distributed count (no rows are gathered); a larger
+    side is returned unchanged and joined by shuffle.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df

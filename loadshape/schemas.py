@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
@@ -61,13 +60,3 @@ HOLIDAY_SCHEMA = T.StructType(
 )
 
 FREQUENCIES = ("day", "week", "month", "quarter", "year", "hour", "week_part", "weekday")
-
-
-@dataclass(frozen=True)
-class MatchCols:
-    """Column names the matching operators read from the aggregate table."""
-
-    id_col: str = ID
-    month_col: str = TS
-    adoption_col: str = START
-    value_col: str = "top3_mean_consumption"

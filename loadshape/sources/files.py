@@ -12,16 +12,21 @@ from loadshape import schemas as S
 _NANOS_CONF = "spark.sql.legacy.parquet.nanosAsLong"
 
 
-def _utc_wall_clock(col: F.Column, dtype: T.DataType, session_tz: str) -> F.Column:
-    """Any timestamp representation -> UTC wall clock as timestamp_ntz."""
+def _utc_wall_clock(col: F.Column, dtype: T.DataType) -> F.Column:
+    """Any timestamp representation -> UTC wall clock as timestamp_ntz. Zoned
+    instants and nanoseconds go through microseconds since the epoch, so the
+    session's zone plays no part and no hour repeats or is skipped."""
     if isinstance(dtype, T.TimestampNTZType):
         return col
-    if isinstance(dtype, T.LongType):  # nanoseconds since epoch (pandas writer)
-        col = F.timestamp_micros(F.floor(col / 1000))
-    elif isinstance(dtype, T.StringType):
+    if isinstance(dtype, T.StringType):
         return F.to_timestamp_ntz(col)
-    # zoned instant -> wall clock of the session zone -> UTC wall clock
-    return F.convert_timezone(F.lit(session_tz), F.lit("UTC"), col.cast("timestamp_ntz"))
+    if isinstance(dtype, T.LongType):  # nanoseconds since epoch (pandas writer)
+        micros = F.call_function("div", col - F.pmod(col, F.lit(1000)), F.lit(1000))
+    else:
+        micros = F.unix_micros(col.cast("timestamp"))
+    seconds = (micros.cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(20,0)")).cast("decimal(18,6)")
+    zero = F.lit(0)
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(zero, zero, zero, seconds)
 
 
 def scan_meter(spark: SparkSession, path: str, local_tz: str | None = None) -> DataFrame:
@@ -41,9 +46,8 @@ def scan_meter(spark: SparkSession, path: str, local_tz: str | None = None) -> D
             raise
         spark.conf.set(_NANOS_CONF, "true")
         raw = spark.read.parquet(path)
-    tz = spark.conf.get("spark.sql.session.timeZone")
     fields = {f.name: f.dataType for f in raw.schema.fields}
-    ts = _utc_wall_clock(F.col(S.TS), fields[S.TS], tz)
+    ts = _utc_wall_clock(F.col(S.TS), fields[S.TS])
     if local_tz is not None:
         ts = F.convert_timezone(F.lit("UTC"), F.lit(local_tz), ts)
     day = F.col(S.DAY).cast("date") if S.DAY in fields and local_tz is None else F.to_date(ts)

@@ -52,18 +52,19 @@ def test_event_study_window(spark):
     assert got == {(-12, "low"): 1.0, (1, "low"): 3.0}
 
 
-def test_curve_split_values_derived(spark):
-    df = spark.createDataFrame([(1, "all", 0, 9.0), (1, "high", 0, 2.0), (1, "low", 1, 4.0), (2, "low", 0, 6.0)],
+def test_curve_without_split_values_is_long(spark):
+    df = spark.createDataFrame([(1, "all", 0, 9.0), (1, "high", 0, 2.0), (1, "low", 1, 4.0), (2, "low", 0, 6.0), (2, None, 0, 1.0)],
                                "TIDPUNKT int, price string, tariff_active int, v double")
     out = CV.consumption_curve(df, "v", splits=["price", "tariff_active"])
-    assert sorted(out.columns) == ["TIDPUNKT", "high_0", "high_1", "low_0", "low_1"]
-    rows = {r.TIDPUNKT: r for r in out.collect()}
-    assert (rows[1].high_0, rows[1].low_1, rows[2].low_0) == (2.0, 4.0, 6.0)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "high", 0, 2.0), (1, "low", 1, 4.0), (2, "low", 0, 6.0)]
 
 
-def test_event_study_wide_derived(spark):
-    df = spark.createDataFrame(
-        [(d("2025-02-01"), d("2025-01-10"), "6 kW Villa", 3.0), (d("2025-02-01"), d("2025-01-10"), "14 kW Villa", 5.0)],
-        "TIDPUNKT date, tariff_start date, tariff_plan string, v double")
-    r = CV.event_study(df, "v", "tariff_plan", 12, wide=True).first()
-    assert (r.event_time, r["6 kW Villa"], r["14 kW Villa"]) == (1, 3.0, 5.0)
+def test_event_study_several_lines(spark):
+    rows = [("a_b", "c", 3.0), ("a", "b_c", 5.0), ("low", None, 7.0), (None, "c", 9.0)]
+    df = spark.createDataFrame([(d("2025-02-01"), d("2025-01-10"), *r) for r in rows],
+                               "TIDPUNKT date, tariff_start date, usage_group string, tariff_plan string, v double")
+    cols = ["usage_group", "tariff_plan"]
+    long = CV.event_study(df, "v", cols, 12).collect()
+    assert sorted(tuple(r) for r in long) == [(1, "a", "b_c", 5.0), (1, "a_b", "c", 3.0)]
+    wide = CV.event_study(df, "v", cols, 12, line_values=[("a_b", "c"), ("x", "y")]).first()
+    assert (wide.event_time, wide["a_b_c"], wide["x_y"]) == (1, 3.0, None)

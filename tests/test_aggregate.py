@@ -164,3 +164,56 @@ def test_hot_groups_take_the_distributed_path(meter_df):
     assert normal.keys() == hot.keys()
     for k, v in normal.items():
         assert hot[k] == pytest.approx(v, rel=1e-12)
+
+
+def test_quantiles_agree_on_both_sides_of_the_limit(spark):
+    from loadshape.functions.stats import exact_quantiles, grouped_quantiles
+    nan = float("nan")
+    rows = [("a", v) for v in (1.0, 2.0, 3.0, 4.0, nan, None)] + [("z", 0.0)] * 200 + [("z", float(i)) for i in range(1, 101)] + [("n", nan)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    probs = [0.5, 0.1, 0.731]
+    plain = sorted(map(str, grouped_quantiles(df, ["k"], "v", probs).where("_q0 is not null").collect()))
+    split = sorted(map(str, grouped_quantiles(df, ["k"], "v", probs, single_task_max=1).where("_q0 is not null").collect()))
+    assert plain == split and "_q0=2.5" in plain[0]
+    one = [r.quantile for r in exact_quantiles(df, "v", probs).orderBy("q_index").collect()]
+    two = [r.quantile for r in exact_quantiles(df, "v", probs, single_task_max=None).orderBy("q_index").collect()]
+    assert one == two
+
+
+def test_groups_do_not_depend_on_the_method_list(meter_df):
+    rows = meter_df([("h1", "2025-01-01 10:00", None), ("h2", "2025-01-01 10:00", 2.0)])
+    for methods in (["top3_mean"], ["mean"], ["top3_mean", "mean"], ["sum", "max", "variance"]):
+        got = A.aggregate(rows, "month", methods, use_price=False).collect()
+        assert sorted(r.aID for r in got) == ["h1", "h2"], methods
+
+
+def test_direct_and_exploded_aggregates_agree(meter_df):
+    rows = meter_df([(f"h{i % 3}", f"2025-0{1 + i % 2}-{1 + i % 28:02d} {i % 24:02d}:00", None if i % 11 == 0 else i * 0.5) for i in range(200)])
+    methods = ["sum", "mean", "max", "variance"]
+    for price in (True, False):
+        key = lambda r: (r.aID, str(r.period), r.price, r.tariff_active)
+        a = sorted(A.aggregate(rows, "month", methods, price).collect(), key=key)
+        b = sorted(A.aggregate(rows, "month", methods, price, strategy="explode").collect(), key=key)
+        assert [key(r) for r in a] == [key(r) for r in b]
+        for x, y in zip(a, b):
+            assert [x[f"{m}_consumption"] for m in methods] == pytest.approx([y[f"{m}_consumption"] for m in methods])
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Europe/Stockholm", "America/New_York"])
+def test_zoned_times_keep_every_hour(spark, tmp_path, zone):
+    import datetime as dt
+
+    from loadshape.sources.files import scan_meter
+    start = [dt.datetime(2025, 10, 25, 22), dt.datetime(2025, 3, 29, 22), dt.datetime(1969, 12, 31, 22)]   # repeated, skipped hour, before 1970
+    want = [s + dt.timedelta(hours=i, microseconds=7) for s in start for i in range(8)]
+    path = str(tmp_path / "zoned")
+    was = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        micros = [int((t - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1)) for t in want]
+        (spark.createDataFrame([(m,) for m in micros], "m long")
+         .select(F.lit("h").alias("aID"), F.timestamp_micros("m").alias("TIDPUNKT"), F.lit(1.0).alias("FORBRUKNING_KWH"))
+         .write.parquet(path))
+        assert sorted(r.TIDPUNKT for r in scan_meter(spark, path).collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)

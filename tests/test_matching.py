@@ -166,3 +166,14 @@ def test_collapse_split_month(spark, meter_df, tariff_df):
     assert len(merged) == 1 and merged[0].v == pytest.approx((7.0 + 6.0 + 5.0) / 3)
     direct = run(m, None, "month", ["top3_mean"], use_price=False).first().top3_mean_consumption
     assert merged[0].v == pytest.approx(direct)
+
+
+def test_unit_among_its_own_twins_loses_no_neighbour(spark):
+    # a household that adopts twice is a control at its earlier date; its twins have larger ids
+    ti = d("2025-01-01")
+    feats = ["f1", "f2"]
+    controls = [(ti, c, 1.0, 2.0) for c in ["0", "1", "2", "3", "4", "5", "6", "7"]] + [(ti, "z0", 9.0, 9.0), (ti, "z1", 8.0, 3.0)]
+    c = spark.createDataFrame(controls, "Ti date, control_id string, f1 double, f2 double")
+    t = spark.createDataFrame([(ti, "0", 1.0, 2.0)], "Ti date, treated_id string, f1 double, f2 double")
+    got = MT.knn_edges(t, c, feats, 5).orderBy("neighbor").collect()
+    assert [(r.control_id, r.distance) for r in got] == [(str(i), 0.0) for i in range(1, 6)]
