@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from .common import stash, table, two_columns
 from .shingles import _P, _P_INVERSE, mix
 from .suffix_array import repeated_windows
+from .tokens import release_memory
 
 WIDTH = 100
 GRAM = 32
@@ -109,6 +110,7 @@ def _slices(batches, limit: int):
                 rows, size = [], 0
     if rows:
         yield rows
+    release_memory()
 
 
 def _order(row):

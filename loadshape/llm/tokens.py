@@ -10,6 +10,7 @@ library. Texts with other white space go to the library whole.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 
@@ -18,8 +19,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
-MEMO = 700_000            # words kept per worker, some 150 MB
-SLICE_CHARS = 5_000_000   # characters encoded at a time
+MEMO = 500_000            # words kept per worker, some 100 MB
+SLICE_CHARS = 3_000_000   # characters encoded at a time
 _BLANK = re.compile(r"[\s\x85]")
 
 
@@ -127,6 +128,15 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def release_memory() -> None:
+    """Give memory that is free in this worker back to the system, as the
+    worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_slices(batches, limit: int = SLICE_CHARS, rows: int = 1024):
     """(first column, texts) slices of Arrow batches, some ``limit`` characters
     each; a longer text makes a slice of its own. Few rows of a batch become
@@ -144,3 +154,4 @@ def text_slices(batches, limit: int = SLICE_CHARS, rows: int = 1024):
                 size += len(text)
         if keys:
             yield keys, texts
+    release_memory()
