@@ -24,6 +24,9 @@ from .tokens import encoder, text_slices, vocabulary_path, with_end
 
 SEQUENCE = 2048
 END_ID = 1
+# less than the token files take: the pipeline's other stages share the workers
+MEMO = 250_000
+SLICE_CHARS = 1_500_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
@@ -38,8 +41,8 @@ def pieces(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     if longest < 1 or longest & (longest - 1):
         raise ValueError("the sequence length must be a power of two")
     def cut(batches):
-        enc = encoder(vocabulary)
-        for ids, texts in text_slices(batches):
+        enc = encoder(vocabulary, MEMO)
+        for ids, texts in text_slices(batches, SLICE_CHARS):
             flat, counts = with_end(*enc.encode_flat(texts), end_id)
             raw, rows, place = flat.tobytes(), [], 0
             for doc, n in zip(ids, counts.tolist()):

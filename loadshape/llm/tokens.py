@@ -32,13 +32,14 @@ def vocabulary_path() -> str:
 class Encoder:
     """Ids of texts; strings that name special tokens are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_words: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.line_feed = self._whole("\n")
+        self.memo_words = memo_words
         self.memo: dict[str, bytes] = {}        # ids of a word behind a blank, or of a line feed and a word
         names = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(names.values()) + 1, bool)    # ids that begin with a blank
@@ -68,7 +69,7 @@ class Encoder:
         for i in odd:
             found[i] = b""
         plain = [i for i in new if found[i] is None]
-        room = len(memo) < MEMO
+        room = len(memo) < self.memo_words
         for lead in (" ", ""):
             some = [i for i in plain if (words[i][0] != "\n") == bool(lead)]
             for i, (word, ids) in zip(some, self._learn([words[i] for i in some], lead)):
@@ -118,14 +119,14 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarr
     return out, counts
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memo_words: int = MEMO) -> Encoder:
     """The worker's encoder for a vocabulary file (kept between batches)."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, memo_words) not in _ENCODERS:
+        _ENCODERS[path, memo_words] = Encoder(path, memo_words)
+    return _ENCODERS[path, memo_words]
 
 
 def release_memory() -> None:

@@ -41,9 +41,8 @@ def test_encoder_equals_library(plain):
             assert np.frombuffer(raw, "<u4").tolist() == plain(t), repr(t)
 
 
-def test_memo_that_is_full(plain, monkeypatch):
-    monkeypatch.setattr("loadshape.llm.tokens.MEMO", 2)
-    e = Encoder(vocabulary_path())
+def test_memo_that_is_full(plain):
+    e = Encoder(vocabulary_path(), 2)
     for t in ["a b c d\ne f g", "x b c y\nz f q", "a b c d\ne f g"]:
         assert np.frombuffer(e.encode([t])[0], "<u4").tolist() == plain(t)
 
