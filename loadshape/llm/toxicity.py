@@ -41,7 +41,7 @@ ALPHABET = 256               # the uniform base of the backoff
 CLEAR = (1.0, 3.0, 5.0)      # log-likelihood differences at which a word is ever clearer evidence
 CALIBRATION_ROWS = 50_000
 LABEL_ROWS_BROADCAST = 2_000_000
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 START, END = "\x02", "\x03"
 
 
@@ -173,7 +173,7 @@ class Model:
         p = (np.maximum(n - DISCOUNT, 0) + (DISCOUNT * kinds + prior) * below) / np.maximum(total + prior, 1)
         return np.where(total > 0, p, below)
 
-    def word_evidence(self, words: list[str], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    def word_evidence(self, words: list[str], at_once: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
         """Toxic less ordinary log-likelihood of each word, and its length in
         predicted characters."""
         if len(words) > at_once:        # few words at a time: the tables of n-grams stay small
