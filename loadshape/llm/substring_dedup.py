@@ -99,10 +99,15 @@ class Anchors:
 
 def _slices(batches, limit: int):
     """Lists of rows of Arrow batches with ``limit`` text bytes or so; the
-    third column is the text."""
+    third column is the text, a fourth one lists anchors (as two arrays)."""
     rows, size = [], 0
     for batch in (b.slice(i, 128) for b in batches for i in range(0, b.num_rows, 128)):
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
+        columns = [c.to_pylist() for c in batch.columns[:3]]
+        if batch.num_columns > 3:
+            lists = batch.column(3)
+            ends, items = lists.offsets.to_numpy().tolist(), [lists.values.field(c).to_numpy() for c in ("at", "h")]
+            columns.append([tuple(x[i:j].copy() for x in items) for i, j in zip(ends[:-1], ends[1:])])
+        for row in zip(*columns):
             rows.append([*row[:2], row[2].encode("utf-8", "surrogatepass"), *row[3:]])
             size += len(rows[-1][2])
             if size >= limit:
@@ -117,10 +122,16 @@ def _order(row):
     return row[0] is not None, row[0] or 0, row[1]
 
 
-def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last index of each run of True."""
-    edge = np.diff(np.concatenate([[0], flags.view(np.int8), [0]]))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+def _spans(flags: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Number of the piece, first and last index in it of each run of True in
+    ``flags``, the pieces of which have these (positive) sizes."""
+    begin = np.cumsum(sizes) - sizes
+    edge, after = np.zeros(len(flags) + 1, bool), np.zeros(len(flags) + 1, bool)
+    edge[begin] = after[begin] = after[-1] = True
+    first = np.flatnonzero(flags & (edge[:-1] | ~np.concatenate([[False], flags[:-1]])))
+    last = np.flatnonzero(flags & (after[1:] | ~np.concatenate([flags[1:], [False]])))
+    piece = np.searchsorted(begin, first, "right") - 1
+    return piece, first - begin[piece], last - begin[piece]
 
 
 def _table(rows, names, kinds):
@@ -155,50 +166,66 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
               .select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), "anchors"))
     met = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content")), "left")
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     names = ["doc_id", "content", "h", "a", "b", "bytes"]
 
     def local(batches):
         """Rows of three kinds: removed spans (a, b), strings for an anchor's
         shard (h, a, bytes), and documents (bytes only)."""
 
+        def batch_of(rows, h=None, a=None, b=None, texts=None):
+            none = pa.nulls(len(rows), pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+                 *(none if x is None else pa.array(x, pa.int64()) for x in (h, a, b)),
+                 pa.nulls(len(rows), pa.binary()) if texts is None else pa.array(texts, pa.binary())], names)
+
         def close(rows):
             rows = sorted(rows, key=_order)
-            runs, own, out, plain = [], [], [], None
+            yield batch_of(rows, texts=[r[2] for r in rows])
+            owner, start, stop, at, hashes, run_of, plain, n_runs = [], [], [], [], [], [], None, 0
             for r in rows:
-                out.append((r[0], r[1], None, None, None, r[2]))
                 same, plain = plain == _order(r), _order(r)
-                if same or not r[3]:           # a repeated row: its twin stands for both
+                if same or not len(r[3][0]):   # a repeated row: its twin stands for both
                     continue
-                anchors = sorted((x["at"] // SPAN, x["at"] // SPAN + x["at"] % SPAN, x["h"]) for x in r[3])
-                for a, b, h in anchors:
-                    if own and own[-1][0] is r and own[-1][2] + 1 == a:
-                        own[-1][2] = b
-                        own[-1][3].append((a, b, h))
-                    else:
-                        own.append([r, a, b, [(a, b, h)]])
-            runs = [r[2][a:b + width] for r, a, b, _ in own]
-            later, at = repeated_windows(runs, width), 0
-            for r, a, b, anchors in own:
-                flags = later[at:at + b - a + 1]
-                at += len(flags)
-                out += [(r[0], r[1], None, int(x) + a, int(y) + a + width, None) for x, y in zip(*_spans(flags))]
-                for x, y, h in anchors:
-                    left = np.flatnonzero(~flags[x - a:y - a + 1])
-                    if len(left):
-                        x, y = x + int(left[0]), x + int(left[-1])
-                        out.append((r[0], r[1], h, x, None, r[2][x:y + width]))
-            return _table(out, names, kinds)
+                order = np.argsort(r[3][0])
+                spots, own = r[3][0][order], r[3][1][order]
+                x, y = spots // SPAN, spots // SPAN + spots % SPAN
+                new = np.concatenate([[True], x[1:] != y[:-1] + 1])
+                first = np.flatnonzero(new)
+                owner += [r] * len(first)
+                start.append(x[first])
+                stop.append(y[np.append(first[1:], len(x)) - 1])
+                at.append(spots)
+                hashes.append(own)
+                run_of.append(np.cumsum(new) - 1 + n_runs)
+                n_runs += len(first)
+            if not owner:
+                return
+            start, stop, at, hashes, run_of = map(np.concatenate, (start, stop, at, hashes, run_of))
+            flags = repeated_windows([r[2][a:b + width] for r, a, b in zip(owner, start.tolist(), stop.tolist())], width)
+            sizes = stop - start + 1
+            piece, x, y = _spans(flags, sizes)
+            yield batch_of([owner[i] for i in piece.tolist()], a=x + start[piece], b=y + start[piece] + width)
+            # of each anchor's strings, what lies between the first and the last that is new here
+            shift = (np.cumsum(sizes) - sizes - start)[run_of]
+            low = at // SPAN + shift
+            high = low + at % SPAN
+            fresh = np.flatnonzero(~flags)
+            i, j = np.searchsorted(fresh, low), np.searchsorted(fresh, high, "right")
+            some = np.flatnonzero(i < j)
+            a, b = fresh[i[some]] - shift[some], fresh[j[some] - 1] - shift[some] + width
+            mine = [owner[k] for k in run_of[some].tolist()]
+            yield batch_of(mine, h=hashes[some], a=a, texts=[r[2][k:m] for r, k, m in zip(mine, a.tolist(), b.tolist())])
 
         rows, size = [], 0
         for part in _slices(batches, SLICE_BYTES // 8):
             rows += part
-            size += sum(x["at"] % SPAN + 1 for r in part for x in r[3] or ()) + sum(len(r[2]) for r in part) // 4
+            size += sum(int((r[3][0] % SPAN + 1).sum()) + len(r[2]) // 4 for r in part)
             if size >= shard_bytes:
-                yield close(rows)
+                yield from close(rows)
                 rows, size = [], 0
         if rows:
-            yield close(rows)
+            yield from close(rows)
 
     step = stash(met.select(*KEY, "text", "anchors").mapInArrow(local, "doc_id long, content long, h long, a long, b long, bytes binary"), "suffix-local")
     strings = step.where("h is not null").drop("b")
@@ -212,14 +239,12 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         key, rows = None, []
 
         def close():
-            later, at, out = repeated_windows([r[3] for r in rows], width), 0, []
-            for doc, text, a, seg in rows:
-                n = len(seg) - width + 1
-                out += [(doc, text, int(x) + a, int(y) + a + width) for x, y in zip(*_spans(later[at:at + n]))]
-                at += n
-            return _table(out, ["doc_id", "content", "a", "b"], kinds[:4])
-
-        for batch in batches:
+            flags = repeated_windows([r[3] for r in rows], width)
+            piece, x, y = _spans(flags, np.array([len(r[3]) - width + 1 for r in rows], np.int64))
+            return _table([(*rows[i][:2], rows[i][2] + a, rows[i][2] + b + width) for i, a, b in zip(piece.tolist(), x.tolist(), y.tolist())],
+                          ["doc_id", "content", "a", "b"], [pa.int64()] * 4)
+
+        for batch in (b.slice(i, 2048) for b in batches for i in range(0, b.num_rows, 2048)):
             for shard, doc, text, a, seg in zip(*(c.to_pylist() for c in batch.columns)):
                 if shard != key:
                     if rows:
@@ -228,6 +253,7 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 rows.append((doc, text, a, seg))
         if rows:
             yield close()
+        release_memory()
 
     cold = (strings.join(loads.where(F.col("size") <= hot_bytes).select("h"), "h", "left_semi")
             .withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
+COMPARED = 1 << 16      # suffixes compared at a time
+
 
 def _by_doubling(s: np.ndarray) -> np.ndarray:
     """Base case of the recursion (few suffixes a symbol): sort by the first
@@ -42,7 +44,7 @@ def _runs(ch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _induce(s, smaller, lms, start, n_large, end):
     """The suffix array when the leftmost-smaller positions come in order."""
-    sa = np.full(len(s), -1, np.int64)
+    sa = np.full(len(s), -1, np.int32)
     used = np.flatnonzero(end > start).tolist()
     cut = np.searchsorted(s[lms], np.arange(len(start) + 1))
 
@@ -85,10 +87,11 @@ def _sort(s: np.ndarray, symbols: int) -> np.ndarray:
     if n < 64 or symbols > n // 256:
         return _by_doubling(s)
     # a suffix is smaller than its successor as decided at the next change
-    change = np.where(s[:-1] != s[1:], np.arange(n - 1), n)
+    change = np.where(s[:-1] != s[1:], np.arange(n - 1, dtype=np.int32), np.int32(n))
     change = np.minimum.accumulate(change[::-1])[::-1]
     smaller = np.append(s[change] < s[change + 1], True)
-    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    lms = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32)
+    del change
     count = np.bincount(s, minlength=symbols)
     end = np.cumsum(count)
     start, n_large = end - count, np.bincount(s[:-1][~smaller[:-1]], minlength=symbols)
@@ -97,7 +100,7 @@ def _sort(s: np.ndarray, symbols: int) -> np.ndarray:
     is_lms[lms] = True
     order = sa[is_lms[sa]]
     # name the leftmost-smaller substrings by order, equal ones alike
-    length = np.zeros(n, np.int64)
+    length = np.zeros(n, np.int32)
     length[lms] = np.diff(np.append(lms, n - 1)) + 1
     a, b = order[:-1], order[1:]
     alike = length[a] == length[b]
@@ -106,12 +109,12 @@ def _sort(s: np.ndarray, symbols: int) -> np.ndarray:
     if len(a):
         size = length[a]
         first = np.cumsum(size) - size
-        inside = np.arange(int(size.sum())) - np.repeat(first, size)
+        inside = np.arange(int(size.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), size)
         equal = s[np.repeat(a, size) + inside] == s[np.repeat(b, size) + inside]
         new[1:][alike] = ~np.logical_and.reduceat(equal, first)
     names = np.cumsum(new) - 1
     if names[-1] + 1 < len(order):
-        name_at = np.empty(n, np.int64)
+        name_at = np.empty(n, np.int32)
         name_at[order] = names
         order = lms[_sort(name_at[lms], int(names[-1]) + 1)]
     return _induce(s, smaller, order, start, n_large, end)
@@ -119,9 +122,10 @@ def _sort(s: np.ndarray, symbols: int) -> np.ndarray:
 
 def suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
     """Suffix array of an array over 0..symbols-1."""
-    ended = np.append(s.astype(np.int64) + 1, 0)
-    if symbols < 1 << 16 - 1:
-        ended = ended.astype(np.uint16)     # sorted by radix
+    # 16 bits are sorted by radix
+    ended = np.zeros(len(s) + 1, np.uint16 if symbols < 1 << 16 - 1 else np.int64)
+    ended[:-1] = s
+    ended[:-1] += 1
     return _sort(ended, symbols + 1)[1:]
 
 
@@ -132,9 +136,9 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
     n, width = len(s), 16
     if not n:
         return np.zeros(0, np.int64)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     own = (at == 0) | (before <= 0)
     own[1:] |= s[:-1] != s[np.maximum(before[1:], 1) - 1]
     i = np.flatnonzero(own)
@@ -143,11 +147,15 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
     windows = np.lib.stride_tricks.sliding_window_view(padded, width)
     live = np.flatnonzero(before[i] >= 0)
     while len(live):
-        p, q = i[live] + size[live], before[i[live]] + size[live]
-        same = (windows[p] == windows[q]) & (windows[p] >= 0)
-        got = np.where(same.all(1), width, np.argmin(same, 1))
-        size[live] += got
-        live = live[got == width]
+        longer = []
+        for part in np.array_split(live, -(-len(live) // COMPARED)):     # bounded tables of symbols
+            p, q = i[part] + size[part], before[i[part]] + size[part]
+            ours = windows[p]
+            same = (ours == windows[q]) & (ours >= 0)
+            got = np.where(same.all(1), width, np.argmin(same, 1))
+            size[part] += got
+            longer.append(part[got == width])
+        live = np.concatenate(longer)
     number = np.cumsum(own) - 1
     return size[number] - (at - i[number])
 
