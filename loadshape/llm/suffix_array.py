@@ -162,7 +162,21 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
 
 def repeated_windows(segments: list[bytes], width: int) -> np.ndarray:
     """Whether each ``width``-byte window of the segments, in order, also
-    starts earlier in them. Windows lie inside one segment."""
+    starts earlier in them. Windows lie inside one segment. Equal segments
+    enter the suffix array once: all windows of the later ones start earlier."""
+    first: dict[bytes, int] = {}
+    for i, segment in enumerate(segments):
+        first.setdefault(segment, i)
+    sizes = np.array([max(0, len(segment) - width + 1) for segment in segments], np.int64)
+    own = np.zeros(len(segments), bool)
+    own[list(first.values())] = True
+    out = np.ones(int(sizes.sum()), bool)
+    out[np.repeat(own, sizes)] = _repeated(list(first), width)
+    return out
+
+
+def _repeated(segments: list[bytes], width: int) -> np.ndarray:
+    """The same for segments that all differ."""
     if not segments:
         return np.zeros(0, bool)
     text = np.zeros(sum(map(len, segments)) + len(segments), np.uint16)

@@ -33,6 +33,7 @@ def test_repeated_windows():
     rng = random.Random(2)
     for _ in range(100):
         segments = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(30))) for _ in range(rng.randrange(8))]
+        segments += rng.choices(segments, k=2) if segments else []
         width, seen, want = rng.choice([1, 3, 7]), set(), []
         for g in segments:
             for i in range(len(g) - width + 1):
