@@ -20,11 +20,11 @@ def _month(col: str = S.START) -> F.Column:
 
 
 def monthly_adoption(tariff: DataFrame) -> DataFrame:
-    """Distinct households per start month: ``month`` (yyyy-MM), ``households``.
+    """Distinct households per start month, by month: ``month`` (yyyy-MM), ``households``.
     No gap filling (months without adoptions are absent)."""
     return (tariff.where(F.col(S.START).isNotNull())
             .groupBy(_month().alias("_m")).agg(F.countDistinct(S.ID).alias("households"))
-            .select(month_label("_m").alias("month"), "households"))
+            .select(month_label("_m").alias("month"), "households").orderBy("month"))
 
 
 def _month_axis(months: DataFrame, col: str = "month") -> DataFrame:

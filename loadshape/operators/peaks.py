@@ -38,12 +38,12 @@ def peaks_long(df: DataFrame, keep: tuple[str, ...] = (S.ID, S.TS, S.PRICE, S.AC
 
 def peak_hour_distribution(df: DataFrame, mode: str = "count") -> DataFrame:
     """Peaks per hour of day (``n_peaks``) or their summed kWh
-    (``peak_consumption``); hours without peaks are absent."""
+    (``peak_consumption``), by hour; hours without peaks are absent."""
     _check_mode(mode)
     p = peaks_long(df).withColumn("hour", F.hour("peak_time").cast("int"))
     if mode == "count":
-        return p.groupBy("hour").agg(F.count(F.lit(1)).alias("n_peaks"))
-    return p.groupBy("hour").agg(F.sum("peak_consumption").alias("peak_consumption"))
+        return p.groupBy("hour").agg(F.count(F.lit(1)).alias("n_peaks")).orderBy("hour")
+    return p.groupBy("hour").agg(F.sum("peak_consumption").alias("peak_consumption")).orderBy("hour")
 
 
 def _hour_cells(mode: str, extra_filter=None) -> list:

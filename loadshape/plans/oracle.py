@@ -350,6 +350,8 @@ _UT = "usage_group || '_' || CAST(tariff_active AS VARCHAR)"
 ORACLE["consumption_by_usage_tariff"] = f"""SELECT TIDPUNKT,
        {_wide_avg(['low_0', 'low_1', 'medium_0', 'medium_1', 'high_0', 'high_1'], _UT)}
 FROM ({MONTHLY_L}) m WHERE price = 'all' GROUP BY TIDPUNKT"""
+ORACLE["consumption_by_usage"] = f"""SELECT TIDPUNKT, {_wide_avg(['low', 'medium', 'high'], 'usage_group')}
+FROM ({MONTHLY_L}) m WHERE price = 'all' GROUP BY TIDPUNKT"""
 ORACLE["adoption_by_usage"] = f"""SELECT g.usage_group, {R('s.share')} AS share
 FROM (VALUES ('low'), ('medium'), ('high')) g(usage_group)
 LEFT JOIN (SELECT usage_group, avg(CAST(tariff_active AS DOUBLE)) AS share
@@ -374,6 +376,9 @@ _LM = f"SELECT *, CAST(month(peak_time) AS INTEGER) AS month, CAST(hour(peak_tim
 ORACLE["peaks_long"] = f"""SELECT aID, TIDPUNKT, price, tariff_active, CAST(rank AS INTEGER) AS rank, peak_time,
        {R('peak_consumption')} AS peak_consumption FROM ({LONG_E}) l"""
 ORACLE["peak_hour_count"] = f"SELECT hour, count(*) AS n_peaks FROM ({_LM}) l GROUP BY hour"
+for _price in ("all", "low"):
+    _of_price = _LM.replace("price = 'high'", f"price = '{_price}'")
+    ORACLE[f"peak_hour_count_{_price}"] = f"SELECT hour, count(*) AS n_peaks FROM ({_of_price}) l GROUP BY hour"
 ORACLE["peak_hour_consumption"] = f"""SELECT hour, {R('sum(peak_consumption)')} AS peak_consumption
 FROM ({_LM}) l GROUP BY hour"""
 

@@ -305,6 +305,13 @@ def q_consumption_by_usage_tariff(spark, sf):
         split_values=[["low", "medium", "high"], [0, 1]], price="all"))
 
 
+@register("consumption_by_usage")
+def q_consumption_by_usage(spark, sf):
+    return rounded(CV.consumption_curve(
+        monthly_l(spark, sf), "top3_mean_consumption", splits=["usage_group"],
+        split_values=[["low", "medium", "high"]], price="all"))
+
+
 @register("adoption_by_usage")
 def q_adoption_by_usage(spark, sf):
     return rounded(CV.adoption_by_usage(monthly_l(spark, sf)))
@@ -324,13 +331,13 @@ def q_event_study_by_plan(spark, sf):
 # ------------------------------------------------------------ peaks
 
 
-def high_peaks(spark, sf):
-    """Monthly top-3 of the hourly stand-in, high-price rows (the study's
-    call). The peak tables read only the peak columns, tariff status and
-    price, so the aggregate is built lazily with just the top-3 method and
-    Catalyst prunes the rest."""
+def high_peaks(spark, sf, price="high"):
+    """Monthly top-3 of the hourly stand-in, rows of one price part (the
+    study's main call takes the high price). The peak tables read only the
+    peak columns, tariff status and price, so the aggregate is built lazily
+    with just the top-3 method and Catalyst prunes the rest."""
     agg = run(meter_e(spark, sf), tariff_e(spark, sf), "month", ["top3_mean"], True)
-    return agg.where(F.col(S.PRICE) == "high")
+    return agg.where(F.col(S.PRICE) == price)
 
 
 @register("peaks_long")
@@ -353,6 +360,16 @@ def q_peak_heatmap_count(spark, sf):
     return PK.peak_heatmap(high_peaks(spark, sf), "count")
 
 
+@register("peak_hour_count_all")
+def q_peak_hour_count_all(spark, sf):
+    return PK.peak_hour_distribution(high_peaks(spark, sf, "all"), "count")
+
+
+@register("peak_hour_count_low")
+def q_peak_hour_count_low(spark, sf):
+    return PK.peak_hour_distribution(high_peaks(spark, sf, "low"), "count")
+
+
 @register("peak_heatmap_consumption")
 def q_peak_heatmap_consumption(spark, sf):
     return rounded(PK.peak_heatmap(high_peaks(spark, sf), "consumption"))
