@@ -17,6 +17,8 @@ from loadshape.llm import exact_dedup, jaccard_join, mixing, packing, toxicity
 from loadshape.llm.common import broadcast_up_to, drop_rows, stash, table
 
 MIX_BROADCAST = 1_000_000
+NEAR_WORDS = 5
+NEAR_SIMILARITY = (80, 100)     # op8's own contract is three words and 0.9
 
 
 def _text():
@@ -39,8 +41,9 @@ def drop_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by links, the one with the smallest id."""
-    found = jaccard_join.jaccard_components(docs)
+    """Of documents joined by links (five-word shingles, similarity 0.8), the
+    one with the smallest id."""
+    found = jaccard_join.jaccard_components(docs, words=NEAR_WORDS, similarity=NEAR_SIMILARITY)
     return drop_rows(docs, found.where("doc_id <> component_id").select("doc_id"), [F.col("doc_id")])
 
 

@@ -65,3 +65,15 @@ def test_stages_against_brute_force(spark, tmp_path):
     got = C.run(spark, folder).collect()
     assert sum(r.length for r in got) == want and len({r.sequence_id for r in got}) == len(got)
     assert {r.doc_id for r in got} == {r[0] for r in mixed}
+
+
+def test_near_copies_of_five_words_go(spark):
+    words = [f"w{i}" for i in range(200)]
+    near, far = list(words), list(words)
+    for k in (40, 80, 120, 160):            # 176 of 216 five-word shingles: 0.815; of three words 186 of 210: 0.886
+        near[k] = "other"
+    for k in (30, 60, 90, 120, 150):        # 171 of 221: 0.774
+        far[k] = "else"
+    rows = [(1, " ".join(words), "en", "a", 1), (2, " ".join(near), "en", "a", 1), (3, " ".join(far), "en", "a", 1)]
+    left = C.drop_near(spark, spark.createDataFrame(rows, COLUMNS), "")
+    assert sorted(r.doc_id for r in left.collect()) == [1, 3]
