@@ -12,6 +12,9 @@ the same person as the full name.
 Distinct entities keep distinct surrogates: all entities of the corpus are
 gathered once, and where two share a surrogate, or a surrogate is itself an
 entity of the corpus, all but the smallest try the next one until no two agree.
+The surrogates of mail addresses, names, phone numbers, social security numbers
+and secrets get longer with the attempts, so the search ends however many
+entities share a shape; the other kinds have 2 ** 32 surrogates and more.
 Only these exceptions travel back to the documents.
 
 Defined cases: a null or empty text stays as it is (null becomes empty) with no
@@ -33,7 +36,6 @@ from .common import broadcast_up_to, stash, table, two_columns
 from .tokens import text_slices
 
 KEY = b"replace this key"        # callers pass their own
-MAX_ATTEMPTS = 50
 EXCEPTIONS_BROADCAST = 500_000
 SLICE_CHARS = 4_000_000
 
@@ -87,6 +89,14 @@ def _shaped(text: str, s: Stream) -> str:
     return "".join(out)
 
 
+def _letters(n: int, s: Stream) -> str:
+    return "".join(chr(97 + s.below(26)) for _ in range(n))
+
+
+def _digits(n: int, s: Stream) -> str:
+    return "".join(str(s.below(10)) for _ in range(n))
+
+
 def _check_digit_holds(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -99,7 +109,7 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
     """The ``attempt``-th surrogate of an entity."""
     s = Stream(key, kind, entity, attempt)
     if kind == "email":
-        return _shaped(entity.split("@")[0], s) + f"@mail{s.below(10)}.example.org"
+        return _shaped(entity.split("@")[0], s) + _letters(attempt, s) + f"@mail{s.below(10)}.example.org"
     if kind == "ip":
         return ".".join(str(s.below(256)) for _ in range(4))
     if kind == "card":
@@ -109,7 +119,7 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
         return out
     if kind == "phone" and entity.startswith("+"):
         code = re.match(r"\+\d{1,3}", entity)[0]
-        return code + _shaped(entity[len(code):], s)
+        return code + _shaped(entity[len(code):], s) + _digits(attempt // 4, s)
     if kind == "iban":
         return entity[:2] + _shaped(entity[2:], s)
     if kind.startswith("name"):
@@ -117,7 +127,8 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
         parts = _CYRILLIC if script == "cyrillic" else _LATIN
         n = 2 + min(2, len(entity) // 5) + attempt // 8
         return ("".join(parts[s.below(16)] for _ in range(n)) + _ENDING[script, kind[5:]]).capitalize()
-    return _shaped(entity, s)
+    more = {"phone": _digits, "ssn": _digits, "secret": _letters}.get(kind)
+    return _shaped(entity, s) + (more(attempt // 4, s) if more else "")
 
 
 def mentions(text: str):
@@ -163,7 +174,7 @@ def resolve(found: DataFrame, key: bytes = KEY) -> DataFrame:
     shape = "kind string, entity string, attempt int, surrogate string"
     real = found.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("taken"))
     now = stash(found.withColumn("attempt", F.lit(0)).mapInArrow(draw, shape), "surrogates")
-    for _ in range(MAX_ATTEMPTS):
+    while True:
         owners = now.groupBy("kind", "surrogate").agg(F.min("entity").alias("owner"), F.count("*").alias("n"))
         owners = owners.join(real, ["kind", "surrogate"], "left").where("n > 1 or taken")
         owners = stash(owners, "clashes")
@@ -173,7 +184,6 @@ def resolve(found: DataFrame, key: bytes = KEY) -> DataFrame:
             "again", F.coalesce(F.col("taken") | (F.col("entity") != F.col("owner")), F.lit(False)) & F.col("owner").isNotNull())
         again = judged.where("again").select("kind", "entity", (F.col("attempt") + 1).alias("attempt")).mapInArrow(draw, shape)
         now = stash(judged.where("not again").select(*now.columns).unionByName(again), "surrogates")
-    raise RuntimeError("too few surrogates for the distinct entities of a kind")
 
 
 def replace_private(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY) -> DataFrame:

@@ -98,3 +98,11 @@ def test_surrogates_rarely_clash(kind):
     sample = {"card": "4111111111{:06d}", "ip": "10.1.{}.7", "email": "user{}@corp.com", "name-m": "John{}"}[kind]
     out = [P.surrogate(kind, sample.format(i)) for i in range(200)]
     assert len(set(out)) > 190
+
+
+def test_many_short_addresses_get_distinct_surrogates(spark):
+    found = spark.createDataFrame([("email", f"1@a{i}.com") for i in range(300)] + [("phone", f"+1 00 {i:02}") for i in range(100)]
+                                  + [("secret", "_" * 16)], "kind string, entity string")
+    rows = P.resolve(found).collect()
+    assert len(rows) == 401 == len({(r.kind, r.surrogate) for r in rows})
+    assert not {r.surrogate for r in rows} & {r.entity for r in rows}
