@@ -9,6 +9,12 @@ The replacement is a function of a secret key and the entity alone, so the same
 entity gets the same surrogate in every document, and a surname alone refers to
 the same person as the full name.
 
+A person is found behind a title, or as a given name of ``GIVEN`` before a
+surname; every further mention of a found name part in the same document, with
+or without a title, is replaced by the same surrogate. Key words (``password``
+and the like) count in any case. Not found: persons with neither a title nor a
+listed given name, and names of one word without a title.
+
 Distinct entities keep distinct surrogates: all entities of the corpus are
 gathered once, and where two share a surrogate, or a surrogate is itself an
 entity of the corpus, all but the smallest try the next one until no two agree.
@@ -27,6 +33,7 @@ from __future__ import annotations
 
 import hmac
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,10 +58,26 @@ PATTERN = re.compile(
     r"|(?<![\w])(?P<card>\d(?:[ -]?\d){12,18})(?![\w])"
     r"|(?<![\w])(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5})(?![\w])"
     r"|(?<![\w])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?![\w])"
-    r"|(?:token|secret|password|passwd|api[_-]?key)\s*[=:]\s*[\"']?(?P<secret>[A-Za-z0-9_+/-]{16,})"
+    r"|(?<![\w.+-])(?P<grouped>(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}|0\d(?:[ .-]\d{2}){4}|00[1-9]\d{0,2}(?:[ .-]\d{2,8}){2,5}"
+    r"|(?=(?:\d[ /-]?){8})0\d{1,4}[ /-]\d{3,8}(?:[ -]\d{2,8}){0,3})(?!\w|[.-]\d)"
+    r"|(?i:token|secret|password|passwd|api[_-]?key)[\"']?\s*[=:]\s*[\"']?(?P<secret>[A-Za-z0-9_+/-]{16,})"
     rf"|(?<![\w])(?:(?P<male>{MALE})|(?P<female>{FEMALE})|{OPEN})\.? (?P<person>{NAME}(?: {NAME})?)")
 # what a text needs to hold any of them: a digit, "@", a key word or a title
-HINT = re.compile(rf"\d|@|token|secret|passw|api|(?:{MALE}|{FEMALE}|{OPEN})[. ]")
+HINT = re.compile(rf"\d|@|(?i:token|secret|passw|api)|(?:{MALE}|{FEMALE}|{OPEN})[. ]")
+# given names that are no common words or places, with the gender they tell
+GIVEN = dict.fromkeys(
+    "James John Robert Michael William David Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Steven Paul Andrew Joshua "
+    "Kenneth Kevin Brian George Timothy Ronald Edward Jason Jeffrey Ryan Jacob Nicholas Eric Jonathan Stephen Larry Justin Scott Brandon "
+    "Benjamin Samuel Gregory Alexander Patrick Dennis Tyler Aaron Adam Henry Nathan Peter Zachary Kyle Noah Ethan Walter Hans Klaus Jürgen "
+    "Wolfgang Dieter Stefan Andreas Markus Matthias Jan Lukas Felix Pierre Jean Jacques Michel Philippe Carlos José Juan Luis Miguel Pedro "
+    "Antonio Manuel Marco Giovanni Giuseppe Paolo Ivan Dmitri Sergei Ahmed Mohammed Muhammad Omar Ali Hassan Raj Arjun Wei "
+    "Иван Сергей Дмитрий Алексей Андрей Михаил Николай Пётр Владимир Борис".split(), "m") | dict.fromkeys(
+    "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Betty Margaret Sandra Ashley Kimberly Emily Donna "
+    "Michelle Carol Amanda Dorothy Melissa Deborah Stephanie Rebecca Sharon Laura Cynthia Kathleen Amy Angela Shirley Anna Ann Anne Brenda "
+    "Pamela Emma Nicole Helen Samantha Katherine Christine Rachel Carolyn Janet Catherine Maria Heather Diane Ruth Julie Olivia Joyce Alice "
+    "Jane Julia Sophie Sophia Claire Marie Nathalie Isabelle Sabine Petra Monika Ursula Ingrid Heike Lena Carmen Lucía Ana Elena Giulia "
+    "Fatima Aisha Priya Olga Natasha Irina Анна Мария Елена Ольга Наталья Ирина Татьяна Екатерина".split(), "f")
+RUN = re.compile(rf"{NAME}(?: {NAME})*")
 KINDS = ("email", "ip", "ssn", "card", "phone", "iban", "secret", "person")
 
 _LATIN = ["ba", "le", "mi", "no", "ru", "sa", "te", "vo", "ka", "di", "fe", "gu", "ha", "jo", "pi", "ze"]
@@ -131,22 +154,68 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
     return _shaped(entity, s) + (more(attempt // 4, s) if more else "")
 
 
-def mentions(text: str):
-    """(start, end, kind, entity) of what is replaced, in order; a person's
-    parts are entities of their own (the last one is the surname)."""
-    if not HINT.search(text):
-        return
+def _direct(text: str):
+    """The mentions that show by their own form or a title."""
     for m in PATTERN.finditer(text):
         kind = m.lastgroup
         if m["person"] is None:
-            yield m.start(kind), m.end(kind), kind, m[kind]
+            yield m.start(kind), m.end(kind), "phone" if kind == "grouped" else kind, m[kind]
             continue
         gender = "m" if m["male"] else "f" if m["female"] else ""
         at = m.start("person")
         parts = m["person"].split(" ")
         for k, part in enumerate(parts):
-            yield at, at + len(part), "name-" + (gender if k < len(parts) - 1 else ""), part
+            yield at, at + len(part), "name-" + ((gender or GIVEN.get(part, "")) if k < len(parts) - 1 else ""), part
+            at += len(part) + 1
+
+
+def _capitalised(text: str) -> list[list[tuple[int, str]]]:
+    """Runs of capitalised whole words, one blank apart, with their places."""
+    runs = []
+    for m in RUN.finditer(text):
+        at, run = m.start(), []
+        for part in m[0].split(" "):
+            run.append((at, part))
             at += len(part) + 1
+        # the ends of a longer word are no names
+        if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"):
+            del run[0]
+        if run and m.end() < len(text) and (text[m.end()].isalnum() or text[m.end()] == "_"):
+            del run[-1]
+        if run:
+            runs.append(run)
+    return runs
+
+
+def mentions(text: str):
+    """(start, end, kind, entity) of what is replaced, in order; a person's
+    parts are entities of their own (the last one is the surname), wherever
+    they stand in the text."""
+    found = list(_direct(text)) if HINT.search(text) else []
+    names: dict[str, str] = {}
+    for _, _, kind, entity in found:
+        if kind.startswith("name"):
+            names.setdefault(entity, kind)
+    runs = _capitalised(text)
+    for run in runs:
+        given = False
+        for k, (_, part) in enumerate(run):
+            if part in GIVEN and k < len(run) - 1:
+                names.setdefault(part, "name-" + GIVEN[part])
+                given = True
+            elif given:
+                names.setdefault(part, "name-")
+                given = False
+    if names:
+        starts = [m[0] for m in found]
+        for run in runs:
+            for at, part in run:
+                if part in names:
+                    k = bisect_left(starts, at + len(part))
+                    if not k or found[k - 1][1] <= at:
+                        found.append((at, at + len(part), names[part], part))
+        found.sort()
+    yield from found
 
 
 def entities(docs: DataFrame) -> DataFrame:

@@ -106,3 +106,20 @@ def test_many_short_addresses_get_distinct_surrogates(spark):
     rows = P.resolve(found).collect()
     assert len(rows) == 401 == len({(r.kind, r.surrogate) for r in rows})
     assert not {r.surrogate for r in rows} & {r.entity for r in rows}
+
+
+def test_untitled_names_grouped_phones_and_key_words():
+    def found(text):
+        return [(kind, entity) for _, _, kind, entity in P.mentions(text)]
+
+    smith = [("name-m", "John"), ("name-", "Smith")]
+    assert found("Mr John Smith met Ann Lee. Smith said, and Lee too; Blacksmith, Smithson") == [
+        *smith, ("name-f", "Ann"), ("name-", "Lee"), ("name-", "Smith"), ("name-", "Lee")]
+    assert found("Smith came. Then Mary Ann Lee and Mr Smith") == [
+        ("name-", "Smith"), ("name-f", "Mary"), ("name-f", "Ann"), ("name-", "Lee"), ("name-", "Smith")]
+    assert found("John came to Berlin City") == []
+    for phone in ("555-123-4567", "030 5551234", "555.123.4567", "06 12 34 56 78", "0049 30 555123"):
+        assert found(f"call {phone}, now") == [("phone", phone)]
+    assert found("on 2024-01-15 or 01-02-2024, 0.123456 of 01.2024; 12 345 678, 192-168-1") == []
+    for text in ("API_KEY=abcdef0123456789abcd", "Password: abcdef0123456789abcd", 'x "Token": "abcdef0123456789abcd"'):
+        assert found(text) == [("secret", "abcdef0123456789abcd")]
