@@ -9,9 +9,10 @@ of the two log-likelihoods per character, in all and counting only what words
 have above a few levels (so that many faint words do not drown a clear one); a
 logistic curve turns it into a score.
 
-Training counts all labelled rows that are not held out, less every fourth:
-those, some ``CALIBRATION_ROWS`` of them by the hash of their id, fit the few numbers
-of the logistic curve (a documented bound; the counts have none). The model is
+Training counts all labelled rows that are not held out, less those that fit the
+few numbers of the logistic curve: every fourth, or some ``CALIBRATION_ROWS`` of
+them by the hash of their id if there are more (a documented bound; the counts
+have none). The model is
 broadcast as tables of ``SLOTS`` hashed slots, so its size is fixed.
 
 Defined cases: a null or empty text has no evidence either way and gets the
@@ -236,14 +237,15 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     known = two_columns(documents, id_col, text_col).join(broadcast_up_to(marks, LABEL_ROWS_BROADCAST), "doc_id")
     for_curve = F.crc32(F.concat(F.lit("curve "), F.col("doc_id").cast("string"))) % 4 == 0
-    counted = stash(count_grams(known.where(~for_curve)), "toxic-grams")
+    # of every fourth row some CALIBRATION_ROWS fit the curve; the counts read all others
+    share = CALIBRATION_ROWS / max(1, marks.where(for_curve).count())
+    fits = for_curve & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1, share) * (1 << 30)))
+    counted = stash(count_grams(known.where(~fits)), "toxic-grams")
     rows = slot_tables(counted).toArrow()
     if not (rows["a"].to_numpy()[rows["kind"].to_numpy() == ORDER].sum() and rows["b"].to_numpy()[rows["kind"].to_numpy() == ORDER].sum()):
         return None
     model = Model(rows)
-    share = CALIBRATION_ROWS / max(1, marks.where(for_curve).count())
-    few = known.where(for_curve & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1, share) * (1 << 30))))
-    seen = evidence(few, model, "toxic").toArrow()
+    seen = evidence(known.where(fits), model, "toxic").toArrow()
     return model, fit_curve(np.stack([seen[c].to_numpy() for c in EVIDENCE]), seen["toxic"].to_numpy().astype(float))
 
 

@@ -72,3 +72,19 @@ def test_edges(judged, spark):
     only = T.score(d, T.train(d, lab.where("toxic = 0"))).collect()
     assert {r.score for r in only} == {0.0}
     assert T.score(d.limit(0), T.train(d, lab)).count() == 0
+
+
+def test_counts_read_all_rows_that_do_not_fit_the_curve(spark, monkeypatch):
+    rows = [(i, f"plain{i:04} grub" if i % 2 else f"plain{i:04} calm") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    learned = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    quarter = [i for i in learned if zlib.crc32(f"curve {i}".encode()) % 4 == 0]
+    seen = []
+    real = T.count_grams
+    monkeypatch.setattr(T, "count_grams", lambda known: (seen.append({r.doc_id for r in known.collect()}), real(known))[1])
+    T.train(d, lab)
+    assert seen[0] == set(learned) - set(quarter)
+    monkeypatch.setattr(T, "CALIBRATION_ROWS", len(quarter) // 2)
+    T.train(d, lab)
+    assert seen[0] < seen[1] < set(learned) and len(seen[1] & set(quarter)) > len(quarter) // 4
