@@ -2,11 +2,19 @@
 
 A line is cut into tokens. The tree has a fixed depth: the number of tokens,
 then the first ``DEPTH`` tokens, with tokens that hold a digit read as a
-variable field. A leaf gathers the lines that agree on these; the leaf's
-template keeps the token of a place where at least ``AGREE`` percent of its
-distinct lines have it, and a variable field elsewhere, so fields that vary
-without digits are generalised too. A line follows its leaf's template if at
-least ``SIMILAR`` percent of its tokens are the template's.
+variable field. A leaf gathers the lines that agree on these; its template
+keeps the token of a place where more than ``AGREE`` percent of its distinct
+lines have it, and a variable field elsewhere, so fields that vary without
+digits are generalised too. A line follows the template if at least ``SIMILAR``
+percent of all its tokens and ``AGREE`` percent of those behind the leading ones
+are the template's.
+
+A leaf has as many templates as it needs: lines that do not follow its first one
+are split by the token (in the next rounds the two, four, eight ... tokens) that
+most of the remaining lines have in the same place, and each part votes again.
+A line that follows no template of several lines is a template of its own, so
+a line that recurs as it stands is always found; lines with one token behind the
+leading ones need to be equal.
 
 Templates met in ``MIN_DOCS`` or more documents are recurring. Of all lines
 that follow one, the first (smallest id, then first in the text) stays and the
@@ -24,7 +32,7 @@ gives no rows; columns besides id and text are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_SPLIT, broadcast_up_to, stash, table, two_columns
@@ -60,27 +68,55 @@ def _masked(t):
     return F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t)
 
 
+def _split(rest: DataFrame, n_tokens: int) -> DataFrame:
+    """``rest`` with its parts split by the ``n_tokens`` tokens of each line
+    that most lines of its part share. Left out are lines that share too few to
+    follow any template, and those whose last part knew all that they share."""
+    shared = Window.partitionBy("part", "place", "token")
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "place", "token")))
+    enough = (100 * F.size("ranked") >= AGREE * F.col("size")) & (2 * F.size("ranked") > F.lit(n_tokens if n_tokens > 1 else 0))
+    child = (rest.select("leaf", "part", "line_hash", F.size("tail").alias("size"), F.posexplode("tail").alias("place", "token"))
+             .withColumn("n", F.count("*").over(shared)).where("n > 1")
+             .groupBy("leaf", "part", "line_hash", "size").agg(ranked.alias("ranked")).where(enough)
+             .withColumn("best", F.slice("ranked", 1, n_tokens))
+             .select("leaf", "line_hash", F.xxhash64("part", F.sort_array(F.transform("best", lambda x: F.struct(x["place"], x["token"])))).alias("part")))
+    return rest.drop("part").join(child, ["leaf", "line_hash"])
+
+
 def templates(lines: DataFrame) -> DataFrame:
-    """(leaf, line_hash, template) of the distinct lines that follow their
-    leaf's template, in leaves met by more than one document."""
+    """(leaf, line_hash, template) of the distinct lines in leaves met by more
+    than one document; the template is a number."""
     busy = stash(lines.groupBy("leaf").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("leaf"), "leaves")
     some = lines.join(broadcast_up_to(busy, LEAVES_BROADCAST), "leaf", "left_semi").select("leaf", "line_hash", "line").distinct()
     some = stash(some, "leaf-lines")
     sizes = some.groupBy("leaf").agg(F.count("*").alias("n_lines"))
-    some = stash(some.join(sizes, "leaf").withColumn("tokens", _tokens(F.col("line"))).drop("line"), "leaf-tokens")
-    # most leaves hold one line, met again and again: it is the template
-    alone = some.where("n_lines = 1").select("leaf", "line_hash", F.array_join(F.transform("tokens", _masked), " ").alias("template"))
-    several = some.where("n_lines > 1")
-    votes = (several.select("leaf", "n_lines", F.posexplode("tokens").alias("place", "token")).where(~F.col("token").rlike("[0-9]"))
-             .groupBy("leaf", "n_lines", "place", "token").agg(F.count("*").alias("n"))
-             .where(100 * F.col("n") >= AGREE * F.col("n_lines"))
-             .groupBy("leaf", "place").agg(F.max(F.struct("n", "token")).alias("best"))
-             .groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("place", F.col("best.token")))).alias("fixed")))
-    fixed = several.join(votes, "leaf")
-    hits = F.size(F.filter("tokens", lambda t, k: t.eqNullSafe(F.col("fixed")[k]) | (t.rlike("[0-9]") & F.col("fixed")[k].isNull())))
-    follows = fixed.where(100 * hits >= SIMILAR * F.size("tokens")).select(
-        "leaf", "line_hash", F.array_join(F.transform("tokens", lambda t, k: F.coalesce(F.col("fixed")[k], F.lit("<*>"))), " ").alias("template"))
-    return stash(alone.unionByName(follows), "templates")
+    # the leaf fixes the leading tokens
+    tail = F.transform(F.slice(_tokens(F.col("line")), DEPTH + 1, 1 << 30), _masked)
+    some = stash(some.join(sizes, "leaf").withColumn("tail", tail).drop("line"), "leaf-tokens")
+    own = some.select("leaf", "line_hash", F.xxhash64("leaf", "tail").alias("template"))
+    rest = some.where("n_lines > 1").select("leaf", "line_hash", "tail", F.col("leaf").alias("part"))
+    follows, n_tokens = None, 1
+    while True:
+        votes = (rest.select("part", F.posexplode("tail").alias("place", "token"))
+                 .groupBy("part", "place", "token").agg(F.count("*").alias("n"))
+                 .groupBy("part", "place").agg(F.max(F.struct("n", "token")).alias("best"), F.sum("n").alias("n_lines"))
+                 .where((F.col("n_lines") > 1) & (100 * F.col("best.n") > AGREE * F.col("n_lines")))
+                 .groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("place", F.col("best.token")))).alias("fixed")))
+        hits = F.size(F.filter("tail", lambda t, k: F.coalesce(t == F.col("fixed")[k], F.lit(False))))
+        size = F.size("tail")
+        close = (100 * (hits + DEPTH) >= SIMILAR * (size + DEPTH)) & (100 * hits >= AGREE * size)
+        judged = rest.join(votes, "part", "left").select(
+            "leaf", "line_hash", "tail", "part", F.when(F.col("fixed").isNotNull() & close, F.xxhash64(
+                "leaf", F.transform("tail", lambda t, k: F.coalesce(F.col("fixed")[k], F.lit("<*>"))))).alias("template"))
+        judged = stash(judged, "leaf-votes")
+        found = judged.where("template is not null").select("leaf", "line_hash", "template")
+        follows = found if follows is None else follows.unionByName(found)
+        rest = stash(_split(judged.where("template is null").drop("template"), n_tokens), "leaf-parts")
+        if not rest.limit(1).count():
+            break
+        n_tokens *= 2
+    own = own.join(follows.withColumnRenamed("template", "followed"), ["leaf", "line_hash"], "left")
+    return stash(own.select("leaf", "line_hash", F.coalesce("followed", "template").alias("template")), "templates")
 
 
 def drop_templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,11 +128,11 @@ def drop_templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                   .select("doc_id", "doc", "at", "leaf", F.xxhash64("line").alias("line_hash"), "line"), "lines")
     follows = templates(lines).toDF("_leaf", "_line", "template")
     met = lines.join(broadcast_up_to(follows, LEAVES_BROADCAST), (F.col("leaf") == F.col("_leaf")) & (F.col("line_hash") == F.col("_line")))
-    met = stash(met.select("doc_id", "doc", "at", "leaf"), "template-lines")
+    met = stash(met.select("doc_id", "doc", "at", "template"), "template-lines")
     place = F.struct(F.col("doc_id"), "doc", "at")
-    recurring = (met.groupBy("leaf", "doc").agg(F.min(place).alias("first"))
-                 .groupBy("leaf").agg(F.count("*").alias("n_docs"), F.min("first").alias("first")).where(F.col("n_docs") >= MIN_DOCS))
-    gone = (met.join(recurring, "leaf").where(place != F.col("first"))
+    recurring = (met.groupBy("template", "doc").agg(F.min(place).alias("first"))
+                 .groupBy("template").agg(F.count("*").alias("n_docs"), F.min("first").alias("first")).where(F.col("n_docs") >= MIN_DOCS))
+    gone = (met.join(recurring, "template").where(place != F.col("first"))
             .groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("dropped")))
     docs = two_columns(df, id_col, text_col).withColumn("doc", F.xxhash64("doc_id", "text"))
     out = docs.join(gone, "doc", "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))

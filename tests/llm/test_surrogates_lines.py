@@ -123,3 +123,17 @@ def test_untitled_names_grouped_phones_and_key_words():
     assert found("on 2024-01-15 or 01-02-2024, 0.123456 of 01.2024; 12 345 678, 192-168-1") == []
     for text in ("API_KEY=abcdef0123456789abcd", "Password: abcdef0123456789abcd", 'x "Token": "abcdef0123456789abcd"'):
         assert found(text) == [("secret", "abcdef0123456789abcd")]
+
+
+def test_a_leaf_has_several_templates(spark):
+    def line(*tail):
+        return " ".join(["we use cookies", *tail])
+
+    same = line(*(f"s{chr(97 + k)}" for k in range(17)))
+    alone = [line(*(f"{x}{chr(97 + k)}" for k in range(17))) for x in "pqr"]
+    vary = [line(*(f"t{chr(97 + k)}" for k in range(14)), *(f"{x}{c}" for c in "abc")) for x in "uvw"]
+    two = ["all of it x y"] * 4 + ["all of it z w"] * 4             # two recurring lines, nothing in common behind the lead
+    short = ["all rights reserved here", "all rights reserved there", "all rights reserved nowhere"]
+    texts = [same] * 5 + alone + vary + two + short
+    got = {r.doc_id: r.n_dropped for r in L.drop_templates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [0, 1, 1, 1, 1] + [0] * 3 + [0, 1, 1] + [0, 1, 1, 1] * 2 + [0] * 3
