@@ -5,7 +5,9 @@ Each source's documents are dealt into blocks by a keyed hash of their id and
 text; a block is some ``BLOCK_WORDS`` words. The target of a source says how
 many whole passes over it the mix takes and how many words more. For the rest
 the blocks, in a keyed random order, are taken while they fit, and from the
-next block its documents in keyed order. Which output shard gets which block:
+next block its documents in keyed order; then, of all documents left over, those
+that still fit, so the mix is short of a target only by less than the smallest
+document left. The last ones go to shards by a keyed hash. Which output shard gets which block:
 the root of a binary tree holds every source's block quota, and each node hands
 a multivariate-hypergeometric draw of its blocks to its left half, so shards
 are random, disjoint and of equal size. A shard numbers its blocks by drawing
@@ -133,12 +135,46 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     cut = (picked.where("before is not null").withColumn("_to", upto)
            .withColumn("shards", F.when(F.col("_to") <= F.col("rest"), F.array_append("shards", F.col("cut_shard"))).otherwise(F.col("shards")))
            .drop("_to"))
+    rows = _fill(stash(picked.where("before is null").unionByName(cut).withColumn("_row", F.monotonically_increasing_id()), "mix-rows"), shards, seed)
     copies = F.size("shards")
-    return picked.where("before is null").unionByName(cut).select(
+    return rows.select(
         "doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
         (copies * F.col("size")).cast("long").alias("taken"), "shards", "content")
 
 
+def _fill(rows: DataFrame, shards: int, seed: int) -> DataFrame:
+    """``rows`` with the partial passes filled up: of the documents they left,
+    in keyed order, all that fit, skipping those larger than what is left. Each
+    round takes documents up to the first that does not fit; it ends when no
+    document of any source fits."""
+    spark = rows.sparkSession
+    last = F.size("shards") > F.col("passes")
+    left = {r[0]: r[1] for r in rows.groupBy("number").agg(F.max("rest") - F.coalesce(F.sum(F.when(last, F.col("size"))), F.lit(0))).collect()}
+    order = F.pmod(_key(seed + 3, "doc_id", "content"), F.lit(1 << 40))
+    open_ = rows.where(~last & (F.col("size") > 0)).select("_row", "number", "size", order.alias("order"))
+    filled = None
+    while left:
+        room = spark.createDataFrame(list(left.items()), "number int, room long")
+        open_ = stash(open_.join(F.broadcast(room), "number").where("size <= room").withColumn("slice", F.shiftright("order", 28)), "mix-open")
+        if not open_.limit(1).count():
+            break
+        by_slice = Window.partitionBy("number").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+        slices = (open_.groupBy("number", "slice").agg(F.sum("size").alias("w"))
+                  .select("number", "slice", F.coalesce(F.sum("w").over(by_slice), F.lit(0)).alias("w")))
+        inside = Window.partitionBy("number", "slice").orderBy("order", "_row").rowsBetween(Window.unboundedPreceding, 0)
+        got = stash(open_.join(slices, ["number", "slice"]).where("w < room").withColumn("upto", F.col("w") + F.sum("size").over(inside))
+                    .where("upto <= room").select("_row", "number", "size", "order"), "mix-filled")
+        for r in got.groupBy("number").agg(F.sum("size").alias("size")).collect():
+            left[r["number"]] -= r["size"]
+        filled = got if filled is None else filled.unionByName(got)
+        open_ = open_.join(got.select("_row"), "_row", "left_anti").drop("room", "slice")
+    if filled is None:
+        return rows
+    extra = filled.select("_row", F.pmod(F.col("order"), F.lit(shards)).cast("int").alias("_extra"))
+    return rows.join(extra, "_row", "left").withColumn(
+        "shards", F.when(F.col("_extra").isNotNull(), F.array_append("shards", F.col("_extra"))).otherwise(F.col("shards")))
+
+
 def _take_blocks(placed: DataFrame, seed: int) -> DataFrame:
     """(number, block, pass, words, before, rank, cut): the blocks each pass
     over a source takes, with their rank and the words before them in the

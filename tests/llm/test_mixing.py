@@ -60,3 +60,14 @@ def test_mix_empty(spark):
     assert M.mix(df).count() == 0
     one = spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string")
     assert [(r.taken, r.target) for r in M.mix(one).collect()] == [(0, 0.0)]
+
+
+def test_a_dominant_document_leaves_no_gap(spark):
+    # 700 documents of 1 to 19 words and one that holds about 30 % of the source
+    rows = [(i, "w " * (1 + i % 19), "a") for i in range(700)] + [(1000, "w " * 3000, "a"), (1001, "w " * 10000, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in (1, 2):
+        got = M.mix(df, weights=(1, 10), share=0.5, block_words=500, seed=seed).where("source = 'a'").collect()
+        assert 0 <= got[0].target - sum(r.taken for r in got) < 1
+    wide = M.mix(df, weights=(3, 1), share=0.9, block_words=500, seed=3).where("source = 'a'").collect()
+    assert 0 <= wide[0].target - sum(r.taken for r in wide) < 1
