@@ -11,7 +11,8 @@ document left. The last ones go to shards by a keyed hash. Which output shard ge
 the root of a binary tree holds every source's block quota, and each node hands
 a multivariate-hypergeometric draw of its blocks to its left half, so shards
 are random, disjoint and of equal size. A shard numbers its blocks by drawing
-from each source's permuted list and shuffles its documents locally.
+from each source's permuted list; the order of the documents inside a shard (the
+method's local shuffle) is left to whoever writes the shards.
 
 Whole passes deal their blocks to shards in the same way.
 
