@@ -1,4 +1,3 @@
-import datetime as dt
 import os
 import sys
 
@@ -10,6 +9,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from loadshape import schemas as S  # noqa: E402
 from loadshape.session import ensure_checkpoint_dir  # noqa: E402
+from study_values import d, ts  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -25,14 +25,6 @@ def spark():
     yield s
 
 
-def ts(text: str) -> dt.datetime:
-    return dt.datetime.fromisoformat(text)
-
-
-def d(text: str) -> dt.date:
-    return dt.date.fromisoformat(text)
-
-
 @pytest.fixture
 def meter_df(spark):
     """Build a canonical meter DataFrame from (id, 'YYYY-MM-DD HH:MM', kWh) tuples."""

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import d
+from study_values import d
 from loadshape.operators import adoption as AD
 from loadshape.operators import curves as CV
 

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import ts
+from study_values import ts
 from loadshape.operators import aggregate as A
 
 

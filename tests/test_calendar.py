@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import d, ts
+from study_values import d, ts
 from loadshape.functions.calendar import event_time, period_key, price_label
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import d
+from study_values import d
 from loadshape.operators import balance as BL
 from loadshape.operators import matching as MT
 from loadshape.operators import profiles as PR

@@ -2,7 +2,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import d, ts
+from study_values import d, ts
 from loadshape.functions.stats import exact_quantiles
 from loadshape.operators.tariff import dedup_tariff, join_tariff, normalize_tariff, tariff_info
 from loadshape.operators.usage import usage_from_totals
