@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, jaccard_join, line_templates, merkle, mixing, packing, quality_rules, substring_dedup, surrogates, token_file, toxicity
+from . import collocations, decontamination, exact_dedup, jaccard_join, line_templates, merkle, mixing, packing, quality_rules, substring_dedup, surrogates, token_file, toxicity
 
 QUERIES = {
     "op1_suffix_array_dedup": substring_dedup.op1_suffix_array_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_pii_surrogates": surrogates.op9_pii_surrogates,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_collocations": collocations.op11_collocations,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
     "op13_decontamination": decontamination.op13_decontamination,
 }
@@ -23,6 +24,7 @@ ORACLE = {
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op8_jaccard_join": jaccard_join.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "op11_collocations": collocations.ORACLE,
     "op12_merkle_manifest": merkle.ORACLE,
     "op13_decontamination": decontamination.ORACLE,
 }
