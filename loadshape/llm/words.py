@@ -7,8 +7,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
+LOWER = bytes(range(256)).lower()
 WORD, BLANK, CUT = 0, 1, 2
 
 
@@ -19,26 +18,41 @@ class Words(NamedTuple):
     ends: np.ndarray            # places before each text's end, with a 0 before
 
 
-def byte_kinds(blank: bytes, cut: bytes = b"") -> np.ndarray:
+def byte_kinds(blank: bytes, cut: bytes = b"") -> bytes:
     """The kind of each byte: BLANK ones end a word, CUT ones a piece too."""
-    kinds = np.zeros(256, np.uint8)
-    kinds[np.frombuffer(blank, np.uint8)] = BLANK
-    kinds[np.frombuffer(cut, np.uint8)] = CUT
-    return kinds
+    kinds = bytearray(256)
+    for b in blank:
+        kinds[b] = BLANK
+    for b in cut:
+        kinds[b] = CUT
+    return bytes(kinds)
 
 
-def cut_words(texts: list[str], kinds: np.ndarray) -> Words:
+def cut_words(texts: list[str], kinds: bytes) -> Words:
     """The words of ``texts`` with A-Z in lower case."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    data = LOWER[np.frombuffer(b"\n" + b"\n".join(raw) + b"\n", np.uint8)]
-    kind = kinds[data]
+    lowered = (b"\n" + b"\n".join(raw) + b"\n").translate(LOWER)
+    data, kind = np.frombuffer(lowered, np.uint8), np.frombuffer(bytearray(lowered.translate(kinds)), np.uint8)
     joints = np.cumsum([0, *(len(r) + 1 for r in raw)])
     kind[joints] = CUT
     inside = kind == WORD
-    edge = np.diff(inside.view(np.int8))
-    first, last = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    first, last = edge[::2], edge[1::2]
     offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(last - first)])
     packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
     coded = packed.dictionary_encode()
-    return Words(coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.searchsorted(np.flatnonzero(kind == CUT), first),
-                 np.searchsorted(first, joints))
+    before = np.searchsorted(first, np.flatnonzero(kind == CUT))    # words before each cut
+    return Words(byte_strings(coded.dictionary), coded.indices.to_numpy(),
+                 np.repeat(np.arange(len(before) + 1), np.diff(before, prepend=0, append=len(first))), np.searchsorted(first, joints))
+
+
+def byte_strings(column: pa.Array) -> list[bytes]:
+    """The values of a binary column without nulls; slicing one buffer is
+    several times faster than a Python object for each value."""
+    if not len(column):
+        return []
+    flat = column.cast(pa.large_binary())
+    _, offsets, data = flat.buffers()
+    at = np.frombuffer(offsets, np.int64)[flat.offset:flat.offset + len(flat) + 1].tolist()
+    raw = data.to_pybytes() if data is not None else b""
+    return [raw[a:b] for a, b in zip(at, at[1:])]
