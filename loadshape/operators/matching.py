@@ -8,22 +8,22 @@ controls' mean and sample sd per feature, and each treated unit gets its
 
 Profiles depend only on ``Ti``, so they are built once per (Ti, household)
 instead of once per treated unit. The exact k-NN search never forms all
-treated x control pairs of a month: controls are bucketed on a 2-D grid of
-their projections on the two leading principal directions (unit vectors) of
-that month's standardised controls (cell width set per ``Ti`` from the
-number of controls), and each unresolved treated unit
-scans rings of cells of doubling radius R. A projection onto a unit vector
-never exceeds the full distance, so a control outside the scanned square is
-farther than ``R * w``; once the k-th best distance is within that bound (or
-the square covers the whole grid) the answer is exact. Only ids and
-distances travel through the rounds; the state is checkpointed each round.
+treated x control pairs of a month: a month's standardised controls are cut
+into cells of about equal counts, at quantiles of their projection on the
+leading principal direction (slabs) and then, slab by slab, on that of the two
+leading directions along which the slab is wider.
+Every cell and slab knows its bounding box in all features. A unit first meets
+the controls of a few nearest cells that hold more than k; the k-th distance
+found there is an upper bound, and by the triangle inequality only boxes within
+that bound can hold a nearer control. So a second step meets the cells of those
+boxes and is exact; there are no further rounds. Cells follow the quantiles, so
+heavy tails and tight clusters do not fill some cells and empty others.
 Features that are constant (sd 0) or undefined (one control) contribute 0,
 and a missing feature value is taken at the control mean.
 """
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,10 +32,13 @@ from pyspark.sql import functions as F
 from loadshape import schemas as S
 from loadshape.operators.profiles import (adopters, adoption_months, check_mode, clean,
                                           feature_names, profiles_at, window_rows)
+from loadshape.plans.hints import broadcast_if_small
 from loadshape.session import materialize
 
-log = logging.getLogger(__name__)
-BOUND_SLACK = 1e-9  # guards the ring bound against floating error in cell indices
+BOUND_SLACK = 1e-9          # guards the box bounds against floating error
+MOST_SLABS, MOST_CELLS = 256, 1024      # of a month, and of a slab
+FIRST_CELLS = 2             # cells a unit meets before it has a bound
+QUANTILE_ACCURACY = 10_000  # of the cuts; the search is exact whatever they are
 
 
 def adoption_info(rows: DataFrame) -> DataFrame:
@@ -77,14 +80,13 @@ def _scaled(feats: Sequence[str], prefix: str) -> list[Column]:
 def month_stats(controls: DataFrame, feats: Sequence[str]) -> DataFrame:
     """Per adoption month: control count, mean and sample sd of every
     feature (the scaling of the study), and two unit vectors along the
-    leading principal directions of the standardised controls (the grid
-    axes), and the variance left outside those two axes. One aggregate; the table has one row per adoption month (bounded
+    leading principal directions of the standardised controls (the axes of
+    the cells). One aggregate; the table has one row per adoption month (bounded
     by the months spanned) and is the only thing collected to the driver,
     where the d x d eigen-decompositions run; it goes back as a DataFrame.
 
-    The axes only need to be unit vectors for the search to stay exact, so
-    the covariance is taken from raw sums (any rounding there only changes
-    how well the grid prunes)."""
+    Any axes keep the search exact, so the covariance is taken from raw sums
+    (rounding there only changes how well the cells prune)."""
     import numpy as np
 
     d = len(feats)
@@ -109,12 +111,11 @@ def month_stats(controls: DataFrame, feats: Sequence[str]) -> DataFrame:
         order = np.argsort(vals)[::-1]
         u1 = vecs[:, order[0]]
         u2 = vecs[:, order[1]] if d > 1 else np.zeros(1)
-        resid = float(max(vals[order[2:]].sum(), 0.0)) if d > 2 else 0.0
-        out.append((row["Ti"], row["_nc"], resid, *[row[f"_mu_{f}"] for f in feats],
+        out.append((row["Ti"], row["_nc"], *[row[f"_mu_{f}"] for f in feats],
                     *[row[f"_sd_{f}"] for f in feats],
                     *[float(x) for x in u1], *[float(x) for x in u2]))
     schema = ", ".join(
-        ["Ti date", "_nc bigint", "_resid double"] + [f"_mu_{f} double" for f in feats]
+        ["Ti date", "_nc bigint"] + [f"_mu_{f} double" for f in feats]
         + [f"_sd_{f} double" for f in feats]
         + [f"_u1_{f} double" for f in feats] + [f"_u2_{f} double" for f in feats])
     return controls.sparkSession.createDataFrame(out, schema=schema)
@@ -126,14 +127,6 @@ def _projections(feats: Sequence[str], prefix: str) -> tuple[Column, Column]:
     return p1, p2
 
 
-def _cell_range(lo: Column, hi: Column, top: Column) -> Column:
-    """Cell indices ``lo..hi`` clipped to the grid ``0..top``; empty when the
-    clipped range is empty (``sequence`` would otherwise count downwards)."""
-    a = F.greatest(lo, F.lit(0)).cast("long")
-    b = F.least(hi, top).cast("long")
-    return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
-
-
 def distance_expr(feats: Sequence[str], left: str = "t_", right: str = "c_") -> Column:
     """Euclidean distance of the standardised features, summed in feature order."""
     sq = None
@@ -144,8 +137,118 @@ def distance_expr(feats: Sequence[str], left: str = "t_", right: str = "c_") ->
     return F.sqrt(sq)
 
 
+def _power_of_two(n: float, most: int) -> int:
+    p = 1
+    while p < n and p < most:
+        p *= 2
+    return p
+
+
+def _cuts(points: DataFrame, keys: Sequence[str], axes: Sequence[str], per_part: float, most: int) -> DataFrame:
+    """``keys, _axis, _cuts``: the axis along which a group is widest, and the
+    quantiles that cut the group there into a power of two of parts of at least
+    ``per_part`` points, ``most`` parts at most. Quantile sketches are combined
+    before the shuffle."""
+    grid = F.array(*[F.lit(i / most) for i in range(1, most)]) if most > 1 else F.array(F.lit(0.5))
+    widths = [F.struct(F.stddev_pop(a).alias("width"), F.lit(-i).alias("axis"), F.percentile_approx(a, grid, QUANTILE_ACCURACY).alias("grid"))
+              for i, a in enumerate(axes)]
+    widest = F.greatest(*widths) if len(widths) > 1 else widths[0]
+    found = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), widest.alias("_w"))
+    parts = F.least(F.lit(most), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.lit(1.0), F.col("_n") / F.lit(float(per_part)))))).cast("int"))
+    step = (F.lit(most) / parts).cast("int")
+    chosen = F.when(parts > 1, F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.element_at("_w.grid", i * step)))
+    return found.select(*keys, (-F.col("_w.axis")).alias("_axis"), F.coalesce(chosen, F.array().cast("array<double>")).alias("_cuts"))
+
+
+def _part(axes: Sequence[str]) -> Column:
+    at = F.element_at(F.array(*axes), F.col("_axis") + 1)
+    return F.size(F.filter("_cuts", lambda cut: cut < at))
+
+
+def _box_distance(box: Column) -> Column:
+    """Distance of the unit's point ``_x`` from a box, 0 inside."""
+    gap = F.zip_with(F.zip_with(box["lo"], F.col("_x"), lambda lo, x: lo - x),
+                     F.zip_with(F.col("_x"), box["hi"], lambda x, hi: x - hi),
+                     lambda below, above: F.greatest(below, above, F.lit(0.0)))
+    return F.sqrt(F.aggregate(gap, F.lit(0.0), lambda total, g: total + g * g))
+
+
+def _nearest(boxes: str, k: int, most: int) -> Column:
+    """Numbers of the ``most`` nearest boxes that hold (or have a part that
+    holds) more than k controls: the unit itself may be one of them."""
+    full = F.filter(boxes, lambda b: b["most"] > k)
+    by_distance = F.array_sort(F.transform(full, lambda b: F.struct(_box_distance(b).alias("d"), b["no"].alias("no"))))
+    return F.slice(by_distance, 1, most)["no"]
+
+
+def _within(boxes: str) -> Column:
+    """The boxes that may hold a control within the unit's bound ``_r``."""
+    return F.filter(boxes, lambda b: F.col("_r").isNull() | (_box_distance(b) * (1.0 - BOUND_SLACK) <= F.col("_r")))
+
+
+class ControlCells:
+    """The controls of every month in cells of about ``per_cell``."""
+
+    def __init__(self, controls: DataFrame, stats: DataFrame, feats: Sequence[str], k: int, per_cell: int) -> None:
+        # One row per adoption month (bounded by the calendar span): broadcast.
+        cz = controls.join(F.broadcast(stats), "Ti").select(
+            "Ti", "control_id", *_scaled(feats, "c_"), *[f"_u{a}_{f}" for a in (1, 2) for f in feats])
+        # Controls with identical standardised features are equally far from
+        # every treated unit, so only the k smallest ids of such a group can be
+        # chosen, and one more because a unit that adopts again later can be among
+        # its own twins: keep those (map-side WindowGroupLimit), which bounds the
+        # load of a cell full of identical profiles (e.g. empty homes reading 0).
+        twins = Window.partitionBy("Ti", *[f"c_{f}" for f in feats]).orderBy("control_id")
+        cz = cz.withColumn("_twin", F.row_number().over(twins)).where(F.col("_twin") <= k + 1).drop("_twin")
+        p1, p2 = _projections(feats, "c_")
+        cz = materialize(cz.select("Ti", "control_id", *[f"c_{f}" for f in feats], p1.alias("_p1"), p2.alias("_p2")))
+        largest = stats.agg(F.max("_nc")).first()[0] or 0
+        slabs = _power_of_two((largest / per_cell) ** 0.5, MOST_SLABS)
+        cuts1 = F.broadcast(_cuts(cz, ["Ti"], ["_p1"], per_cell * slabs / 2, slabs))
+        cz = cz.join(cuts1, "Ti").withColumn("slab", _part(["_p1"])).drop("_cuts", "_axis")
+        cells = _power_of_two(4 * largest / per_cell / slabs, MOST_CELLS)
+        # one row per slab, at most MOST_SLABS a month
+        cuts2 = broadcast_if_small(_cuts(cz, ["Ti", "slab"], ["_p1", "_p2"], per_cell, cells))
+        self.controls = materialize(cz.join(cuts2, ["Ti", "slab"]).withColumn("cell", _part(["_p1", "_p2"])).drop("_cuts", "_axis", "_p1", "_p2"))
+
+        def box(rows, keys, low, high, most):
+            return rows.groupBy(*keys).agg(*[F.min(x).alias(f"_lo{i}") for i, x in enumerate(low)],
+                                           *[F.max(x).alias(f"_hi{i}") for i, x in enumerate(high)], most.alias("_most"))
+
+        def listed(rows, keys, number):
+            one = F.struct(F.col(number).alias("no"), F.array(*[f"_lo{i}" for i in range(len(feats))]).alias("lo"),
+                           F.array(*[f"_hi{i}" for i in range(len(feats))]).alias("hi"), F.col("_most").alias("most"))
+            return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("_boxes"))
+
+        dims = range(len(feats))
+        scaled = [f"c_{f}" for f in feats]
+        boxes = materialize(box(self.controls, ["Ti", "slab", "cell"], scaled, scaled, F.count(F.lit(1))))
+        slab_boxes = box(boxes, ["Ti", "slab"], [f"_lo{i}" for i in dims], [f"_hi{i}" for i in dims], F.max("_most"))
+        # a month has at most MOST_SLABS boxes, a slab at most MOST_CELLS
+        self.of_month = F.broadcast(materialize(listed(slab_boxes, ["Ti"], "slab")))
+        self.of_slab = materialize(listed(boxes, ["Ti", "slab"], "cell"))
+
+    def home(self, units: DataFrame, k: int) -> DataFrame:
+        """``Ti, treated_id, slab, cell`` where a unit looks first."""
+        at = units.join(self.of_month, "Ti").select("Ti", "treated_id", "_x", F.explode(_nearest("_boxes", k, 1)).alias("slab"))
+        return at.join(self.of_slab, ["Ti", "slab"]).select("Ti", "treated_id", "slab", F.explode(_nearest("_boxes", k, FIRST_CELLS)).alias("cell"))
+
+    def near(self, units: DataFrame) -> DataFrame:
+        """``Ti, treated_id, slab, cell`` of every box within the unit's ``_r``."""
+        slabs = units.join(self.of_month, "Ti").select("Ti", "treated_id", "_x", "_r", F.explode(_within("_boxes")).alias("_b"))
+        slabs = slabs.select("Ti", "treated_id", "_x", "_r", F.col("_b.no").alias("slab"))
+        return slabs.join(self.of_slab, ["Ti", "slab"]).select("Ti", "treated_id", "slab", F.explode(_within("_boxes")["no"]).alias("cell"))
+
+    def pairs(self, cells: DataFrame, units: DataFrame, feats: Sequence[str]) -> DataFrame:
+        """``Ti, treated_id, control_id, distance`` of the units and the
+        controls of the cells they look at."""
+        looked = cells.join(units.drop("_x", "_r"), ["Ti", "treated_id"])
+        return looked.join(self.controls, ["Ti", "slab", "cell"]).where(F.col("control_id") != F.col("treated_id")).select(
+            "Ti", "treated_id", "control_id", distance_expr(feats).alias("distance"))
+
+
 def knn_edges(treated: DataFrame, controls: DataFrame, feats: Sequence[str], k: int,
-              per_cell: int | None = None, max_rounds: int = 64) -> DataFrame:
+              per_cell: int | None = None) -> DataFrame:
     """Exact k nearest controls per treated unit within each ``Ti``.
 
     ``treated``: ``Ti, treated_id, <feats>``; ``controls``: ``Ti, control_id,
@@ -153,105 +256,31 @@ def knn_edges(treated: DataFrame, controls: DataFrame, feats: Sequence[str], k:
     neighbor`` (1 = nearest)."""
     if k < 1:
         raise ValueError("k_neighbors must be >= 1")
-    per_cell = per_cell or 2 * k
-    # One row per adoption month (bounded by the calendar span): broadcast.
-    stats_b = F.broadcast(month_stats(controls, feats))
-    cz = controls.join(stats_b, "Ti").select(
-        "Ti", "control_id", *_scaled(feats, "c_"),
-        *[f"_u{a}_{f}" for a in (1, 2) for f in feats])
-    # Controls with identical standardised features are equally far from
-    # every treated unit, so only the k smallest ids of such a group can be
-    # chosen, and one more because a unit that adopts again later can be among
-    # its own twins: keep those (map-side WindowGroupLimit), which bounds the
-    # load of a cell full of identical profiles (e.g. empty homes reading 0).
-    twins = Window.partitionBy("Ti", *[f"c_{f}" for f in feats]).orderBy("control_id")
-    cz = cz.withColumn("_twin", F.row_number().over(twins)).where(F.col("_twin") <= k + 1).drop("_twin")
-    cp1, cp2 = _projections(feats, "c_")
-    cz = cz.withColumn("_p1", cp1).withColumn("_p2", cp2)
-    grid = cz.groupBy("Ti").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_p1").alias("_lo1"), F.max("_p1").alias("_hi1"),
-        F.min("_p2").alias("_lo2"), F.max("_p2").alias("_hi2"))
-    g = F.greatest(F.lit(1.0), F.floor(F.sqrt(F.col("_n") / F.lit(float(per_cell)))).cast("double"))
-    span = F.greatest(F.col("_hi1") - F.col("_lo1"), F.col("_hi2") - F.col("_lo2"))
-    grid = grid.withColumn("_w", F.when(span > 0, span / g).otherwise(F.lit(1.0)))
-    grid = grid.withColumn("_g1", F.floor((F.col("_hi1") - F.col("_lo1")) / F.col("_w"))) \
-               .withColumn("_g2", F.floor((F.col("_hi2") - F.col("_lo2")) / F.col("_w"))) \
-               .withColumn("_k", F.least(F.lit(k), F.col("_n")).cast("int"))
-    # Starting ring radius: distances between controls are at least of the
-    # order of the spread left outside the two grid axes, so rings much
-    # narrower than that cannot resolve a unit. Only speed depends on it.
-    resid = stats_b.select("Ti", "_resid")
-    grid = grid.join(resid, "Ti").withColumn(
-        "_r0", F.greatest(F.lit(1), F.floor(F.lit(0.75) * F.sqrt(2.0 * F.col("_resid")) / F.col("_w"))
-                          .cast("long"))) \
-        .select("Ti", "_lo1", "_lo2", "_w", "_g1", "_g2", "_k", "_r0")
-    grid_b = F.broadcast(grid)  # one row per adoption month
-
-    def cells(df: DataFrame) -> DataFrame:
-        return df.join(grid_b, "Ti") \
-            .withColumn("_x", F.floor((F.col("_p1") - F.col("_lo1")) / F.col("_w"))) \
-            .withColumn("_y", F.floor((F.col("_p2") - F.col("_lo2")) / F.col("_w")))
-
-    cells_c = materialize(cells(cz).select("Ti", F.col("_x").alias("_cx"), F.col("_y").alias("_cy"),
-                                           "control_id", *[f"c_{f}" for f in feats]))
-    tz = treated.join(stats_b, "Ti").select(
-        "Ti", "treated_id", *_scaled(feats, "t_"),
-        *[f"_u{a}_{f}" for a in (1, 2) for f in feats])
-    tp1, tp2 = _projections(feats, "t_")
-    tz = tz.withColumn("_p1", tp1).withColumn("_p2", tp2)
-    state = cells(tz).select("Ti", "treated_id", "_x", "_y", "_w", "_g1", "_g2", "_k",
-                             F.col("_r0").alias("_r"), F.lit(-1).cast("long").alias("_rp"),
-                             *[f"t_{f}" for f in feats]).where(F.col("_k") > 0)
-    state = materialize(state)
-
-    best = None  # (Ti, treated_id, control_id, distance) of unresolved units
-    done = []
+    stats = month_stats(controls, feats)
+    cells = ControlCells(controls, stats, feats, k, per_cell or max(4 * k, 32))
+    return _search(cells, scaled_units(treated, stats, feats), feats, k)
+
+
+def scaled_units(treated: DataFrame, stats: DataFrame, feats: Sequence[str]) -> DataFrame:
+    """``Ti, treated_id, t_<feats>`` and the point ``_x`` of the same numbers."""
+    tz = treated.join(F.broadcast(stats), "Ti").select("Ti", "treated_id", *_scaled(feats, "t_"))
+    return materialize(tz.withColumn("_x", F.array(*[f"t_{f}" for f in feats])))
+
+
+def bounded_units(cells: ControlCells, units: DataFrame, feats: Sequence[str], k: int) -> DataFrame:
+    """``units`` with ``_r``, the k-th distance in the cells where a unit looks
+    first: NULL (no bound) where no cell of its month holds more than k."""
+    order = Window.partitionBy("Ti", "treated_id").orderBy("distance")
+    first = cells.pairs(cells.home(units, k), units, feats).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)
+    bound = first.groupBy("Ti", "treated_id").agg(F.max(F.when(F.col("_rank") == k, F.col("distance"))).alias("_r"))
+    return materialize(units.join(bound, ["Ti", "treated_id"], "left"))
+
+
+def _search(cells: ControlCells, units: DataFrame, feats: Sequence[str], k: int) -> DataFrame:
+    units = bounded_units(cells, units, feats, k)
     order = Window.partitionBy("Ti", "treated_id").orderBy("distance", "control_id")
-    per_unit = Window.partitionBy("Ti", "treated_id")
-    for round_no in range(max_rounds):
-        x, y, r, rp = F.col("_x"), F.col("_y"), F.col("_r"), F.col("_rp")
-        ring = state.select(
-            "Ti", "treated_id", "_x", "_y", "_r", "_rp", *[f"t_{f}" for f in feats],
-            F.explode(_cell_range(x - r, x + r, F.col("_g1"))).alias("_rx"), F.col("_g2"))
-        ring = ring.select("*", F.explode(_cell_range(y - r, y + r, F.col("_g2"))).alias("_ry"))
-        ring = ring.where(F.greatest(F.abs(F.col("_rx") - x), F.abs(F.col("_ry") - y)) > rp)
-        cand = ring.join(cells_c, (ring["Ti"] == cells_c["Ti"]) & (F.col("_rx") == F.col("_cx"))
-                         & (F.col("_ry") == F.col("_cy")), "inner") \
-            .where(F.col("control_id") != F.col("treated_id")) \
-            .select(ring["Ti"].alias("Ti"), "treated_id", "control_id",
-                    distance_expr(feats).alias("distance"))
-        pool = cand if best is None else best.unionByName(cand)
-        # Every unresolved unit keeps one row (a NULL candidate when nothing
-        # was found yet) so the round's state is a single checkpoint.
-        covered = ((x - r <= 0) & (x + r >= F.col("_g1")) & (y - r <= 0) & (y + r >= F.col("_g2")))
-        units = state.select("Ti", "treated_id", "_k", "_w", "_r", covered.alias("_covered"))
-        # the literal bound lets Catalyst cut candidates map-side
-        # (WindowGroupLimit); the per-month bound _k <= k then applies
-        top = units.join(pool, ["Ti", "treated_id"], "left") \
-            .withColumn("neighbor", F.row_number().over(order)) \
-            .where((F.col("neighbor") <= k) & (F.col("neighbor") <= F.col("_k")))
-        found = F.count("control_id").over(per_unit)
-        kth = F.max("distance").over(per_unit)
-        ok = F.col("_covered") | ((found >= F.col("_k"))
-                                  & (kth <= F.col("_r").cast("double") * F.col("_w") * (1.0 - BOUND_SLACK)))
-        top = materialize(top.withColumn("_ok", ok))
-        done.append(top.where(F.col("_ok") & F.col("control_id").isNotNull())
-                    .select("treated_id", "Ti", "control_id", "distance", "neighbor"))
-        open_units = top.where(~F.col("_ok")).select("Ti", "treated_id").distinct()
-        if open_units.isEmpty():
-            log.debug("k-NN resolved after %d rounds", round_no + 1)
-            break
-        state = state.join(open_units, ["Ti", "treated_id"], "left_semi") \
-            .withColumn("_rp", F.col("_r")).withColumn("_r", 2 * F.col("_r") + 1)
-        best = top.where(~F.col("_ok") & F.col("control_id").isNotNull()) \
-            .select("Ti", "treated_id", "control_id", "distance")
-    else:
-        raise RuntimeError("k-NN search did not converge")
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+    best = cells.pairs(cells.near(units), units, feats).withColumn("neighbor", F.row_number().over(order)).where(F.col("neighbor") <= k)
+    return materialize(best.select("treated_id", "Ti", "control_id", "distance", "neighbor"))
 
 
 def risk_set_matching(data: DataFrame, id_col: str = S.ID, month_col: str = S.TS,
@@ -273,7 +302,7 @@ def risk_set_matching(data: DataFrame, id_col: str = S.ID, month_col: str = S.TS
                              collapse_months))
     tis = adoption_months(rows)
     prof = profiles_at(window_rows(rows, tis, lookback_months), feature_mode, lookback_months)
-    # Profiles feed the scaling stats, both grids and the final feature join:
+    # Profiles feed the scaling stats, the cells and the final feature join:
     # materialise them once (reliable checkpoint in the shared folder).
     prof = materialize(prof.join(adoption_info(rows), "id"))
     own = adopters(rows).select("id", F.col("adoption_month").alias("Ti"))

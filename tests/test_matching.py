@@ -177,3 +177,56 @@ def test_unit_among_its_own_twins_loses_no_neighbour(spark):
     t = spark.createDataFrame([(ti, "0", 1.0, 2.0)], "Ti date, treated_id string, f1 double, f2 double")
     got = MT.knn_edges(t, c, feats, 5).orderBy("neighbor").collect()
     assert [(r.control_id, r.distance) for r in got] == [(str(i), 0.0) for i in range(1, 6)]
+
+
+def _profiles(shape, n, seed):
+    rng = np.random.default_rng(seed)
+    if shape == "heavy tails":          # a few households dwarf the rest
+        return rng.standard_normal((n, 1)) * rng.pareto(1.2, (n, 1)) * 50 + rng.standard_normal((n, 3))
+    if shape == "tight clusters":       # nearly equal homes, far from each other
+        return rng.integers(0, 4, (n, 1)) * 1000.0 + rng.standard_normal((n, 6)) * 0.01
+    return np.cumsum(rng.standard_normal((n, 6)), axis=1)
+
+
+def _knn_frames(spark, x, t):
+    feats = [f"f{i}" for i in range(x.shape[1])]
+    schema = ", ".join(f"{f} double" for f in feats)
+    day = d("2025-01-01")
+    controls = spark.createDataFrame([(day, f"c{i:05d}", *map(float, r)) for i, r in enumerate(x)], f"Ti date, control_id string, {schema}")
+    treated = spark.createDataFrame([(day, f"t{i:03d}", *map(float, r)) for i, r in enumerate(t)], f"Ti date, treated_id string, {schema}")
+    return treated, controls, feats
+
+
+@pytest.mark.parametrize("shape", ["heavy tails", "tight clusters", "plain"])
+def test_knn_on_uneven_profiles(spark, shape):
+    x, t = _profiles(shape, 1500, 1), _profiles(shape, 40, 2)
+    treated, controls, feats = _knn_frames(spark, x, t)
+    mu, sd = x.mean(axis=0), x.std(axis=0, ddof=1)
+    got = {}
+    for r in MT.knn_edges(treated, controls, feats, 5).orderBy("neighbor").collect():
+        got.setdefault(int(r.treated_id[1:]), []).append(int(r.control_id[1:]))
+    for i, row in enumerate(t):
+        dist = np.sqrt((((x - mu) / sd - (row - mu) / sd) ** 2).sum(axis=1))
+        assert sorted(dist[got[i]]) == pytest.approx(sorted(dist)[:5], rel=1e-9), shape
+
+
+@pytest.mark.parametrize("shape", ["heavy tails", "tight clusters"])
+def test_candidates_do_not_follow_the_number_of_controls(spark, shape):
+    looked = {}
+    for n in (1000, 8000):
+        treated, controls, feats = _knn_frames(spark, _profiles(shape, n, 1), _profiles(shape, 40, 2))
+        stats = MT.month_stats(controls, feats)
+        cells = MT.ControlCells(controls, stats, feats, 5, 32)
+        units = MT.bounded_units(cells, MT.scaled_units(treated, stats, feats), feats, 5)
+        looked[n] = cells.pairs(cells.near(units), units, feats).count() / 40
+        sizes = [r["count"] for r in cells.controls.groupBy("slab", "cell").count().collect()]
+        assert max(sizes) <= 4 * 32 and len(sizes) >= n / 256
+    assert looked[8000] < 8000 / 20 and looked[8000] < 4 * looked[1000], looked
+
+
+def test_months_with_few_controls(spark):
+    x = np.arange(12.0).reshape(4, 3)
+    treated, controls, feats = _knn_frames(spark, x, x[:2] + 0.1)
+    assert MT.knn_edges(treated, controls, feats, 5).count() == 8       # all four for both
+    assert MT.knn_edges(treated, controls.limit(0), feats, 5).count() == 0
+    assert MT.knn_edges(treated.limit(0), controls, feats, 5).count() == 0
