@@ -9,10 +9,10 @@ controls' mean and sample sd per feature, and each treated unit gets its
 Profiles depend only on ``Ti``, so they are built once per (Ti, household)
 instead of once per treated unit. The exact k-NN search never forms all
 treated x control pairs of a month: a month's standardised controls are cut
-into cells of about equal counts, at quantiles of their projection on the
-leading principal direction (slabs) and then, slab by slab, on that of the two
-leading directions along which the slab is wider.
-Every cell and slab knows its bounding box in all features. A unit first meets
+into a tree of cells of about equal counts: each node is cut at the quantiles
+of its projection on that of the three leading principal directions along which
+it is widest. Every node knows its extent in all features and along those
+directions, its box. A unit first meets
 the controls of a few nearest cells that hold more than k; the k-th distance
 found there is an upper bound, and by the triangle inequality only boxes within
 that bound can hold a nearer control. So a second step meets the cells of those
@@ -36,7 +36,9 @@ from loadshape.plans.hints import broadcast_if_small
 from loadshape.session import materialize
 
 BOUND_SLACK = 1e-9          # guards the box bounds against floating error
-MOST_SLABS, MOST_CELLS = 256, 1024      # of a month, and of a slab
+ROUNDING = 1e-12            # of the projections
+AXES = 3                    # principal directions along which cells are cut
+FANOUT = 8                  # parts of a node of the tree of cells
 FIRST_CELLS = 2             # cells a unit meets before it has a bound
 QUANTILE_ACCURACY = 10_000  # of the cuts; the search is exact whatever they are
 
@@ -79,8 +81,7 @@ def _scaled(feats: Sequence[str], prefix: str) -> list[Column]:
 
 def month_stats(controls: DataFrame, feats: Sequence[str]) -> DataFrame:
     """Per adoption month: control count, mean and sample sd of every
-    feature (the scaling of the study), and two unit vectors along the
-    leading principal directions of the standardised controls (the axes of
+    feature (the scaling of the study), and unit vectors along the leading principal directions of the standardised controls (the axes of
     the cells). One aggregate; the table has one row per adoption month (bounded
     by the months spanned) and is the only thing collected to the driver,
     where the d x d eigen-decompositions run; it goes back as a DataFrame.
@@ -109,22 +110,19 @@ def month_stats(controls: DataFrame, feats: Sequence[str]) -> DataFrame:
         cor = cov / np.outer(scale, scale)
         vals, vecs = np.linalg.eigh(np.nan_to_num(cor))
         order = np.argsort(vals)[::-1]
-        u1 = vecs[:, order[0]]
-        u2 = vecs[:, order[1]] if d > 1 else np.zeros(1)
+        axes = [vecs[:, order[a]] if a < d else np.zeros(d) for a in range(AXES)]
         out.append((row["Ti"], row["_nc"], *[row[f"_mu_{f}"] for f in feats],
                     *[row[f"_sd_{f}"] for f in feats],
-                    *[float(x) for x in u1], *[float(x) for x in u2]))
+                    *[float(x) for axis in axes for x in axis]))
     schema = ", ".join(
         ["Ti date", "_nc bigint"] + [f"_mu_{f} double" for f in feats]
         + [f"_sd_{f} double" for f in feats]
-        + [f"_u1_{f} double" for f in feats] + [f"_u2_{f} double" for f in feats])
+        + [f"_u{a}_{f} double" for a in range(AXES) for f in feats])
     return controls.sparkSession.createDataFrame(out, schema=schema)
 
 
-def _projections(feats: Sequence[str], prefix: str) -> tuple[Column, Column]:
-    p1 = sum((F.col(f"_u1_{f}") * F.col(f"{prefix}{f}") for f in feats), F.lit(0.0))
-    p2 = sum((F.col(f"_u2_{f}") * F.col(f"{prefix}{f}") for f in feats), F.lit(0.0))
-    return p1, p2
+def _projections(feats: Sequence[str], prefix: str) -> list[Column]:
+    return [sum((F.col(f"_u{a}_{f}") * F.col(f"{prefix}{f}") for f in feats), F.lit(0.0)).alias(f"_p{a}") for a in range(AXES)]
 
 
 def distance_expr(feats: Sequence[str], left: str = "t_", right: str = "c_") -> Column:
@@ -137,40 +135,36 @@ def distance_expr(feats: Sequence[str], left: str = "t_", right: str = "c_") ->
     return F.sqrt(sq)
 
 
-def _power_of_two(n: float, most: int) -> int:
-    p = 1
-    while p < n and p < most:
-        p *= 2
-    return p
-
-
-def _cuts(points: DataFrame, keys: Sequence[str], axes: Sequence[str], per_part: float, most: int) -> DataFrame:
-    """``keys, _axis, _cuts``: the axis along which a group is widest, and the
-    quantiles that cut the group there into a power of two of parts of at least
-    ``per_part`` points, ``most`` parts at most. Quantile sketches are combined
+def _cuts(points: DataFrame, per_part: int) -> DataFrame:
+    """``Ti, node, _axis, _cuts``: the axis along which a node is widest, and
+    the quantiles that cut it there into a power of two of parts of at least
+    ``per_part`` points, ``FANOUT`` parts at most. Quantile sketches are combined
     before the shuffle."""
-    grid = F.array(*[F.lit(i / most) for i in range(1, most)]) if most > 1 else F.array(F.lit(0.5))
+    grid = F.array(*[F.lit(i / FANOUT) for i in range(1, FANOUT)])
     widths = [F.struct(F.stddev_pop(a).alias("width"), F.lit(-i).alias("axis"), F.percentile_approx(a, grid, QUANTILE_ACCURACY).alias("grid"))
-              for i, a in enumerate(axes)]
-    widest = F.greatest(*widths) if len(widths) > 1 else widths[0]
-    found = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), widest.alias("_w"))
-    parts = F.least(F.lit(most), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.lit(1.0), F.col("_n") / F.lit(float(per_part)))))).cast("int"))
-    step = (F.lit(most) / parts).cast("int")
+              for i, a in enumerate(f"_p{a}" for a in range(AXES))]
+    found = points.groupBy("Ti", "node").agg(F.count(F.lit(1)).alias("_n"), F.greatest(*widths).alias("_w"))
+    parts = F.least(F.lit(FANOUT), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.lit(1.0), F.col("_n") / F.lit(float(per_part)))))).cast("int"))
+    step = (F.lit(FANOUT) / parts).cast("int")
     chosen = F.when(parts > 1, F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.element_at("_w.grid", i * step)))
-    return found.select(*keys, (-F.col("_w.axis")).alias("_axis"), F.coalesce(chosen, F.array().cast("array<double>")).alias("_cuts"))
+    return found.select("Ti", "node", (-F.col("_w.axis")).alias("_axis"), F.coalesce(chosen, F.array().cast("array<double>")).alias("_cuts"))
 
 
-def _part(axes: Sequence[str]) -> Column:
-    at = F.element_at(F.array(*axes), F.col("_axis") + 1)
+def _part() -> Column:
+    at = F.element_at(F.array(*[f"_p{a}" for a in range(AXES)]), F.col("_axis") + 1)
     return F.size(F.filter("_cuts", lambda cut: cut < at))
 
 
 def _box_distance(box: Column) -> Column:
-    """Distance of the unit's point ``_x`` from a box, 0 inside."""
+    """Lower bound of the distance of the unit's point ``_x`` from what a box
+    holds: from its extent in all features, or along the axes (0 inside)."""
     gap = F.zip_with(F.zip_with(box["lo"], F.col("_x"), lambda lo, x: lo - x),
                      F.zip_with(F.col("_x"), box["hi"], lambda x, hi: x - hi),
                      lambda below, above: F.greatest(below, above, F.lit(0.0)))
-    return F.sqrt(F.aggregate(gap, F.lit(0.0), lambda total, g: total + g * g))
+
+    def norm(part):
+        return F.sqrt(F.aggregate(part, F.lit(0.0), lambda total, g: total + g * g))
+    return F.greatest(norm(F.slice(gap, F.lit(1), F.size(gap) - AXES)), norm(F.slice(gap, F.size(gap) - AXES + 1, F.lit(AXES))))
 
 
 def _nearest(boxes: str, k: int, most: int) -> Column:
@@ -183,67 +177,70 @@ def _nearest(boxes: str, k: int, most: int) -> Column:
 
 def _within(boxes: str) -> Column:
     """The boxes that may hold a control within the unit's bound ``_r``."""
-    return F.filter(boxes, lambda b: F.col("_r").isNull() | (_box_distance(b) * (1.0 - BOUND_SLACK) <= F.col("_r")))
+    return F.filter(boxes, lambda b: F.col("_r").isNull() | (_box_distance(b) * (1.0 - BOUND_SLACK) - ROUNDING <= F.col("_r")))
 
 
 class ControlCells:
-    """The controls of every month in cells of about ``per_cell``."""
+    """The controls of every month in a tree of cells of some ``per_cell``."""
 
     def __init__(self, controls: DataFrame, stats: DataFrame, feats: Sequence[str], k: int, per_cell: int) -> None:
+        scaled = [f"c_{f}" for f in feats]
         # One row per adoption month (bounded by the calendar span): broadcast.
         cz = controls.join(F.broadcast(stats), "Ti").select(
-            "Ti", "control_id", *_scaled(feats, "c_"), *[f"_u{a}_{f}" for a in (1, 2) for f in feats])
+            "Ti", "control_id", *_scaled(feats, "c_"), *[f"_u{a}_{f}" for a in range(AXES) for f in feats])
         # Controls with identical standardised features are equally far from
         # every treated unit, so only the k smallest ids of such a group can be
         # chosen, and one more because a unit that adopts again later can be among
         # its own twins: keep those (map-side WindowGroupLimit), which bounds the
         # load of a cell full of identical profiles (e.g. empty homes reading 0).
-        twins = Window.partitionBy("Ti", *[f"c_{f}" for f in feats]).orderBy("control_id")
-        cz = cz.withColumn("_twin", F.row_number().over(twins)).where(F.col("_twin") <= k + 1).drop("_twin")
-        p1, p2 = _projections(feats, "c_")
-        cz = materialize(cz.select("Ti", "control_id", *[f"c_{f}" for f in feats], p1.alias("_p1"), p2.alias("_p2")))
-        largest = stats.agg(F.max("_nc")).first()[0] or 0
-        slabs = _power_of_two((largest / per_cell) ** 0.5, MOST_SLABS)
-        cuts1 = F.broadcast(_cuts(cz, ["Ti"], ["_p1"], per_cell * slabs / 2, slabs))
-        cz = cz.join(cuts1, "Ti").withColumn("slab", _part(["_p1"])).drop("_cuts", "_axis")
-        cells = _power_of_two(4 * largest / per_cell / slabs, MOST_CELLS)
-        # one row per slab, at most MOST_SLABS a month
-        cuts2 = broadcast_if_small(_cuts(cz, ["Ti", "slab"], ["_p1", "_p2"], per_cell, cells))
-        self.controls = materialize(cz.join(cuts2, ["Ti", "slab"]).withColumn("cell", _part(["_p1", "_p2"])).drop("_cuts", "_axis", "_p1", "_p2"))
-
-        def box(rows, keys, low, high, most):
-            return rows.groupBy(*keys).agg(*[F.min(x).alias(f"_lo{i}") for i, x in enumerate(low)],
-                                           *[F.max(x).alias(f"_hi{i}") for i, x in enumerate(high)], most.alias("_most"))
-
-        def listed(rows, keys, number):
-            one = F.struct(F.col(number).alias("no"), F.array(*[f"_lo{i}" for i in range(len(feats))]).alias("lo"),
-                           F.array(*[f"_hi{i}" for i in range(len(feats))]).alias("hi"), F.col("_most").alias("most"))
-            return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("_boxes"))
-
-        dims = range(len(feats))
-        scaled = [f"c_{f}" for f in feats]
-        boxes = materialize(box(self.controls, ["Ti", "slab", "cell"], scaled, scaled, F.count(F.lit(1))))
-        slab_boxes = box(boxes, ["Ti", "slab"], [f"_lo{i}" for i in dims], [f"_hi{i}" for i in dims], F.max("_most"))
-        # a month has at most MOST_SLABS boxes, a slab at most MOST_CELLS
-        self.of_month = F.broadcast(materialize(listed(slab_boxes, ["Ti"], "slab")))
-        self.of_slab = materialize(listed(boxes, ["Ti", "slab"], "cell"))
+        twins = Window.partitionBy("Ti", *scaled).orderBy("control_id")
+        cz = cz.withColumn("_twin", F.row_number().over(twins)).where(F.col("_twin") <= k + 1)
+        cz = cz.select("Ti", "control_id", *scaled, *_projections(feats, "c_"), F.lit(0).cast("long").alias("node"))
+        largest = (stats.agg(F.max("_nc")).first()[0] or 0) / per_cell
+        depth = 1
+        while FANOUT ** depth < largest:
+            depth += 1
+        for _ in range(depth):
+            cz = materialize(cz)
+            cz = cz.join(broadcast_if_small(_cuts(cz, per_cell)), ["Ti", "node"]) \
+                .withColumn("node", F.col("node") * FANOUT + _part()).drop("_cuts", "_axis")
+        self.controls = materialize(cz)
+        scaled += [f"_p{a}" for a in range(AXES)]
+        boxes = self.controls.groupBy("Ti", "node").agg(
+            *[F.min(c).alias(f"_lo{i}") for i, c in enumerate(scaled)], *[F.max(c).alias(f"_hi{i}") for i, c in enumerate(scaled)],
+            F.count(F.lit(1)).alias("_most"))
+        dims = range(len(scaled))
+        self.levels = []        # from the root's children down: Ti, node, boxes of its children
+        for _ in range(depth):
+            boxes = materialize(boxes)
+            box = F.struct(F.col("node").alias("no"), F.array(*[f"_lo{i}" for i in dims]).alias("lo"),
+                           F.array(*[f"_hi{i}" for i in dims]).alias("hi"), F.col("_most").alias("most"))
+            parent = F.floor(F.col("node") / FANOUT).alias("node")
+            # a node has at most FANOUT children
+            self.levels.insert(0, boxes.groupBy("Ti", parent).agg(F.array_sort(F.collect_list(box)).alias("_boxes")))
+            boxes = boxes.groupBy("Ti", parent).agg(*[F.min(f"_lo{i}").alias(f"_lo{i}") for i in dims],
+                                                    *[F.max(f"_hi{i}").alias(f"_hi{i}") for i in dims], F.max("_most").alias("_most"))
+
+    def _descend(self, units: DataFrame, choose) -> DataFrame:
+        at = units.withColumn("node", F.lit(0).cast("long"))
+        for level, boxes in enumerate(self.levels):
+            at = at.join(broadcast_if_small(boxes), ["Ti", "node"]).withColumn("node", F.explode(choose(level))).drop("_boxes")
+        return at.select("Ti", "treated_id", "node")
 
     def home(self, units: DataFrame, k: int) -> DataFrame:
-        """``Ti, treated_id, slab, cell`` where a unit looks first."""
-        at = units.join(self.of_month, "Ti").select("Ti", "treated_id", "_x", F.explode(_nearest("_boxes", k, 1)).alias("slab"))
-        return at.join(self.of_slab, ["Ti", "slab"]).select("Ti", "treated_id", "slab", F.explode(_nearest("_boxes", k, FIRST_CELLS)).alias("cell"))
+        """``Ti, treated_id, node`` of the cells where a unit looks first."""
+        last = len(self.levels) - 1
+        return self._descend(units.select("Ti", "treated_id", "_x"), lambda level: _nearest("_boxes", k, FIRST_CELLS if level == last else 1))
 
     def near(self, units: DataFrame) -> DataFrame:
-        """``Ti, treated_id, slab, cell`` of every box within the unit's ``_r``."""
-        slabs = units.join(self.of_month, "Ti").select("Ti", "treated_id", "_x", "_r", F.explode(_within("_boxes")).alias("_b"))
-        slabs = slabs.select("Ti", "treated_id", "_x", "_r", F.col("_b.no").alias("slab"))
-        return slabs.join(self.of_slab, ["Ti", "slab"]).select("Ti", "treated_id", "slab", F.explode(_within("_boxes")["no"]).alias("cell"))
+        """``Ti, treated_id, node`` of every cell within the unit's ``_r``."""
+        return self._descend(units.select("Ti", "treated_id", "_x", "_r"), lambda _: _within("_boxes")["no"])
 
     def pairs(self, cells: DataFrame, units: DataFrame, feats: Sequence[str]) -> DataFrame:
         """``Ti, treated_id, control_id, distance`` of the units and the
         controls of the cells they look at."""
         looked = cells.join(units.drop("_x", "_r"), ["Ti", "treated_id"])
-        return looked.join(self.controls, ["Ti", "slab", "cell"]).where(F.col("control_id") != F.col("treated_id")).select(
+        return looked.join(self.controls, ["Ti", "node"]).where(F.col("control_id") != F.col("treated_id")).select(
             "Ti", "treated_id", "control_id", distance_expr(feats).alias("distance"))
 
 
@@ -262,9 +259,12 @@ def knn_edges(treated: DataFrame, controls: DataFrame, feats: Sequence[str], k:
 
 
 def scaled_units(treated: DataFrame, stats: DataFrame, feats: Sequence[str]) -> DataFrame:
-    """``Ti, treated_id, t_<feats>`` and the point ``_x`` of the same numbers."""
-    tz = treated.join(F.broadcast(stats), "Ti").select("Ti", "treated_id", *_scaled(feats, "t_"))
-    return materialize(tz.withColumn("_x", F.array(*[f"t_{f}" for f in feats])))
+    """``Ti, treated_id, t_<feats>`` and the point ``_x``: the same numbers and
+    their projections."""
+    tz = treated.join(F.broadcast(stats), "Ti").select(
+        "Ti", "treated_id", *_scaled(feats, "t_"), *[f"_u{a}_{f}" for a in range(AXES) for f in feats])
+    point = F.array(*[F.col(f"t_{f}") for f in feats], *_projections(feats, "t_"))
+    return materialize(tz.select("Ti", "treated_id", *[f"t_{f}" for f in feats], point.alias("_x")))
 
 
 def bounded_units(cells: ControlCells, units: DataFrame, feats: Sequence[str], k: int) -> DataFrame:

@@ -184,7 +184,7 @@ def _profiles(shape, n, seed):
     if shape == "heavy tails":          # a few households dwarf the rest
         return rng.standard_normal((n, 1)) * rng.pareto(1.2, (n, 1)) * 50 + rng.standard_normal((n, 3))
     if shape == "tight clusters":       # nearly equal homes, far from each other
-        return rng.integers(0, 4, (n, 1)) * 1000.0 + rng.standard_normal((n, 6)) * 0.01
+        return rng.integers(0, 4, (n, 1)) * 1000.0 + rng.standard_normal((n, 3)) * 0.01
     return np.cumsum(rng.standard_normal((n, 6)), axis=1)
 
 
@@ -219,7 +219,7 @@ def test_candidates_do_not_follow_the_number_of_controls(spark, shape):
         cells = MT.ControlCells(controls, stats, feats, 5, 32)
         units = MT.bounded_units(cells, MT.scaled_units(treated, stats, feats), feats, 5)
         looked[n] = cells.pairs(cells.near(units), units, feats).count() / 40
-        sizes = [r["count"] for r in cells.controls.groupBy("slab", "cell").count().collect()]
+        sizes = [r["count"] for r in cells.controls.groupBy("node").count().collect()]
         assert max(sizes) <= 4 * 32 and len(sizes) >= n / 256
     assert looked[8000] < 8000 / 20 and looked[8000] < 4 * looked[1000], looked
 
