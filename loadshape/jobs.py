@@ -30,10 +30,10 @@ from loadshape.sources.files import (scan_aggregate, scan_holidays_csv, scan_met
 def aggregate_job(spark: SparkSession, meter_path: str, tariff_path: str | None, out: str,
                   freq: str = "month", methods: Sequence[str] = ("top3_mean", "variance", "mean"),
                   usage: Sequence[float] | None = (0.25, 0.75), local_tz: str | None = None,
-                  holidays_path: str | None = None) -> None:
+                  holidays_path: str | None = None, country: str | None = None) -> None:
     meter = scan_meter(spark, meter_path, local_tz)
     tariff = scan_tariff_csv(spark, tariff_path) if tariff_path else None
-    holidays = scan_holidays_csv(spark, holidays_path) if holidays_path else None
+    holidays = scan_holidays_csv(spark, holidays_path) if holidays_path else country
     run(meter, tariff, freq, list(methods), True, list(usage) if usage else None, output_path=out,
         holidays=holidays)
 
@@ -64,6 +64,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     a.add_argument("--usage", default="0.25,0.75", help="two quantiles, or 'none'")
     a.add_argument("--local-tz")
     a.add_argument("--holidays", help="CSV date,name; high price never applies on these dates")
+    a.add_argument("--country", help="country code of a computed holiday calendar, such as SE, where no CSV is given")
     a.add_argument("--input-bytes", type=int, help="size of the meter input; sizes partitions")
     a.add_argument("--cores", type=int, help="total executor cores of the cluster")
     m = sub.add_parser("match")
@@ -81,7 +82,7 @@ def main(argv: Sequence[str] | None = None) -> None:
             apply_scale_settings(spark, args.input_bytes, args.cores)
         usage = None if args.usage == "none" else [float(x) for x in args.usage.split(",")]
         aggregate_job(spark, args.meter, args.tariff, args.out, args.freq, args.methods.split(","), usage,
-                      args.local_tz, args.holidays)
+                      args.local_tz, args.holidays, args.country)
     else:
         match_job(spark, args.agg, args.out, args.lookback, args.k, args.price)
 

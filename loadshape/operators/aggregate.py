@@ -36,7 +36,9 @@ from pyspark.sql import functions as F
 
 from loadshape import schemas as S
 from loadshape.functions.calendar import ALL, HIGH, LOW, period_key, price_label
+from loadshape.functions.holidays import is_holiday
 from loadshape.functions.stats import SINGLE_TASK_MAX, grouped_quantiles
+from loadshape.plans.hints import broadcast_if_small
 
 BASIC_METHODS = ("sum", "mean", "variance", "median", "max")
 TOP3 = "top3_mean"
@@ -86,15 +88,15 @@ def method_column(method: str, value: str | Column = S.VALUE) -> Column:
     return c.alias(f"{method}_consumption")
 
 
-def holiday_flagged(rows: DataFrame, holidays: DataFrame | None) -> DataFrame:
-    """Add boolean ``_holiday`` (reading date is in the holiday table).
-
-    The holiday table is a calendar (at most one row per day of the data's
-    range), so broadcasting its distinct dates is bounded.
-    """
+def holiday_flagged(rows: DataFrame, holidays: DataFrame | str | None) -> DataFrame:
+    """Add boolean ``_holiday``: the reading's date is a holiday of the country
+    (a code such as ``'SE'``, computed from the date without any join) or is in
+    the holiday table. A table is broadcast after a check of its size."""
     if holidays is None:
         return rows.withColumn("_holiday", F.lit(False))
-    days = F.broadcast(holidays.select(F.col("date").cast("date").alias("_hday")).distinct())
+    if isinstance(holidays, str):
+        return rows.withColumn("_holiday", is_holiday(F.to_date(F.col(S.TS)), holidays))
+    days = broadcast_if_small(holidays.select(F.col("date").cast("date").alias("_hday")).distinct())
     return rows.join(days, F.to_date(F.col(S.TS)) == F.col("_hday"), "left") \
         .withColumn("_holiday", F.col("_hday").isNotNull()).drop("_hday")
 
@@ -103,13 +105,13 @@ def with_period(rows: DataFrame, freq: str) -> DataFrame:
     return rows.withColumn(S.PERIOD, period_key(S.TS, freq))
 
 
-def with_price_part(rows: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
+def with_price_part(rows: DataFrame, holidays: DataFrame | str | None = None) -> DataFrame:
     """Add ``_hl`` = 'high' / 'low' price part of each reading."""
     flagged = holiday_flagged(rows, holidays)
     return flagged.withColumn("_hl", price_label(S.TS, F.col("_holiday"))).drop("_holiday")
 
 
-def price_mode(rows: DataFrame, use_price: bool, holidays: DataFrame | None = None) -> DataFrame:
+def price_mode(rows: DataFrame, use_price: bool, holidays: DataFrame | str | None = None) -> DataFrame:
     """``use_price=False``: price='all'. ``True``: every reading once as
     'all' and once as its high/low part (a generator in the same stage)."""
     if not use_price:
@@ -126,7 +128,7 @@ def _ensure_active(rows: DataFrame) -> DataFrame:
 
 
 def aggregate_basic(rows: DataFrame, freq: str, methods: Sequence[str], use_price: bool,
-                    holidays: DataFrame | None = None,
+                    holidays: DataFrame | str | None = None,
                     strategy: str = "explode",
                     single_task_max: int = SINGLE_TASK_MAX) -> DataFrame:
     """Basic / quantile methods from raw readings, one ``groupBy(G)``.
@@ -176,7 +178,7 @@ def _peak_record(value: str = S.VALUE) -> Column:
 
 
 def daily_peaks(rows: DataFrame, freq: str, use_price: bool,
-                holidays: DataFrame | None = None, keep_empty: bool = False) -> DataFrame:
+                holidays: DataFrame | str | None = None, keep_empty: bool = False) -> DataFrame:
     """One row per (G, day): the day's maximum reading and its time.
 
     Columns: ``aID, period, price, tariff_active, day, peak_consumption, peak_time``.
@@ -214,7 +216,7 @@ def top3_days(daily: DataFrame, k: int = 3) -> DataFrame:
 
 
 def aggregate_top3(rows: DataFrame, freq: str, use_price: bool,
-                   holidays: DataFrame | None = None) -> DataFrame:
+                   holidays: DataFrame | str | None = None) -> DataFrame:
     """G + ``peak1..3_consumption, peak1..3_time, top3_mean_consumption``."""
     top = top3_days(daily_peaks(rows, freq, use_price, holidays, keep_empty=True))
     r, v, t = F.col("rank"), F.col("peak_consumption"), F.col("peak_time")
@@ -270,7 +272,7 @@ def _merged_all() -> list[Column]:
 
 
 def daily_table(rows: DataFrame, freq: str, use_price: bool,
-                holidays: DataFrame | None = None) -> DataFrame:
+                holidays: DataFrame | str | None = None) -> DataFrame:
     """Household-day partials: ``aID, period, tariff_active, day, price,
     rows, n, s, mx, m2, pk`` -- one row per day and price part that has
     readings ('all' always; 'high' / 'low' when ``use_price``)."""
@@ -332,7 +334,7 @@ def aggregate_from_daily(daily: DataFrame, methods: Sequence[str], top3: bool,
 
 
 def aggregate_direct(rows: DataFrame, freq: str, methods: Sequence[str], use_price: bool,
-                     holidays: DataFrame | None = None, keep_total: bool = False) -> DataFrame:
+                     holidays: DataFrame | str | None = None, keep_total: bool = False) -> DataFrame:
     """Mergeable methods without top-3: one hash aggregate over the readings
     with conditional columns per price part; the result, not the readings, is
     unpivoted."""
@@ -356,7 +358,7 @@ def aggregate_direct(rows: DataFrame, freq: str, methods: Sequence[str], use_pri
 
 
 def aggregate(rows: DataFrame, freq: str = "month", agg_method: str | Sequence[str] = TOP3,
-              use_price: bool = True, holidays: DataFrame | None = None,
+              use_price: bool = True, holidays: DataFrame | str | None = None,
               strategy: str = "auto", keep_total: bool = False,
               single_task_max: int = SINGLE_TASK_MAX) -> DataFrame:
     """Wide household-period result for every method, in method order.

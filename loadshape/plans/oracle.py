@@ -40,8 +40,7 @@ FROM events"""
 
 
 def _plan(key: str) -> str:
-    return (f"'GENAB Tidsindelad ' || CASE WHEN {key} % 2 = 0 THEN '6' ELSE '14' END"
-            f" || ' kW Villa'")
+    return f"CASE WHEN {key} % 2 = 0 THEN 'Kvällsplan 5 kW Villa' ELSE 'Kvällsplan 11 kW Normal' END"
 
 
 TARIFF_RAW_L = f"""SELECT {_plan('s_suppkey')} AS "Produktnamn",
@@ -275,6 +274,36 @@ ORACLE["price_period"] = f"""SELECT {price_sql()} AS price, CAST(isodow(TIDPUNKT
        CAST(hour(TIDPUNKT) AS INTEGER) AS hour, count(*) AS n_rows,
        {R('sum(FORBRUKNING_KWH)')} AS sum_consumption
 FROM ({METER_E}) m GROUP BY ALL"""
+# Independent of the engine's rules: Easter by the 1900-2099 century rule, and
+# weekday-bound days by listing every day of the year.
+_SWEDISH = """WITH y AS (SELECT unnest(range({first}, {last} + 1)) AS y),
+m AS (SELECT y, 225 - 11 * (y % 19) AS d0 FROM y),
+m2 AS (SELECT y, d0 - 30 * greatest(0, CAST(ceil((d0 - 50) / 30.0) AS BIGINT)) AS d1 FROM m),
+m3 AS (SELECT y, CASE WHEN d1 > 48 THEN d1 - 1 ELSE d1 END AS d FROM m2),
+e AS (SELECT y, CAST(DATE '2000-03-01' + INTERVAL (d + 7 - ((y + y // 4 + d + 1) % 7) - 1) DAY AS DATE) AS in_2000 FROM m3),
+easter AS (SELECT y, make_date(y, month(in_2000), day(in_2000)) AS easter FROM e),
+fixed AS (SELECT make_date(y, mm, dd) AS date, name, mm AS ord FROM y, (VALUES (1, 1, 'Nyårsdagen', 0), (1, 6, 'Trettondedag jul', 0),
+    (5, 1, 'Första maj', 0), (6, 6, 'Sveriges nationaldag', 2005), (12, 24, 'Julafton', 0), (12, 25, 'Juldagen', 0),
+    (12, 26, 'Annandag jul', 0), (12, 31, 'Nyårsafton', 0)) f(mm, dd, name, since) WHERE y >= since),
+moving AS (SELECT CAST(easter + INTERVAL (n) DAY AS DATE) AS date, name, 20 AS ord FROM easter, (VALUES (-2, 'Långfredagen', 9999), (0, 'Påskdagen', 9999),
+    (1, 'Annandag påsk', 9999), (39, 'Kristi himmelsfärdsdag', 9999), (49, 'Pingstdagen', 9999), (50, 'Annandag pingst', 2004)) f(n, name, until)
+    WHERE y <= until),
+days AS (SELECT CAST(unnest(generate_series(make_date({first}, 1, 1), make_date({last}, 12, 31), INTERVAL 1 DAY)) AS DATE) AS date),
+bound AS (SELECT date, CASE WHEN month(date) = 6 AND day(date) BETWEEN 19 AND 25 AND isodow(date) = 5 THEN 'Midsommarafton'
+    WHEN month(date) = 6 AND day(date) BETWEEN 20 AND 26 AND isodow(date) = 6 THEN 'Midsommardagen'
+    WHEN isodow(date) = 6 AND (month(date) = 11 AND day(date) <= 6 OR month(date) = 10 AND day(date) = 31) THEN 'Alla helgons dag' END AS name, 30 AS ord FROM days)
+SELECT date, string_agg(name, '; ' ORDER BY ord) AS name
+FROM (SELECT * FROM fixed UNION ALL SELECT * FROM moving UNION ALL SELECT * FROM bound WHERE name IS NOT NULL) GROUP BY date"""
+_YEARS = f"(SELECT {{which}}(year(TIDPUNKT)) FROM (SELECT TIDPUNKT FROM ({METER_L}) UNION ALL SELECT TIDPUNKT FROM ({METER_E})))"
+SWEDISH = _SWEDISH.format(first=_YEARS.format(which="min"), last=_YEARS.format(which="max"))
+ORACLE["holiday_calendar"] = SWEDISH
+ORACLE["price_period_country"] = f"""SELECT CAST(TIDPUNKT AS DATE) AS day, {price_sql(holidays=SWEDISH)} AS price,
+       count(*) AS n_rows, {R("sum(FORBRUKNING_KWH)")} AS sum_consumption
+FROM ({METER_E}) m GROUP BY 1, 2"""
+ORACLE["consumption_on_holidays"] = f"""SELECT CAST(year(h.date) AS INTEGER) AS year, h.name AS holiday,
+       count(*) AS n_rows, {R("sum(FORBRUKNING_KWH)")} AS sum_consumption
+FROM ({METER_L}) m JOIN ({SWEDISH}) h ON CAST(m.TIDPUNKT AS DATE) = h.date GROUP BY 1, 2"""
+
 ORACLE["price_period_holidays"] = f"""SELECT CAST(TIDPUNKT AS DATE) AS day, {price_sql(holidays=HOLIDAYS)} AS price,
        count(*) AS n_rows, {R('sum(FORBRUKNING_KWH)')} AS sum_consumption
 FROM ({METER_E}) m GROUP BY ALL"""

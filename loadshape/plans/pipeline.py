@@ -39,7 +39,7 @@ def enrich(meter: DataFrame, tariff: DataFrame | None = None,
 def run(meter: DataFrame, tariff: DataFrame | None = None, freq: str = "month",
         agg_method: str | Sequence[str] = "top3_mean", use_price: bool = True,
         add_user_group_col: Sequence[float] | None = None, output_path: str | None = None,
-        holidays: DataFrame | None = None, strategy: str = "auto") -> DataFrame:
+        holidays: DataFrame | str | None = None, strategy: str = "auto") -> DataFrame:
     """Household-period aggregate, period column renamed to ``TIDPUNKT``.
 
     Output columns: ``aID, TIDPUNKT, price, tariff_active, <method columns>``
@@ -81,7 +81,7 @@ class MeterAggregator:
     every call honours its own options (nothing is cached between calls)."""
 
     def __init__(self, meter: DataFrame, tariff: DataFrame | None = None,
-                 holidays: DataFrame | None = None) -> None:
+                 holidays: DataFrame | str | None = None) -> None:
         self.meter = meter
         self.tariff = tariff
         self.holidays = holidays

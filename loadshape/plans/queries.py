@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loadshape import schemas as S
+from loadshape.functions.holidays import holiday_calendar, holiday_name
 from loadshape.operators import aggregate as A
 from loadshape.operators import adoption as AD
 from loadshape.operators import balance as BL
@@ -184,6 +185,29 @@ def q_price_period_holidays(spark, sf):
                    .agg(F.count(F.lit(1)).alias("n_rows"), F.sum(S.VALUE).alias("sum_consumption")))
 
 
+@register("holiday_calendar")
+def q_holiday_calendar(spark, sf):
+    """The holidays of every year that either stand-in meter has readings in."""
+    years = meter_l(spark, sf).select(S.TS).unionByName(meter_e(spark, sf).select(S.TS))
+    first, last = years.agg(F.min(F.year(S.TS)), F.max(F.year(S.TS))).first()
+    return holiday_calendar(spark, first, last)
+
+
+@register("price_period_country")
+def q_price_period_country(spark, sf):
+    hl = A.with_price_part(meter_e(spark, sf), "SE")
+    return rounded(hl.groupBy(F.to_date(S.TS).alias("day"), F.col("_hl").alias(S.PRICE))
+                   .agg(F.count(F.lit(1)).alias("n_rows"), F.sum(S.VALUE).alias("sum_consumption")))
+
+
+@register("consumption_on_holidays")
+def q_consumption_on_holidays(spark, sf):
+    day = F.to_date(S.TS)
+    return rounded(meter_l(spark, sf).select(F.year(day).cast("int").alias("year"), holiday_name(day).alias("holiday"), S.VALUE)
+                   .where(F.col("holiday").isNotNull()).groupBy("year", "holiday")
+                   .agg(F.count(F.lit(1)).alias("n_rows"), F.sum(S.VALUE).alias("sum_consumption")))
+
+
 @register("price_mode")
 def q_price_mode(spark, sf):
     p = A.price_mode(meter_e(spark, sf), True)

@@ -30,10 +30,9 @@ LINEITEM_FIRST_START = "1998-01-01"
 LINEITEM_START_MONTHS = 7      # start = first start + (id % 7) months
 EVENTS_FIRST_START = "2024-01-01"
 EVENTS_START_DAYS = 20         # start = first start + (id % 20) days
-PLAN_PREFIX = "GENAB Tidsindelad "
-PLAN_SUFFIX = " kW Villa"
-PLAN_SIZE_EVEN = "6"
-PLAN_SIZE_ODD = "14"
+# Invented plan names that fit the plan pattern.
+PLAN_EVEN = "Kvällsplan 5 kW Villa"
+PLAN_ODD = "Kvällsplan 11 kW Normal"
 HOLIDAYS = (("2024-01-01", "Nyårsdagen"), ("2024-01-06", "Trettondedag jul"))
 
 
@@ -60,8 +59,7 @@ def events_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _plan_name(key: F.Column) -> F.Column:
-    size = F.when(key % 2 == 0, F.lit(PLAN_SIZE_EVEN)).otherwise(F.lit(PLAN_SIZE_ODD))
-    return F.concat(F.lit(PLAN_PREFIX), size, F.lit(PLAN_SUFFIX))
+    return F.when(key % 2 == 0, F.lit(PLAN_EVEN)).otherwise(F.lit(PLAN_ODD))
 
 
 def _raw_tariff(keys: DataFrame, key: str, start: F.Column) -> DataFrame:

@@ -7,9 +7,9 @@ from loadshape.operators import curves as CV
 
 
 def test_adoption_gap_filled_running_share(tariff_df):
-    t = tariff_df([("a", "2025-03-01", "GENAB Tidsindelad 6 kW Villa"),
-                   ("b", "2025-03-20", "GENAB Tidsindelad 14 kW Villa"),
-                   ("c", "2025-06-02", "GENAB Tidsindelad 6 kW Villa"),
+    t = tariff_df([("a", "2025-03-01", "Kvällsplan 6 kW Villa"),
+                   ("b", "2025-03-20", "Kvällsplan 14 kW Villa"),
+                   ("c", "2025-06-02", "Kvällsplan 6 kW Villa"),
                    ("d", "2025-06-03", "Fast pris")])
     monthly = {r.month: r.households for r in AD.monthly_adoption(t).collect()}
     assert monthly == {"2025-03": 2, "2025-06": 2}                 # no gap filling
@@ -21,7 +21,7 @@ def test_adoption_gap_filled_running_share(tariff_df):
     assert cum[(d("2025-04-01"), "14 kW Villa")] == 1 and cum[(d("2025-06-01"), "6 kW Villa")] == 2
     assert len(cum) == 8                                            # 4 months x 2 plans, 0-filled
     counts = [(r.tariff_group, r.households) for r in AD.plan_counts(t).collect()]
-    assert counts[0] == ("GENAB Tidsindelad 6 kW Villa", 2)
+    assert counts[0] == ("Kvällsplan 6 kW Villa", 2)
 
 
 def test_adoption_by_usage_keeps_all_groups(spark):

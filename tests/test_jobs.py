@@ -22,7 +22,7 @@ def test_end_to_end_jobs(spark):
     with open(os.path.join(base, "tariff.csv"), "w") as f:
         f.write("Produktnamn,Startdatum,GS1-nr.\n")
         for h in (0, 1, 2):
-            f.write(f"GENAB Tidsindelad 6 kW Villa,2025-0{2 + h}-01,73599916620000{h:02d}\n")
+            f.write(f"Kvällsplan 6 kW Villa,2025-0{2 + h}-01,73599916620000{h:02d}\n")
     agg = os.path.join(base, "monthly_agg")
     aggregate_job(spark, os.path.join(base, "meter.parquet"), os.path.join(base, "tariff.csv"), agg)
     out = os.path.join(base, "results")

@@ -159,7 +159,7 @@ def test_collapse_split_month(spark, meter_df, tariff_df):
     for day, v in ((3, 5.0), (9, 1.0), (14, 7.0), (16, 2.0), (20, 6.0), (25, 4.0)):
         rows.append(("a", f"2025-03-{day:02d} 12:00", v))
     m = meter_df(rows)
-    agg = run(m, tariff_df([("a", "2025-03-15", "GENAB Tidsindelad 6 kW Villa")]), "month", ["top3_mean"])
+    agg = run(m, tariff_df([("a", "2025-03-15", "Kvällsplan 6 kW Villa")]), "month", ["top3_mean"])
     split = PR.clean(agg).collect()
     assert sorted((r.ord, r.v) for r in split) == [(0, pytest.approx(13 / 3)), (1, pytest.approx(4.0))]
     merged = PR.clean(agg, collapse_months=True).collect()

@@ -12,8 +12,8 @@ from loadshape.plans.pipeline import run
 def test_tariff_dedup_flags_and_mid_month(meter_df, tariff_df):
     m = meter_df([("a", "2025-03-14 23:00", 1.0), ("a", "2025-03-15 00:00", 2.0),
                   ("b", "2025-03-15 00:00", 3.0), ("c", "2025-03-15 00:00", 4.0)])
-    t = tariff_df([("a", "2025-04-01", "GENAB Tidsindelad 14 kW Villa"),
-                   ("a", "2025-03-15", "GENAB Tidsindelad 6 kW Villa"),   # earlier row wins
+    t = tariff_df([("a", "2025-04-01", "Kvällsplan 14 kW Villa"),
+                   ("a", "2025-03-15", "Kvällsplan 6 kW Villa"),   # earlier row wins
                    ("b", None, "x")])
     assert {r.aID: r.tariff_start for r in dedup_tariff(t).collect()} == {"a": d("2025-03-15"), "b": None}
     rows = {(r.aID, r.TIDPUNKT): r for r in join_tariff(m, t).collect()}
@@ -35,8 +35,8 @@ def test_no_tariff_table_means_inactive(meter_df):
 
 
 def test_plan_token(tariff_df):
-    t = tariff_df([("a", "2025-01-01", "GENAB Tidsindelad 6 kW Villa"),
-                   ("b", "2025-01-01", "Tidsindelad 20kW Normal säkring"),
+    t = tariff_df([("a", "2025-01-01", "Kvällsplan 6 kW Villa"),
+                   ("b", "2025-01-01", "Kvällsplan 20kW Normal säkring"),
                    ("c", "2025-01-01", "Fast pris lägenhet")])
     got = {r.aID: r.tariff_plan for r in tariff_info(t).collect()}
     assert got == {"a": "6 kW Villa", "b": "20kW Normal", "c": None}
@@ -45,7 +45,7 @@ def test_plan_token(tariff_df):
 def test_raw_tariff_keeps_string_ids(spark, tmp_path):
     from loadshape.sources.files import scan_tariff_csv
     p = tmp_path / "tariff.csv"
-    p.write_text("Produktnamn,Startdatum,GS1-nr.\nGENAB Tidsindelad 6 kW Villa,2025-04-01,735999166200001042\n")
+    p.write_text("Produktnamn,Startdatum,GS1-nr.\nKvällsplan 6 kW Villa,2025-04-01,735999166200001042\n")
     t = normalize_tariff(scan_tariff_csv(spark, str(p))).first()
     assert t.aID == "735999166200001042" and t.tariff_start == d("2025-04-01")
 
@@ -121,7 +121,7 @@ def test_exact_quantiles_many_partitions_vs_numpy(spark):
 def test_object_api_matches_functions(meter_df, tariff_df):
     from loadshape.plans.pipeline import MeterAggregator
     m = meter_df([("a", "2025-01-08 08:00", 1.0), ("a", "2025-01-09 12:00", 3.0), ("b", "2025-01-08 09:00", 2.0)])
-    t = tariff_df([("a", "2025-01-09", "GENAB Tidsindelad 6 kW Villa")])
+    t = tariff_df([("a", "2025-01-09", "Kvällsplan 6 kW Villa")])
     agg = MeterAggregator(m, t)
     a = sorted(tuple(r) for r in agg.run("month", ["sum", "top3_mean"], True, [0.25, 0.75]).collect())
     b = sorted(tuple(r) for r in run(m, t, "month", ["sum", "top3_mean"], True, [0.25, 0.75]).collect())
