@@ -19,6 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loadshape.functions.bits import from_ordered_bits, ordered_bits
 from loadshape.plans.hints import broadcast_if_small
 from loadshape.session import materialize
 
@@ -122,6 +123,57 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     return out.select(*keys, "q_index", "q_prob", value_at.alias("quantile"))
 
 
+PREFIX_BITS = 16
+
+
+def selected_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """Exact quantiles of a few groups of any size, wide: ``keys..., _q0, ...``.
+
+    Selection by bit prefixes, without sorting values: each value becomes an
+    integer in the same order, a round counts the next ``PREFIX_BITS`` bits of
+    the values that share a wanted rank's prefix (a histogram of at most 65,536
+    cells a group and prefix, combined before the shuffle), and the cell that
+    holds the rank extends the prefix. After 64 / ``PREFIX_BITS`` rounds the
+    prefix is the value. Every round is a scan and a hash aggregate, however the
+    values are spread; NULL and NaN are missing; groups without values have none.
+    """
+    keys = list(keys)
+    on = [f"_k{i}" for i in range(len(keys))]
+    vals = materialize(df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], ordered_bits(F.col(value).cast("double")).alias("_b")).where(F.col("_b").isNotNull()))
+    fields = [F.struct(F.lit(i).alias("q"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)]
+    ranks = vals.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).select(*on, "_n", F.inline(F.array(*fields)))
+    at = (F.col("_n") - 1) * F.col("p")
+    both = F.array(F.struct(F.lit(0).alias("side"), F.floor(at).alias("rank")), F.struct(F.lit(1).alias("side"), F.ceil(at).alias("rank")))
+    wanted = ranks.select(*on, "q", (at - F.floor(at)).alias("_frac"), (F.ceil(at) - at).alias("_rest"), F.lit(0).cast("long").alias("_prefix"), F.inline(both))
+
+    def same(left: DataFrame, right: DataFrame, columns: Sequence[str]):
+        cond = F.lit(True)
+        for c in columns:
+            cond = cond & left[c].eqNullSafe(right[f"_r{c}"])
+        return cond
+
+    for shift in range(64 - PREFIX_BITS, -1, -PREFIX_BITS):
+        wanted = materialize(wanted)
+        # the first round looks at all values, the next ones at those below a wanted prefix
+        parent = F.lit(0).cast("long") if shift == 64 - PREFIX_BITS else F.shiftright("_b", shift + PREFIX_BITS)
+        rows = vals.withColumn("_prefix", parent)
+        some = wanted.select(*[F.col(c).alias(f"_r{c}") for c in (*on, "_prefix")]).distinct()
+        rows = rows.join(broadcast_if_small(some), same(rows, some, [*on, "_prefix"]), "left_semi")
+        cells = rows.groupBy(*on, "_prefix", F.shiftright("_b", shift).alias("_next")).agg(F.count(F.lit(1)).alias("_c"))
+        order = Window.partitionBy(*on, "_prefix").orderBy("_next").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cells = cells.withColumn("_upto", F.sum("_c").over(order)).select(
+            *[F.col(c).alias(f"_r{c}") for c in (*on, "_prefix")], "_next", (F.col("_upto") - F.col("_c")).alias("_before"), "_upto")
+        found = wanted.join(cells, same(wanted, cells, [*on, "_prefix"]) & (F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_upto")))
+        wanted = found.select(*on, "q", "_frac", "_rest", F.col("_next").alias("_prefix"), "side", (F.col("rank") - F.col("_before")).alias("rank"))
+    values = wanted.select(*on, "q", "_frac", "_rest", "side", from_ordered_bits(F.col("_prefix")).alias("_v"))
+    ends = values.groupBy(*on, "q").agg(F.min(F.when(F.col("side") == 0, F.col("_v"))).alias("_lo"), F.max(F.when(F.col("side") == 1, F.col("_v"))).alias("_hi"),
+                                        F.first("_frac").alias("_frac"), F.first("_rest").alias("_rest"))
+    # the built-in percentile's own interpolation, so both paths agree to the bit
+    value_at = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.col("_rest") * F.col("_lo") + F.col("_frac") * F.col("_hi"))
+    wide = ends.groupBy(*on).agg(*[F.max(F.when(F.col("q") == i, value_at)).alias(f"_q{i}") for i in range(len(probs))])
+    return wide.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], *[f"_q{i}" for i in range(len(probs))])
+
+
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
                       single_task_max: int = SINGLE_TASK_MAX) -> DataFrame:
     """Exact quantiles for many groups, wide: ``keys..., _q0, _q1, ...``.
@@ -129,8 +181,8 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
     Ordinary groups are finalised by ``F.percentile`` in one task each. A
     counting pass (partial-aggregated) first looks for groups above
     ``single_task_max`` values; such hot groups, if any, are split off and
-    ranked with the distributed :func:`exact_quantiles`, so no oversized
-    group is ever held by one task. There are at most ``rows /
+    selected by :func:`selected_quantiles`, so no oversized
+    group is ever held by one task or sorted. There are at most ``rows /
     single_task_max`` hot groups, so their key table is small.
     """
     keys = list(keys)
@@ -153,7 +205,4 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
         on = on & F.col(k).eqNullSafe(F.col(f"_h_{k}"))
     cold = cold_part(vals.join(hot_b, on, "left_anti"))
     hot_vals = vals.join(hot_b, on, "left_semi")
-    ranked = exact_quantiles(hot_vals, "_v", probs, by=keys, single_task_max=None)
-    hot_wide = ranked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("q_index") == i, F.col("quantile"))).alias(f"_q{i}") for i in range(len(probs))])
-    return cold.unionByName(hot_wide)
+    return cold.unionByName(selected_quantiles(hot_vals, keys, "_v", probs))

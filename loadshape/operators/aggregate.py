@@ -21,9 +21,9 @@ only daily method, ranking uses ``row_number() <= 3``, which Catalyst turns
 into a map-side ``WindowGroupLimit`` so at most three rows per group and
 task cross the second shuffle.
 
-The day's peak is a ``min`` over a (missing, -value, time) struct, which
-Spark aggregates sort-based (``SortAggregate``); a deterministic "earliest
-maximum" has no hash-aggregatable form among the built-in functions.
+The day's peak (largest reading, earliest time) is the maximum of one fixed-width
+number that holds both, so every aggregate over the readings is a hash
+aggregate and no reading is sorted.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadshape import schemas as S
+from loadshape.functions.bits import from_ordered_bits, ordered_bits
 from loadshape.functions.calendar import ALL, HIGH, LOW, period_key, price_label
 from loadshape.functions.holidays import is_holiday
 from loadshape.functions.stats import SINGLE_TASK_MAX, grouped_quantiles
@@ -134,21 +135,12 @@ def aggregate_basic(rows: DataFrame, freq: str, methods: Sequence[str], use_pric
     """Basic / quantile methods from raw readings, one ``groupBy(G)``.
 
     ``strategy='explode'``: every reading once as 'all' and once as its
-    price part; exact median / qNN go through :func:`grouped_quantiles`,
-    which splits off oversized (hot) groups. ``strategy='grouping_sets'``
-    computes the 'all' rows as a second grouping set over the high/low rows
-    instead of duplicating readings up front (one aggregate, no hot-group
-    split).
+    price part. ``strategy='grouping_sets'`` computes the 'all' rows of the
+    other methods as a second grouping set over the high/low rows. Exact
+    median / qNN go through :func:`grouped_quantiles` either way, which splits
+    off oversized (hot) groups.
     """
-    cols = [method_column(m) for m in methods]
     keyed = with_period(_ensure_active(rows), freq)
-    if strategy == "grouping_sets" and use_price:
-        hl = with_price_part(keyed, holidays)
-        g = hl.groupingSets(
-            [[S.ID, S.PERIOD, "_hl", S.ACTIVE], [S.ID, S.PERIOD, S.ACTIVE]],
-            S.ID, S.PERIOD, "_hl", S.ACTIVE).agg(*cols)
-        return g.select(S.ID, S.PERIOD, F.coalesce(F.col("_hl"), F.lit(ALL)).alias(S.PRICE),
-                        S.ACTIVE, *[f"{m}_consumption" for m in methods])
     if strategy not in ("explode", "grouping_sets"):
         raise ValueError(f"unknown strategy: {strategy}")
     priced = price_mode(keyed, use_price, holidays)
@@ -156,7 +148,14 @@ def aggregate_basic(rows: DataFrame, freq: str, methods: Sequence[str], use_pric
            if m == "median" or m.startswith("q")]
     plain = [m for m in methods if m not in dict(pct)]
     parts = []
-    if plain:
+    if plain and strategy == "grouping_sets" and use_price:
+        hl = with_price_part(keyed, holidays)
+        g = hl.groupingSets(
+            [[S.ID, S.PERIOD, "_hl", S.ACTIVE], [S.ID, S.PERIOD, S.ACTIVE]],
+            S.ID, S.PERIOD, "_hl", S.ACTIVE).agg(*[method_column(m) for m in plain])
+        parts.append(g.select(S.ID, S.PERIOD, F.coalesce(F.col("_hl"), F.lit(ALL)).alias(S.PRICE),
+                              S.ACTIVE, *[f"{m}_consumption" for m in plain]))
+    elif plain:
         parts.append(priced.groupBy(*GROUP_COLS).agg(*[method_column(m) for m in plain]))
     if pct:
         q = grouped_quantiles(priced, GROUP_COLS, S.VALUE, [p for _, p in pct], single_task_max)
@@ -168,13 +167,27 @@ def aggregate_basic(rows: DataFrame, freq: str, methods: Sequence[str], use_pric
     return out.select(*GROUP_COLS, *[f"{m}_consumption" for m in methods])
 
 
-def _peak_record(value: str = S.VALUE) -> Column:
-    # min() of this struct = largest non-null value, then the earliest time.
-    return F.struct(
-        F.col(value).isNull().alias("nv"),
-        (-F.col(value)).alias("negv"),
-        F.col(S.TS).alias("t"),
-    )
+# A day's peak is one number: the value's order-preserving bits, then how much
+# of the day is left at its time, so the largest number is the largest value at
+# its earliest time. It is a fixed-width decimal, which hash aggregates keep in
+# place; a struct of both would make Spark sort the readings.
+_DAY_MICROS = 86_400_000_000
+_SHIFT = 100_000_000_000
+
+
+def _peak_key(value: str = S.VALUE) -> Column:
+    start = F.to_date(F.col(S.TS)).cast("timestamp_ntz")
+    left = F.lit(_DAY_MICROS) - F.timestamp_diff("MICROSECOND", start, F.col(S.TS))
+    return (ordered_bits(F.col(value)).cast("decimal(20,0)") * F.lit(_SHIFT).cast("decimal(12,0)") + left.cast("decimal(12,0)")).cast("decimal(38,0)")
+
+
+def _peak_value(key: str) -> Column:
+    return from_ordered_bits(F.floor(F.col(key) / F.lit(_SHIFT).cast("decimal(12,0)")).cast("long"))
+
+
+def _peak_time(key: str) -> Column:
+    left = F.pmod(F.col(key), F.lit(_SHIFT).cast("decimal(38,0)")).cast("long")
+    return F.timestamp_add("MICROSECOND", F.lit(_DAY_MICROS) - left, F.col("day").cast("timestamp_ntz"))
 
 
 def daily_peaks(rows: DataFrame, freq: str, use_price: bool,
@@ -186,26 +199,24 @@ def daily_peaks(rows: DataFrame, freq: str, use_price: bool,
     are rows with a NULL peak.
     """
     keyed = with_period(_ensure_active(rows), freq).withColumn("day", F.to_date(S.TS))
-    rec = _peak_record()
+    keyed = keyed.withColumn("_key", _peak_key())
     keys = (S.ID, S.PERIOD, S.ACTIVE, "day")
     if use_price:
         keyed = with_price_part(keyed, holidays)
+        high, low = F.col("_hl") == HIGH, F.col("_hl") == LOW
         daily = keyed.groupBy(*keys).agg(
-            F.min(rec).alias("_all"),
-            F.min(F.when(F.col("_hl") == HIGH, rec)).alias("_high"),
-            F.min(F.when(F.col("_hl") == LOW, rec)).alias("_low"),
-        )
-        parts = F.array(
-            F.struct(F.lit(ALL).alias(S.PRICE), F.col("_all").alias("r")),
-            F.struct(F.lit(HIGH).alias(S.PRICE), F.col("_high").alias("r")),
-            F.struct(F.lit(LOW).alias(S.PRICE), F.col("_low").alias("r")),
-        )
+            *[F.max(F.when(c, F.col("_key"))).alias(f"{n}__k") for n, c in ((HIGH, high), (LOW, low))],
+            *[F.count(F.when(c, F.lit(1))).alias(f"{n}__n") for n, c in ((HIGH, high), (LOW, low))])
+        daily = daily.select("*", F.greatest(f"{HIGH}__k", f"{LOW}__k").alias(f"{ALL}__k"),
+                             (F.col(f"{HIGH}__n") + F.col(f"{LOW}__n")).alias(f"{ALL}__n"))
+        parts = F.array(*[F.struct(F.lit(n).alias(S.PRICE), F.col(f"{n}__k").alias("_key"), F.col(f"{n}__n").alias("_n"))
+                          for n in (ALL, HIGH, LOW)])
         long = daily.select(*keys, F.inline(parts))
     else:
-        long = keyed.groupBy(*keys).agg(F.min(rec).alias("r")).withColumn(S.PRICE, F.lit(ALL))
-    return long.where(F.col("r").isNotNull() & (F.lit(keep_empty) | ~F.col("r.nv"))).select(
+        long = keyed.groupBy(*keys).agg(F.max("_key").alias("_key"), F.count(F.lit(1)).alias("_n")).withColumn(S.PRICE, F.lit(ALL))
+    return long.where((F.col("_n") > 0) & (F.lit(keep_empty) | F.col("_key").isNotNull())).select(
         S.ID, S.PERIOD, S.PRICE, S.ACTIVE, "day",
-        (-F.col("r.negv")).alias("peak_consumption"), F.when(~F.col("r.nv"), F.col("r.t")).alias("peak_time"))
+        _peak_value("_key").alias("peak_consumption"), _peak_time("_key").alias("peak_time"))
 
 
 def top3_days(daily: DataFrame, k: int = 3) -> DataFrame:
@@ -233,7 +244,7 @@ _STATS = ("rows", "n", "s", "mx", "m2", "pk")
 
 
 def _part_aggs(name: str, cond: Column | None) -> list[Column]:
-    v, rec = F.col(S.VALUE), _peak_record()
+    v = F.col(S.VALUE)
 
     def only(e):
         return e if cond is None else F.when(cond, e)
@@ -243,14 +254,14 @@ def _part_aggs(name: str, cond: Column | None) -> list[Column]:
         F.sum(only(v)).alias(f"{name}__s"),
         F.max(only(v)).alias(f"{name}__mx"),
         (F.var_pop(only(v)) * F.count(only(v))).alias(f"{name}__m2"),
-        F.min(only(rec)).alias(f"{name}__pk"),
+        F.max(only(F.col("_key"))).alias(f"{name}__pk"),
     ]
 
 
 def _merged_all() -> list[Column]:
     """'all' day partials merged from the high and low parts (exact merges;
-    M2 by Chan's pairwise formula), so the sort-based aggregate computes
-    only the two parts."""
+    M2 by Chan's pairwise formula), so the aggregate computes only the two
+    parts."""
     def c(part, stat):
         return F.col(f"{part}__{stat}")
     nh, nl = c(HIGH, "n"), c(LOW, "n")
@@ -267,7 +278,7 @@ def _merged_all() -> list[Column]:
         s.alias(f"{ALL}__s"),
         F.greatest(c(HIGH, "mx"), c(LOW, "mx")).alias(f"{ALL}__mx"),
         m2.alias(f"{ALL}__m2"),
-        F.least(c(HIGH, "pk"), c(LOW, "pk")).alias(f"{ALL}__pk"),
+        F.greatest(c(HIGH, "pk"), c(LOW, "pk")).alias(f"{ALL}__pk"),
     ]
 
 
@@ -276,7 +287,7 @@ def daily_table(rows: DataFrame, freq: str, use_price: bool,
     """Household-day partials: ``aID, period, tariff_active, day, price,
     rows, n, s, mx, m2, pk`` -- one row per day and price part that has
     readings ('all' always; 'high' / 'low' when ``use_price``)."""
-    keyed = with_period(_ensure_active(rows), freq).withColumn("day", F.to_date(S.TS))
+    keyed = with_period(_ensure_active(rows), freq).withColumn("day", F.to_date(S.TS)).withColumn("_key", _peak_key())
     keys = (S.ID, S.PERIOD, S.ACTIVE, "day")
     if use_price:
         keyed = with_price_part(keyed, holidays)
@@ -301,8 +312,7 @@ def aggregate_from_daily(daily: DataFrame, methods: Sequence[str], top3: bool,
     ranked = Window.partitionBy(*GROUP_COLS).orderBy(F.col("_pv").desc_nulls_last(), F.col("day"))
     g = ranked.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     n, s = F.col("n"), F.col("s")
-    pk = F.col("pk")
-    d = daily.withColumn("_pv", F.when(pk.isNotNull() & ~pk["nv"], -pk["negv"])) if top3 else \
+    d = daily.withColumn("_pv", _peak_value("pk")) if top3 else \
         daily.withColumn("_pv", F.lit(None).cast("double"))
     if "variance" in methods:
         group_mean = F.try_divide(F.sum("s").over(g), F.sum("n").over(g).cast("double"))
@@ -310,7 +320,7 @@ def aggregate_from_daily(daily: DataFrame, methods: Sequence[str], top3: bool,
         dev = F.col("m2") + n * (day_mean - group_mean) * (day_mean - group_mean)
         d = d.withColumn("_dev", F.when(n > 0, dev))
     if top3:
-        d = d.withColumn("_pt", F.when(F.col("_pv").isNotNull(), pk["t"]))
+        d = d.withColumn("_pt", _peak_time("pk"))
         d = d.withColumn("_rank", F.when(F.col("_pv").isNotNull(), F.row_number().over(ranked)))
     cols = []
     for m in methods:

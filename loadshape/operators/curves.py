@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loadshape import schemas as S
 from loadshape.functions.calendar import ALL, event_time
+from loadshape.functions.stats import SINGLE_TASK_MAX, grouped_quantiles
 from loadshape.operators.usage import GROUP, GROUP_ORDER
 
 _AGGS = {
@@ -36,7 +37,8 @@ def _is(cols: Sequence[str], values: Sequence) -> Column:
 def consumption_curve(df: DataFrame, value_col: str, agg: str = "mean",
                       splits: Sequence[str] | None = None,
                       split_values: Sequence[Sequence] | None = None,
-                      price: str | None = None, period_col: str = S.TS) -> DataFrame:
+                      price: str | None = None, period_col: str = S.TS,
+                      single_task_max: int | None = None) -> DataFrame:
     """Aggregate ``value_col`` by period (and ``splits``).
 
     Without splits: ``period, <value_col>``. With splits the split keys are
@@ -46,21 +48,38 @@ def consumption_curve(df: DataFrame, value_col: str, agg: str = "mean",
     split value left out.
     When ``price`` is a split, its 'all' rows are dropped first. ``price``
     filters the input to one price part (None keeps them mixed).
+
+    A median holds a period's values in one task up to ``single_task_max`` of
+    them; larger periods are selected by bit prefixes.
     """
     fn = _fn(agg)
+    if single_task_max is None:
+        single_task_max = SINGLE_TASK_MAX
     if price is not None:
         df = df.where(F.col(S.PRICE) == price)
+    def median(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return grouped_quantiles(frame, keys, value_col, [0.5], single_task_max)
+
     if not splits:
+        if agg == "median":
+            return median(df, [period_col]).withColumnRenamed("_q0", value_col)
         return df.groupBy(period_col).agg(fn(value_col).alias(value_col))
     if S.PRICE in splits:
         df = df.where(F.col(S.PRICE) != ALL)
     if split_values is None:
+        if agg == "median":
+            return median(df.dropna(subset=list(splits)), [period_col, *splits]).withColumnRenamed("_q0", value_col)
         return df.dropna(subset=list(splits)).groupBy(period_col, *splits).agg(fn(value_col).alias(value_col))
     if len(split_values) != len(splits):
         raise ValueError("split_values must list the values of every split column")
     combos = [[]]
     for vals in split_values:
         combos = [c + [v] for c in combos for v in vals]
+    if agg == "median":
+        which = F.coalesce(*[F.when(_is(splits, c), F.lit(i)) for i, c in enumerate(combos)])
+        by_line = median(df.withColumn("_line", which), [period_col, "_line"])
+        return by_line.groupBy(period_col).agg(
+            *[F.max(F.when(F.col("_line") == i, F.col("_q0"))).alias("_".join(str(v) for v in c)) for i, c in enumerate(combos)])
     return df.groupBy(period_col).agg(
         *[fn(F.when(_is(splits, c), F.col(value_col))).alias("_".join(str(v) for v in c)) for c in combos])
 

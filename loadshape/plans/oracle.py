@@ -375,6 +375,11 @@ def _wide_avg(keys: list[str], expr_key: str, value: str = "top3_mean_consumptio
 _PT = "price || '_' || CAST(tariff_active AS VARCHAR)"
 ORACLE["consumption_by_price_tariff"] = f"""SELECT TIDPUNKT, {_wide_avg(['high_0', 'high_1', 'low_0', 'low_1'], _PT)}
 FROM ({MONTHLY_L}) m WHERE price <> 'all' GROUP BY TIDPUNKT"""
+ORACLE["consumption_curve_median"] = f"""SELECT TIDPUNKT, {_wide_avg(['high_0', 'high_1', 'low_0', 'low_1'], _PT).replace('avg(', 'median(')}
+FROM ({MONTHLY_L}) m WHERE price <> 'all' GROUP BY TIDPUNKT"""
+ORACLE["reading_quantiles"] = f"""SELECT CAST(year(TIDPUNKT) AS INTEGER) AS year, {R('quantile_cont(FORBRUKNING_KWH, 0.05)')} AS q05,
+       {R('quantile_cont(FORBRUKNING_KWH, 0.5)')} AS median, {R('quantile_cont(FORBRUKNING_KWH, 0.95)')} AS q95
+FROM ({METER_L}) m GROUP BY 1"""
 _UT = "usage_group || '_' || CAST(tariff_active AS VARCHAR)"
 ORACLE["consumption_by_usage_tariff"] = f"""SELECT TIDPUNKT,
        {_wide_avg(['low_0', 'low_1', 'medium_0', 'medium_1', 'high_0', 'high_1'], _UT)}

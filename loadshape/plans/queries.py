@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from loadshape import schemas as S
 from loadshape.functions.holidays import holiday_calendar, holiday_name
+from loadshape.functions.stats import selected_quantiles
 from loadshape.operators import aggregate as A
 from loadshape.operators import adoption as AD
 from loadshape.operators import balance as BL
@@ -315,6 +316,21 @@ def q_consumption_curve(spark, sf):
     return rounded(CV.consumption_curve(monthly_peaks_l(spark, sf), "top3_mean_consumption", price="all"))
 
 
+@register("consumption_curve_median")
+def q_consumption_curve_median(spark, sf):
+    return rounded(CV.consumption_curve(
+        monthly_peaks_l(spark, sf), "top3_mean_consumption", "median", splits=[S.PRICE, S.ACTIVE],
+        split_values=[["high", "low"], [0, 1]]))
+
+
+@register("reading_quantiles")
+def q_reading_quantiles(spark, sf):
+    """Quantiles of all readings of a year, selected without a sort."""
+    rows = meter_l(spark, sf).select(F.year(S.TS).cast("int").alias("year"), S.VALUE)
+    q = selected_quantiles(rows, ["year"], S.VALUE, [0.05, 0.5, 0.95])
+    return rounded(q.toDF("year", "q05", "median", "q95"))
+
+
 @register("consumption_by_price_tariff")
 def q_consumption_by_price_tariff(spark, sf):
     return rounded(CV.consumption_curve(

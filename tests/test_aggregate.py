@@ -217,3 +217,16 @@ def test_zoned_times_keep_every_hour(spark, tmp_path, zone):
         assert sorted(r.TIDPUNKT for r in scan_meter(spark, path).collect()) == sorted(want)
     finally:
         spark.conf.set("spark.sql.session.timeZone", was)
+
+
+def test_peaks_are_hash_aggregated_and_keep_ties(spark, meter_df):
+    m = meter_df([("a", "2025-01-07 09:30", -2.5), ("a", "2025-01-07 08:00", -2.5), ("a", "2025-01-07 20:00", -3.0),
+                  ("a", "2025-01-08 00:00", 0.1), ("a", "2025-01-08 23:59", 0.1), ("b", "2025-01-08 10:00", None), ("b", "2025-01-09 10:00", 0.0)])
+    got = {(r.aID, r.price, r.day.day): (r.peak_consumption, r.peak_time) for r in A.daily_peaks(m, "month", True, keep_empty=True).collect()}
+    assert got[("a", "high", 7)] == (-2.5, ts("2025-01-07 08:00")) == got[("a", "all", 7)]
+    assert got[("a", "low", 7)] == (-3.0, ts("2025-01-07 20:00"))
+    assert got[("a", "all", 8)] == (0.1, ts("2025-01-08 00:00")) == got[("a", "low", 8)]
+    assert got[("b", "all", 8)] == (None, None) and got[("b", "all", 9)] == (0.0, ts("2025-01-09 10:00"))
+    for df in (A.daily_peaks(m, "month", True), A.daily_table(m, "month", True), A.aggregate(m, "month", ["top3_mean", "variance", "mean"])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
