@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadshape import schemas as S
-from loadshape.functions.bits import from_ordered_bits, ordered_bits
+from loadshape.functions.bits import bits_of, exponent_guess, exponent_of, from_ordered_bits, power_of_two
 from loadshape.functions.calendar import ALL, HIGH, LOW, period_key, price_label
 from loadshape.functions.holidays import is_holiday
 from loadshape.functions.stats import SINGLE_TASK_MAX, grouped_quantiles
@@ -175,10 +175,15 @@ _DAY_MICROS = 86_400_000_000
 _SHIFT = 100_000_000_000
 
 
-def _peak_key(value: str = S.VALUE) -> Column:
+def with_peak_key(rows: DataFrame) -> DataFrame:
+    """Add ``_key``; in steps, so that each part is computed once a reading."""
+    a, guess, e = F.col("_a"), F.col("_g"), F.col("_e")
     start = F.to_date(F.col(S.TS)).cast("timestamp_ntz")
     left = F.lit(_DAY_MICROS) - F.timestamp_diff("MICROSECOND", start, F.col(S.TS))
-    return (ordered_bits(F.col(value)).cast("decimal(20,0)") * F.lit(_SHIFT).cast("decimal(12,0)") + left.cast("decimal(12,0)")).cast("decimal(38,0)")
+    rows = rows.withColumn("_a", F.abs(S.VALUE)).withColumn("_g", exponent_guess(a)).withColumn("_p", power_of_two(guess))
+    rows = rows.withColumn("_e", exponent_of(a, guess, F.col("_p"))).withColumn("_b", bits_of(F.col(S.VALUE), a, e))
+    key = F.col("_b").cast("decimal(20,0)") * F.lit(_SHIFT).cast("decimal(12,0)") + left.cast("decimal(12,0)")
+    return rows.withColumn("_key", key.cast("decimal(38,0)")).drop("_a", "_g", "_p", "_e", "_b")
 
 
 def _peak_value(key: str) -> Column:
@@ -199,7 +204,7 @@ def daily_peaks(rows: DataFrame, freq: str, use_price: bool,
     are rows with a NULL peak.
     """
     keyed = with_period(_ensure_active(rows), freq).withColumn("day", F.to_date(S.TS))
-    keyed = keyed.withColumn("_key", _peak_key())
+    keyed = with_peak_key(keyed)
     keys = (S.ID, S.PERIOD, S.ACTIVE, "day")
     if use_price:
         keyed = with_price_part(keyed, holidays)
@@ -287,7 +292,8 @@ def daily_table(rows: DataFrame, freq: str, use_price: bool,
     """Household-day partials: ``aID, period, tariff_active, day, price,
     rows, n, s, mx, m2, pk`` -- one row per day and price part that has
     readings ('all' always; 'high' / 'low' when ``use_price``)."""
-    keyed = with_period(_ensure_active(rows), freq).withColumn("day", F.to_date(S.TS)).withColumn("_key", _peak_key())
+    keyed = with_period(_ensure_active(rows), freq).withColumn("day", F.to_date(S.TS))
+    keyed = with_peak_key(keyed)
     keys = (S.ID, S.PERIOD, S.ACTIVE, "day")
     if use_price:
         keyed = with_price_part(keyed, holidays)
