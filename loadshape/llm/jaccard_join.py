@@ -10,10 +10,16 @@ Routing. Sets that differ in at most d shingles agree on at least two of d + 2
 parts into which a hash cuts the shingles. Each set sends a signature of each
 part, for the size class of the smaller set of a pair (its own, and the class
 below for pairs in which it is the larger), so every pair of linked texts
-meets in a signature: nothing is lost. Parts without shingles are left out,
-as one of the two parts has some; a set with several empty parts also sends
-their pairs. Equal signatures within a slice of texts are combined before the
-shuffle, so a signature that a third of all texts share arrives once per slice.
+meets in a signature: nothing is lost. Parts without shingles are no evidence
+and are left out. Only when all parts in which a pair agrees are empty in both
+does it need another signature: of c such parts, at most c - 2 others differ in
+two shingles or more, so among the first parts of a set, as many as c - 1 more
+than those with fewer than two shingles, one differs in exactly one. A set with
+several empty parts therefore also sends these first parts whole and with each
+shingle left out. Their number grows with the size of the set, not its square.
+(A set too small to have so many parts sends the pairs of its empty ones.)
+Equal signatures within a slice of texts are combined before the shuffle, so a
+signature that a third of all texts share arrives once per slice.
 
 Connected by signatures, texts form coarse groups; each is one inverted index
 in one task. A group over ``GROUP_CHARS`` characters is cut into hash blocks
@@ -85,15 +91,26 @@ def signatures(hashes: np.ndarray, sizes: np.ndarray, classes: Classes) -> tuple
         # sums of the two halves stay exact in a double
         low = np.bincount(at, (spread & np.uint64(0xFFFFFFFF)).astype(np.float64), total).astype(np.uint64)
         high = np.bincount(at, (spread >> np.uint64(32)).astype(np.float64), total).astype(np.uint64)
-        filled = np.bincount(at, minlength=total) > 0
+        held = np.bincount(at, minlength=total)
+        filled = held > 0
         of = np.repeat(np.arange(len(sizes)), k)
         number = np.arange(total) - base[of]
         seed = mix(level[of].astype(np.uint64) * np.uint64(1 << 32) + number.astype(np.uint64))
         out.append(mix(seed + mix(low) + mix(high ^ np.uint64(0xA5A5))).astype(np.uint64)[filled])
         owner.append(of[filled])
-        # pairs of empty parts
+        # sets that may agree with a partner in empty parts alone: their first parts, whole and less one shingle
         hollow = np.bincount(of[~filled], minlength=len(sizes))
-        for i in np.flatnonzero(hollow > 1).tolist():
+        first = np.bincount(of[held < 2], minlength=len(sizes)) + hollow - 1
+        sent = filled & (hollow > 1)[of] & (number < first[of])
+        less = mix(seed + np.uint64(0x1E55))
+        out.append(mix(less + mix(low) + mix(high ^ np.uint64(0xA5A5)))[sent])
+        owner.append(of[sent])
+        one = (sent & (held > 1))[at]
+        there, spread = at[one], spread[one]
+        out.append(mix(less[there] + mix(low[there] - (spread & np.uint64(0xFFFFFFFF))) + mix((high[there] - (spread >> np.uint64(32))) ^ np.uint64(0xA5A5))))
+        owner.append(of[there])
+        # of sets with too few parts for that, the pairs of empty ones
+        for i in np.flatnonzero((hollow > 1) & (first > k)).tolist():
             gaps = number[base[i]:base[i] + k[i]][~filled[base[i]:base[i] + k[i]]]
             a, b = np.triu_indices(len(gaps), 1)
             pair = gaps[a].astype(np.uint64) * np.uint64(1 << 24) + gaps[b].astype(np.uint64)

@@ -78,18 +78,59 @@ def test_repeated_ids_and_empty_table(spark):
     assert J.jaccard_components(df.limit(0)).count() == 0
 
 
-def test_linked_sets_share_a_signature():
-    rng, classes = np.random.default_rng(0), J.Classes(90, 100)
-    for n in list(range(1, 60)) + [100, 333, 1000]:
+@pytest.mark.parametrize("part,whole", [(90, 100), (80, 100), (60, 100)])
+def test_linked_sets_share_a_signature(part, whole):
+    rng, classes = np.random.default_rng(0), J.Classes(part, whole)
+    tried = 0
+    for n in [m for m in range(1, 40) for _ in range(25)] + [100, 333, 1000, 4000]:
         x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
-        for _ in range(6):
-            drop = rng.integers(0, n + 1)
-            y = np.unique(np.concatenate([x[drop // 12:], rng.integers(0, 1 << 63, rng.integers(0, n // 12 + 2), dtype=np.uint64)]))
+        for _ in range(8):
+            most = n * (whole - part) // part + 2
+            gone, new = rng.integers(0, most), rng.integers(0, most)
+            y = np.unique(np.concatenate([x[gone:], rng.integers(0, 1 << 63, new, dtype=np.uint64)]))
             both = len(np.intersect1d(x, y))
-            if 100 * both < 90 * (len(x) + len(y) - both):
+            if not len(y) or whole * both < part * (len(x) + len(y) - both):
                 continue
+            tried += 1
             sig, of = J.signatures(np.concatenate([np.sort(x), y]), np.array([len(x), len(y)]), classes)
             assert set(sig[of == 0].tolist()) & set(sig[of == 1].tolist())
+    assert tried > 2000
+
+
+def test_pairs_that_agree_in_empty_parts_alone_share_a_signature():
+    """Shingles placed by hand: each filled part differs in one shingle."""
+    classes = J.Classes(80, 100)
+    rng = np.random.default_rng(2)
+    for n in (30, 60, 200):
+        level = classes.of(n)
+        k = classes.parts(level)
+        for _ in range(20):
+            empty = set(rng.choice(k, 2, replace=False).tolist())
+            filled = [p for p in range(k) if p not in empty]
+            parts = [filled[i % len(filled)] for i in range(n)]
+            x = np.array([((2 * p + 1) * (1 << 31) // k << 32) + int(rng.integers(1 << 20)) for p in parts], np.uint64)
+            y = list(x.tolist())
+            for p in filled:            # one more in each part
+                if 10 * n < 8 * (len(y) + 1):
+                    break
+                y.append(((2 * p + 1) * (1 << 31) // k << 32) + int(rng.integers(1 << 20, 1 << 21)))
+            x, y = np.unique(x), np.unique(np.array(y, np.uint64))
+            assert 100 * len(x) >= 80 * len(y)
+            sig, of = J.signatures(np.concatenate([x, y]), np.array([len(x), len(y)]), classes)
+            assert set(sig[of == 0].tolist()) & set(sig[of == 1].tolist())
+
+
+def test_signatures_of_unlike_sets_seldom_meet_and_grow_with_size_alone():
+    rng, classes = np.random.default_rng(7), J.Classes(80, 100)
+    n_sets, size = 4000, 190
+    hashes = np.sort(rng.integers(0, 1 << 63, (n_sets, size), dtype=np.uint64) * np.uint64(2), axis=1)
+    sig, of = J.signatures(hashes.ravel(), np.full(n_sets, size), classes)
+    pairs = np.unique(np.stack([sig, of.astype(np.uint64)]), axis=1)
+    shared = np.unique(pairs[0], return_counts=True)[1]
+    assert (shared > 1).sum() == 0
+    for n in (10_000, 100_000):
+        long = np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        assert len(J.signatures(long, np.array([n]), classes)[0]) < 3 * n
 
 
 def test_search_finds_all_pairs():

@@ -49,7 +49,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert sorted(r.doc_id for r in two.collect()) == sorted(r[0] for r in kept)
 
     three = C.drop_near(spark, two, folder)
-    groups = {eval(x)[0]: eval(x)[2] for x in jaccard_brute([(r[0], r[1]) for r in kept])}
+    groups = {eval(x)[0]: eval(x)[2] for x in jaccard_brute([(r[0], r[1]) for r in kept], 5, 80, 100)}
     kept = [r for r in kept if groups[r[0]] == r[0]]
     assert 402 not in {r[0] for r in kept}
     assert sorted(r.doc_id for r in three.collect()) == sorted(r[0] for r in kept)
