@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loadshape.session import materialize
+
 SMD_THRESHOLD = 0.1
 
 
@@ -18,25 +20,46 @@ def balance_table(profiles: DataFrame, matches: DataFrame, control_profile: str
     adopt have none and drop out, as in the study); ``'at_match'`` uses the
     features stored in the matches. SMD = (m_t - m_c) / sqrt((v_t + v_c)/2)
     with sample variances; missing values are skipped.
+
+    The matches are read once: every unit comes out with its weight (the number
+    of edges of a control, 1 for a treated unit), and the moments are weighted
+    by it, so edges never meet the profiles.
     """
     if control_profile not in ("own_adoption", "at_match"):
         raise ValueError("control_profile must be 'own_adoption' or 'at_match'")
-    if check_nonempty and matches.isEmpty():
-        raise ValueError("matches is empty")
     feats = [c for c in profiles.columns if c not in ("id", "adoption_month")]
-    treated = profiles.join(matches.select(F.col("treated_id").alias("id")).distinct(), "id", "left_semi")
-    if control_profile == "own_adoption":
-        control = matches.select(F.col("control_id").alias("id")).join(profiles, "id", "left")
-    else:
-        control = matches
-    both = treated.select(F.lit(1).alias("_t"), *feats).unionByName(
-        control.select(F.lit(0).alias("_t"), *feats))
+    at_match = control_profile == "at_match"
+    values = feats if at_match else []
+
+    def unit(treated: int, id_col: str):
+        stored = [(F.lit(None) if treated else F.col(f)).cast("double").alias(f) for f in values]
+        month = F.col("adoption_month") if at_match and not treated else F.lit(None)
+        return F.struct(F.lit(treated).alias("_t"), F.col(id_col).alias("id"), month.cast("date").alias("_month"), *stored)
+
+    units = matches.select(F.explode(F.array(unit(1, "treated_id"), unit(0, "control_id"))).alias("u")).select("u.*")
+    # edges of one month and control carry the same features
+    units = materialize(units.groupBy("_t", "id", "_month").agg(
+        F.when(F.col("_t") == 1, 1).otherwise(F.count(F.lit(1))).cast("double").alias("_w"), *[F.min(f).alias(f) for f in values]))
+    if check_nonempty and units.isEmpty():
+        raise ValueError("matches is empty")
+    both = units.select("_t", "_w", "id").where(F.lit(not at_match) | (F.col("_t") == 1)).join(profiles, "id").select("_t", "_w", *feats)
+    if at_match:
+        both = both.unionByName(units.where("_t = 0").select("_t", "_w", *feats))
     pairs = ", ".join(f"'{f}', CAST(`{f}` AS DOUBLE)" for f in feats)
-    long = both.selectExpr("_t", f"stack({len(feats)}, {pairs}) AS (covariate, value)")
-    t, c, v = F.col("_t") == 1, F.col("_t") == 0, F.col("value")
-    g = long.groupBy("covariate").agg(
-        F.avg(F.when(t, v)).alias("treated_mean"), F.avg(F.when(c, v)).alias("control_mean"),
-        F.var_samp(F.when(t, v)).alias("_vt"), F.var_samp(F.when(c, v)).alias("_vc"))
+    long = materialize(both.selectExpr("_t", "_w", f"stack({len(feats)}, {pairs}) AS (covariate, value)"))
+    long = long.where(F.col("value").isNotNull())
+    mean = long.groupBy("covariate", "_t").agg((F.sum(F.col("_w") * F.col("value")) / F.sum("_w")).alias("_mean"))
+    # one row per covariate and side; squares about the mean, not of the values
+    far = F.col("value") - F.col("_mean")
+    side = long.join(F.broadcast(mean), ["covariate", "_t"]).groupBy("covariate", "_t").agg(
+        F.first("_mean").alias("_mean"), F.try_divide(F.sum(F.col("_w") * far * far), F.sum("_w") - 1).alias("_var"))
+    t, c = F.col("_t") == 1, F.col("_t") == 0
+    found = side.groupBy("covariate").agg(
+        F.max(F.when(t, F.col("_mean"))).alias("treated_mean"), F.max(F.when(c, F.col("_mean"))).alias("control_mean"),
+        F.max(F.when(t, F.col("_var"))).alias("_vt"), F.max(F.when(c, F.col("_var"))).alias("_vc"))
+    # a covariate without any value still has its row
+    names = F.array(*[F.lit(f) for f in feats])
+    g = profiles.sparkSession.range(1).select(F.explode(names).alias("covariate")).join(found, "covariate", "left")
     smd = F.try_divide(F.col("treated_mean") - F.col("control_mean"),
                        F.sqrt((F.col("_vt") + F.col("_vc")) / 2.0))
     return g.select("covariate", "treated_mean", "control_mean", smd.alias("SMD"))

@@ -30,8 +30,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadshape import schemas as S
-from loadshape.operators.profiles import (adopters, adoption_months, check_mode, clean,
-                                          feature_names, profiles_at, window_rows)
+from loadshape.operators.profiles import (adoption_months, check_mode, clean, feature_names,
+                                          month_vectors, profiles_of)
 from loadshape.plans.hints import broadcast_if_small
 from loadshape.session import materialize
 
@@ -296,18 +296,17 @@ def risk_set_matching(data: DataFrame, id_col: str = S.ID, month_col: str = S.TS
     ``with_neighbor`` keeps the neighbour rank (1 = nearest)."""
     check_mode(feature_mode)
     feats = feature_names(feature_mode, lookback_months)
-    # The cleaned one-price rows feed the adoption months, the adopters, the
-    # risk-set info and the windows: materialise them once.
-    rows = materialize(clean(data, id_col, month_col, adoption_col, value_col, price_filter,
-                             collapse_months))
-    tis = adoption_months(rows)
-    prof = profiles_at(window_rows(rows, tis, lookback_months), feature_mode, lookback_months)
+    # The households' month vectors feed the adoption months and the profiles:
+    # materialise them once.
+    vectors = materialize(month_vectors(clean(data, id_col, month_col, adoption_col, value_col, price_filter,
+                                              collapse_months)))
+    tis = sorted(r[0] for r in vectors.select(F.explode("_own")).distinct().collect())
+    months = F.array(*[F.lit(t) for t in tis]).cast("array<date>")
+    prof = profiles_of(vectors, months, feature_mode, lookback_months, keep=["_own", "_never", "_latest"])
     # Profiles feed the scaling stats, the cells and the final feature join:
     # materialise them once (reliable checkpoint in the shared folder).
-    prof = materialize(prof.join(adoption_info(rows), "id"))
-    own = adopters(rows).select("id", F.col("adoption_month").alias("Ti"))
-    treated = prof.join(own, ["id", "Ti"], "left_semi").select(
-        "Ti", F.col("id").alias("treated_id"), *feats)
+    prof = materialize(prof.withColumn("_own", F.array_contains("_own", F.col("Ti"))))
+    treated = prof.where("_own").select("Ti", F.col("id").alias("treated_id"), *feats)
     controls = prof.where(in_risk_set(F.col("Ti"))).select("Ti", F.col("id").alias("control_id"), *feats)
     edges = knn_edges(treated, controls, feats, k_neighbors)
     return edges.join(controls, ["Ti", "control_id"]).select(

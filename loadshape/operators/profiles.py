@@ -1,22 +1,25 @@
 """Pre-adoption profiles: the look-back window of each household before an
 adoption month, as a time series (first L rows) or as summary statistics.
 
-The look-back range join (``month in [Ti - L months, Ti)``) is evaluated as
-an equi-join: every distinct adoption month ``Ti`` is expanded to the L+1
-calendar months its window can touch (a table of ``|Ti| x (L+1)`` rows,
-bounded by the months in the data, broadcast), joined on the reading's
-month, with the exact range as a residual predicate. Every (Ti, household)
-window then holds at most a couple of rows per month, so the per-window
-``row_number`` / ``lag`` windows are small.
+A household's rows come together once, in one shuffle: its months in order, its
+adoption months and whether it never adopts. Each adoption month ``Ti`` is then a
+slice of that vector (``month in [Ti - L months, Ti)``), so nothing is joined or
+shuffled per adoption month. The aggregate has at most two rows per household
+and month (before and after the adoption), so a vector is bounded by the months
+of the calendar.
+
+``window_rows`` gives the rows of the windows themselves, as an equi-join: every
+``Ti`` is expanded to the L+1 calendar months its window can touch (``|Ti| x
+(L+1)`` rows, bounded by the months in the data, broadcast), joined on the
+reading's month, with the exact range as a residual predicate.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadshape import schemas as S
-from loadshape.session import materialize
 
 FEATURE_MODES = ("time_series", "summary")
 SUMMARY_FEATURES = ("peak_mean", "peak_sd", "peak_volatility")
@@ -92,28 +95,49 @@ def window_rows(rows: DataFrame, tis: DataFrame, lookback_months: int) -> DataFr
         .select("Ti", "id", "month", "ord", "v")
 
 
-def profiles_at(win: DataFrame, feature_mode: str, lookback_months: int) -> DataFrame:
-    """One profile per (Ti, id) whose window holds at least L rows.
+def month_vectors(rows: DataFrame) -> DataFrame:
+    """One row per household: ``id``, ``_rows`` (its rows by month and tariff
+    status), ``_own`` (its adoption months), ``_never`` (1 if some row has no
+    adoption), ``_latest`` adoption month. Rows without an id are left out."""
+    return rows.where(F.col("id").isNotNull()).groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct("month", "ord", "v"))).alias("_rows"),
+        F.sort_array(F.collect_set("adoption_month")).alias("_own"),
+        F.max(F.col("adoption_month").isNull().cast("int")).alias("_never"),
+        F.max("adoption_month").alias("_latest"))
+
+
+def _features(feature_mode: str, lookback_months: int) -> list[Column]:
+    if feature_mode == "time_series":
+        return [F.get("_window", F.lit(i))["v"].alias(f"peak_{i + 1}") for i in range(lookback_months)]
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+    def known(values: Column) -> Column:
+        return F.filter(values, lambda x: x.isNotNull())
+
+    v = F.transform("_window", lambda x: x["v"])
+    n = F.size(known(v))
+    mean = F.when(n > 0, total(known(v)) / n)
+    squares = total(F.transform(known(v), lambda x: (x - mean) * (x - mean)))
+    steps = known(F.zip_with(F.slice(v, 2, F.size(v) - 1), F.slice(v, 1, F.size(v) - 1), lambda x, y: F.abs(x - y)))
+    return [mean.alias("peak_mean"), F.when(n > 1, F.sqrt(squares / (n - 1))).alias("peak_sd"),
+            F.when(F.size(steps) > 0, total(steps) / F.size(steps)).alias("peak_volatility")]
+
+
+def profiles_of(vectors: DataFrame, months: Column, feature_mode: str, lookback_months: int, keep: list[str] = []) -> DataFrame:
+    """One profile per household of ``month_vectors`` and adoption month Ti of
+    the array ``months`` whose window holds at least L rows: ``Ti, id, <keep>,
+    <features>``.
 
     time_series: ``peak_1..peak_L`` = the first L rows by (month, tariff
     status); summary: mean, sample sd and mean absolute successive change of
     all window rows (missing values skipped)."""
     check_mode(feature_mode)
-    w = Window.partitionBy("Ti", "id").orderBy("month", "ord")
-    if feature_mode == "time_series":
-        ranked = win.withColumn("_pos", F.row_number().over(w))
-        prof = ranked.groupBy("Ti", "id").agg(
-            F.count(F.lit(1)).alias("_n"),
-            *[F.max(F.when(F.col("_pos") == i, F.col("v"))).alias(f"peak_{i}")
-              for i in range(1, lookback_months + 1)])
-    else:
-        step = F.abs(F.col("v") - F.lag("v").over(w))
-        prof = win.withColumn("_step", step).groupBy("Ti", "id").agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.avg("v").alias("peak_mean"),
-            F.stddev_samp("v").alias("peak_sd"),
-            F.avg("_step").alias("peak_volatility"))
-    return prof.where(F.col("_n") >= lookback_months).drop("_n")
+    at = vectors.select("id", *keep, "_rows", F.explode(months).alias("Ti"))
+    within = F.filter("_rows", lambda x: (x["month"] >= F.add_months("Ti", -lookback_months)) & (x["month"] < F.col("Ti")))
+    return (at.select("Ti", "id", *keep, within.alias("_window")).where(F.size("_window") >= lookback_months)
+            .select("Ti", "id", *keep, *_features(feature_mode, lookback_months)))
 
 
 def build_profiles(data: DataFrame, id_col: str = S.ID, month_col: str = S.TS,
@@ -123,13 +147,7 @@ def build_profiles(data: DataFrame, id_col: str = S.ID, month_col: str = S.TS,
     """Profiles of the adopters at their own adoption month:
     ``id, <features>, adoption_month``."""
     check_mode(feature_mode)
-    # read by the adopter list, the month list and the windows: materialise once
-    rows = materialize(clean(data, id_col, month_col, adoption_col, value_col, price_filter,
-                             collapse_months))
-    own = adopters(rows)
-    win = window_rows(rows.join(own.select("id"), "id", "left_semi"),
-                      adoption_months(rows), lookback_months)
-    win = win.join(own.select("id", F.col("adoption_month").alias("Ti")), ["id", "Ti"], "left_semi")
-    prof = profiles_at(win, feature_mode, lookback_months)
+    rows = clean(data, id_col, month_col, adoption_col, value_col, price_filter, collapse_months)
+    prof = profiles_of(month_vectors(rows), F.col("_own"), feature_mode, lookback_months)
     feats = feature_names(feature_mode, lookback_months)
     return prof.select("id", *feats, F.col("Ti").alias("adoption_month"))

@@ -318,6 +318,7 @@ for _m in ("sum", "mean", "variance", "median", "max", "q90"):
 ORACLE["agg_top3_mean"] = _agg_q(ROWS_L, "month", ["top3_mean"])
 ORACLE["agg_multi"] = _agg_q(ROWS_L, "month", ["top3_mean", "variance", "mean"])
 ORACLE["monthly_aggregate"] = _run_q(MONTHLY_L, ["top3_mean", "variance", "mean"], True, True)
+ORACLE["scan_aggregate"] = f"SELECT * EXCLUDE (price) FROM ({ORACLE['monthly_aggregate']}) m WHERE price = 'all'"
 ORACLE["daily_peak"] = f"""SELECT aID, period AS TIDPUNKT, price, tariff_active, day,
        {R('peak_consumption')} AS peak_consumption, peak_time
 FROM ({daily_peaks_sql(priced_sql(ROWS_E, 'week'))}) d"""

@@ -26,8 +26,9 @@ from loadshape.operators.tariff import join_tariff, normalize_tariff, tariff_inf
 from loadshape.operators.usage import usage_groups
 from loadshape.plans.pipeline import enrich, run
 from loadshape.sources import driver_views as dv
-from loadshape.session import materialize
-from loadshape.sources.files import dataset_profile
+from loadshape.session import materialize, shared_path
+from loadshape.sources.files import (dataset_profile, scan_aggregate, scan_meter, scan_tariff_csv,
+                                     write_aggregate, write_parquet)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -115,12 +116,27 @@ def _agg(spark, sf, src, freq, methods, use_price=True, holidays=False, strategy
 # ------------------------------------------------------------ scans
 @register("scan_meter")
 def q_scan_meter(spark, sf):
-    return rounded(meter_l(spark, sf))
+    """The meter as the study's Parquet file, written to the shared folder and
+    read by the reader."""
+    path = shared_path(spark, "meter")
+    write_parquet(meter_l(spark, sf), path)
+    return rounded(scan_meter(spark, path))
 
 
 @register("scan_tariff")
 def q_scan_tariff(spark, sf):
-    return tariff_l(spark, sf)
+    """The tariff list as the study's CSV file, read by the reader."""
+    path = shared_path(spark, "tariff")
+    dv.lineitem_tariff_raw(spark, sf).write.option("header", True).csv(path)
+    return normalize_tariff(scan_tariff_csv(spark, path))
+
+
+@register("scan_aggregate")
+def q_scan_aggregate(spark, sf):
+    """The monthly table written by price, one price read back (one folder)."""
+    path = shared_path(spark, "aggregate")
+    write_aggregate(monthly_l(spark, sf), path)
+    return rounded(scan_aggregate(spark, path).where("price = 'all'").drop("price"))
 
 
 @register("dataset_profile")
