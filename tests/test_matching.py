@@ -230,3 +230,23 @@ def test_months_with_few_controls(spark):
     assert MT.knn_edges(treated, controls, feats, 5).count() == 8       # all four for both
     assert MT.knn_edges(treated, controls.limit(0), feats, 5).count() == 0
     assert MT.knn_edges(treated.limit(0), controls, feats, 5).count() == 0
+
+
+def test_a_cell_passes_on_k_controls_per_unit(spark):
+    # rows that leave a cell follow the units, not the pairs of units and controls
+    x, t = _profiles("plain", 3000, 1), _profiles("plain", 40, 2)
+    treated, controls, feats = _knn_frames(spark, x, t)
+    stats = MT.month_stats(controls, feats)
+    cells = MT.ControlCells(controls, stats, feats, 5, 512)
+    units = MT.bounded_units(cells, MT.scaled_units(treated, stats, feats), feats, 5)
+    near = cells.near(units)
+    rows = cells.pairs(near, units, feats).collect()
+    assert len(rows) == near.count() * 5
+    for r in rows[::97]:
+        c, u = x[int(r.control_id[1:])], t[int(r.treated_id[1:])]
+        assert r.distance == pytest.approx(np.sqrt((((c - u) / x.std(axis=0, ddof=1)) ** 2).sum()), rel=1e-9)
+
+
+def test_smallest_breaks_ties_by_place_and_puts_nan_last():
+    rows, columns = MT._smallest(np.array([[2.0, 1.0, np.nan, 1.0, 1.0], [np.nan, np.nan, 3.0, np.nan, np.inf]]), 3)
+    assert rows.tolist() == [0, 0, 0, 1, 1, 1] and columns.tolist() == [1, 3, 4, 2, 4, 0]
