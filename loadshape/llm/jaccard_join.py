@@ -18,11 +18,17 @@ than those with fewer than two shingles, one differs in exactly one. A set with
 several empty parts therefore also sends these first parts whole and with each
 shingle left out. Their number grows with the size of the set, not its square.
 (A set too small to have so many parts sends the pairs of its empty ones.)
-Equal signatures within a slice of texts are combined before the shuffle, so a
-signature that a third of all texts share arrives once per slice.
+A signature that over ``SLICE_SHARE`` texts of a slice share is combined before
+the shuffle, so one that a third of all texts share arrives once per slice.
 
-Connected by signatures, texts form coarse groups; each is one inverted index
-in one task. A group over ``GROUP_CHARS`` characters is cut into hash blocks
+Texts that agree in a part by chance (a common phrase) would tie most of a
+corpus together. So the texts of a signature are compared by sketches, the
+counts of their shingles in ``CELLS`` or more hash cells: the counts of linked
+texts differ by no more than the texts do, so a pair whose counts differ by more is
+not linked, and only the others are tied. (Signatures combined before the
+shuffle, or of more than ``SIGNATURE_TEXTS`` texts, tie all their texts.)
+
+Tied texts form coarse groups; each is one inverted index in one task. A group over ``GROUP_CHARS`` characters is cut into hash blocks
 and every pair of blocks is one task, each pair of texts being counted once.
 
 Defined cases: a null or empty text, or one without words, has no shingles and
@@ -48,6 +54,9 @@ from .tokens import text_slices
 WORDS = 3
 SIMILARITY = (90, 100)          # intersection to union, as a fraction
 SLICE_CHARS = 1_500_000
+SLICE_SHARE = 32                # texts of a slice with one signature that are sent one by one
+SIGNATURE_TEXTS = 500           # texts of a signature whose sketches are compared
+CELLS = 64                      # of a sketch, at least
 GROUP_CHARS = 8_000_000
 MEMBERS_BROADCAST = 1_000_000
 SKIP = 0.0085                   # DivideSkip's weight of a list's logarithm
@@ -119,6 +128,70 @@ def signatures(hashes: np.ndarray, sizes: np.ndarray, classes: Classes) -> tuple
     return np.concatenate(out), np.concatenate(owner)
 
 
+def sketches(hashes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Shingles of each text in each hash cell, modulo 256; a power of two of
+    cells, one for 4 to 8 shingles of a long text."""
+    cells = np.maximum(CELLS, 1 << np.ceil(np.log2(np.maximum(sizes, 8) / 8)).astype(np.int64))
+    ends = np.cumsum(cells)
+    spread = (mix(hashes + np.uint64(0x7C15)) >> np.uint64(32)).astype(np.int64)
+    at = np.repeat(ends - cells, sizes) + spread % np.repeat(cells, sizes)
+    counts = np.bincount(at, minlength=int(cells.sum())).astype(np.uint8).tobytes()
+    return [counts[i:j] for i, j in zip((ends - cells).tolist(), ends.tolist())]
+
+
+class Sketches:
+    """Sketches of many texts, folded to common numbers of cells."""
+
+    def __init__(self, raw: list[bytes], sizes: np.ndarray):
+        self.sizes, self.cells = sizes, np.array([len(r) for r in raw], np.int64)
+        data, begin = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(self.cells) - self.cells
+        self.levels = {}
+        for level in [CELLS, *np.unique(self.cells[self.cells > CELLS]).tolist()]:
+            rows = np.flatnonzero(self.cells >= level)
+            folded, place = np.zeros((len(rows), level), np.uint8), np.zeros(len(raw), np.int64)
+            place[rows] = np.arange(len(rows))
+            for n in np.unique(self.cells[rows]).tolist():
+                own = np.flatnonzero(self.cells == n)
+                folded[place[own]] = data[begin[own][:, None] + np.arange(n)].reshape(len(own), n // level, level).sum(1, dtype=np.uint8)
+            self.levels[level] = folded, place
+
+    def may_link(self, a: np.ndarray, b: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
+        """Whether texts a and b (places) can be linked: linked sets of x and y
+        shingles differ in (x + y) * (1 - s) / (1 + s) at most."""
+        part, whole = similarity
+        x, y, fewer = self.sizes[a], self.sizes[b], np.minimum(self.cells[a], self.cells[b])
+        near = np.abs(x - y) * (whole + part) <= (x + y) * (whole - part)
+        for level, (folded, place) in self.levels.items():
+            asked = np.flatnonzero(near & ((fewer == level) | (level == CELLS)))
+            step = max(1, (1 << 21) // level)
+            for at in range(0, len(asked), step):
+                i = asked[at:at + step]
+                apart = np.abs((folded[place[a[i]]] - folded[place[b[i]]]).view(np.int8).astype(np.int16)).sum(1, dtype=np.int64)
+                near[i] = apart * (whole + part) <= (x[i] + y[i]) * (whole - part)
+        return near
+
+
+def ties(group: np.ndarray, texts: Sketches, similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs that connect, within each run of equal ``group``, all
+    texts that can be linked."""
+    rows = np.arange(len(group))
+    begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    length = np.diff(np.append(begin, len(group)))
+    run, end = np.repeat(np.arange(len(begin)), length), np.repeat(begin + length, length)
+    a = rows[:-1][run[1:] == run[:-1]]
+    near = texts.may_link(a, a + 1, similarity)
+    out = [(a[near], a[near] + 1)]
+    # where all neighbours are tied, so is the run; else every other pair is compared
+    broken = np.bincount(run[a[~near]], minlength=len(begin)) > 0
+    left, gap = rows[broken[run] & (rows + 2 < end)], 2
+    while len(left):
+        near = texts.may_link(left, left + gap, similarity)
+        out.append((left[near], left[near] + gap))
+        gap += 1
+        left = left[left + gap < end[left]]
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
 def t_occurrence(sets: list[np.ndarray], similarity: tuple[int, int]):
     """Yield (i, partners): the linked sets before set i, for distinct sets
     sorted by size."""
@@ -221,42 +294,94 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             known = sum(i is not None for i in ids)
             node = np.array([ids[i] or 0 for i in order], np.int64)
             sig, of = signatures(hashes[:int(sizes[:known].sum())], sizes[:known], classes)
-            sig, first, again = np.unique(sig, return_index=True, return_inverse=True)
-            # texts that share a signature in this slice: an edge to the first, sent as a signature of its own
+            # a signature of many texts of this slice: its first stands for all, each tied to it by a signature of their own
+            common, first, again, shared = np.unique(sig, return_index=True, return_inverse=True, return_counts=True)
+            many = shared > SLICE_SHARE
             a, b = node[of], node[of[first][again]]
-            pairs = np.unique(np.stack([a[a != b], b[a != b]]), axis=1)
+            tied = many[again] & (a != b)
+            pairs = np.unique(np.stack([a[tied], b[tied]]), axis=1)
             tie = mix(mix(pairs[0].astype(np.uint64)) + pairs[1].astype(np.uint64))
-            rows = [(sig, node[of[first]]), (tie, pairs[0]), (tie, pairs[1])]
-            n_rows = sum(len(s) for s, _ in rows)
+            alone = ~many[again]
+            rows = [(sig[alone], a[alone], 0), (common[many], node[of[first[many]]], 1), (tie, pairs[0], 1), (tie, pairs[1], 1)]
+            n_rows = sum(len(x) for x, _, _ in rows)
             missing = np.concatenate([np.ones(n_rows, bool), np.zeros(len(node), bool)])
-            nodes = np.concatenate([*(v for _, v in rows), node])
+            nodes = np.concatenate([*(v for _, v, _ in rows), node])
             no_id = np.concatenate([np.zeros(n_rows, bool), np.arange(len(node)) >= known])
-            spread = np.concatenate([*(s for s, _ in rows), mix(node.astype(np.uint64))]).view(np.int64)
+            spread = np.concatenate([*(x for x, _, _ in rows), mix(node.astype(np.uint64))]).view(np.int64)
+            sure = np.concatenate([*(np.full(len(x), k, np.int8) for x, _, k in rows), np.zeros(len(node), np.int8)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(spread), pa.array(nodes, mask=no_id), pa.array(np.concatenate([np.zeros(n_rows, np.int64), sizes]), mask=missing)],
-                ["sig", "node", "n"])
+                [pa.array(spread), pa.array(nodes, mask=no_id), pa.array(np.concatenate([np.zeros(n_rows, np.int64), sizes]), mask=missing), pa.array(sure),
+                 pa.array([None] * n_rows + sketches(hashes, sizes), pa.binary())],
+                ["sig", "node", "n", "sure", "sketch"])
 
     def meet(batches):
-        last = None
+        """Rows of three kinds: ties (a, b), texts of a signature to compare
+        (sig, a), and texts (a, n, sketch)."""
+        def signature_rows(sig, node, sure):
+            """Of whole signatures: those to compare, and ties of the others."""
+            begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            length = np.diff(np.append(begin, len(sig)))
+            all_tied = (np.maximum.reduceat(sure, begin) > 0) | (length > SIGNATURE_TEXTS)
+            run = np.repeat(np.arange(len(begin)), length)
+            pair = all_tied[run[1:]] & (run[1:] == run[:-1])
+            edges = np.unique(np.stack([node[1:][pair], node[:-1][pair]]), axis=1)
+            edges = edges[:, edges[0] != edges[1]]
+            new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
+            asked = new & (~all_tied & (np.add.reduceat(new.astype(np.int64), begin) > 1))[run]
+            return edges, sig[asked], node[asked]
+
+        def out(edges, sig, node, rows):
+            none, n_pairs, n_asked = pa.nulls, edges.shape[1], len(sig)
+            return pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([pa.array(edges[0]), pa.array(node), rows.column(1)]), pa.concat_arrays([pa.array(edges[1]), none(n_asked + len(rows), pa.int64())]),
+                 pa.concat_arrays([none(n_pairs, pa.int64()), pa.array(sig), none(len(rows), pa.int64())]),
+                 pa.concat_arrays([none(n_pairs + n_asked, pa.int64()), rows.column(2)]), pa.concat_arrays([none(n_pairs + n_asked, pa.binary()), rows.column(4)])],
+                ["a", "b", "sig", "n", "sketch"])
+
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8))
         for batch in batches:
             is_row = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
-            sig, node = batch.column(0).to_numpy()[~is_row], batch.column(1).filter(pa.array(~is_row)).to_numpy()
-            if last is not None:
-                sig, node = np.concatenate([[last[0]], sig]), np.concatenate([[last[1]], node])
-            same = sig[1:] == sig[:-1]
-            pairs = np.unique(np.stack([node[1:][same], node[:-1][same]]), axis=1)
-            pairs = pairs[:, pairs[0] != pairs[1]]
-            if len(sig):
-                last = sig[-1], node[-1]
+            signed = batch.filter(pa.array(~is_row))
+            held = tuple(np.concatenate([h, signed.column(c).to_numpy()]) for h, c in zip(held, (0, 1, 3)))
             rows = batch.filter(pa.array(is_row))
-            none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([rows.column(1), pa.array(pairs[0])]), pa.concat_arrays([none, pa.array(pairs[1])]),
-                 pa.concat_arrays([rows.column(2), pa.nulls(pairs.shape[1], pa.int64())])], ["a", "b", "n"])
-
-    met = stash(docs.mapInArrow(send, "sig long, node long, n long")
-                .repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(meet, "a long, b long, n long"), "signatures")
-    coarse = stash(components(met.where("b is not null").select("a", "b")), "coarse")
+            whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if len(held[0]) - whole > 2 * SIGNATURE_TEXTS:      # an unfinished signature that ties all: two of its texts go on
+                held[2][whole:] = 1
+                done, held = held, tuple(h[[-1]] for h in held)
+            else:
+                done, held = tuple(h[:whole] for h in held), tuple(h[whole:] for h in held)
+            yield out(*(signature_rows(*done) if len(done[0]) else (np.zeros((2, 0), np.int64), *done[:2])), rows)
+        if len(held[0]):
+            empty = pa.RecordBatch.from_arrays([pa.nulls(0, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int8(), pa.binary())], ["sig", "node", "n", "sure", "sketch"])
+            yield out(*signature_rows(*held), empty)
+
+    def compare(batches):
+        held = None
+        for batch in batches:
+            held = batch if held is None else pa.concat_batches([held, batch])
+            sig = held.column(0).to_numpy()
+            whole = int(np.searchsorted(sig, sig[-1])) if len(sig) else 0
+            yield tied_rows(held.slice(0, whole))
+            held = held.slice(whole)
+        if held is not None:
+            yield tied_rows(held)
+
+    def tied_rows(rows):
+        pairs = np.zeros((2, 0), np.int64)
+        if len(rows):
+            sig, node, sizes = (rows.column(c).to_numpy() for c in range(3))
+            i, j = ties(sig, Sketches(rows.column(3).to_pylist(), sizes), similarity)
+            pairs = np.unique(np.stack([node[i], node[j]]), axis=1)
+        pairs = pairs[:, pairs[0] != pairs[1]]
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    met = stash(docs.mapInArrow(send, "sig long, node long, n long, sure byte, sketch binary")
+                .repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(meet, "a long, b long, sig long, n long, sketch binary"), "signatures")
+    asked = (met.where("sig is not null").select("sig", "a")
+             .join(met.where("n is not null and a is not null").select("a", "n", "sketch"), "a").select("sig", "a", "n", "sketch"))
+    tied = asked.repartition("sig").sortWithinPartitions("sig", "n", "a").mapInArrow(compare, "a long, b long")
+    edges = stash(met.where("b is not null").select("a", "b").unionByName(tied).distinct(), "ties")
+    coarse = stash(components(edges), "coarse")
     small = broadcast_up_to(coarse.withColumnRenamed("node", "doc_id"), MEMBERS_BROADCAST)
     members = docs.where("doc_id is not null").join(small, "doc_id")
     amounts = members.groupBy("root").agg(F.sum(F.char_length("text") + 1).alias("chars"))

@@ -160,3 +160,32 @@ def test_components_of_a_long_chain(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(900, 901), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in components(df).collect()}
     assert got == {**{i: 0 for i in range(301)}, 900: 900, 901: 900}
+
+
+def test_sketches_keep_all_links_and_part_texts_that_share_little():
+    rng, (part, whole) = np.random.default_rng(3), (80, 100)
+    sets, linked = [], []
+    for size in (1, 6, 40, 500, 2000, 9000):
+        base = rng.integers(0, 1 << 63, size, np.uint64)
+        for cut in (size // 9, size // 3):         # linked, and not
+            other = np.concatenate([base[cut:], rng.integers(0, 1 << 63, cut, np.uint64)])
+            sets += [base, other]
+            linked.append(whole * (size - cut) >= part * (size + cut))
+    sizes = np.array([len(x) for x in sets])
+    texts = J.Sketches(J.sketches(np.concatenate(sets), sizes), sizes)
+    a = np.arange(0, len(sets), 2)
+    near = texts.may_link(a, a + 1, (part, whole))
+    assert near[np.array(linked)].all()
+    assert not texts.may_link(a[6:], np.roll(a[6:], 1), (part, whole)).reshape(-1, 2)[:, 0].any()
+    assert not near[9::2].any()            # long texts of which a third differs
+
+
+def test_texts_that_share_a_phrase_alone_are_not_tied():
+    rng = np.random.default_rng(4)
+    size, n = 3000, 40
+    sets = [rng.integers(0, 1 << 63, size, np.uint64) for _ in range(n)]
+    sets.append(sets[7].copy())
+    sizes = np.full(n + 1, size)
+    texts = J.Sketches(J.sketches(np.concatenate(sets), sizes), sizes)
+    i, j = J.ties(np.zeros(n + 1, np.int64), texts, (80, 100))
+    assert list(zip(i.tolist(), j.tolist())) == [(7, n)]
