@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, table, two_columns
+from .common import broadcast_up_to, stash, table, two_columns
 from .shingles import _P, _P_INVERSE, mix
 from .suffix_array import repeated_windows
 from .tokens import release_memory
@@ -44,6 +44,7 @@ GRAM = 32
 SHARD_BYTES = 3_000_000
 SLICE_BYTES = 1_000_000
 HOT_BYTES = 2_000_000
+ANCHORS_BROADCAST = TOUCHED_BROADCAST = 1_000_000
 SPAN = 1 << 16          # strings per anchor, at most the width
 KEY = ["doc_id", "content"]
 
@@ -118,6 +119,24 @@ def _slices(batches, limit: int):
     release_memory()
 
 
+def repeated_keys(batches):
+    """The rows of sorted batches whose first column occurs more than once."""
+    last, seen = None, False        # the last row so far, and whether it went out
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if last is not None:
+            batch = pa.concat_batches([last, batch])
+        key = batch.column(0).to_numpy()
+        same = key[1:] == key[:-1]
+        again = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        last, out = batch.slice(batch.num_rows - 1), bool(again[-1])
+        if seen:
+            again[0] = False
+        seen = out or (seen and batch.num_rows == 1)
+        yield batch.filter(pa.array(again))
+
+
 def _order(row):
     return row[0] is not None, row[0] or 0, row[1]
 
@@ -160,8 +179,8 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 ["h", "doc_id", "content", "at"])
 
     found = docs.mapInArrow(send, "h long, doc_id long, content long, at long")
-    again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    wanted = (found.join(again, "h", "left_semi").groupBy(*KEY)
+    again = found.repartition("h").sortWithinPartitions("h").mapInArrow(repeated_keys, found.schema)
+    wanted = (again.groupBy(*KEY)
               .agg(F.collect_set(F.struct("at", "h")).alias("anchors"))
               .select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), "anchors"))
     met = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content")), "left")
@@ -255,7 +274,7 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield close()
         release_memory()
 
-    cold = (strings.join(loads.where(F.col("size") <= hot_bytes).select("h"), "h", "left_semi")
+    cold = (strings.join(broadcast_up_to(loads.where(F.col("size") <= hot_bytes).select("h"), ANCHORS_BROADCAST), "h", "left_semi")
             .withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
             .select("shard", *KEY, "a", "bytes").repartition("shard").sortWithinPartitions("shard", *KEY, "a"))
     spans = (step.where("a is not null and h is null").select(*KEY, "a", "b")
@@ -268,10 +287,17 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         earliest = single.groupBy("string").agg(F.min(place).alias("earliest"))
         spans = spans.unionByName(single.join(earliest, "string").where(F.col("earliest") < place)
                                   .select(*KEY, "a", (F.col("a") + width).alias("b")))
-    gone = spans.groupBy(*KEY).agg(F.collect_set(F.struct("a", "b")).alias("spans")).select(
-        F.col("doc_id").alias("_id"), F.col("content").alias("_content"), "spans")
+    gone = stash(spans.groupBy(*KEY).agg(F.collect_set(F.struct("a", "b")).alias("spans")).select(
+        F.col("doc_id").alias("_id"), F.col("content").alias("_content"), "spans"), "suffix-gone")
     whole = step.where("a is null").select(*KEY, "bytes")
-    joined = whole.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content")), "left")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content"))
+    if gone.count() <= TOUCHED_BROADCAST:
+        # documents that lose nothing are not shuffled
+        keys = F.broadcast(gone.select("_id", "_content"))
+        rest = whole.join(keys, same, "left_anti").withColumn("spans", F.lit(None).cast(gone.schema["spans"].dataType))
+        joined = whole.join(keys, same, "left_semi").join(gone, same).select("doc_id", "bytes", "spans").unionByName(rest.select("doc_id", "bytes", "spans"))
+    else:
+        joined = whole.join(gone, same, "left")
 
     def cut(batches):
         for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):

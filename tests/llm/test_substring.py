@@ -87,3 +87,14 @@ def test_repeated_rows_and_empty(spark):
     assert D.repeated_bytes(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         D.repeated_bytes(df, width=5, gram=6)
+
+
+def test_repeated_keys_across_batches():
+    import pyarrow as pa
+    from loadshape.llm.substring_dedup import repeated_keys
+
+    keys = [1, 2, 2, 3, 4, 4, 4, 4, 5, 6, 6, 7]
+    for width in (1, 2, 3, 5, 12):
+        batches = [pa.record_batch([pa.array(keys[i:i + width]), pa.array(range(len(keys))[i:i + width])], ["h", "at"]) for i in range(0, len(keys), width)]
+        got = [r for b in repeated_keys(iter(batches)) for r in b.column(1).to_pylist()]
+        assert got == [1, 2, 4, 5, 6, 7, 9, 10], width
