@@ -382,6 +382,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tied = asked.repartition("sig").sortWithinPartitions("sig", "n", "a").mapInArrow(compare, "a long, b long")
     edges = stash(met.where("b is not null").select("a", "b").unionByName(tied).distinct(), "ties")
     coarse = stash(components(edges), "coarse")
+    # rows of one id are links of each other where their text meets another in a signature
+    repeats = stash(met.where("n is not null and a is not null").groupBy("a").count().where("count > 1").select("a"), "repeats")
+    if repeats.limit(1).count():
+        lone = met.where("sig is not null").select("a").join(repeats, "a", "left_semi").distinct().select(F.col("a").alias("node"), F.col("a").alias("root"))
+        coarse = stash(coarse.unionByName(lone.join(coarse, "node", "left_anti")), "coarse")
     small = broadcast_up_to(coarse.withColumnRenamed("node", "doc_id"), MEMBERS_BROADCAST)
     members = docs.where("doc_id is not null").join(small, "doc_id")
     amounts = members.groupBy("root").agg(F.sum(F.char_length("text") + 1).alias("chars"))

@@ -189,3 +189,11 @@ def test_texts_that_share_a_phrase_alone_are_not_tied():
     texts = J.Sketches(J.sketches(np.concatenate(sets), sizes), sizes)
     i, j = J.ties(np.zeros(n + 1, np.int64), texts, (80, 100))
     assert list(zip(i.tolist(), j.tolist())) == [(7, n)]
+
+
+def test_rows_of_one_id_that_meet_another_text_are_counted(spark):
+    # texts 1 and 2 share most of their shingles, but too few for a link; the rows of 1 are links of each other only
+    words = [f"w{i}" for i in range(120)]
+    one, two = " ".join(words[:80]), " ".join(words[:70] + words[80:90])
+    df = spark.createDataFrame([(1, one), (1, one), (2, two)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id, r.n_links) for r in J.jaccard_components(df).collect()) == [(1, 1, 1), (1, 1, 1), (2, 2, 0)]
