@@ -11,13 +11,14 @@ in a document with a smaller id, or earlier in the same one. Suffix arrays
 2. Shards of documents, then shards of anchors. A task sorts the suffixes of
    its documents' candidate strings and finds what repeats inside the shard.
    What is first there goes on, by the hash of its anchor, to the shard that
-   gets the same strings from everywhere. Copies meet in the first step, so
-   the second gets one per shard of the first.
+   gets the same strings from everywhere, in one shuffle. Copies meet in the
+   first step, so the second gets one per shard of the first.
 
 An anchor whose strings exceed ``HOT_BYTES`` (a passage in very many documents
 between ever different neighbours) is not given to one shard: its strings are
 grouped by their bytes, each group combined before it is shuffled, and the
-earliest of each stays.
+earliest of each stays. Sizes are summed by hash buckets first, each of a
+quarter of ``HOT_BYTES`` or so, and by anchor only in buckets beyond it.
 
 Defined cases: a null text equals the empty one; texts shorter than ``width``
 keep every byte; a null id comes before all numbers; rows that repeat an id
@@ -44,7 +45,7 @@ GRAM = 32
 SHARD_BYTES = 3_000_000
 SLICE_BYTES = 1_000_000
 HOT_BYTES = 2_000_000
-ANCHORS_BROADCAST = TOUCHED_BROADCAST = 1_000_000
+HOT_BROADCAST = TOUCHED_BROADCAST = 1_000_000
 SPAN = 1 << 16          # strings per anchor, at most the width
 KEY = ["doc_id", "content"]
 
@@ -183,24 +184,23 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = (again.groupBy(*KEY)
               .agg(F.collect_set(F.struct("at", "h")).alias("anchors"))
               .select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), "anchors"))
-    met = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content")), "left")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content"))
+    met = docs.join(wanted, same)
 
     names = ["doc_id", "content", "h", "a", "b", "bytes"]
 
     def local(batches):
-        """Rows of three kinds: removed spans (a, b), strings for an anchor's
-        shard (h, a, bytes), and documents (bytes only)."""
+        """Rows of two kinds: removed spans (a, b) and strings for an anchor's
+        shard (h, a, b, bytes)."""
 
-        def batch_of(rows, h=None, a=None, b=None, texts=None):
-            none = pa.nulls(len(rows), pa.int64())
+        def batch_of(rows, a, b, h=None, texts=None):
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                 *(none if x is None else pa.array(x, pa.int64()) for x in (h, a, b)),
+                 pa.nulls(len(rows), pa.int64()) if h is None else pa.array(h, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
                  pa.nulls(len(rows), pa.binary()) if texts is None else pa.array(texts, pa.binary())], names)
 
         def close(rows):
             rows = sorted(rows, key=_order)
-            yield batch_of(rows, texts=[r[2] for r in rows])
             owner, start, stop, at, hashes, run_of, plain, n_runs = [], [], [], [], [], [], None, 0
             for r in rows:
                 same, plain = plain == _order(r), _order(r)
@@ -224,7 +224,7 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             flags = repeated_windows([r[2][a:b + width] for r, a, b in zip(owner, start.tolist(), stop.tolist())], width)
             sizes = stop - start + 1
             piece, x, y = _spans(flags, sizes)
-            yield batch_of([owner[i] for i in piece.tolist()], a=x + start[piece], b=y + start[piece] + width)
+            yield batch_of([owner[i] for i in piece.tolist()], x + start[piece], y + start[piece] + width)
             # of each anchor's strings, what lies between the first and the last that is new here
             shift = (np.cumsum(sizes) - sizes - start)[run_of]
             low = at // SPAN + shift
@@ -234,7 +234,7 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             some = np.flatnonzero(i < j)
             a, b = fresh[i[some]] - shift[some], fresh[j[some] - 1] - shift[some] + width
             mine = [owner[k] for k in run_of[some].tolist()]
-            yield batch_of(mine, h=hashes[some], a=a, texts=[r[2][k:m] for r, k, m in zip(mine, a.tolist(), b.tolist())])
+            yield batch_of(mine, a, b, hashes[some], [r[2][k:m] for r, k, m in zip(mine, a.tolist(), b.tolist())])
 
         rows, size = [], 0
         for part in _slices(batches, SLICE_BYTES // 8):
@@ -247,12 +247,16 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield from close(rows)
 
     step = stash(met.select(*KEY, "text", "anchors").mapInArrow(local, "doc_id long, content long, h long, a long, b long, bytes binary"), "suffix-local")
-    strings = step.where("h is not null").drop("b")
-    loads = strings.groupBy("h").agg(F.sum(F.length("bytes")).alias("size"), F.count("*").alias("n"))
-    loads = stash(loads.where("n > 1"), "suffix-loads")         # one shard's strings of an anchor repeat nothing more
-    total = loads.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    hot = loads.where(F.col("size") > hot_bytes)
+    strings = step.where("h is not null")
+    sizes = strings.select("h", (F.col("b") - F.col("a")).alias("size"))
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_bytes))
+    bucket = F.pmod(F.xxhash64("h", F.lit(1)), F.lit(1 + 4 * total // hot_bytes))
+    full = stash(sizes.groupBy(bucket.alias("_bucket")).agg(F.sum("size").alias("size")).where(F.col("size") > hot_bytes)
+                 .select("_bucket"), "suffix-full")
+    hot = stash(sizes.withColumn("_bucket", bucket).join(broadcast_up_to(full, HOT_BROADCAST), "_bucket", "left_semi")
+                .groupBy("h").agg(F.sum("size").alias("size")).where(F.col("size") > hot_bytes).select("h"), "suffix-hot")
+    any_hot = hot.limit(1).count() > 0
 
     def remote(batches):
         key, rows = None, []
@@ -274,13 +278,13 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield close()
         release_memory()
 
-    cold = (strings.join(broadcast_up_to(loads.where(F.col("size") <= hot_bytes).select("h"), ANCHORS_BROADCAST), "h", "left_semi")
-            .withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
+    cold = strings.join(broadcast_up_to(hot, HOT_BROADCAST), "h", "left_anti") if any_hot else strings
+    cold = (cold.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
             .select("shard", *KEY, "a", "bytes").repartition("shard").sortWithinPartitions("shard", *KEY, "a"))
-    spans = (step.where("a is not null and h is null").select(*KEY, "a", "b")
+    spans = (step.where("h is null").select(*KEY, "a", "b")
              .unionByName(cold.mapInArrow(remote, "doc_id long, content long, a long, b long")))
-    if hot.limit(1).count():
-        single = (strings.join(hot.select("h"), "h", "left_semi")
+    if any_hot:
+        single = (strings.join(broadcast_up_to(hot, HOT_BROADCAST), "h", "left_semi")
                   .select(*KEY, "a", "bytes", F.explode(F.sequence(F.lit(1), F.length("bytes") - (width - 1))).alias("i"))
                   .select(*KEY, (F.col("a") + F.col("i") - 1).alias("a"), F.substring("bytes", F.col("i"), F.lit(width)).alias("string")))
         place = F.struct(*KEY, "a")
@@ -289,8 +293,7 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                                   .select(*KEY, "a", (F.col("a") + width).alias("b")))
     gone = stash(spans.groupBy(*KEY).agg(F.collect_set(F.struct("a", "b")).alias("spans")).select(
         F.col("doc_id").alias("_id"), F.col("content").alias("_content"), "spans"), "suffix-gone")
-    whole = step.where("a is null").select(*KEY, "bytes")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content"))
+    whole = docs.select(*KEY, F.col("text").cast("binary").alias("bytes"))
     if gone.count() <= TOUCHED_BROADCAST:
         # documents that lose nothing are not shuffled
         keys = F.broadcast(gone.select("_id", "_content"))

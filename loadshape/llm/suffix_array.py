@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 
+from .shingles import _P, _P_INVERSE
+
 COMPARED = 1 << 16      # suffixes compared at a time
+HASHED = 1 << 19        # bytes hashed at a time
 
 
 def _by_doubling(s: np.ndarray) -> np.ndarray:
@@ -163,15 +166,74 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
 def repeated_windows(segments: list[bytes], width: int) -> np.ndarray:
     """Whether each ``width``-byte window of the segments, in order, also
     starts earlier in them. Windows lie inside one segment. Equal segments
-    enter the suffix array once: all windows of the later ones start earlier."""
+    enter the suffix array once: all windows of the later ones start earlier.
+    Of the others it gets the windows whose hash occurs twice or more; a window
+    with a hash of its own equals no other."""
+    out, own = _distinct(segments, width)
+    segments = [segments[i] for i in own]
+    sizes = np.array([max(0, len(segment) - width + 1) for segment in segments], np.int64)
+    shared = _shared_hashes(segments, sizes, width)
+    begin = np.cumsum(sizes) - sizes
+    edge = np.zeros(len(shared) + 1, bool)
+    edge[begin] = edge[-1] = True
+    first = np.flatnonzero(shared & (edge[:-1] | ~np.concatenate([[False], shared[:-1]])))
+    last = np.flatnonzero(shared & (edge[1:] | ~np.concatenate([shared[1:], [False]])))
+    piece = np.searchsorted(begin, first, "right") - 1      # the last of those that begin there: it has windows
+    parts = [segments[i][a:b] for i, a, b in zip(piece.tolist(), (first - begin[piece]).tolist(), (last - begin[piece] + width).tolist())]
+    flags, chosen = _distinct(parts, width)
+    flags[~flags] = _repeated([parts[i] for i in chosen], width)
+    fresh = np.zeros(len(shared), bool)
+    fresh[shared] = flags
+    out[~out] = fresh
+    return out
+
+
+def _distinct(segments: list[bytes], width: int) -> tuple[np.ndarray, list[int]]:
+    """Whether each window lies in a segment that equals an earlier one, and
+    the numbers of the other segments."""
     first: dict[bytes, int] = {}
     for i, segment in enumerate(segments):
         first.setdefault(segment, i)
-    sizes = np.array([max(0, len(segment) - width + 1) for segment in segments], np.int64)
-    own = np.zeros(len(segments), bool)
-    own[list(first.values())] = True
-    out = np.ones(int(sizes.sum()), bool)
-    out[np.repeat(own, sizes)] = _repeated(list(first), width)
+    own = list(first.values())
+    again = np.ones(len(segments), bool)
+    again[own] = False
+    return np.repeat(again, [max(0, len(segment) - width + 1) for segment in segments]), own
+
+
+def _shared_hashes(segments: list[bytes], sizes: np.ndarray, width: int) -> np.ndarray:
+    """Whether the rolling hash of each window occurs more than once; ``sizes``:
+    the segments' numbers of windows."""
+    total = int(sizes.sum())
+    if not total:
+        return np.zeros(0, bool)
+    place = np.uint64((1 << total.bit_length()) - 1)        # low bits: the window's number
+    keys, at, powers = np.empty(total, np.uint64), 0, np.ones((2, 1), np.uint64)
+    lengths = np.array([len(segment) for segment in segments], np.int64)
+    group = (np.cumsum(lengths) - 1) // HASHED
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(segments)]
+    for i, j in zip(cuts, cuts[1:]):
+        data, n = np.frombuffer(b"".join(segments[i:j]), np.uint8), sizes[i:j]
+        if not n.sum():
+            continue
+        if powers.shape[1] < len(data):
+            powers = np.array([[_P], [_P_INVERSE]]).repeat(len(data), 1)
+            powers[:, 0] = 1
+            np.multiply.accumulate(powers, axis=1, out=powers)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[0, :len(data)], out=sums[1:])
+        h = (sums[width:] - sums[:-width]) * powers[1, :len(sums) - width]
+        valid = np.repeat(np.cumsum(lengths[i:j]) - lengths[i:j] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        keys[at:at + len(valid)] = h[valid]
+        at += len(valid)
+    keys &= ~place
+    keys |= np.arange(total, dtype=np.uint64)
+    keys.sort()
+    number = (keys & place).astype(np.int64)
+    keys >>= np.uint64(total.bit_length())
+    same = keys[1:] == keys[:-1]
+    out = np.zeros(total, bool)
+    out[number[1:][same]] = True
+    out[number[:-1][same]] = True
     return out
 
 

@@ -98,3 +98,42 @@ def test_repeated_keys_across_batches():
         batches = [pa.record_batch([pa.array(keys[i:i + width]), pa.array(range(len(keys))[i:i + width])], ["h", "at"]) for i in range(0, len(keys), width)]
         got = [r for b in repeated_keys(iter(batches)) for r in b.column(1).to_pylist()]
         assert got == [1, 2, 4, 5, 6, 7, 9, 10], width
+
+
+def test_windows_that_occur_once_stay_out_of_the_suffix_array(monkeypatch):
+    rng = random.Random(4)
+    passage = rng.randbytes(40)
+    segments = [rng.randbytes(200), rng.randbytes(100) + passage, passage + rng.randbytes(100), rng.randbytes(5)]
+    entered, sort = [], S._repeated
+    monkeypatch.setattr(S, "_repeated", lambda parts, width: entered.extend(parts) or sort(parts, width))
+    flags = S.repeated_windows(segments, 20)
+    want = np.zeros(181 + 121 + 121, bool)
+    want[302:302 + 21] = True
+    assert (flags == want).all()
+    assert entered == [passage]
+
+
+def test_strings_travel_alone_and_once(spark, monkeypatch):
+    """No document is stored with the strings, and whatever the number of
+    anchors the strings are shuffled by shard only."""
+    rng = random.Random(6)
+    passage = "".join(rng.choices("abcdefgh", k=60))
+    rows = [(i, "".join(rng.choices("abcdefgh", k=200)) + (passage if i < 3 else "")) for i in range(12)]
+    stored, plans = {}, []
+    stash = D.stash
+
+    def watched(df, what):
+        if what == "suffix-gone":
+            plans.append(df._jdf.queryExecution().analyzed().toString())
+        stored[what] = stash(df, what)
+        return stored[what]
+
+    monkeypatch.setattr(D, "stash", watched)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(D, "HOT_BROADCAST", 0)
+    got = D.repeated_bytes(df, width=20, gram=6, shard_bytes=1).collect()
+    assert sorted((r.doc_id, sum(s["end"] - s["start"] for s in r.spans or ())) for r in got) == [(i, 60 if i in (1, 2) else 0) for i in range(12)]
+    step = stored["suffix-local"]
+    assert step.where("h is null and (a is null or bytes is not null)").count() == 0
+    assert step.where("doc_id > 2").count() <= step.where("doc_id <= 2").count()
+    assert "Join" not in plans[0]
