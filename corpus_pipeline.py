@@ -17,6 +17,8 @@ from loadshape.llm import exact_dedup, jaccard_join, mixing, packing, toxicity
 from loadshape.llm.common import broadcast_up_to, drop_rows, stash, table
 
 MIX_BROADCAST = 1_000_000
+# workers and executors still hold memory of the stages before; more words and longer slices only save time
+PACK_MEMO, PACK_SLICE = 50_000, 400_000
 NEAR_WORDS = 5
 NEAR_SIMILARITY = (80, 100)     # op8's own contract is three words and 0.9
 
@@ -59,7 +61,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents; a repeated document is packed each time."""
-    return packing.digests(docs)
+    return packing.digests(docs, PACK_MEMO, PACK_SLICE)
 
 
 STAGES = [

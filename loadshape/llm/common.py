@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,21 @@ def broadcast_up_to(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Inside, Arrow batches that go to Python workers have at most ``rows``
+    rows: for whole texts, whose default batches take tens of MB in the JVM and
+    again in each worker. What runs later has the session's own size again."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def running_total(df: DataFrame, order: list[str], amount: str, total: str, what: str) -> DataFrame:
     """Add ``total``: the sum of ``amount`` over all rows before this one in
     ``order``. The rows are stored before the range partitions are sampled, and

@@ -117,3 +117,30 @@ def test_wavelet_access_count_select(top):
         m.select(top, 0)
     assert (m.decode() == ids).all()
     assert len(wavelet.WaveletMatrix(wavelet.encode(ids[:0], ids[:0], ids[:0])).decode()) == 0
+
+
+def test_packing_sends_few_texts_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    from loadshape.llm import common, packing
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    seen, total = [], packing.running_total
+
+    def watched(df, *rest):
+        seen.append(max(r.n for r in spark.range(2000, numPartitions=1).mapInArrow(sizes, "n long").collect()))
+        return total(df, *rest)
+
+    monkeypatch.setattr(packing, "running_total", watched)
+    df = spark.createDataFrame([(i, "some words " * i) for i in range(20)], "doc_id long, text string")
+    out = packing.digests(df)
+    assert out.where("start = 0").count() == 20 and seen == [packing.BATCH_ROWS]
+    assert spark.conf.get(name) == before
+    with common.small_batches(spark, 10 ** 6):      # a smaller size stays
+        assert spark.conf.get(name) == before
