@@ -18,7 +18,7 @@ from loadshape.llm.common import broadcast_up_to, drop_rows, stash, table
 
 MIX_BROADCAST = 1_000_000
 # workers and executors still hold memory of the stages before; more words and longer slices only save time
-PACK_MEMO, PACK_SLICE = 50_000, 400_000
+PACK_MEMO, PACK_SLICE = 100_000, 500_000
 NEAR_WORDS = 5
 NEAR_SIMILARITY = (80, 100)     # op8's own contract is three words and 0.9
 
