@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadshape.llm import exact_dedup, jaccard_join, mixing, packing, toxicity
-from loadshape.llm.common import broadcast_up_to, drop_rows, stash, table
+from loadshape.llm.common import broadcast_up_to, drop_rows, small_batches, stash, table
 
 MIX_BROADCAST = 1_000_000
 # workers and executors still hold memory of the stages before; more words and longer slices only save time
@@ -32,7 +32,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     trained = toxicity.train(docs, table(spark, sf_dir, "labels"))
     row = F.xxhash64("doc_id", _text())
     judged = toxicity.score(docs.select(row.alias("doc_id"), "text"), trained)
-    return drop_rows(docs, judged.where("predicted = 1").select("doc_id"), [row])
+    with small_batches(spark, toxicity.BATCH_ROWS):     # the texts are judged in here
+        return drop_rows(docs, judged.where("predicted = 1").select("doc_id"), [row])
 
 
 def drop_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

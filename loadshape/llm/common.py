@@ -5,8 +5,10 @@ from __future__ import annotations
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loadshape.session import ensure_checkpoint_dir
 
@@ -55,6 +57,14 @@ def small_batches(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
+def few_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A frame of rows that the driver has, made without Python workers (which
+    would stay beside those of the operators)."""
+    names = StructType.fromDDL(schema).names
+    columns = list(zip(*rows)) or [()] * len(names)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c) for c in columns], names), schema)
+
+
 def running_total(df: DataFrame, order: list[str], amount: str, total: str, what: str) -> DataFrame:
     """Add ``total``: the sum of ``amount`` over all rows before this one in
     ``order``. The rows are stored before the range partitions are sampled, and
@@ -67,7 +77,7 @@ def running_total(df: DataFrame, order: list[str], amount: str, total: str, what
     for part, subtotal in sums:
         rows.append((part, before))
         before += subtotal or 0
-    offsets = spark.createDataFrame(rows, "_part int, _before long")
+    offsets = few_rows(spark, rows, "_part int, _before long")
     window = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (placed.join(F.broadcast(offsets), "_part")
             .withColumn(total, F.col("_before") + F.coalesce(F.sum(amount).over(window), F.lit(0)))

@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from .common import broadcast_up_to, stash, table, two_columns
 from .components import components
 from .shingles import mix, shingle_sets
-from .tokens import text_slices
+from .tokens import clear_worker, release_memory, text_slices
 
 WORDS = 3
 SIMILARITY = (90, 100)          # intersection to union, as a fraction
@@ -287,6 +287,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = two_columns(df, id_col, text_col)
 
     def send(batches):
+        clear_worker()
         classes = Classes(*similarity)
         for ids, texts in text_slices(batches, SLICE_CHARS):
             order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
@@ -354,6 +355,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if len(held[0]):
             empty = pa.RecordBatch.from_arrays([pa.nulls(0, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int8(), pa.binary())], ["sig", "node", "n", "sure", "sketch"])
             yield out(*signature_rows(*held), empty)
+        release_memory()
 
     def compare(batches):
         held = None
@@ -365,6 +367,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             held = held.slice(whole)
         if held is not None:
             yield tied_rows(held)
+        release_memory()
 
     def tied_rows(rows):
         pairs = np.zeros((2, 0), np.int64)
@@ -423,6 +426,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 sides.append(int(block != i))
         if nodes:
             yield close()
+        release_memory()
 
     linked = stash(members.select("root", "i", "j", "block", "doc_id", "text").repartition("root", "i", "j")
                    .sortWithinPartitions("root", "i", "j", "doc_id")

@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_SPLIT, stash, table
+from .common import WORD_SPLIT, few_rows, stash, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5                 # size of the mix by the size of all sources
@@ -107,7 +107,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     sizes = [r["size"] for r in found]
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, cap)
     passes = [int(w // s) if s else 0 for w, s in zip(wanted, sizes)]
-    plan = spark.createDataFrame(
+    plan = few_rows(
+        spark,
         [(r["source"], s, float(w), p, int(w - p * s), max(1, s // block_words), i)
          for i, (r, s, w, p) in enumerate(zip(found, sizes, wanted, passes))],
         "source string, source_size long, target double, passes int, rest long, n_blocks long, number int")
@@ -120,7 +121,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     shards = max(1, round(sum(q[3] for q in quota) / shard_words))
     tree = split_quotas(np.array([q[2] for q in quota], np.int64), shards, seed)
     ends = np.cumsum(tree, 0)
-    ranges = spark.createDataFrame(
+    ranges = few_rows(
+        spark,
         [(quota[i][0], quota[i][1], s, int(ends[s, i])) for s, i in zip(*map(np.ndarray.tolist, np.nonzero(tree)))],
         "number int, pass int, shard int, last long")
     spans = ranges.groupBy("number", "pass").agg(F.sort_array(F.collect_list(F.struct("last", "shard"))).alias("spans"))
@@ -155,7 +157,7 @@ def _fill(rows: DataFrame, shards: int, seed: int) -> DataFrame:
     open_ = rows.where(~last & (F.col("size") > 0)).select("_row", "number", "size", order.alias("order"))
     filled = None
     while left:
-        room = spark.createDataFrame(list(left.items()), "number int, room long")
+        room = few_rows(spark, list(left.items()), "number int, room long")
         open_ = stash(open_.join(F.broadcast(room), "number").where("size <= room").withColumn("slice", F.shiftright("order", 28)), "mix-open")
         if not open_.limit(1).count():
             break

@@ -138,6 +138,13 @@ def release_memory() -> None:
         trim(0)
 
 
+def clear_worker() -> None:
+    """Drop the encoders that other operators left in this worker, and give
+    the memory back; for tasks that need none."""
+    _ENCODERS.clear()
+    release_memory()
+
+
 def text_slices(batches, limit: int = SLICE_CHARS, rows: int = 1024):
     """(first column, texts) slices of Arrow batches, some ``limit`` characters
     each; a longer text makes a slice of its own. Few rows of a batch become

@@ -31,8 +31,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_up_to, stash, table, two_columns
-from .tokens import text_slices
+from .common import broadcast_up_to, small_batches, stash, table, two_columns
+from .tokens import clear_worker, text_slices
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -43,6 +43,8 @@ CLEAR = (1.0, 3.0, 5.0)      # log-likelihood differences at which a word is eve
 CALIBRATION_ROWS = 50_000
 LABEL_ROWS_BROADCAST = 2_000_000
 SLICE_CHARS = 1_000_000
+BATCH_ROWS = 500             # whole texts sent to a worker at a time
+WORDS_AT_ONCE = 10_000       # whose n-grams a worker holds
 START, END = "\x02", "\x03"
 
 
@@ -86,17 +88,18 @@ def count_grams(labelled: DataFrame) -> DataFrame:
     """(gram, toxic, ordinary) counts of a (text, toxic) frame."""
 
     def count(batches):
+        clear_worker()
         for marks, texts in text_slices(batches, SLICE_CHARS):
             words, code, ends = words_of(texts)
             toxic = np.repeat(np.array(marks, np.float64), np.diff(ends))
             weight = np.stack([np.bincount(code, toxic, len(words)), np.bincount(code, 1 - toxic, len(words))])
-            rows, sizes = grams(words)
-            key = _strings(rows)
-            coded = pa.array(key, pa.string()).dictionary_encode()
-            at, n = coded.indices.to_numpy(), len(coded.dictionary)
-            weight = np.repeat(weight, sizes, axis=1)
-            sums = [np.bincount(at, w, n).astype(np.int64) for w in weight]
-            yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(sums[0]), pa.array(sums[1])], ["gram", "toxic", "ordinary"])
+            for i in range(0, len(words), WORDS_AT_ONCE):
+                rows, sizes = grams(words[i:i + WORDS_AT_ONCE])
+                key = _strings(rows)
+                coded = pa.array(key, pa.string()).dictionary_encode()
+                at, n = coded.indices.to_numpy(), len(coded.dictionary)
+                sums = [np.bincount(at, np.repeat(w[i:i + WORDS_AT_ONCE], sizes), n).astype(np.int64) for w in weight]
+                yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(sums[0]), pa.array(sums[1])], ["gram", "toxic", "ordinary"])
 
     return (labelled.select("toxic", "text").mapInArrow(count, "gram string, toxic long, ordinary long")
             .groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
@@ -174,7 +177,7 @@ class Model:
         p = (np.maximum(n - DISCOUNT, 0) + (DISCOUNT * kinds + prior) * below) / np.maximum(total + prior, 1)
         return np.where(total > 0, p, below)
 
-    def word_evidence(self, words: list[str], at_once: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
+    def word_evidence(self, words: list[str], at_once: int = WORDS_AT_ONCE) -> tuple[np.ndarray, np.ndarray]:
         """Toxic less ordinary log-likelihood of each word, and its length in
         predicted characters."""
         if len(words) > at_once:        # few words at a time: the tables of n-grams stay small
@@ -240,12 +243,14 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     # of every fourth row some CALIBRATION_ROWS fit the curve; the counts read all others
     share = CALIBRATION_ROWS / max(1, marks.where(for_curve).count())
     fits = for_curve & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1, share) * (1 << 30)))
-    counted = stash(count_grams(known.where(~fits)), "toxic-grams")
+    with small_batches(documents.sparkSession, BATCH_ROWS):
+        counted = stash(count_grams(known.where(~fits)), "toxic-grams")
     rows = slot_tables(counted).toArrow()
     if not (rows["a"].to_numpy()[rows["kind"].to_numpy() == ORDER].sum() and rows["b"].to_numpy()[rows["kind"].to_numpy() == ORDER].sum()):
         return None
     model = Model(rows)
-    seen = evidence(known.where(fits), model, "toxic").toArrow()
+    with small_batches(documents.sparkSession, BATCH_ROWS):
+        seen = evidence(known.where(fits), model, "toxic").toArrow()
     return model, fit_curve(np.stack([seen[c].to_numpy() for c in EVIDENCE]), seen["toxic"].to_numpy().astype(float))
 
 
@@ -257,6 +262,7 @@ def evidence(documents: DataFrame, model: Model, keep: str) -> DataFrame:
     shared = model.shared(documents.sparkSession)
 
     def judge(batches):
+        clear_worker()
         for keys, texts in text_slices(batches, SLICE_CHARS):
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *map(pa.array, shared.value.evidence(texts))], [keep, *EVIDENCE])
 

@@ -71,3 +71,27 @@ def test_a_dominant_document_leaves_no_gap(spark):
         assert 0 <= got[0].target - sum(r.taken for r in got) < 1
     wide = M.mix(df, weights=(3, 1), share=0.9, block_words=500, seed=3).where("source = 'a'").collect()
     assert 0 <= wide[0].target - sum(r.taken for r in wide) < 1
+
+
+def test_few_rows_need_no_python_workers(spark):
+    from loadshape.llm.common import few_rows
+
+    schema = "source string, number int, target double, last long"
+    rows = [(None, 1, 0.5, 2 ** 40), ("a", 2, 1.0, -1)]
+    for some in (rows, rows[:1], []):
+        df = few_rows(spark, some, schema)
+        assert df.schema == spark.createDataFrame([], schema).schema and sorted(map(tuple, df.collect()), key=str) == sorted(some, key=str)
+    assert "ExistingRDD" not in few_rows(spark, rows, schema)._jdf.queryExecution().toString()
+
+
+def test_numbering_and_mixing_start_no_python_workers(spark, monkeypatch):
+    from loadshape.llm import common
+
+    df = spark.createDataFrame([(i, "one two three " * (i + 1), f"s{i % 2}") for i in range(12)], "doc_id long, text string, source string").localCheckpoint()
+    numbered = common.running_total(df, ["doc_id"], "doc_id", "before", "numbers")
+    frames, made = [], spark.createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, schema=None: frames.append(type(data)) or made(data, schema))
+    assert [r.before for r in numbered.orderBy("doc_id").collect()] == [i * (i - 1) // 2 for i in range(12)]
+    common.running_total(df, ["doc_id"], "doc_id", "before", "numbers")
+    M.mix(df).collect()
+    assert frames and list not in frames

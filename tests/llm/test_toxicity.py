@@ -88,3 +88,83 @@ def test_counts_read_all_rows_that_do_not_fit_the_curve(spark, monkeypatch):
     monkeypatch.setattr(T, "CALIBRATION_ROWS", len(quarter) // 2)
     T.train(d, lab)
     assert seen[0] < seen[1] < set(learned) and len(seen[1] & set(quarter)) > len(quarter) // 4
+
+
+class Asked:
+    """A frame that keeps what it is asked to run in its workers."""
+
+    def __getattr__(self, name):
+        return lambda *args: self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+def counting():
+    asked = Asked()
+    T.count_grams(asked)
+    return asked.run
+
+
+def test_counting_holds_the_grams_of_few_words(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(map(chr, w)) for w in rng.integers(97, 123, (400, 8))) for _ in range(250)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i % 2 for i in range(250)], pa.int32()), pa.array(texts)], ["toxic", "text"])
+    run, sums = counting(), Counter()
+    list(run([batch.slice(0, 1)]))      # imports and the like
+    tracemalloc.start()
+    out = run([batch])
+    total = 0
+    for b in out:
+        total += sum(b["toxic"].to_pylist()) + sum(b["ordinary"].to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == sum(len(w) + 1 for t in texts for w in t.split(" "))
+    assert peak < 60e6
+    for b in run([batch]):
+        for g, x, y in zip(*(c.to_pylist() for c in b.columns)):
+            sums[g, 1] += x
+            sums[g, 0] += y
+    want = Counter()
+    for i, t in enumerate(texts):
+        for w in t.split(" "):
+            padded = T.START * (T.ORDER - 1) + w + T.END
+            want.update((padded[k:k + T.ORDER], i % 2) for k in range(len(w) + 1))
+    assert +sums == want
+
+
+def test_counting_drops_what_packing_left_in_the_worker(spark):
+    from loadshape.llm import tokens
+
+    tokens.encoder(tokens.vocabulary_path(), 1000)
+    list(counting()([]))
+    assert not tokens._ENCODERS
+
+
+def test_training_sends_few_texts_at_a_time(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen, stash, judge = spark.conf.get(name), [], T.stash, T.evidence
+
+    class Watched:
+        def __init__(self, df):
+            self.df = df
+
+        def toArrow(self):
+            seen.append(spark.conf.get(name))
+            return self.df.toArrow()
+
+    def watched(df, what):
+        seen.append(spark.conf.get(name))
+        return stash(df, what)
+
+    monkeypatch.setattr(T, "stash", watched)
+    monkeypatch.setattr(T, "evidence", lambda *args: Watched(judge(*args)))
+    docs = spark.createDataFrame([(i, "foul words" if i % 2 else "fine words") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    assert T.train(docs, labels) is not None
+    assert seen == [str(T.BATCH_ROWS)] * 2 and spark.conf.get(name) == before
