@@ -192,6 +192,22 @@ def ties(group: np.ndarray, texts: Sketches, similarity: tuple[int, int]) -> tup
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Few edges that join the same nodes as all edges (a, b): each node and
+    the smallest one that they lead it to."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[:len(a)], at[len(a):]
+    root = np.arange(len(nodes))
+    while (root[x] != root[y]).any():
+        least = np.minimum(root[x], root[y])
+        np.minimum.at(root, root[x], least)
+        np.minimum.at(root, root[y], least)
+        while (root[root] != root).any():
+            root = root[root]
+    moved = root != np.arange(len(nodes))
+    return nodes[root[moved]], nodes[moved]
+
+
 def t_occurrence(sets: list[np.ndarray], similarity: tuple[int, int]):
     """Yield (i, partners): the linked sets before set i, for distinct sets
     sorted by size."""
@@ -370,13 +386,13 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         release_memory()
 
     def tied_rows(rows):
-        pairs = np.zeros((2, 0), np.int64)
+        a = b = np.zeros(0, np.int64)
         if len(rows):
             sig, node, sizes = (rows.column(c).to_numpy() for c in range(3))
             i, j = ties(sig, Sketches(rows.column(3).to_pylist(), sizes), similarity)
-            pairs = np.unique(np.stack([node[i], node[j]]), axis=1)
-        pairs = pairs[:, pairs[0] != pairs[1]]
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            # only who is joined counts, and a signature's ties grow with the square of its texts
+            a, b = forest(node[i], node[j])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     met = stash(docs.mapInArrow(send, "sig long, node long, n long, sure byte, sketch binary")
                 .repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(meet, "a long, b long, sig long, n long, sketch binary"), "signatures")

@@ -197,3 +197,32 @@ def test_rows_of_one_id_that_meet_another_text_are_counted(spark):
     one, two = " ".join(words[:80]), " ".join(words[:70] + words[80:90])
     df = spark.createDataFrame([(1, one), (1, one), (2, two)], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id, r.n_links) for r in J.jaccard_components(df).collect()) == [(1, 1, 1), (1, 1, 1), (2, 2, 0)]
+
+
+def test_forest_joins_the_same_nodes_by_few_edges():
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 0), (6, 4), (60, 40), (200, 3000), (500, 480)):
+        ids = rng.choice(10 ** 9, n, replace=False)
+        a, b = ids[rng.integers(0, n, m)], ids[rng.integers(0, n, m)]
+        root = {int(i): int(i) for i in ids}
+        for _ in range(n):
+            for x, y in zip(a.tolist(), b.tolist()):
+                root[x] = root[y] = min(root[x], root[y])
+        least, node = J.forest(a, b)
+        assert dict(zip(node.tolist(), least.tolist())) == {i: r for i, r in root.items() if i != r}
+        assert len(node) < n or not m
+
+
+def test_ties_of_a_signature_do_not_grow_with_its_square(spark, monkeypatch):
+    words = " ".join(f"w{k}" for k in range(60))
+    rows = [(i, f"{words} x{i}") for i in range(400)]
+    seen, components = [], J.components
+
+    def counted(edges):
+        seen.append(edges.count())
+        return components(edges)
+
+    monkeypatch.setattr(J, "components", counted)
+    out = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {(r.component_id, r.n_links) for r in out} == {(0, 399)}
+    assert seen[0] <= 10 * len(rows)
