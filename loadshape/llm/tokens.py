@@ -4,8 +4,8 @@ The byte-level merges never cross the pieces that the public splitting pattern
 cuts, and without runs of white space every blank and line feed starts a new
 piece. So the ids of a blank and the word behind it never depend on the rest
 of the text. ``Encoder`` cuts many texts into such words at once, keeps the ids
-of up to ``MEMO`` words per Python worker and hands only new words to the
-library. Texts with other white space go to the library whole.
+of up to ``MEMO`` words per Python worker in one array and hands only new words
+to the library. Texts with other white space go to the library whole.
 """
 
 from __future__ import annotations
@@ -13,15 +13,16 @@ from __future__ import annotations
 import ctypes
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
-MEMO = 500_000            # words kept per worker, some 100 MB
-SLICE_CHARS = 3_000_000   # characters encoded at a time
-_BLANK = re.compile(r"[\s\x85]")
+MEMO = 500_000            # words kept per worker, some 80 MB
+SLICE_CHARS = 6_000_000   # characters encoded at a time: more, so fewer words are looked up again
+_BLANK = re.compile(r"[^\S\n]|\x85")     # a line feed only opens a word
 
 
 def vocabulary_path() -> str:
@@ -40,7 +41,9 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.line_feed = self._whole("\n")
         self.memo_words = memo_words
-        self.memo: dict[str, bytes] = {}        # ids of a word behind a blank, or of a line feed and a word
+        self.memo: dict[str, int] = {}          # place of a word behind a blank, or of a line feed and a word
+        self.ids = np.zeros(0, "<u4")           # ids of all places
+        self.sizes = np.zeros(0, np.int32)      # how many each place has
         names = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(names.values()) + 1, bool)    # ids that begin with a blank
         self.opens[[i for name, i in names.items() if name[0] == "\u0120"]] = True
@@ -48,35 +51,41 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, new: list[str], lead: str):
-        """(word, ids) of new words. Many are encoded as one text, each behind
-        a blank (so its first id begins with one) or a line feed (an id of its
-        own)."""
+    def _learn(self, new: list[str], lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words in one array, and how many each has. Many are
+        encoded as one text, each behind a blank (so its first id begins with
+        one) or a line feed (an id of its own)."""
+        flat, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int32)]
         for i in range(0, len(new), 512):
             part = new[i:i + 512]
             text = " " + " ".join(part) if lead else "".join(part)
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
             first = np.flatnonzero(self.opens[ids] if lead else ids == np.frombuffer(self.line_feed, "<u4")[0])
-            raw, cuts = ids.tobytes(), [*(4 * first).tolist(), 4 * len(ids)]
-            yield from zip(part, [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:])], strict=True)
-
-    def _ids_of(self, words: list[str]) -> tuple[list[bytes], list[int]]:
-        """Ids of distinct words; the places of those that are no plain word."""
-        memo = self.memo
-        found = list(map(memo.get, words))
-        new = [i for i, x in enumerate(found) if x is None]
-        odd = [i for i in new if not words[i] or _BLANK.search(words[i], words[i][0] == "\n")]
-        for i in odd:
-            found[i] = b""
-        plain = [i for i in new if found[i] is None]
-        room = len(memo) < self.memo_words
-        for lead in (" ", ""):
-            some = [i for i in plain if (words[i][0] != "\n") == bool(lead)]
-            for i, (word, ids) in zip(some, self._learn([words[i] for i in some], lead)):
-                found[i] = ids
-                if room:
-                    memo[word] = ids
-        return found, odd
+            if len(first) != len(part):
+                raise ValueError("ids that do not open their words")
+            flat.append(ids)
+            sizes.append(np.diff(first, append=len(ids)).astype(np.int32))
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words: an array of ids, where each word's begin in
+        it and how many they are; and the places of those that are no plain
+        word, which have none."""
+        place = np.fromiter(map(self.memo.get, words, repeat(-1)), np.int64, len(words))
+        kinds: tuple[list[int], list[int], list[int]] = [], [], []      # behind a blank, a line feed first, not plain
+        for i in np.flatnonzero(place < 0).tolist():
+            word = words[i]
+            kinds[2 if not word or _BLANK.search(word) else word[0] == "\n"].append(i)
+        new = kinds[0] + kinds[1]
+        parts = [self._learn([words[i] for i in some], lead) for some, lead in zip(kinds, (" ", ""))]
+        known, odd = len(self.sizes), np.array(kinds[2], np.int64)
+        ids = np.concatenate([self.ids, *(flat for flat, _ in parts)])
+        sizes = np.concatenate([self.sizes, *(size for _, size in parts), np.zeros(len(odd), np.int32)])
+        place[new + kinds[2]] = np.arange(known, len(sizes))
+        if new and known < self.memo_words:
+            self.memo.update(zip([words[i] for i in new], range(known, known + len(new))))
+            self.ids, self.sizes = ids, sizes[:known + len(new)]
+        return ids, (np.cumsum(sizes, dtype=np.int64) - sizes)[place], sizes[place], odd
 
     def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and how many each text has."""
@@ -85,15 +94,13 @@ class Encoder:
         ends = cut.offsets.to_numpy()
         coded = cut.flatten().dictionary_encode()
         code = coded.indices.to_numpy()
-        found, odd = self._ids_of(coded.dictionary.to_pylist())
-        size = np.array([len(x) for x in found], np.int64) // 4
-        table, table_at = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+        table, table_at, size, odd = self._ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         counts = size[code]
-        at = np.concatenate([[0], np.cumsum(counts)])
+        at = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
         ids = table[np.repeat(table_at[code] - at[:-1], counts) + np.arange(at[-1])]
         starts, stops = at[ends[:-1]] + 1, at[ends[1:]]
         whole = {i for i, t in enumerate(texts) if "\n " in t or "\n\n\n" in t or t.endswith("\n\n")}
-        if odd:
+        if len(odd):
             is_odd = np.zeros(len(size), bool)
             is_odd[odd] = True
             words = np.concatenate([[0], np.cumsum(is_odd[code])])

@@ -40,7 +40,10 @@ def encode(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
         per_block = np.bitwise_count(plane.view("<u8")).reshape(-1, BLOCK // 64).sum(1, dtype=np.int64)
         parts += [_pack(plane), _pack(np.concatenate([[0], np.cumsum(per_block)]).astype("<u4"))]
         if b and (k := int(per_block.sum())) not in (0, len(x)):
-            x = np.concatenate([x[np.flatnonzero(~ones)], x[np.flatnonzero(ones)]])
+            y = np.empty_like(x)
+            x.take(np.flatnonzero(~ones), out=y[:-k], mode="clip")      # "clip": without a buffer
+            x.take(np.flatnonzero(ones), out=y[-k:], mode="clip")
+            x = y
     head = _HEADER.pack(MAGIC, bits, len(ids), len(doc_ids))
     return head + np.array([len(p) for p in parts], "<i8").tobytes() + b"".join(parts)
 

@@ -1,6 +1,7 @@
 """Token operators against the tokenizers library, document by document."""
 
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -47,6 +48,19 @@ def test_memo_that_is_full(plain):
         assert np.frombuffer(e.encode([t])[0], "<u4").tolist() == plain(t)
 
 
+def test_known_words_cost_no_calls_each(plain):
+    e, calls = Encoder(vocabulary_path()), []
+    text = " ".join(f"w{i}x" for i in range(5000)) + "\nlast one"
+    first = e.encode_flat([text])[0]
+    sys.setprofile(lambda frame, event, what: calls.append(event))
+    try:
+        again = e.encode_flat([text])[0]
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < 1000            # 5000 and more when each word's ids were an object of their own
+    assert again.tolist() == first.tolist() == plain(text)
+
+
 def test_binary_lengths():
     for n in range(1, 3000):
         got = packing.binary_lengths(n, 1024)
